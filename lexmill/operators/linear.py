@@ -30,6 +30,7 @@ class TfidfModel:
     c: float = 1.0
     balanced: bool = True
     intercept: float = 0.0
+    train_rows: int = 0
     terms: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -107,7 +108,7 @@ def fit(
     vocab.join(coefficients, "idx").select("term", "idx", "tf", "df", "idf", "coef").write.parquet(path)
     return TfidfModel(
         settings.max_features, settings.ngram_range, settings.max_iter, settings.tolerance, settings.c,
-        settings.balanced, float(fitted.intercept), spark.read.parquet(path),
+        settings.balanced, float(fitted.intercept), n_rows, spark.read.parquet(path),
     )
 
 
@@ -148,11 +149,13 @@ def save_model(model: TfidfModel, path: str) -> None:
     table = model.require_fitted()
     table.write.mode("overwrite").parquet(f"{path}/terms")
     settings = [(
-        model.max_features, list(model.ngram_range), model.max_iter, model.tolerance, model.c, model.balanced, model.intercept,
+        model.max_features, list(model.ngram_range), model.max_iter, model.tolerance, model.c, model.balanced,
+        model.intercept, model.train_rows,
     )]
     table.sparkSession.createDataFrame(
         settings,
-        "max_features INT, ngram_range ARRAY<INT>, max_iter INT, tolerance DOUBLE, c DOUBLE, balanced BOOLEAN, intercept DOUBLE",
+        "max_features INT, ngram_range ARRAY<INT>, max_iter INT, tolerance DOUBLE, c DOUBLE, balanced BOOLEAN, "
+        "intercept DOUBLE, train_rows BIGINT",
     ).write.mode("overwrite").parquet(f"{path}/settings")
 
 
@@ -160,5 +163,5 @@ def load_model(spark, path: str) -> TfidfModel:
     row = spark.read.parquet(f"{path}/settings").head()
     return TfidfModel(
         row["max_features"], tuple(row["ngram_range"]), row["max_iter"], row["tolerance"], row["c"], row["balanced"],
-        row["intercept"], spark.read.parquet(f"{path}/terms"),
+        row["intercept"], row["train_rows"], spark.read.parquet(f"{path}/terms"),
     )
