@@ -8,7 +8,8 @@ text is moved instead of its n-grams, which take several times its space.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -115,11 +116,9 @@ def sparse_rows(
     entry = F.when(F.col("idx").isNotNull(), F.struct("idx", raw_weight(F.col("n"), F.col("idf")).alias("w")))
     rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return rows.withColumn("_norm", norm).select(
-        key, *keep,
-        F.transform("_e", lambda e: e["idx"]).alias("indices"),
-        F.transform("_e", lambda e: e["w"] / F.col("_norm")).alias("values"),
-    )
+    # Bound, not a named column: that would be inlined and summed again for every element.
+    values = X.bind(norm, lambda length: F.transform("_e", lambda e: e["w"] / length))
+    return rows.select(key, *keep, F.transform("_e", lambda e: e["idx"]).alias("indices"), values.alias("values"))
 
 
 def encode(
@@ -143,9 +142,27 @@ def encode(
     return rows.select(key, "n_unknown", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
-def term_origin(docs: DataFrame, vocab: DataFrame, by: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Vocabulary terms counted by the group in which each occurs most often (ties by name)."""
-    terms = doc_terms(docs, key, text, keep=[by]).join(vocab.select("term"), "term", "left_semi")
-    used = terms.groupBy("term", by).agg(F.sum("n").alias("tf"))
-    home = used.groupBy("term").agg(F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias("term_lang"))
-    return home.groupBy("term_lang").agg(F.count("*").alias("n_terms"))
+def term_origin(
+    docs: DataFrame,
+    train_sets: Mapping[str, Sequence[str]],
+    max_features: int = MAX_FEATURES,
+    by: str = "lang",
+    text: str = "text",
+    key: str = "doc_id",
+    ngram_range=NGRAMS,
+) -> DataFrame:
+    """``train_set, term_<by>, n_terms``: vocabulary terms by the group where each is most frequent.
+
+    Every named training set is a list of groups and gets a vocabulary of its own. The texts are
+    taken apart once: term frequencies per group are written and added up for each set.
+    """
+    terms = doc_terms(docs, key, text, ngram_range, [by])
+    per_group = materialize(terms.groupBy("term", by).agg(F.sum("n").alias("tf")), "group-terms")
+    counted = []
+    for name, groups in train_sets.items():
+        used = per_group.filter(F.col(by).isin(*groups))
+        vocab = top_terms(used.groupBy("term").agg(F.sum("tf").alias("tf")), max_features)
+        kept = used.join(vocab.select("term"), "term", "left_semi")
+        home = kept.groupBy("term").agg(F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}"))
+        counted.append(home.groupBy(f"term_{by}").agg(F.count("*").alias("n_terms")).select(F.lit(name).alias("train_set"), "*"))
+    return reduce(DataFrame.unionByName, counted)

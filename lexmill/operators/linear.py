@@ -15,6 +15,8 @@ from lexmill.operators.cleaning import clean_rows
 from lexmill.operators.stats import class_weights
 from lexmill.sources.workdir import new_path
 
+ROWS_PER_TASK = 10_000
+
 
 @dataclass
 class TfidfModel:
@@ -89,6 +91,8 @@ def fit(
     if not settings.balanced:
         weight = F.lit(1.0)
     train = rows.select(F.col(label).cast("double").alias("label"), weight.alias("weight"), "features")
+    # Every iteration is a job over these partitions: few rows per task would only cost time.
+    train = train.coalesce(max(1, n_rows // ROWS_PER_TASK))
     solver = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (settings.c * n_rows),

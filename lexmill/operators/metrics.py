@@ -23,6 +23,8 @@ UNSURE_AND_RIGHT = "low_confidence_correct"
 BUCKETS = (FALSE_POSITIVE, FALSE_NEGATIVE, UNSURE_AND_RIGHT, SURE_AND_WRONG)
 HIGH_CONFIDENCE = 0.9
 LOW_CONFIDENCE = 0.6
+# Samples per bucket up to which the list of samples is surely small enough to broadcast.
+BROADCAST_SAMPLES = 100_000
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
@@ -162,11 +164,18 @@ def _bucketed(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scored.select(*columns, F.explode(buckets).alias("bucket"))
 
 
-def error_samples(scored: DataFrame, n: int = 50, key: str = "doc_id", text_limit: int = 200) -> DataFrame:
-    """The first ``n`` rows of every error bucket with the uncleaned text, cut to ``text_limit``."""
-    shown = scored.withColumn("text", shorten(F.col("text"), text_limit))
-    listed = first_per_bucket(_bucketed(shown, [key, "text", "label", "pred", "confidence"]), "bucket", n, key)
-    return listed.select(
+def error_samples(
+    scored: DataFrame, texts: DataFrame, n: int = 50, key: str = "doc_id", text: str = "text", text_limit: int = 200
+) -> DataFrame:
+    """The first ``n`` rows of every error bucket with the uncleaned text, cut to ``text_limit``.
+
+    The rows are chosen by key alone. At most ``n`` per bucket remain, so they are broadcast to
+    the scan of the texts, which is not shuffled.
+    """
+    listed = first_per_bucket(_bucketed(scored, [key, "label", "pred", "confidence"]), "bucket", n, key)
+    shown = texts.select(key, shorten(F.col(text), text_limit).alias("text"))
+    found = shown.join(F.broadcast(listed) if n <= BROADCAST_SAMPLES else listed, key)
+    return found.select(
         "bucket", "rn", key, "text",
         label_name(F.col("label")).alias("true_label"),
         label_name(F.col("pred")).alias("predicted"),

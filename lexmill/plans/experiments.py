@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +16,20 @@ from lexmill.operators import linear as M, metrics as E, runs as R, sampling as
 from lexmill.sources.workdir import materialize, new_path
 
 CONDITIONS = ("target_only", "source_first")
+CURVE_RECORD = (
+    "condition STRING, size INT, seed INT, examples BIGINT, positive_share DOUBLE, "
+    "lang STRING, n BIGINT, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE"
+)
+
+
+# Fits that run side by side; each is a chain of many short jobs that leaves executors idle.
+PARALLEL_FITS = 4
+
+
+def _side_by_side(spark: SparkSession, work, items: Sequence, parallelism: int) -> list:
+    """``work`` on every item, several at a time, each driving its own Spark jobs."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
 
 
 @dataclass(frozen=True)
@@ -61,7 +77,11 @@ def train_and_evaluate(
 
 
 def transfer_matrix(
-    corpus: DataFrame, modes: Mapping[str, Mode], settings: M.TfidfModel | None = None, key: str = "doc_id"
+    corpus: DataFrame,
+    modes: Mapping[str, Mode],
+    settings: M.TfidfModel | None = None,
+    key: str = "doc_id",
+    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """One row per mode and test language: size, rows trained on, metrics, confusion cells.
 
@@ -70,19 +90,20 @@ def transfer_matrix(
     """
     corpus = materialize(corpus.select(key, "text", "label", "lang", "split"), "split-corpus", ("lang", "split"))
     test = corpus.filter(F.col("split") == "test")
-    results = []
-    for name, mode in modes.items():
+
+    def run(item: tuple[str, Mode]) -> DataFrame:
+        name, mode = item
         train = corpus.filter((F.col("split") == "train") & F.col("lang").isin(*mode.train))
         model = M.fit(train, settings, key=key)
         cells = E.confusion(M.score(test, model, ["label", "lang"], key=key), ["lang"])
         measured = E.summary(cells.withColumn("confusion_matrix", E.matrix()), ["lang", "confusion_matrix"])
-        results.append(
-            measured.select(
-                F.lit(name).alias("mode"), "lang", "n", F.lit(model.train_rows).cast("long").alias("train_samples"),
-                F.col("lang").isin(*mode.judged).alias("judged"),
-                "accuracy", "precision", "recall", "f1", "confusion_matrix",
-            )
+        return measured.select(
+            F.lit(name).alias("mode"), "lang", "n", F.lit(model.train_rows).cast("long").alias("train_samples"),
+            F.col("lang").isin(*mode.judged).alias("judged"),
+            "accuracy", "precision", "recall", "f1", "confusion_matrix",
         )
+
+    results = _side_by_side(corpus.sparkSession, run, list(modes.items()), parallelism)
     return materialize(reduce(DataFrame.unionByName, results), "transfer")
 
 
@@ -91,14 +112,13 @@ def evaluation(
 ) -> dict[str, DataFrame]:
     """Scores and everything reported about them: per language and pooled, per class, errors."""
     scored = materialize(M.score(test.select(key, "text", "label", "lang"), model, ["label", "lang"], key=key), "scored")
-    named = scored.join(test.select(key, "text"), key)
     cells = E.confusion(scored, ["lang"])
     return {
         "scored": scored,
         "metrics": E.evaluate_rollup(scored),
         "per_class": E.per_class(cells, ["lang"]),
         "report": E.report(cells, ["lang"]),
-        "error_samples": E.error_samples(named, n_samples, key),
+        "error_samples": E.error_samples(scored, test, n_samples, key),
         "error_counts": E.error_counts(scored, n_samples),
     }
 
@@ -122,7 +142,7 @@ def batch_summary(view: DataFrame) -> DataFrame:
 
 def _finished(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(CURVE_RECORD).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -138,12 +158,13 @@ def learning_curve(
     settings: M.TfidfModel | None = None,
     key: str = "doc_id",
     records: str | None = None,
+    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """One row per condition, size, seed and test language.
 
     Nested subsets of the target's training rows are used alone or after the source language's
-    training rows. Each run appends its record, and a second call with the same ``records``
-    folder only does the runs that are missing.
+    training rows. Each run writes its record, and a second call with the same ``records`` folder
+    only does the runs that are missing.
     """
     spark = corpus.sparkSession
     records = records or new_path(spark, "curve")
@@ -163,14 +184,20 @@ def learning_curve(
         subsets = materialize(
             S.nested_subsets(target_train.select(key, "text", "label"), sizes, seeds, key), "subsets", ("seed", "size")
         )
-    for run in todo:
+
+    def do(run) -> None:
         subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("size") == run["size"])).select(key, "text", "label")
         rows = subset if run["condition"] == "target_only" else subset.unionByName(source_train)
         model = M.fit(rows, settings and replace(settings, terms=None), key=key)
         measured = E.evaluate(M.score(test, model, ["label", "lang"], key=key), ["lang"])
         share = subset.select(F.avg("label").alias("positive_share")).head()["positive_share"]
-        measured.select(
-            F.lit(run["condition"]).alias("condition"), F.lit(run["size"]).alias("size"), F.lit(run["seed"]).alias("seed"),
-            F.lit(run["examples"]).cast("long").alias("examples"), F.lit(share).alias("positive_share"), "*",
-        ).coalesce(1).write.mode("append").parquet(records)
-    return spark.read.parquet(records)
+        record = measured.select(
+            F.lit(run["examples"]).cast("long").alias("examples"), F.lit(share).alias("positive_share"), "*"
+        )
+        # A folder of its own per run: runs end in any order, and one that failed can be repeated.
+        folder = f"{records}/condition={run['condition']}/size={run['size']}/seed={run['seed']}"
+        record.coalesce(1).write.mode("overwrite").parquet(folder)
+
+    if todo:
+        _side_by_side(spark, do, todo, parallelism)
+    return spark.read.schema(CURVE_RECORD).parquet(records)

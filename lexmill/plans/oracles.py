@@ -214,8 +214,8 @@ ORACLES: dict[str, str] = {
     "q_norm_ws": f"select doc_id, md5({one_space('text')}) as text_md5 from documents",
     "q_lower": "select doc_id, md5(lower(text)) as text_md5 from documents",
     "q_clean_corpus": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
-    "q_removed_count": f"""select count(*) as before, count_if(t <> '') as after, count_if(t = '') as removed from (
-      select {clean(f"regexp_extract(text, '[^{SPACE}]*@[^{SPACE}]*', 0)")} as t from documents)""",
+    "q_removed_count": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
+      select {clean(f"regexp_extract(text, '[^{SPACE}]*[@#][^{SPACE}]*', 0)")} as t from documents)""",
     "q_tokens": f"with {CLEAN_DOCS} select doc_id, len(w)::bigint as n_tokens, len(list_distinct(w))::bigint as n_distinct from (select doc_id, {words('text')} as w from docs)",
     "q_ngrams": f"""with {CLEAN_CORPUS}, g as (select doc_id, {grams()} as g from (select doc_id, {words('text')} as w from docs))
       select doc_id, unnest(range(len(g)))::bigint as pos, unnest(g) as gram from g""",
@@ -291,7 +291,7 @@ ORACLES: dict[str, str] = {
       tot as (select mode, term, sum(c) as tf from mt group by all),
       top as (select *, row_number() over (partition by mode order by tf desc, term) as r from tot qualify r <= 2000),
       home as (select mode, term, lang as term_lang from mt semi join top using (mode, term) qualify row_number() over (partition by mode, term order by c desc, lang) = 1)
-      select mode, term_lang, count(*) as n_terms from home group by all""",
+      select mode as train_set, term_lang, count(*) as n_terms from home group by all""",
     "q_encode": f"""with {CLEAN_DOCS}, ws as (select doc_id, {words('text')} as w from docs), t as (select doc_id, unnest(w) as term from ws),
       top as (select term, count(*) as tf from t group by term order by tf desc, term limit 2000), vocab as (select term, row_number() over (order by term) - 1 as idx from top),
       p as (select doc_id, unnest(range(1, least(len(w), 128) + 1)) as pos, unnest(w[1:128]) as term from ws),

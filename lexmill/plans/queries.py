@@ -14,6 +14,7 @@ from lexmill.sources.workdir import materialize, new_path
 
 LANGS = ("en", "de", "fr", "es")
 SOURCE, TARGET = "en", "de"
+KEYED = "doc_id BIGINT, text STRING, label INT"
 FEATURES = 2000
 SETTINGS = M.TfidfModel(max_features=FEATURES, max_iter=200)
 
@@ -58,8 +59,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return I.spread(docs.join(marks, "doc_id"), "doc_id")
+    return documents(spark, sf_dir).join(marks, "doc_id")
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +135,7 @@ def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts_with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return I.spread(split_corpus(spark, sf_dir).join(texts, "doc_id"), "doc_id")
+    return documents(spark, sf_dir).drop("lang").join(split_corpus(spark, sf_dir), "doc_id")
 
 
 # Sources and sinks --------------------------------------------------------------------------
@@ -146,8 +145,7 @@ def texts_with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_split(spark, sf_dir):
     root = new_path(spark, "csv")
     I.write_corpus(texts_with_split(spark, sf_dir), root, ["doc_id", "text", "label"])
-    schema = "doc_id BIGINT, text STRING, label INT"
-    back = I.read_split(spark, root, SOURCE, "train", spark.createDataFrame([], schema).schema)
+    back = I.read_split(spark, root, SOURCE, "train", KEYED)
     return back.select("doc_id", "lang", "split", "label", F.md5("text").alias("text_md5"))
 
 
@@ -155,8 +153,7 @@ def read_split(spark, sf_dir):
 def read_corpus(spark, sf_dir):
     root = new_path(spark, "csv")
     I.write_corpus(texts_with_split(spark, sf_dir), root, None)
-    schema = spark.createDataFrame([], "doc_id BIGINT, label INT, text STRING").schema
-    back = I.read_corpus(spark, root, schema)
+    back = I.read_corpus(spark, root, KEYED)
     return back.select("doc_id", "lang", "split", "label", F.md5("text").alias("text_md5"))
 
 
@@ -231,7 +228,7 @@ QUERIES["q_clean_corpus"] = QUERIES.pop("q_clean_corpus_rows")
 
 @query
 def removed_count(spark, sf_dir):
-    found = documents(spark, sf_dir).select(F.regexp_extract("text", rf"[^{X.SPACE}]*@[^{X.SPACE}]*", 0).alias("text"))
+    found = documents(spark, sf_dir).select(F.regexp_extract("text", rf"[^{X.SPACE}]*[@#][^{X.SPACE}]*", 0).alias("text"))
     return C.removed_count(found)
 
 
@@ -436,7 +433,7 @@ def error_counts(spark, sf_dir):
 
 @query
 def error_samples(spark, sf_dir):
-    rows = E.error_samples(with_score(corpus(spark, sf_dir)), 5)
+    rows = E.error_samples(scored(spark, sf_dir), documents(spark, sf_dir), 5)
     return rounded(rows.withColumn("rn", big("rn")), "confidence")
 
 
@@ -510,13 +507,8 @@ def sparse_rows(spark, sf_dir):
 
 @query
 def vocab_by_lang(spark, sf_dir):
-    rows = clean_documents(spark, sf_dir)
-    result = None
-    for name, mode in W.standard_modes(SOURCE, TARGET).items():
-        train = rows.filter(F.col("lang").isin(*mode.train))
-        counted = V.term_origin(train, V.vocabulary(train, FEATURES)).select(F.lit(name).alias("mode"), "term_lang", "n_terms")
-        result = counted if result is None else result.unionByName(counted)
-    return result
+    sets = {name: mode.train for name, mode in W.standard_modes(SOURCE, TARGET).items()}
+    return V.term_origin(clean_documents(spark, sf_dir), sets, FEATURES)
 
 
 @query
@@ -652,7 +644,7 @@ def results_table(spark, sf_dir):
 
 @query
 def model_rows(spark, sf_dir):
-    return R.model_rows(mode_runs(spark, sf_dir))
+    return R.model_rows(mode_runs(spark, sf_dir)).withColumn("seed", big("seed"))
 
 
 @query

@@ -6,10 +6,10 @@ import hashlib
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.operators.cleaning import clean_rows
-from lexmill.sources.workdir import work_root
+from lexmill.sources.workdir import new_path, work_root
 
 
 def cache_key(source: str, **options) -> str:
@@ -23,12 +23,23 @@ def cleaned(df: DataFrame, source: str, text_column: str = "text", **options) ->
     ``source`` names the data and its version; the caller vouches for it.
     """
     spark = df.sparkSession
-    path = f"{work_root(spark)}/lexmill/cleaned/{cache_key(source, text=text_column, schema=df.schema.json(), **options)}"
-    # Only a finished write leaves this marker; reading its folder tells whether there is one.
+    name = cache_key(source, text=text_column, schema=df.schema.json(), **options)
+    # The entry is one row with the path of the data, written once the data is complete; a write
+    # that failed half-way leaves no entry.
+    entry = f"{work_root(spark)}/lexmill/cleaned/{name}"
+    found = _entry(spark, entry)
+    if found is None:
+        found = new_path(spark, "cleaned")
+        clean_rows(df, text_column, **options).write.parquet(found)
+        spark.createDataFrame([(found,)], "path STRING").coalesce(1).write.mode("append").parquet(entry)
+    return spark.read.schema(df.schema).parquet(found)
+
+
+def _entry(spark: SparkSession, path: str) -> str | None:
     try:
-        return spark.read.schema(df.schema).parquet(path)
+        row = spark.read.schema("path STRING").parquet(path).head()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    clean_rows(df, text_column, **options).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        return None
+    return row["path"] if row else None

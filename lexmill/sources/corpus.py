@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.operators.cleaning import clean_rows, map_labels, standardize_labels
 from lexmill.operators.sampling import holdout_split, stratified_split
-from lexmill.sources.workdir import materialize
+from lexmill.sources.workdir import balanced, materialize
 
-SPLIT_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
+SPLIT_SCHEMA = "text STRING, label INT"
 # Texts hold line breaks, quotes and spaces at the ends; all of them survive the round trip.
 CSV_OPTIONS = {
     "header": "true",
@@ -26,13 +26,16 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "lineSep": "\n",
+    # Columns are matched by position; a header that names others is an error.
+    "enforceSchema": "false",
 }
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out over all cores when the input has fewer splits than that.
+    """Rows of a plain scan dealt out over all cores when it has fewer splits than that.
 
-    Large inputs already have one split per block and stay as they are.
+    Large inputs already have one split per block and stay as they are. Meant for scans only:
+    asking a plan with joins for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
@@ -43,7 +46,7 @@ def rename_columns(df: DataFrame, text: str, label: str, keep: Sequence[str] = (
     return df.select(*keep, F.col(text).alias("text"), F.col(label).alias("label"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = SPLIT_SCHEMA) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str = SPLIT_SCHEMA) -> DataFrame:
     """CSV with a header and a given schema. Only empty fields are missing; "null" is a text."""
     try:
         return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
@@ -58,7 +61,7 @@ def _missing(error: AnalysisException, path: str) -> Exception:
 
 
 def read_split(
-    spark: SparkSession, root: str, lang: str, split: str = "train", schema: T.StructType = SPLIT_SCHEMA, fmt: str = "csv"
+    spark: SparkSession, root: str, lang: str, split: str = "train", schema: str = SPLIT_SCHEMA, fmt: str = "csv"
 ) -> DataFrame:
     """One language and split with its partition columns; ``FileNotFoundError`` if it is not there."""
     path = f"{root}/lang={lang}/split={split}"
@@ -70,13 +73,12 @@ def read_split(
         data = reader.format(fmt).load(path)
     except AnalysisException as error:
         raise _missing(error, path) from error
-    return data.select(*[F.col(c) for c in schema.fieldNames()], *partitions)
+    return data.select(*[c for c in data.columns if c not in ("lang", "split")], *partitions)
 
 
-def read_corpus(spark: SparkSession, root: str, schema: T.StructType = SPLIT_SCHEMA, fmt: str = "csv") -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, schema: str = SPLIT_SCHEMA, fmt: str = "csv") -> DataFrame:
     """All languages and splits; a language or split that is absent yields no rows."""
-    full = T.StructType([*schema.fields, T.StructField("lang", T.StringType()), T.StructField("split", T.StringType())])
-    reader = spark.read.schema(full)
+    reader = spark.read.schema(f"{schema}, lang STRING, split STRING")
     if fmt == "csv":
         reader = reader.options(**CSV_OPTIONS)
     try:
@@ -88,7 +90,7 @@ def read_corpus(spark: SparkSession, root: str, schema: T.StructType = SPLIT_SCH
 def write_corpus(df: DataFrame, root: str, columns: Sequence[str] | None = ("text", "label"), fmt: str = "csv", mode: str = "error") -> None:
     """Write by language and split; ``columns=None`` keeps every column."""
     chosen = df if columns is None else df.select(*columns, "lang", "split")
-    writer = chosen.write.mode(mode).partitionBy("lang", "split").format(fmt)
+    writer = balanced(chosen, ("lang", "split")).write.mode(mode).partitionBy("lang", "split").format(fmt)
     if fmt == "csv":
         writer = writer.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
     writer.save(root)

@@ -31,13 +31,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/lexmill/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def balanced(df: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
+    """Rows brought together by output folder before they are written.
+
+    Otherwise every task would write a file into every folder. Adaptive execution splits the
+    part of a folder that holds much of the data into several files of the usual size.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once and go on from the files.
+    """Write ``df`` once, in folders by ``partition_by``, and go on from the files.
 
     This cuts the lineage, survives lost executors, and gives the optimizer the true size of the
     table, so that it broadcasts small results by its own threshold and never large ones.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    balanced(df, partition_by).write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
