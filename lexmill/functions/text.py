@@ -64,6 +64,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACES, "")
 
 
+def _where(text: Column, marks: tuple[str, ...], change) -> Column:
+    """``change(text)`` where the text holds one of the marks; the rest is spared the pattern."""
+
+    def step(t: Column) -> Column:
+        found = F.lit(False)
+        for mark in marks:
+            found = found | F.contains(t, F.lit(mark))
+        return F.when(found, change(t)).otherwise(t)
+
+    return bind(text, step)
+
+
 def clean_text(
     text: Column,
     remove_urls: bool = True,
@@ -79,8 +91,9 @@ def clean_text(
     if remove_html:
         out = strip_html(out)
     if remove_urls:
-        out = strip_urls(out)
-    out = unwrap_mentions(strip_emails(out))
+        out = _where(out, ("http", "www."), strip_urls)
+    out = _where(out, ("@",), strip_emails)
+    out = _where(out, ("@", "#"), unwrap_mentions)
     if normalize_whitespace:
         out = normalize_spaces(out)
     if lowercase:

@@ -1,9 +1,7 @@
 """Term counts, vocabulary, TF-IDF weights and encoded sequences.
 
-Counting happens inside each row (``term_counts``), so only (term, count) pairs of distinct terms
-leave a document. A frame that is hash-partitioned by its key keeps that layout through the
-exploding and the vocabulary join, and the per-document steps then need no further shuffle; the
-text is moved instead of its n-grams, which take several times its space.
+Counting happens inside each row, so texts are never shuffled and only (term, count) pairs of
+distinct terms leave a document.
 """
 
 from __future__ import annotations
@@ -25,28 +23,46 @@ def _grams(text: str, ngram_range: tuple[int, int]) -> Column:
     return X.ngrams(X.tokens(F.col(text)), *ngram_range)
 
 
-def by_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spread the rows by key before the text is taken apart."""
-    return df.repartition(key)
-
-
 def gram_positions(df: DataFrame, key: str = "doc_id", text: str = "text", ngram_range=NGRAMS) -> DataFrame:
     """``key, pos, gram`` for every n-gram of every text, unigrams first."""
     return df.select(key, F.posexplode(_grams(text, ngram_range)).alias("pos", "gram"))
 
 
+def _counted(text: str, ngram_range: tuple[int, int]) -> Column:
+    return X.term_counts(_grams(text, ngram_range))
+
+
 def doc_terms(
-    df: DataFrame, key: str = "doc_id", text: str = "text", ngram_range=NGRAMS, keep: Sequence[str] = (), outer: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", ngram_range=NGRAMS, keep: Sequence[str] = (), outer: bool = False
 ) -> DataFrame:
-    """``key, term, n``: how often each n-gram occurs in each text. No shuffle.
+    """``key, keep..., term, n``: how often each n-gram occurs in each text. No shuffle.
 
     With ``outer`` a text without terms yields one row whose term is NULL.
     """
     explode = F.explode_outer if outer else F.explode
-    counted = df.select(key, *keep, explode(X.term_counts(_grams(text, ngram_range))).alias("_t"))
+    counted = docs.select(key, *keep, explode(_counted(text, ngram_range)).alias("_t"))
     return counted.select(key, *keep, F.col("_t.term").alias("term"), F.col("_t.n").alias("n"))
 
 
+def counted_docs(
+    docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", ngram_range=NGRAMS, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key, keep..., terms``, one row per text, written once.
+
+    Cleaning and taking apart the texts is the costly part of an experiment; vocabulary,
+    training rows and scoring all start from this table.
+    """
+    return materialize(
+        docs.select(key, *keep, _counted(text, ngram_range).alias("terms")), "counted-terms", partition_by
+    )
+
+
+def listed_terms(counted: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
+    """The same rows as ``doc_terms`` from a table of counted texts."""
+    inline = F.inline_outer if outer else F.inline
+    return counted.select(key, *keep, inline("terms"))
+
+
 def term_stats(terms: DataFrame) -> DataFrame:
     """``term, tf, df``: occurrences in the corpus and documents holding the term."""
     return terms.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
@@ -75,15 +91,13 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def vocabulary(
-    docs: DataFrame, max_features: int = MAX_FEATURES, text: str = "text", key: str = "doc_id", ngram_range=NGRAMS
-) -> DataFrame:
+def vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id") -> DataFrame:
     """``term, idx, tf, df, idf`` of the most frequent n-grams; every text counts as a document.
 
     Written once, so that joining it later is a broadcast whenever it is small enough.
     """
-    stats = materialize(term_stats(doc_terms(docs, key, text, ngram_range)), "term-stats")
-    n_docs = docs.select(F.count("*")).scalar()
+    stats = materialize(term_stats(listed_terms(counted, key)), "term-stats")
+    n_docs = counted.select(F.count("*")).scalar()
     return materialize(
         top_terms(stats, max_features).withColumn("idf", idf(F.col("df"), n_docs)), "vocabulary"
     )
@@ -94,28 +108,39 @@ def raw_weight(n: Column, idf_: Column) -> Column:
     return (1 + F.log(n)) * idf_
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+def _weighted(
+    counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str, fields: Sequence[str]
+) -> tuple[DataFrame, Column]:
+    """One row per text with its known terms in ``_e``, and the length of its weight vector.
+
+    A row holds at most one entry per vocabulary term. The entries of a text lie in one task and
+    are gathered there before anything is shuffled.
+    """
+    terms = listed_terms(counted, key, keep, outer=True)
+    known = terms.join(vocab.select("term", "idx", "idf"), "term", "left")
+    entry = F.when(F.col("idx").isNotNull(), F.struct(*fields, raw_weight(F.col("n"), F.col("idf")).alias("w")))
+    rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    return rows, F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+
+
+def tfidf(counted: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, term, idx, weight`` with unit length per document; unknown terms are ignored."""
-    weighed = terms.join(vocab.select("term", "idx", "idf"), "term").withColumn(
-        "_w", raw_weight(F.col("n"), F.col("idf"))
+    rows, norm = _weighted(counted, vocab, (), key, ["idx", "term"])
+    entries = X.bind(
+        norm,
+        lambda length: F.transform(
+            "_e", lambda e: F.struct(e["term"].alias("term"), e["idx"].alias("idx"), (e["w"] / length).alias("weight"))
+        ),
     )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return weighed.select(key, "term", "idx", (F.col("_w") / norm).alias("weight"))
+    return rows.select(key, F.inline(entries))
 
 
-def sparse_rows(
-    docs: DataFrame, vocab: DataFrame, keep: Sequence[str], text: str = "text", key: str = "doc_id", ngram_range=NGRAMS
-) -> DataFrame:
+def sparse_rows(counted: DataFrame, vocab: DataFrame, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
     """``key, keep..., indices, values``: one unit-length sparse row per text.
 
-    A text without known terms gives an empty row. A row holds at most one entry per vocabulary
-    term, so collecting it is bounded by the vocabulary.
+    A text without known terms gives an empty row.
     """
-    terms = doc_terms(by_key(docs, key), key, text, ngram_range, keep, outer=True)
-    known = terms.join(vocab.select("term", "idx", "idf"), "term", "left")
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", raw_weight(F.col("n"), F.col("idf")).alias("w")))
-    rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+    rows, norm = _weighted(counted, vocab, keep, key, ["idx"])
     # Bound, not a named column: that would be inlined and summed again for every element.
     values = X.bind(norm, lambda length: F.transform("_e", lambda e: e["w"] / length))
     return rows.select(key, *keep, F.transform("_e", lambda e: e["idx"]).alias("indices"), values.alias("values"))
@@ -130,7 +155,7 @@ def encode(
     so no text sends more than ``max_length`` words.
     """
     words = F.slice(X.tokens(F.col(text)), 1, max_length)
-    placed = by_key(docs.select(key, text), key).select(key, F.posexplode_outer(words).alias("_pos", "term"))
+    placed = docs.select(key, F.posexplode_outer(words).alias("_pos", "term"))
     known = placed.join(vocab.select("term", "idx"), "term", "left")
     word_id = F.coalesce(F.col("idx") + FIRST_ID, F.lit(UNKNOWN_ID))
     entry = F.when(F.col("term").isNotNull(), F.struct("_pos", word_id.alias("id")))

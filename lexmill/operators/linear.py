@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
@@ -13,7 +13,7 @@ from lexmill.functions.scores import sigmoid
 from lexmill.operators import features as V
 from lexmill.operators.cleaning import clean_rows
 from lexmill.operators.stats import class_weights
-from lexmill.sources.workdir import new_path
+from lexmill.sources.workdir import materialize, new_path
 
 ROWS_PER_TASK = 10_000
 
@@ -68,28 +68,36 @@ def as_vectors(rows: DataFrame, size: int, indices: str = "indices", values: str
 def fit(
     docs: DataFrame, settings: TfidfModel | None = None, text: str = "text", label: str = "label", key: str = "doc_id", clean: bool = True
 ) -> TfidfModel:
-    """Fit vocabulary and coefficients on labelled texts.
+    """Fit vocabulary and coefficients on labelled texts; texts without words take part."""
+    settings = settings or TfidfModel()
+    if clean:
+        docs = clean_rows(docs, text, drop_empty=False)
+    return fit_counted(V.counted_docs(docs, [label], key, text, settings.ngram_range), settings, label, key)
+
+
+def fit_counted(
+    counted: DataFrame, settings: TfidfModel | None = None, label: str = "label", key: str = "doc_id"
+) -> TfidfModel:
+    """Fit on a table of counted texts.
 
     Balanced class weights sum to the number of rows, so the penalty ``1 / (C n)`` of the mean
     loss is the penalty ``1 / C`` of the summed loss. The intercept carries none.
     """
     settings = settings or TfidfModel()
-    spark = docs.sparkSession
-    if clean:
-        docs = clean_rows(docs, text, drop_empty=False)
+    spark = counted.sparkSession
     # The class counts are two numbers per class; two classes are required.
-    weights = {row[label]: row for row in class_weights(docs.select(label), label=label).limit(3).collect()}
+    weights = {row[label]: row for row in class_weights(counted.select(label), label=label).limit(3).collect()}
     if set(weights) != {0, 1}:
         raise ValueError(f"training needs rows of both classes 0 and 1, found {sorted(weights, key=str)}")
     n_rows = sum(row["n"] for row in weights.values())
-    vocab = V.vocabulary(docs, settings.max_features, text, key, settings.ngram_range)
+    vocab = V.vocabulary(counted, settings.max_features, key)
     size = vocab.count()
     if size == 0:
         raise ValueError("the training texts hold no terms")
-    rows = as_vectors(V.sparse_rows(docs, vocab, [label], text, key, settings.ngram_range), size)
-    weight = F.when(F.col(label) == 1, weights[1]["weight"]).otherwise(weights[0]["weight"])
-    if not settings.balanced:
-        weight = F.lit(1.0)
+    rows = as_vectors(V.sparse_rows(counted, vocab, [label], key), size)
+    weight = F.lit(1.0)
+    if settings.balanced:
+        weight = F.when(F.col(label) == 1, weights[1]["weight"]).otherwise(weights[0]["weight"])
     train = rows.select(F.col(label).cast("double").alias("label"), weight.alias("weight"), "features")
     # Every iteration is a job over these partitions: few rows per task would only cost time.
     train = train.coalesce(max(1, n_rows // ROWS_PER_TASK))
@@ -108,12 +116,8 @@ def fit(
     coefficients = spark.createDataFrame(
         list(enumerate(fitted.coefficients.toArray().tolist())), "idx INT, coef DOUBLE"
     )
-    path = new_path(spark, "model")
-    vocab.join(coefficients, "idx").select("term", "idx", "tf", "df", "idf", "coef").write.parquet(path)
-    return TfidfModel(
-        settings.max_features, settings.ngram_range, settings.max_iter, settings.tolerance, settings.c,
-        settings.balanced, float(fitted.intercept), n_rows, spark.read.parquet(path),
-    )
+    table = materialize(vocab.join(coefficients, "idx").select("term", "idx", "tf", "df", "idf", "coef"), "model")
+    return replace(settings, intercept=float(fitted.intercept), train_rows=n_rows, terms=table)
 
 
 def dot_products(terms: DataFrame, model: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -137,11 +141,20 @@ def decide(z: Column) -> Column:
 
 def score(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = (), text: str = "text", key: str = "doc_id", clean: bool = True) -> DataFrame:
     """``key, keep..., z, score, pred, confidence``: ``score`` is the chance of the positive class."""
-    table = model.require_fitted()
+    model.require_fitted()
     if clean:
         docs = clean_rows(docs, text, drop_empty=False)
-    terms = V.doc_terms(docs, key, text, model.ngram_range, keep, outer=True)
-    summed = dot_products(terms, table, key, keep)
+    return score_terms(V.doc_terms(docs, key, text, model.ngram_range, keep, outer=True), model, keep, key)
+
+
+def score_counted(counted: DataFrame, model: TfidfModel, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+    """Scores of counted texts."""
+    return score_terms(V.listed_terms(counted, key, keep, outer=True), model, keep, key)
+
+
+def score_terms(terms: DataFrame, model: TfidfModel, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+    """Scores from ``key, keep..., term, n``; a document without terms has one row with NULLs."""
+    summed = dot_products(terms, model.require_fitted(), key, keep)
     z = F.col("_dot") + F.lit(model.intercept)
     scored = summed.select(key, *keep, z.alias("z"), sigmoid(z).alias("score"))
     confidence = F.greatest(F.col("score"), 1 - F.col("score"))

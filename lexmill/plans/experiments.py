@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -12,7 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions import labels as L, scores as P, text as X
-from lexmill.operators import linear as M, metrics as E, runs as R, sampling as S
+from lexmill.operators import features as V, linear as M, metrics as E, runs as R, sampling as S
+from lexmill.operators.cleaning import clean_rows
 from lexmill.sources.workdir import materialize, new_path
 
 CONDITIONS = ("target_only", "source_first")
@@ -76,6 +77,13 @@ def train_and_evaluate(
     return model, cells, E.report(cells)
 
 
+def _counted(corpus: DataFrame, settings: M.TfidfModel, key: str) -> DataFrame:
+    """The corpus with its texts cleaned and counted, in folders by language and split."""
+    cleaned = clean_rows(corpus.select(key, "text", "label", "lang", "split"), drop_empty=False)
+    keep = ["label", "lang", "split"]
+    return V.counted_docs(cleaned, keep, key, ngram_range=settings.ngram_range, partition_by=("lang", "split"))
+
+
 def transfer_matrix(
     corpus: DataFrame,
     modes: Mapping[str, Mode],
@@ -85,17 +93,18 @@ def transfer_matrix(
 ) -> DataFrame:
     """One row per mode and test language: size, rows trained on, metrics, confusion cells.
 
-    ``corpus`` has key, text, label, lang and split. Each mode is one fit and one scoring pass
-    over the test rows of all languages. ``judged`` marks the languages the mode is meant for.
+    ``corpus`` has key, text, label, lang and split; its texts are cleaned and counted once for
+    all modes. Each mode is one fit and one scoring pass over the test rows of all languages. ``judged`` marks the languages the mode is meant for.
     """
-    corpus = materialize(corpus.select(key, "text", "label", "lang", "split"), "split-corpus", ("lang", "split"))
-    test = corpus.filter(F.col("split") == "test")
+    settings = settings or M.TfidfModel()
+    counted = _counted(corpus, settings, key)
+    test = counted.filter(F.col("split") == "test")
 
     def run(item: tuple[str, Mode]) -> DataFrame:
         name, mode = item
-        train = corpus.filter((F.col("split") == "train") & F.col("lang").isin(*mode.train))
-        model = M.fit(train, settings, key=key)
-        cells = E.confusion(M.score(test, model, ["label", "lang"], key=key), ["lang"])
+        train = counted.filter((F.col("split") == "train") & F.col("lang").isin(*mode.train))
+        model = M.fit_counted(train, settings, key=key)
+        cells = E.confusion(M.score_counted(test, model, ["label", "lang"], key), ["lang"])
         measured = E.summary(cells.withColumn("confusion_matrix", E.matrix()), ["lang", "confusion_matrix"])
         return measured.select(
             F.lit(name).alias("mode"), "lang", "n", F.lit(model.train_rows).cast("long").alias("train_samples"),
@@ -103,7 +112,7 @@ def transfer_matrix(
             "accuracy", "precision", "recall", "f1", "confusion_matrix",
         )
 
-    results = _side_by_side(corpus.sparkSession, run, list(modes.items()), parallelism)
+    results = _side_by_side(counted.sparkSession, run, list(modes.items()), parallelism)
     return materialize(reduce(DataFrame.unionByName, results), "transfer")
 
 
@@ -168,11 +177,12 @@ def learning_curve(
     """
     spark = corpus.sparkSession
     records = records or new_path(spark, "curve")
-    corpus = materialize(corpus.select(key, "text", "label", "lang", "split"), "split-corpus", ("lang", "split"))
-    train = corpus.filter(F.col("split") == "train")
+    settings = settings or M.TfidfModel()
+    counted = _counted(corpus, settings, key)
+    train = counted.filter(F.col("split") == "train")
     target_train = train.filter(F.col("lang") == target)
-    source_train = train.filter(F.col("lang") == source).select(key, "text", "label")
-    test = corpus.filter(F.col("split") == "test")
+    source_train = train.filter(F.col("lang") == source).select(key, "label", "terms")
+    test = counted.filter(F.col("split") == "test")
 
     plan = R.run_plan(target_train, CONDITIONS, sizes, seeds)
     done = _finished(spark, records)
@@ -182,14 +192,14 @@ def learning_curve(
     todo = plan.orderBy("condition", "size", "seed").collect()
     if todo:
         subsets = materialize(
-            S.nested_subsets(target_train.select(key, "text", "label"), sizes, seeds, key), "subsets", ("seed", "size")
+            S.nested_subsets(target_train.select(key, "label", "terms"), sizes, seeds, key), "subsets", ("seed", "size")
         )
 
     def do(run) -> None:
-        subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("size") == run["size"])).select(key, "text", "label")
+        subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("size") == run["size"])).select(key, "label", "terms")
         rows = subset if run["condition"] == "target_only" else subset.unionByName(source_train)
-        model = M.fit(rows, settings and replace(settings, terms=None), key=key)
-        measured = E.evaluate(M.score(test, model, ["label", "lang"], key=key), ["lang"])
+        model = M.fit_counted(rows, settings, key=key)
+        measured = E.evaluate(M.score_counted(test, model, ["label", "lang"], key), ["lang"])
         share = subset.select(F.avg("label").alias("positive_share")).head()["positive_share"]
         record = measured.select(
             F.lit(run["examples"]).cast("long").alias("examples"), F.lit(share).alias("positive_share"), "*"

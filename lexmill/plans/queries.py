@@ -475,29 +475,30 @@ def term_df(spark, sf_dir):
     return V.term_stats(V.doc_terms(clean_documents(spark, sf_dir)))
 
 
-def vocab(spark, sf_dir) -> DataFrame:
-    return V.vocabulary(clean_documents(spark, sf_dir), FEATURES)
+def counted(spark, sf_dir, keep=(), ngram_range=V.NGRAMS) -> DataFrame:
+    return V.counted_docs(clean_documents(spark, sf_dir), keep, ngram_range=ngram_range)
 
 
 @query
 def vocab_topk(spark, sf_dir):
-    return vocab(spark, sf_dir).select("term", big("idx").alias("idx"), "tf", "df")
+    return V.vocabulary(counted(spark, sf_dir), FEATURES).select("term", big("idx").alias("idx"), "tf", "df")
 
 
 @query
 def idf(spark, sf_dir):
-    return rounded(vocab(spark, sf_dir).select("term", "idf"), "idf")
+    return rounded(V.vocabulary(counted(spark, sf_dir), FEATURES).select("term", "idf"), "idf")
 
 
 @query
 def tfidf(spark, sf_dir):
-    terms = V.doc_terms(V.by_key(clean_documents(spark, sf_dir)))
-    return rounded(V.tfidf(terms, vocab(spark, sf_dir)), "weight").select("doc_id", "term", "weight")
+    docs = counted(spark, sf_dir)
+    return rounded(V.tfidf(docs, V.vocabulary(docs, FEATURES)), "weight").select("doc_id", "term", "weight")
 
 
 @query
 def sparse_rows(spark, sf_dir):
-    rows = V.sparse_rows(clean_documents(spark, sf_dir), vocab(spark, sf_dir), ["lang"])
+    docs = counted(spark, sf_dir, ["lang"])
+    rows = V.sparse_rows(docs, V.vocabulary(docs, FEATURES), ["lang"])
     square = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v)
     return rows.select(
         "doc_id", "lang", big(F.size("indices")).alias("n_terms"),
@@ -513,7 +514,7 @@ def vocab_by_lang(spark, sf_dir):
 
 @query
 def encode(spark, sf_dir):
-    words = V.vocabulary(clean_documents(spark, sf_dir), FEATURES, ngram_range=(1, 1))
+    words = V.vocabulary(counted(spark, sf_dir, ngram_range=(1, 1)), FEATURES)
     rows = V.encode(clean_documents(spark, sf_dir), words, 128, pad=True)
     ones = F.aggregate("attention_mask", F.lit(0), lambda acc, m: acc + m)
     return rows.select(
@@ -525,9 +526,9 @@ def encode(spark, sf_dir):
 @query
 def linear_score(spark, sf_dir):
     coefficient = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("double") / 16777216.0 - 0.5
-    table_ = vocab(spark, sf_dir).withColumn("coef", coefficient)
-    model = M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=table_)
-    rows = M.score(clean_documents(spark, sf_dir), model, clean=False)
+    docs = counted(spark, sf_dir)
+    terms = V.vocabulary(docs, FEATURES).withColumn("coef", coefficient)
+    rows = M.score_counted(docs, M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=terms))
     return rows.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
 
 

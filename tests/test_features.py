@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import features as V, linear as M
-from lexmill.sources.workdir import new_path
 
 TEXTS = [
     "good film good cast", "bad film", "good story and good music", "bad plot bad cast bad film", "fine film and fine music",
@@ -49,19 +48,21 @@ def docs(spark):
 @pytest.mark.parametrize("cap", [3, 7, 20, 500])
 def test_vocabulary_and_weights(docs, cap):
     names, idf, matrix = reference_tfidf(TEXTS, cap)
-    vocab = V.vocabulary(docs, cap)
+    counted = V.counted_docs(docs)
+    vocab = V.vocabulary(counted, cap)
     rows = vocab.orderBy("idx").collect()
     assert [r["term"] for r in rows] == names and [r["idx"] for r in rows] == list(range(len(names)))
     assert all(math.isclose(r["idf"], idf[r["term"]], rel_tol=1e-12) for r in rows)
     got = np.zeros_like(matrix)
-    for r in V.tfidf(V.doc_terms(docs), vocab).collect():
+    for r in V.tfidf(counted, vocab).collect():
         got[r["doc_id"], r["idx"]] = r["weight"]
     assert np.allclose(got, matrix, atol=1e-12)
 
 
 def test_sparse_rows_keep_documents_without_terms(docs):
     _, _, matrix = reference_tfidf(TEXTS, 20)
-    rows = V.sparse_rows(docs, V.vocabulary(docs, 20), ["label"]).collect()
+    counted = V.counted_docs(docs, ["label"])
+    rows = V.sparse_rows(counted, V.vocabulary(counted, 20), ["label"]).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         dense = np.zeros(matrix.shape[1])
@@ -75,13 +76,19 @@ def test_term_counts_need_no_shuffle(docs):
     assert "Exchange" not in plan
 
 
-def test_sparse_rows_shuffle_texts_once(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    path = new_path(spark, "vocab")
-    V.vocabulary(docs, 100).write.parquet(path)
-    plan = V.sparse_rows(docs, spark.read.parquet(path), ["lang"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("regexp_extract_all") == 1
+def test_sparse_rows_gather_before_the_only_shuffle(spark):
+    counted = V.counted_docs(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ["lang"])
+    plan = V.sparse_rows(counted, V.vocabulary(counted, 100), ["lang"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    assert "partial_collect_list" in plan.split("Exchange hashpartitioning")[1]
+
+
+def test_listed_terms_equal_doc_terms(docs):
+    for outer in (False, True):
+        left = V.doc_terms(docs, keep=["label"], outer=outer)
+        right = V.listed_terms(V.counted_docs(docs, ["label"]), keep=["label"], outer=outer)
+        assert left.columns == right.columns
+        assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
 
 
 def test_top_terms_with_ties_at_the_border(spark):
@@ -92,7 +99,7 @@ def test_top_terms_with_ties_at_the_border(spark):
 
 
 def test_encode(docs):
-    vocab = V.vocabulary(docs, 3, ngram_range=(1, 1))
+    vocab = V.vocabulary(V.counted_docs(docs, ngram_range=(1, 1)), 3)
     names = [r["term"] for r in vocab.orderBy("idx").collect()]
     for r in V.encode(docs, vocab, 3, pad=True).collect():
         words = re.findall(r"\w\w+", TEXTS[r["doc_id"]])[:3]
