@@ -108,39 +108,30 @@ def raw_weight(n: Column, idf_: Column) -> Column:
     return (1 + F.log(n)) * idf_
 
 
-def _weighted(
-    counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str, fields: Sequence[str]
-) -> tuple[DataFrame, Column]:
-    """One row per text with its known terms in ``_e``, and the length of its weight vector.
-
-    A row holds at most one entry per vocabulary term. The entries of a text lie in one task and
-    are gathered there before anything is shuffled.
-    """
-    terms = listed_terms(counted, key, keep, outer=True)
-    known = terms.join(vocab.select("term", "idx", "idf"), "term", "left")
-    entry = F.when(F.col("idx").isNotNull(), F.struct(*fields, raw_weight(F.col("n"), F.col("idf")).alias("w")))
-    rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    return rows, F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+def _known_terms(counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str, how: str) -> DataFrame:
+    """``key, keep..., term, idx, w``: the terms of each text that the vocabulary knows."""
+    terms = listed_terms(counted, key, keep, outer=how == "left")
+    known = terms.join(vocab.select("term", "idx", "idf"), "term", how)
+    return known.select(key, *keep, "term", "idx", raw_weight(F.col("n"), F.col("idf")).alias("w"))
 
 
 def tfidf(counted: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, term, idx, weight`` with unit length per document; unknown terms are ignored."""
-    rows, norm = _weighted(counted, vocab, (), key, ["idx", "term"])
-    entries = X.bind(
-        norm,
-        lambda length: F.transform(
-            "_e", lambda e: F.struct(e["term"].alias("term"), e["idx"].alias("idx"), (e["w"] / length).alias("weight"))
-        ),
-    )
-    return rows.select(key, F.inline(entries))
+    known = _known_terms(counted, vocab, (), key, "inner")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return known.select(key, "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
 def sparse_rows(counted: DataFrame, vocab: DataFrame, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
     """``key, keep..., indices, values``: one unit-length sparse row per text.
 
-    A text without known terms gives an empty row.
+    A text without known terms gives an empty row. A row holds at most one entry per vocabulary
+    term; the entries of a text lie in one task and are gathered there before the shuffle.
     """
-    rows, norm = _weighted(counted, vocab, keep, key, ["idx"])
+    known = _known_terms(counted, vocab, keep, key, "left")
+    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))
+    rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
     # Bound, not a named column: that would be inlined and summed again for every element.
     values = X.bind(norm, lambda length: F.transform("_e", lambda e: e["w"] / length))
     return rows.select(key, *keep, F.transform("_e", lambda e: e["idx"]).alias("indices"), values.alias("values"))

@@ -135,7 +135,8 @@ def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts_with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).drop("lang").join(split_corpus(spark, sf_dir), "doc_id")
+    """The labelled texts with their split; the split itself looks at keys and labels only."""
+    return S.stratified_split(corpus(spark, sf_dir), group=["lang"])
 
 
 # Sources and sinks --------------------------------------------------------------------------
@@ -562,7 +563,7 @@ def lr_report(spark, sf_dir):
 
 @query
 def transfer_matrix(spark, sf_dir):
-    return W.transfer_matrix(texts_with_split(spark, sf_dir), W.standard_modes(SOURCE, TARGET), SETTINGS)
+    return W.transfer_matrix(texts_with_split(spark, sf_dir), W.standard_modes(SOURCE, TARGET), M.TfidfModel())
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.operators.cleaning import clean_rows, map_labels, standardize_labels
 from lexmill.operators.sampling import holdout_split, stratified_split
-from lexmill.sources.workdir import balanced, materialize
+from lexmill.sources.workdir import materialize
 
 SPLIT_SCHEMA = "text STRING, label INT"
 # Texts hold line breaks, quotes and spaces at the ends; all of them survive the round trip.
@@ -88,9 +88,13 @@ def read_corpus(spark: SparkSession, root: str, schema: str = SPLIT_SCHEMA, fmt:
 
 
 def write_corpus(df: DataFrame, root: str, columns: Sequence[str] | None = ("text", "label"), fmt: str = "csv", mode: str = "error") -> None:
-    """Write by language and split; ``columns=None`` keeps every column."""
+    """Write by language and split; ``columns=None`` keeps every column.
+
+    Rows of a folder are brought together first, so that not every task adds a file to every
+    folder; adaptive execution divides a folder that holds much of the data into several files.
+    """
     chosen = df if columns is None else df.select(*columns, "lang", "split")
-    writer = balanced(chosen, ("lang", "split")).write.mode(mode).partitionBy("lang", "split").format(fmt)
+    writer = chosen.hint("rebalance", "lang", "split").write.mode(mode).partitionBy("lang", "split").format(fmt)
     if fmt == "csv":
         writer = writer.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
     writer.save(root)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +17,19 @@ def work_root(spark: SparkSession) -> str:
     In local mode an unset folder falls back to a fresh temporary one; on a cluster a machine's
     own disk would be lost with the machine, so there the setting is required.
     """
-    root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    context = spark.sparkContext
+    root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="lexmill-")
-    spark.conf.set(SETTING, root)
-    return root
+    return _local_folder(context.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    """One temporary folder per local application."""
+    return tempfile.mkdtemp(prefix=f"{application}-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -31,22 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/lexmill/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def balanced(df: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
-    """Rows brought together by output folder before they are written.
-
-    Otherwise every task would write a file into every folder. Adaptive execution splits the
-    part of a folder that holds much of the data into several files of the usual size.
-    """
-    return df.hint("rebalance", *partition_by) if partition_by else df
-
-
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once, in folders by ``partition_by``, and go on from the files.
 
+    Each task writes its own rows into the folders, without a shuffle; input that is already laid
+    out by folder stays that way.
+
     This cuts the lineage, survives lost executors, and gives the optimizer the true size of the
     table, so that it broadcasts small results by its own threshold and never large ones.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    balanced(df, partition_by).write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

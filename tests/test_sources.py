@@ -106,6 +106,9 @@ def test_work_folder_is_required_on_a_cluster(spark, monkeypatch):
         def getConf(self):
             return Conf()
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         conf = Conf()
         sparkContext = Context()
@@ -114,6 +117,11 @@ def test_work_folder_is_required_on_a_cluster(spark, monkeypatch):
         workdir.work_root(Session())
 
 
+def test_local_fallback_is_one_folder_per_application():
+    first = workdir._local_folder("app-1")
+    assert first == workdir._local_folder("app-1") != workdir._local_folder("app-2")
+
+
 def corpus(spark):
     good, bad = "lovely fine good", "awful poor bad"
     gut, schlecht = "schoen fein gut", "uebel arm schlecht"
