@@ -138,24 +138,30 @@ def sparse_rows(counted: DataFrame, vocab: DataFrame, keep: Sequence[str] = (),
 
 
 def encode(
-    docs: DataFrame, vocab: DataFrame, max_length: int = 128, pad: bool = False, text: str = "text", key: str = "doc_id"
+    docs: DataFrame,
+    vocab: DataFrame,
+    max_length: int = 128,
+    pad: bool = False,
+    text: str = "text",
+    key: str = "doc_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``key, n_unknown, input_ids, attention_mask`` over a word vocabulary.
+    """``key, keep..., n_unknown, input_ids, attention_mask`` over a word vocabulary.
 
     Ids start at 2; 0 pads and 1 stands for an unknown word. Truncation comes before the join,
     so no text sends more than ``max_length`` words.
     """
     words = F.slice(X.tokens(F.col(text)), 1, max_length)
-    placed = docs.select(key, F.posexplode_outer(words).alias("_pos", "term"))
+    placed = docs.select(key, *keep, F.posexplode_outer(words).alias("_pos", "term"))
     known = placed.join(vocab.select("term", "idx"), "term", "left")
     word_id = F.coalesce(F.col("idx") + FIRST_ID, F.lit(UNKNOWN_ID))
     entry = F.when(F.col("term").isNotNull(), F.struct("_pos", word_id.alias("id")))
-    rows = known.groupBy(key).agg(
+    rows = known.groupBy(key, *keep).agg(
         F.count_if(F.col("term").isNotNull() & F.col("idx").isNull()).alias("n_unknown"),
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["id"]).alias("_ids"),
     )
     ids, mask = X.truncate_ids(F.col("_ids"), max_length, PAD_ID if pad else None)
-    return rows.select(key, "n_unknown", ids.alias("input_ids"), mask.alias("attention_mask"))
+    return rows.select(key, *keep, "n_unknown", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 def term_origin(

@@ -88,11 +88,15 @@ def curve_summary(runs: DataFrame, by: Sequence[str] = ("condition", "size", "la
     )
 
 
-def curve_band(summary: DataFrame) -> DataFrame:
-    """Percent mean and the band of one deviation around it, per condition and size."""
+def curve_band(summary: DataFrame, zero_shot: Column | None = None) -> DataFrame:
+    """Percent mean and the band of one deviation around it, per condition and size.
+
+    ``zero_shot`` is the score without target labels, a line across all sizes.
+    """
     mean, std = 100 * F.col("mean"), 100 * F.col("std")
+    line = [] if zero_shot is None else [(100 * zero_shot).alias("zero_shot")]
     return summary.select(
-        "condition", "size", mean.alias("mean"), (mean - std).alias("lo"), (mean + std).alias("hi")
+        "condition", "size", mean.alias("mean"), (mean - std).alias("lo"), (mean + std).alias("hi"), *line
     )
 
 

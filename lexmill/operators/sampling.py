@@ -1,11 +1,12 @@
 """Reproducible splits, subsets and balancing, keyed by a hash of the row key.
 
 The order of a stratum is the md5 of seed and key, then the key. Selecting the first ``k`` rows
-of it needs no ranking of the whole stratum, which one task would have to do: rows are counted
-by stratum and hash prefix, the prefix holding rank ``k`` follows from the running counts, and
-only the rows of that one prefix (a 65,536th of the stratum) are ranked to find the last row
-taken. The selection itself is a comparison with that row, so the wide data is read once and
-never shuffled. Keys must be unique.
+of it needs no ranking of the whole stratum, which one task would have to do. Rows are counted
+by stratum and the first two hash digits; running counts tell which of these 256 buckets holds
+rank ``k``. The keys of that bucket are set aside, counted by five digits, and only the rows of
+one such narrow bucket (a millionth of the stratum) are ranked to find the last row taken. The
+selection itself is a comparison with that row, so the wide data is read once and never
+shuffled. Keys must be unique.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill.sources.workdir import materialize
 
-PREFIX_DIGITS = 4
+COARSE_DIGITS, FINE_DIGITS = 2, 5
 SPLITS = ("train", "val", "test")
 
 
@@ -41,33 +42,46 @@ def last_taken(
 ) -> DataFrame:
     """The row of rank ``k`` per stratum and target: ``strata, target, cut_hash, cut_key``.
 
-    ``rows`` holds the strata, the key and ``_hash``. ``quotas`` gets the stratum sizes
-    (``strata, n``) and returns ``strata, target, k`` with ``k <= n``; a target with ``k = 0``
-    yields no row.
+    ``rows`` holds the strata, the key and ``_hash``; it is read twice, keys and strata only.
+    ``quotas`` gets the stratum sizes (``strata, n``) and returns ``strata, target, k`` with
+    ``k <= n``; a target with ``k = 0`` yields no row.
     """
     strata = list(strata)
-    rows = rows.select(*strata, F.col(key).alias("_key"), "_hash", F.substring("_hash", 1, PREFIX_DIGITS).alias("_p"))
-    counts = materialize(rows.groupBy(*strata, "_p").agg(F.count("*").alias("_n")), "prefix-counts")
-    targets = quotas(counts.groupBy(*strata).agg(F.sum("_n").alias("n")))
-    running = Window.partitionBy(*strata).orderBy("_p")
-    upto = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    hit = (
-        upto.alias("c")
-        .join(targets.alias("t"), _same("c", "t", strata) & (F.col("t.k") > F.col("c._before")) & (F.col("t.k") <= F.col("c._upto")))
-        .select(*[F.col(f"c.{s}") for s in strata], "t.target", "c._p", (F.col("t.k") - F.col("c._before")).alias("_rank"))
+    rows = rows.select(
+        *strata, F.col(key).alias("_key"), "_hash",
+        F.substring("_hash", 1, COARSE_DIGITS).alias("_p"), F.substring("_hash", 1, FINE_DIGITS).alias("_q"),
     )
-    hit = materialize(hit, "prefix-hits")
-    wanted = hit.select(*strata, "_p").distinct()
+    coarse = materialize(rows.groupBy(*strata, "_p").agg(F.count("*").alias("_n")), "coarse-counts")
+    targets = quotas(coarse.groupBy(*strata).agg(F.sum("_n").alias("n"))).withColumnRenamed("k", "_rank")
+    hits = materialize(_bucket_of_rank(coarse, targets, strata, "_p"), "hits")
+
+    # From here on only the rows of the buckets that were hit are looked at.
+    wanted = hits.select(*strata, "_p").distinct()
     near = rows.alias("r").join(wanted.alias("w"), _same("r", "w", [*strata, "_p"]), "left_semi")
-    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata, "_p").orderBy("_hash", "_key")))
+    near = materialize(near, "near-rows")
+    fine = near.groupBy(*strata, "_p", "_q").agg(F.count("*").alias("_n"))
+    narrow = _bucket_of_rank(fine, hits, [*strata, "_p"], "_q")
+    place = F.row_number().over(Window.partitionBy(*strata, "_q").orderBy("_hash", "_key"))
+    ranked = near.select(*strata, "_q", "_hash", "_key", place.alias("_rank"))
     cut = (
         ranked.alias("r")
-        .join(hit.alias("h"), _same("r", "h", [*strata, "_p", "_rank"]))
+        .join(narrow.alias("h"), _same("r", "h", [*strata, "_q", "_rank"]))
         .select(*[F.col(f"h.{s}") for s in strata], "h.target", F.col("r._hash").alias("cut_hash"), F.col("r._key").alias("cut_key"))
     )
     return materialize(cut, "cuts")
 
 
+def _bucket_of_rank(counts: DataFrame, targets: DataFrame, within: Sequence[str], bucket: str) -> DataFrame:
+    """``within, target, bucket, _rank``: the bucket holding each target's rank, and its rank there."""
+    ordered = Window.partitionBy(*within).orderBy(bucket)
+    placed = counts.withColumn("_upto", F.sum("_n").over(ordered)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    rank = F.col("t._rank")
+    here = _same("c", "t", within) & (rank > F.col("c._before")) & (rank <= F.col("c._upto"))
+    return placed.alias("c").join(targets.alias("t"), here).select(
+        *[F.col(f"c.{w}") for w in within], "t.target", f"c.{bucket}", (rank - F.col("c._before")).alias("_rank")
+    )
+
+
 def _taken(hash_: Column, key: Column, cut_hash: Column, cut_key: Column) -> Column:
     return (hash_ < cut_hash) | ((hash_ == cut_hash) & (key <= cut_key))
 

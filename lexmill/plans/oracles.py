@@ -313,13 +313,15 @@ ORACLES: dict[str, str] = {
       string_agg(seed::varchar, ',' order by seed) as seeds from runs group by mode, lang""",
     "q_curve_summary": f"""with {RUNS} select condition, size, lang, {r6('avg(f1)')} as mean, {r6(STD.format('f1'))} as std, count(*) as runs,
       string_agg(seed::varchar, ',' order by seed) as seeds, string_agg(floor(f1 * 1000)::bigint::varchar, ',' order by seed) as scores from runs group by condition, size, lang""",
-    "q_curve_band": f"with {BY_SIZE} select condition, size, {r6('100 * mean')} as mean, {r6('100 * mean - 100 * std')} as lo, {r6('100 * mean + 100 * std')} as hi from s",
+    "q_curve_band": f"""with {BY_SIZE}, z as (select avg(f1) as zf from runs where lang = 'de' and condition = 'signup')
+      select condition, size, {r6('100 * mean')} as mean, {r6('100 * mean - 100 * std')} as lo, {r6('100 * mean + 100 * std')} as hi, {r6('100 * zf')} as zero_shot from s, z""",
     "q_condition_diff": f"""with {BY_SIZE}, p as (select size, max(mean) filter (where condition = 'click') as a, max(mean) filter (where condition = 'view') as b
         from s where condition in ('click', 'view') group by size)
       select size, {tenth('100 * a')} as a_mean, {tenth('100 * b')} as b_mean, {tenth('100 * (b - a)')} + 0.0 as diff from p""",
-    "q_results_table": f"""with {MODE_RUNS}, s as (select mode, lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from runs group by all)
-      select m.mode, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode from s) m
-      left join (select * from s where lang = 'en') e using (mode) left join (select * from s where lang = 'de') d using (mode)""",
+    "q_results_table": f"""with runs as (select mode, model, seed, lang, {FIGURES} from (select event_type as mode, if(user_id % 2 = 0, 'linear', 'other') as model, {EVENT} from events) group by all),
+      s as (select mode, model, lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from runs where not (mode = 'error' and model = 'linear' and lang = 'de') group by all)
+      select m.mode, m.model, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode, model from s) m
+      left join (select * from s where lang = 'en') e using (mode, model) left join (select * from s where lang = 'de') d using (mode, model)""",
     "q_model_rows": f"with {MODE_RUNS} select mode, seed, lang, n, {tenth('100 * accuracy')} as accuracy_pct, {tenth('100 * f1')} as f1_pct from runs",
     "q_best_epoch": f"""with {LOG} select run, epoch as best_epoch, {r6('score')} as best_score from log qualify row_number() over (partition by run order by score desc, epoch) = 1""",
     "q_early_stop": early("score", 2, 0.0),

@@ -102,16 +102,17 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as run records per mode, seed and language."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+def mode_runs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Events as run records per mode, seed and language, and per model if asked."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return (
         events.select(
             F.col("event_type").alias("mode"), (F.dayofmonth("ts") % 3 + 42).alias("seed"),
+            F.when(F.col("user_id") % 2 == 0, "linear").otherwise("other").alias("model"),
             F.when(F.col("event_id") % 2 == 0, SOURCE).otherwise(TARGET).alias("lang"),
             F.round(F.col("value") * 100).cast("long").alias("cents"), "value",
         )
-        .groupBy("mode", "seed", "lang")
+        .groupBy("mode", "seed", "lang", *more)
         .agg(
             F.count("*").alias("n"),
             (F.sum("cents") / (F.count("cents") * 10000.0)).alias("f1"),
@@ -630,7 +631,9 @@ def size_summary(spark, sf_dir) -> DataFrame:
 
 @query
 def curve_band(spark, sf_dir):
-    return rounded(R.curve_band(size_summary(spark, sf_dir)), "mean", "lo", "hi")
+    other = event_runs(spark, sf_dir).filter((F.col("lang") == TARGET) & (F.col("condition") == "signup"))
+    band = R.curve_band(size_summary(spark, sf_dir), other.select(F.avg("f1")).scalar())
+    return rounded(band, "mean", "lo", "hi", "zero_shot")
 
 
 @query
@@ -640,8 +643,9 @@ def condition_diff(spark, sf_dir):
 
 @query
 def results_table(spark, sf_dir):
-    rows = R.collect_results(mode_runs(spark, sf_dir))
-    return R.results_table(rows, ["mode"], "lang", [SOURCE, TARGET], "f1")
+    gap = (F.col("mode") == "error") & (F.col("model") == "linear") & (F.col("lang") == TARGET)
+    rows = R.collect_results(mode_runs(spark, sf_dir, "model").filter(~gap), ["mode", "model", "lang"])
+    return R.results_table(rows, ["mode", "model"], "lang", [SOURCE, TARGET], "f1")
 
 
 @query

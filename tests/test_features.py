@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import features as V, linear as M
+from lexmill.sources.corpus import write_corpus
+from lexmill.sources.workdir import new_path
 
 TEXTS = [
     "good film good cast", "bad film", "good story and good music", "bad plot bad cast bad film", "fine film and fine music",
@@ -107,6 +109,11 @@ def test_encode(docs):
         assert r["input_ids"] == ids + [0] * (3 - len(ids))
         assert r["attention_mask"] == [1] * len(ids) + [0] * (3 - len(ids))
         assert r["n_unknown"] == ids.count(1)
+    kept = V.encode(docs.withColumn("split", F.lit("train")), vocab, 3, keep=["lang", "split"])
+    path = new_path(docs.sparkSession, "encoded")
+    write_corpus(kept, path, None, "parquet")
+    back = docs.sparkSession.read.parquet(f"{path}/lang=en/split=train")
+    assert {r["doc_id"]: r["input_ids"] for r in back.collect()} == {r["doc_id"]: r["input_ids"] for r in kept.filter("lang = 'en'").collect()}
     free = {r["doc_id"]: r for r in V.encode(docs, vocab, 3).collect()}
     assert free[7]["input_ids"] == [names.index("bad") + 2] and free[8]["input_ids"] == []
 
