@@ -21,11 +21,15 @@ SHOWN_AS_POSITIVE = ("LABEL_1", "POSITIVE")
 
 
 def map_label(label: Column, mapping: Mapping) -> Column:
-    """Mapped label, NULL where the mapping has no entry. Keys may be ints or numeric strings."""
+    """Mapped label of a numeric column, NULL where the mapping has no entry.
+
+    Keys may be ints or numeric strings. 1.0 is the key 1, but 1.5 is no key.
+    """
     if not mapping:
         return F.lit(None).cast("int")
     pairs = [F.lit(int(part)) for item in mapping.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), label.cast("int"))
+    whole = label.try_cast("int")
+    return F.when(whole == label, F.try_element_at(F.create_map(*pairs), whole))
 
 
 def standardize_string_label(label: Column) -> Column:

@@ -75,6 +75,12 @@ def percent_cell(mean: Column, std: Column, runs: Column) -> Column:
     return F.when(mean.isNull(), "-").when(runs > 1, spread).otherwise(text)
 
 
+def signed_percent(difference: Column) -> Column:
+    """``+1.6``, ``-0.0``, ``-`` when missing."""
+    size = F.abs(percent(difference)).cast("string")
+    return F.when(difference.isNull(), "-").otherwise(F.concat(F.when(difference < 0, "-").otherwise("+"), size))
+
+
 def scheduled_epochs(examples: Column, batch_size: int, epochs: int, min_steps: int) -> Column:
     """``epochs``, or as many more as it takes to reach ``min_steps`` steps."""
     needed = F.ceil(F.lit(float(min_steps)) / steps_per_epoch(examples, batch_size))

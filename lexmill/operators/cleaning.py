@@ -53,9 +53,14 @@ def _require(df: DataFrame, column: str) -> None:
 
 
 def map_labels(df: DataFrame, mapping: Mapping, column: str = "label") -> DataFrame:
-    """Labels through a mapping; rows whose label it lacks are dropped."""
+    """Labels through a mapping of integers; rows whose label it lacks are dropped.
+
+    Text is no integer, so string labels find no entry; standardise those instead.
+    """
     _require(df, column)
-    return df.withColumn(column, L.map_label(F.col(column), mapping)).na.drop(subset=[column])
+    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    mapped = L.map_label(F.col(column), mapping) if numeric else F.lit(None).cast("int")
+    return df.withColumn(column, mapped).na.drop(subset=[column])
 
 
 def standardize_labels(df: DataFrame, column: str = "label") -> DataFrame:

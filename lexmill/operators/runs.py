@@ -138,6 +138,30 @@ def condition_diff(summary: DataFrame, first: str, second: str, by: str = "size"
     )
 
 
+def curve_table(summary: DataFrame, first: str, second: str, target: str, source: str) -> DataFrame:
+    """The learning-curve table: one row per size with text cells.
+
+    Both conditions on the target's test set, their signed difference in points, and the second
+    condition on the source's test set. ``summary`` has condition, size, lang, mean, std, runs.
+    """
+
+    def pick(name: str, condition: str, lang: str) -> Column:
+        return F.max(F.when((F.col("condition") == condition) & (F.col("lang") == lang), F.col(name)))
+
+    cells = {"a": (first, target), "b": (second, target), "c": (second, source)}
+    wide = summary.groupBy("size").agg(
+        *[pick(part, *cells[c]).alias(f"{part}_{c}") for c in cells for part in ("mean", "std", "runs")]
+    )
+    text = {c: P.percent_cell(F.col(f"mean_{c}"), F.col(f"std_{c}"), F.col(f"runs_{c}")) for c in cells}
+    return wide.select(
+        "size",
+        text["a"].alias(first),
+        text["b"].alias(second),
+        P.signed_percent(F.col("mean_b") - F.col("mean_a")).alias("difference"),
+        text["c"].alias(f"{second}_on_{source}"),
+    )
+
+
 def model_rows(runs: DataFrame) -> DataFrame:
     """One row per run and test set: size, accuracy and F1 in percent."""
     return runs.select(

@@ -86,6 +86,9 @@ def _taken(hash_: Column, key: Column, cut_hash: Column, cut_key: Column) -> Col
     return (hash_ < cut_hash) | ((hash_ == cut_hash) & (key <= cut_key))
 
 
+# The quota tables below have one row per stratum; their windows see nothing else.
+
+
 def _shares(sizes: DataFrame, group: Sequence[str], label: str, total: str, size: str, wanted: str, out: str, lone_first: bool) -> DataFrame:
     """Integer share of ``wanted`` per class, by largest remainder, ties by label.
 

@@ -318,6 +318,12 @@ ORACLES: dict[str, str] = {
     "q_condition_diff": f"""with {BY_SIZE}, p as (select size, max(mean) filter (where condition = 'click') as a, max(mean) filter (where condition = 'view') as b
         from s where condition in ('click', 'view') group by size)
       select size, {tenth('100 * a')} as a_mean, {tenth('100 * b')} as b_mean, {tenth('100 * (b - a)')} + 0.0 as diff from p""",
+    "q_curve_table": f"""with {RUNS}, s as (select condition, size, lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from runs
+        where not (condition = 'view' and size = 250) group by all)
+      select z.size, {cell('a.mean', 'a.std', 'a.runs')} as click, {cell('b.mean', 'b.std', 'b.runs')} as view, coalesce(printf('%+.1f', 100 * (b.mean - a.mean)), '-') as difference,
+        {cell('c.mean', 'c.std', 'c.runs')} as view_on_en
+      from (select distinct size from s) z left join (select * from s where condition = 'click' and lang = 'de') a using (size)
+      left join (select * from s where condition = 'view' and lang = 'de') b using (size) left join (select * from s where condition = 'view' and lang = 'en') c using (size)""",
     "q_results_table": f"""with runs as (select mode, model, seed, lang, {FIGURES} from (select event_type as mode, if(user_id % 2 = 0, 'linear', 'other') as model, {EVENT} from events) group by all),
       s as (select mode, model, lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from runs where not (mode = 'error' and model = 'linear' and lang = 'de') group by all)
       select m.mode, m.model, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode, model from s) m

@@ -641,6 +641,12 @@ def condition_diff(spark, sf_dir):
     return R.condition_diff(size_summary(spark, sf_dir), "click", "view")
 
 
+@query
+def curve_table(spark, sf_dir):
+    summary = R.curve_summary(event_runs(spark, sf_dir).filter((F.col("condition") != "view") | (F.col("size") != 250)))
+    return R.curve_table(summary, "click", "view", TARGET, SOURCE)
+
+
 @query
 def results_table(spark, sf_dir):
     gap = (F.col("mode") == "error") & (F.col("model") == "linear") & (F.col("lang") == TARGET)

@@ -39,6 +39,12 @@ def test_mapping_drops_unmapped_and_takes_string_keys(spark):
     assert C.map_labels(df, {}).count() == 0
 
 
+def test_mapping_compares_whole_numbers(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 1.5), (2, float("nan")), (3, 2.0)], "i INT, label DOUBLE")
+    assert {r["i"]: r["label"] for r in C.map_labels(df, {1: 1, 2: 0}).collect()} == {0: 1, 3: 0}
+    assert C.map_labels(spark.createDataFrame([("1",), ("x",)], "label STRING"), {1: 1}).count() == 0
+
+
 def test_names(spark):
     df = spark.createDataFrame([("LABEL_1",), ("POSITIVE",), ("pos",), ("LABEL_0",), ("NEGATIVE",), ("other",)], "n STRING")
     got = [tuple(r) for r in df.select("n", L.label_id(F.col("n")), L.shown_name(F.col("n"))).collect()]

@@ -63,7 +63,10 @@ def test_curve_runs(spark, folder):
     assert (row["seeds"], row["scores"], row["runs"]) == ([42, 43], [0.7, 0.7 + 0.1], 2)
     diff = {r["size"]: tuple(r)[1:] for r in R.condition_diff(summary, "target_only", "source_first").collect()}
     assert diff == {100: (75.0, 71.6, -3.4), 250: (90.0, None, None)}
-    band = R.curve_band(summary.filter("size = 250")).head()
+    table = {r["size"]: tuple(r)[1:] for r in R.curve_table(summary, "target_only", "source_first", "bn", "en").collect()}
+    assert table == {100: ("75.0 ± 7.1", "71.6", "-3.4", "-"), 250: ("90.0", "-", "-", "-")}
+    band = R.curve_band(summary.filter("size = 250"), F.lit(0.5)).head()
+    assert band["zero_shot"] == 50.0
     assert (band["mean"], band["lo"], band["hi"]) == (90.0, 90.0, 90.0)
 
 

@@ -21,6 +21,13 @@ def test_cells(spark):
     assert got == ["65.0 ± 7.1", "33.0", "-"]
 
 
+def test_signed_percent(spark):
+    values = [0.016, -0.016, 0.0, -0.0004, 0.0006, None]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    expected = ["-" if v is None else f"{100 * v:+.1f}" for v in values]
+    assert [r[0] for r in df.select(P.signed_percent(F.col("v"))).collect()] == expected
+
+
 def test_schedule(spark):
     df = spark.createDataFrame([(100,), (9681,)], "n INT")
     got = [tuple(r) for r in df.select(
