@@ -76,6 +76,28 @@ def read_split(
     return data.select(*[c for c in data.columns if c not in ("lang", "split")], *partitions)
 
 
+def read_files(spark: SparkSession, root: str, lang: str = "*", split: str = "*", schema: str = SPLIT_SCHEMA) -> DataFrame:
+    """Plain files ``<lang>/<split>.csv`` as one frame; language and split come from the path.
+
+    ``*`` takes whatever there is; a named file that is missing is a ``FileNotFoundError``.
+    """
+    path = F.col("_metadata.file_path")
+    rows = read_csv(spark, f"{root}/{lang}/{split}.csv", schema)
+    return rows.select(
+        *rows.columns,
+        F.regexp_extract(path, r"/([^/]+)/[^/]+\.csv$", 1).alias("lang"),
+        F.regexp_extract(path, r"/([^/]+)\.csv$", 1).alias("split"),
+    )
+
+
+def with_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A unique key for rows that have none, fixed by writing the rows once.
+
+    Copies of a text get keys of their own, without grouping them.
+    """
+    return materialize(df.select(F.monotonically_increasing_id().alias(key), "*"), "keyed")
+
+
 def read_corpus(spark: SparkSession, root: str, schema: str = SPLIT_SCHEMA, fmt: str = "csv") -> DataFrame:
     """All languages and splits; a language or split that is absent yields no rows."""
     reader = spark.read.schema(f"{schema}, lang STRING, split STRING")

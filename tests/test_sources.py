@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,22 @@ def test_read_csv_with_header_in_another_order_is_an_error(spark, folder):
         I.read_csv(spark, f"{folder}/x").collect()
 
 
+def test_plain_files_get_language_split_and_key(spark, folder):
+    for lang, split, body in [("en", "train", 'text,label\n"a, ""b""\nc",1\na,0\na,0\n'), ("en", "test", "text,label\nx,1\n"), ("bn", "test", "text,label\nঅ,0\n")]:
+        os.makedirs(f"{folder}/{lang}", exist_ok=True)
+        with open(f"{folder}/{lang}/{split}.csv", "w", encoding="utf-8") as out:
+            out.write(body)
+    rows = I.with_key(I.read_files(spark, folder))
+    assert rows.columns == ["doc_id", "text", "label", "lang", "split"]
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == [
+        ("a", 0, "en", "train"), ("a", 0, "en", "train"), ('a, "b"\nc', 1, "en", "train"), ("x", 1, "en", "test"), ("অ", 0, "bn", "test"),
+    ]
+    assert rows.select("doc_id").distinct().count() == 5 and rows.collect() == rows.collect()
+    assert I.read_files(spark, folder, "en", "test").count() == 1
+    with pytest.raises(FileNotFoundError):
+        I.read_files(spark, folder, "bn", "train")
+
+
 def test_renamed_and_mapped_source(spark):
     raw = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "Data STRING, Label INT")
     got = I.mapped_source(I.rename_columns(raw, "Data", "Label"), {1: 1, 2: 0})
