@@ -16,6 +16,7 @@ from lexmill.operators.stats import class_weights
 from lexmill.sources.workdir import materialize, new_path
 
 ROWS_PER_TASK = 10_000
+TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -99,8 +100,10 @@ def fit_counted(
     if settings.balanced:
         weight = F.when(F.col(label) == 1, weights[1]["weight"]).otherwise(weights[0]["weight"])
     train = rows.select(F.col(label).cast("double").alias("label"), weight.alias("weight"), "features")
-    # Every iteration is a job over these partitions: few rows per task would only cost time.
-    train = train.coalesce(max(1, n_rows // ROWS_PER_TASK))
+    # Every iteration is a job over these partitions, and each hands back a gradient as long as
+    # the vocabulary: neither tiny tasks nor far more tasks than cores are worth that.
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    train = train.coalesce(min(max(1, n_rows // ROWS_PER_TASK), most))
     solver = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (settings.c * n_rows),

@@ -245,13 +245,13 @@ def capped(df: DataFrame, max_rows: int | None, seed: int | None = 42, key: str
     return ordered.limit(max_rows)
 
 
-def nested_subsets(
+def nested_levels(
     df: DataFrame, sizes: Sequence[int], seeds: Sequence[int], key: str = "doc_id"
 ) -> DataFrame:
-    """``seed, size`` and the columns of ``df``: the first ``size`` rows of each seed's order.
+    """``seed, level`` and the columns of ``df``: the smallest of ``sizes`` that takes the row.
 
-    Larger subsets contain the smaller ones of the same seed; a size beyond the data takes all.
-    All seeds and sizes are cut out in one pass.
+    The subset of a size is ``level <= size``, so every row is held once per seed however many
+    sizes there are. Rows beyond the largest size are left out; a size beyond the data takes all.
     """
     wanted = sorted(set(sizes))
 
@@ -262,9 +262,24 @@ def nested_subsets(
     seeded = df.select(F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"), "*")
     seeded = seeded.withColumn("_hash", order_hash(F.col(key), F.col("seed")))
     cuts = last_taken(seeded.select("seed", key, "_hash"), ["seed"], key, quotas)
-    inside = _taken(F.col("d._hash"), F.col(f"d.{key}"), F.col("c.cut_hash"), F.col("c.cut_key"))
-    joined = seeded.alias("d").join(cuts.alias("c"), (F.col("d.seed") == F.col("c.seed")) & inside)
-    return joined.select("d.seed", F.col("c.target").alias("size"), *[F.col(f"d.{c}") for c in df.columns])
+    # The cuts of a seed in one array, one entry per size: a row compares itself with each.
+    levels = cuts.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("target", "cut_hash", "cut_key"))).alias("_cuts"))
+    joined = seeded.alias("d").join(levels.alias("c"), F.col("d.seed") == F.col("c.seed"))
+    inside = F.filter("c._cuts", lambda c: _taken(F.col("d._hash"), F.col(f"d.{key}"), c["cut_hash"], c["cut_key"]))
+    placed = joined.select("d.seed", F.get(F.transform(inside, lambda c: c["target"]), F.lit(0)).alias("level"), *[F.col(f"d.{c}") for c in df.columns])
+    return placed.filter(F.col("level").isNotNull())
+
+
+def nested_subsets(
+    df: DataFrame, sizes: Sequence[int], seeds: Sequence[int], key: str = "doc_id"
+) -> DataFrame:
+    """``seed, size`` and the columns of ``df``: the first ``size`` rows of each seed's order.
+
+    Larger subsets contain the smaller ones of the same seed.
+    """
+    rows = nested_levels(df, sizes, seeds, key)
+    taking = F.filter(F.array(*[F.lit(s).cast("long") for s in sorted(set(sizes))]), lambda s: s >= F.col("level"))
+    return rows.select("seed", F.explode(taking).alias("size"), *df.columns)
 
 
 def first_per_bucket(df: DataFrame, bucket: str, n: int, key: str = "doc_id") -> DataFrame:

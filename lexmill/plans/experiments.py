@@ -192,11 +192,11 @@ def learning_curve(
     todo = plan.orderBy("condition", "size", "seed").collect()
     if todo:
         subsets = materialize(
-            S.nested_subsets(target_train.select(key, "label", "terms"), sizes, seeds, key), "subsets", ("seed", "size")
+            S.nested_levels(target_train.select(key, "label", "terms"), sizes, seeds, key), "subsets", ("seed",)
         )
 
     def do(run) -> None:
-        subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("size") == run["size"])).select(key, "label", "terms")
+        subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("level") <= run["size"])).select(key, "label", "terms")
         rows = subset if run["condition"] == "target_only" else subset.unionByName(source_train)
         model = M.fit_counted(rows, settings, key=key)
         measured = E.evaluate(M.score_counted(test, model, ["label", "lang"], key), ["lang"])
