@@ -176,8 +176,10 @@ def holdout_source(spark, sf_dir):
 # Text ---------------------------------------------------------------------------------------
 
 
-def digest(column: Column) -> list[Column]:
-    return [F.md5(column).alias("text_md5"), X.char_count(column).cast("long").alias("n_chars")]
+def digest(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """Hash and length of a text, which is made once."""
+    made = df.select(key, text.alias("text"))
+    return made.select(key, F.md5("text").alias("text_md5"), big(X.char_count(F.col("text"))).alias("n_chars"))
 
 
 def pages(spark, sf_dir, column: str) -> DataFrame:
@@ -186,12 +188,12 @@ def pages(spark, sf_dir, column: str) -> DataFrame:
 
 @query
 def strip_html(spark, sf_dir):
-    return pages(spark, sf_dir, "html").select("page_id", *digest(X.strip_html(F.col("html"))))
+    return digest(pages(spark, sf_dir, "html"), "page_id", X.strip_html(F.col("html")))
 
 
 @query
 def clean_text(spark, sf_dir):
-    return pages(spark, sf_dir, "html").select("page_id", *digest(X.clean_text(F.col("html"))))
+    return digest(pages(spark, sf_dir, "html"), "page_id", X.clean_text(F.col("html")))
 
 
 @query
