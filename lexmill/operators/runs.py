@@ -204,18 +204,13 @@ def early_stop(
 
 
 def _stop_by_running_best(log: DataFrame, patience: int, run: Sequence[str]) -> DataFrame:
-    """Without a margin the best score so far is a running maximum: two windows, nothing collected."""
+    """Without a margin: the first epoch whose last ``patience`` scores all stay at or below the
+    best one before them. One sort per run, nothing collected."""
     ordered = Window.partitionBy(*run).orderBy("_epoch")
-    before = F.max("_score").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    placed = log.select(
-        *run, "_epoch", F.row_number().over(ordered).alias("_i"),
-        (before.isNull() | (F.col("_score") > before)).alias("_better"),
-    )
-    ordered = Window.partitionBy(*run).orderBy("_i")
-    improved = F.max(F.when(F.col("_better"), F.col("_i"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    waited = placed.withColumn("_waited", F.col("_i") - improved)
-    stop = F.min(F.when(F.col("_waited") >= patience, F.col("_epoch")))
-    return waited.groupBy(*run).agg(stop.alias("stop_epoch"))
+    before = F.max("_score").over(ordered.rowsBetween(Window.unboundedPreceding, -patience))
+    recent = F.max("_score").over(ordered.rowsBetween(1 - patience, Window.currentRow))
+    judged = log.select(*run, "_epoch", (recent <= before).alias("_over"))
+    return judged.groupBy(*run).agg(F.min(F.when(F.col("_over"), F.col("_epoch"))).alias("stop_epoch"))
 
 
 def _stop_by_fold(log: DataFrame, patience: int, min_delta: float, run: Sequence[str]) -> DataFrame:

@@ -329,6 +329,9 @@ ORACLES: dict[str, str] = {
       select m.mode, m.model, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode, model from s) m
       left join (select * from s where lang = 'en') e using (mode, model) left join (select * from s where lang = 'de') d using (mode, model)""",
     "q_model_rows": f"with {MODE_RUNS} select mode, seed, lang, n, {tenth('100 * accuracy')} as accuracy_pct, {tenth('100 * f1')} as f1_pct from runs",
+    "q_history": f"""with {LOG}, c as (select run, 2 * count(*) as n, count(score) as evaluations from log group by run),
+      b as (select run, epoch as best_epoch, {r6('score')} as best_score from log qualify row_number() over (partition by run order by score desc, epoch) = 1)
+      select run as mode, n, evaluations, best_epoch, best_score from c join b using (run)""",
     "q_best_epoch": f"""with {LOG} select run, epoch as best_epoch, {r6('score')} as best_score from log qualify row_number() over (partition by run order by score desc, epoch) = 1""",
     "q_early_stop": early("score", 2, 0.0),
     "q_early_stop_margin": early("-score", 3, 0.05),

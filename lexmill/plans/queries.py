@@ -596,7 +596,7 @@ def pending_runs(spark, sf_dir):
 @query
 def collect_runs(spark, sf_dir):
     root = new_path(spark, "runs")
-    J.write_runs(mode_runs(spark, sf_dir), root, ["mode", "seed"], ["train_samples"])
+    J.write_runs(mode_runs(spark, sf_dir), root, ["mode", "seed"], [])
     back = J.read_runs(spark, root)
     return rounded(back.select("mode", "seed", "lang", "n", "accuracy", "f1"), "accuracy", "f1")
 
@@ -661,6 +661,24 @@ def model_rows(spark, sf_dir):
     return R.model_rows(mode_runs(spark, sf_dir)).withColumn("seed", big("seed"))
 
 
+@query
+def history(spark, sf_dir):
+    """Training histories written as JSON arrays with mixed rows, read back and evaluated."""
+    log = event_log(spark, sf_dir).select(F.col("run").alias("mode"), F.lit(42).alias("seed"), "epoch", "score")
+    step = F.col("epoch").cast("long") * 2
+    mixed = F.array(
+        F.struct(step.alias("step"), F.lit(None).cast("double").alias("eval_f1"), (1 / F.col("score")).alias("loss")),
+        F.struct((step + 1).alias("step"), F.col("score").alias("eval_f1"), F.lit(None).cast("double").alias("loss")),
+    )
+    rows = log.select("mode", "seed", F.col("epoch").cast("double").alias("epoch"), F.inline(mixed))
+    root = new_path(spark, "history")
+    J.write_history(rows, root, ["mode", "seed"])
+    back = J.read_history(spark, root, "*.txt")
+    sizes = back.groupBy("mode").agg(F.count("*").alias("n"), F.count("eval_f1").alias("evaluations"))
+    best = R.best_epoch(back, ["mode"]).withColumn("best_epoch", big("best_epoch"))
+    return rounded(sizes.join(best, "mode"), "best_score")
+
+
 @query
 def best_epoch(spark, sf_dir):
     rows = R.best_epoch(event_log(spark, sf_dir), value="score")

@@ -73,12 +73,26 @@ def read_history(spark: SparkSession, root: str, file_glob: str = "*.json") -> D
     )
 
 
+def write_history(log: DataFrame, root: str, by: list[str], order: str = "step", mode: str = "error") -> None:
+    """One JSON array per run under partition folders ``by``; a row holds its own fields only.
+
+    A history has one row per logged step of a run and becomes one file.
+    """
+    fields = [c for c in log.columns if c not in by]
+    rows = F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
+    arrays = log.groupBy(*by).agg(F.to_json(rows).alias("value"))
+    arrays.write.mode(mode).partitionBy(*by).text(root)
+
+
 def nested_records(runs: DataFrame, by: list[str], carry: list[str]) -> DataFrame:
-    """Long metrics rows folded into one record per run, languages in a map."""
+    """Long metrics rows folded into one record per run, its languages in a map.
+
+    ``carry`` names figures of the run as a whole, the same in all its rows.
+    """
     fields = ["n", "accuracy", "precision", "recall", "f1", "confusion_matrix"]
     entry = F.struct("lang", F.struct(*[f for f in fields if f in runs.columns]).alias("m"))
-    firsts = [F.first(c).alias(c) for c in carry]
-    return runs.groupBy(*by).agg(*firsts, F.map_from_entries(F.collect_list(entry)).alias("test"))
+    carried = [F.max(c).alias(c) for c in carry]
+    return runs.groupBy(*by).agg(*carried, F.map_from_entries(F.collect_list(entry)).alias("test"))
 
 
 def write_runs(runs: DataFrame, root: str, by: list[str], carry: list[str], mode: str = "error") -> None:

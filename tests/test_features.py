@@ -73,6 +73,20 @@ def test_sparse_rows_keep_documents_without_terms(docs):
         assert r["indices"] == sorted(r["indices"])
 
 
+def test_copies_and_hot_terms(spark):
+    """A third of the texts are copies of one, and one word is in all of them."""
+    texts = ["the same hot text the the"] * 100 + [f"the word{i % 17} item{i % 5} more{i % 3}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(6)
+    names, idf, matrix = reference_tfidf(texts, 25)
+    counted = V.counted_docs(docs)
+    vocab = V.vocabulary(counted, 25)
+    assert [r["term"] for r in vocab.orderBy("idx").collect()] == names
+    got = np.zeros_like(matrix)
+    for r in V.tfidf(counted, vocab).collect():
+        got[r["doc_id"], r["idx"]] = r["weight"]
+    assert np.allclose(got, matrix, atol=1e-12)
+
+
 def test_term_counts_need_no_shuffle(docs):
     plan = V.doc_terms(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
