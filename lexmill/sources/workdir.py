@@ -1,44 +1,46 @@
-"""Tables written between stages, in the folder the cluster shares."""
+"""Tables written between stages, in a folder the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
 
-    In local mode an unset folder falls back to a fresh temporary one; on a cluster a machine's
-    own disk would be lost with the machine, so there the setting is required.
+    Both are places every executor reaches, so a table written there outlives the machine that
+    wrote it. Tables of an application lie under ``lexmill/<application id>``; see ``clear``.
     """
     context = spark.sparkContext
     root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
-    return _local_folder(context.applicationId)
+    return (root or f"{spark.conf.get(WAREHOUSE).rstrip('/')}/work").rstrip("/")
 
 
-@cache
-def _local_folder(application: str) -> str:
-    """One temporary folder per local application."""
-    return tempfile.mkdtemp(prefix=f"{application}-")
+def app_root(spark: SparkSession) -> str:
+    return f"{work_root(spark)}/lexmill/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{work_root(spark)}/lexmill/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{app_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Remove the tables this application has written between stages; True if there were any.
+
+    Results that still read from them must have been written elsewhere before.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(app_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once, in folders by ``partition_by``, and go on from the files.
+    """Write ``df`` once, in folders by ``partition_by``, and go on from the files. Runs a job.
 
     Each task writes its own rows into the folders, without a shuffle; input that is already laid
     out by folder stays that way.
