@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import decontaminate, line_dedup, near_dedup, toxicity
+from lexmill.llm import decontaminate, line_dedup, near_dedup, quality, toxicity
 from lexmill.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_rest("doc_id", 3) == 1
     model = toxicity.fit(docs, labels.filter(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_rest("doc_id", 5) == 0
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
