@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexmill.llm.licenses import known_templates
+
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,74 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(s.s)::bigint AS n_shingles, root.root AS component_id, root.root = s.doc_id AS kept
 FROM s JOIN root ON root.node = s.doc_id
 """
+
+
+def license_sql() -> str:
+    """Key phrases at every place, and the share of their templates' words around them."""
+    words = r"regexp_extract_all(" + ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    texts = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    parts = []
+    for t in known_templates():
+        m = len(t.key)
+        at = f"i - {t.key_at} + "
+        share = " + ".join(f"(CASE WHEN {at}{j} BETWEEN 1 AND len(w) AND w[{at}{j}] = '{x}' THEN 1 ELSE 0 END)" for j, x in enumerate(t.words))
+        parts.append(
+            f"SELECT doc_id, '{t.label}' AS label, {str(t.base).lower()} AS base, i - 1 AS word, ({share}) / {len(t.words)}.0::double AS share"
+            f" FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) - {m} + 2), lambda k: w[k:k + {m - 1}] = {texts(t.key)})) AS i FROM d)"
+        )
+    found = "\nUNION ALL ".join(parts)
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), m AS ({found})
+SELECT d.doc_id, len(d.w)::bigint AS n_words,
+  count(*) FILTER (m.base)::bigint AS n_base, min(m.word) FILTER (m.base) AS first_word, max(m.word) FILTER (m.base) AS last_word,
+  coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label) FILTER (m.base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label), '') AS labels, coalesce(max(m.share), 0.0) AS score
+FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
+
+ORACLES["op10_licenses"] = license_sql()
+
+# Rules have at most three tokens; the labelled pages of the test tables are fewer than max_urls.
+ORACLES["op8_url_rules"] = r"""
+WITH a AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), b AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM a
+), c AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    string_split(host, '.') AS parts
+  FROM b
+), t AS (
+  SELECT page_id, rule, rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') AS block, unnest(list_distinct(list_concat(
+      list_transform(range(1, len(parts) + 1), lambda i: 'h:' || array_to_string(parts[len(parts) - i + 1:], '.')),
+      list_filter(list_transform(string_split(path, '/'), lambda s, i: CASE WHEN s <> '' THEN 'p' || (i - 1) || ':' || regexp_replace(s, '[0-9]+', '#', 'g') END), lambda x: x IS NOT NULL),
+      list_filter(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: CASE WHEN s <> '' THEN 'q:' || split_part(s, '=', 1) END), lambda x: x IS NOT NULL),
+      ['s:' || split_part(url, '://', 1)],
+      CASE WHEN contains(url, '#') THEN ['f:'] ELSE [] END))) AS token
+  FROM c WHERE host <> ''
+), combos AS (
+  SELECT page_id, rule, block, [token] AS x FROM t
+  UNION ALL SELECT t.page_id, t.rule, t.block, [t.token, u.token] FROM t JOIN t u ON t.page_id = u.page_id AND t.token < u.token
+  UNION ALL SELECT t.page_id, t.rule, t.block, [t.token, u.token, v.token] FROM t JOIN t u ON t.page_id = u.page_id AND t.token < u.token
+    JOIN t v ON u.page_id = v.page_id AND u.token < v.token
+), mined AS (
+  SELECT x FROM combos WHERE rule IS NOT NULL GROUP BY x
+  HAVING count(*) FILTER (block) >= ceil(0.01 * (SELECT count(DISTINCT page_id) FROM t WHERE rule IS NOT NULL))
+    AND count(*) FILTER (block) >= 0.9 * count(*) AND count(*) FILTER (block) > 0
+), hits AS (
+  SELECT DISTINCT page_id FROM combos JOIN mined USING (x) WHERE rule IS NULL
+)
+SELECT c.page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN hits.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM c LEFT JOIN hits ON hits.page_id = c.page_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import decontaminate, line_dedup, near_dedup, quality, toxicity
+from lexmill.llm import decontaminate, licenses, line_dedup, near_dedup, quality, toxicity, url_rules
 from lexmill.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_rest("doc_id", 5) == 0
     model = quality.fit(docs, labels.filter(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+URL_LIST = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_LIST)
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m.base)
+    joined = lambda matches: F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m.label))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m.word)).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m.word)).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m.share)), F.lit(0.0)).alias("score"),
+    )
