@@ -102,3 +102,16 @@ SELECT c.page_id, host, path, rule,
     WHEN hits.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM c LEFT JOIN hits ON hits.page_id = c.page_id
 """
+
+ORACLES["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::integer AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
