@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import decontaminate, licenses, line_dedup, near_dedup, quality, topk, toxicity, url_rules
+from lexmill.llm import chat, decontaminate, licenses, line_dedup, near_dedup, pieces, quality, topk, toxicity, url_rules
 from lexmill.llm.common import crc_rest, table
+from lexmill.sources.workdir import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,3 +77,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four fifths of the conversations; ``n_right`` counts lines whose role is the table's."""
+    known = materialize(chat.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    held_out = crc_rest("conv_id", 5) == 0
+    model = chat.fit(known.filter(~held_out))
+    parsed = chat.parse(known, model)
+    truth = F.flatten(F.transform(F.arrays_zip("roles", "counts"), lambda t: F.array_repeat(t.roles, t.counts)))
+    found = F.transform("states", lambda s: F.element_at(F.array(*[F.lit(r) for r in chat.ROLES]), (F.floor(s / 2) + 1).cast("int")))
+    rows = parsed.join(known.select("conv_id", "piece", truth.alias("truth")), ["conv_id", "piece"])
+    right = F.aggregate(F.zip_with(found, "truth", lambda a, b: (a == b).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return rows.select(
+        "conv_id",
+        "piece",
+        held_out.alias("held_out"),
+        F.size("truth").cast("long").alias("n_lines"),
+        right.alias("n_right"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.transform("turns", lambda t: t.role).alias("roles"),
+        "rendered",
+    )
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model_path)
