@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +49,12 @@ class Vocabulary:
         size = model.get_piece_size()
         self.texts = [model.id_to_piece(i) for i in range(size)]
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
-        self.control = {i for i in range(size) if model.is_control(i)}
-        self.byte_of = {i: int(self.texts[i][3:5], 16) for i in range(size) if model.is_byte(i)}
-        self.of_byte = {b: i for i, b in self.byte_of.items()}
+        byte_of = {i: int(self.texts[i][3:5], 16) for i in range(size) if model.is_byte(i)}
+        self.of_byte = {b: i for i, b in byte_of.items()}
         self.unknown = model.unk_id()
+        # What every piece decodes to: control pieces to nothing.
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else b"" if model.is_control(i) else t.encode() for i, t in enumerate(self.texts)]
+        self.raw[self.unknown] = " \u2047 ".encode()
         self.number = {self.texts[i]: i for i in range(size) if i not in special}
         self.score = {i: model.get_score(i) for i in self.number.values()}
         # BPE scores are the ranks of merges: whole numbers, none above 0.
@@ -171,14 +172,8 @@ class Vocabulary:
     # Texts ----------------------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of a list of ids: pieces and runs of bytes joined, marks as blanks, the first blank dropped."""
-        parts: list[str] = []
-        for is_byte, run in groupby(ids.tolist(), key=self.byte_of.__contains__):
-            if is_byte:
-                parts.append(bytes(self.byte_of[i] for i in run).decode("utf-8", "replace"))
-            else:
-                parts.extend("" if i in self.control else self.texts[i] if i != self.unknown else " ⁇ " for i in run)
-        text = "".join(parts).replace(MARK, " ")
+        """The text of a list of ids: pieces and bytes joined, marks as blanks, the first blank dropped."""
+        text = b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -216,12 +211,13 @@ def shipped(spark: SparkSession, path: str) -> str:
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_ids, ids) of every text.
+    """(doc_id, n_ids, ids, round_trip) of every text; ``round_trip`` tells if the ids decode to it.
 
     ``docs`` has doc_id and text; other columns are not read. A null or empty text has no ids; rows
     without doc_id are left out; repeated rows are encoded alike; an empty table gives no rows. Texts
     are encoded whole. The result is that of the library whose model this is, without the model's
-    control pieces and for a model that normalises nothing.
+    control pieces and for a model that normalises nothing. Only a text with the mark itself in it
+    decodes to another one.
     """
     name = shipped(docs.sparkSession, model_path)
 
@@ -229,22 +225,25 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         own = encoder(SparkFiles.get(name))
         ids, texts = batch.column("doc_id"), batch.column("text")
         for first, count in text_runs(texts):
-            lists = own.encode([t or "" for t in texts.slice(first, count).to_pylist()])
+            rows = [t or "" for t in texts.slice(first, count).to_pylist()]
+            lists = own.encode(rows)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-            yield {"doc_id": ids.slice(first, count), "n_ids": np.diff(offsets).astype(np.int64), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+            yield {
+                "doc_id": ids.slice(first, count),
+                "n_ids": np.diff(offsets).astype(np.int64),
+                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                "round_trip": pa.array([own.vocabulary.decode(x) == t for x, t in zip(lists, rows)], pa.bool_()),
+            }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return map_arrow(rows, step, "doc_id long, n_ids long, ids array<int>", "doc_id", "text")
+    return map_arrow(rows, step, "doc_id long, n_ids long, ids array<int>, round_trip boolean", "doc_id", "text")
 
 
 def text_runs(texts: pa.Array):
     """(first row, number of rows) of runs of whole texts of about ``CHUNK_CHARS`` bytes."""
-    at = 0
     for first, _, offsets in K.chunks(texts, CHUNK_CHARS):
-        assert first == at
         yield first, len(offsets) - 1
-        at += len(offsets) - 1
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
