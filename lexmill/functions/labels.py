@@ -26,19 +26,19 @@ def map_label(label: Column, mapping: Mapping) -> Column:
     Keys may be ints or numeric strings. 1.0 is the key 1, but 1.5 is no key.
     """
     if not mapping:
-        return F.lit(None).cast("int")
-    pairs = [F.lit(int(part)) for item in mapping.items() for part in item]
-    whole = label.try_cast("int")
+        return F.lit(None).cast("long")
+    pairs = [F.lit(int(part)).cast("long") for item in mapping.items() for part in item]
+    whole = label.try_cast("long")
     return F.when(whole == label, F.try_element_at(F.create_map(*pairs), whole))
 
 
 def standardize_string_label(label: Column) -> Column:
     key = strip(F.lower(label))
-    number = F.when(key.rlike(r"\A[+-]?[0-9]+\z"), key.try_cast("int"))
+    number = F.when(key.rlike(r"\A[+-]?[0-9]+\z"), key.try_cast("long"))
     return (
         F.when(key.isin(*POSITIVE), 1)
         .when(key.isin(*NEGATIVE), 0)
-        .when(key.isin(*NEUTRAL), F.lit(None).cast("int"))
+        .when(key.isin(*NEUTRAL), F.lit(None).cast("long"))
         .otherwise(number)
     )
 

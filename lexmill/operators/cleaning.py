@@ -59,7 +59,7 @@ def map_labels(df: DataFrame, mapping: Mapping, column: str = "label") -> DataFr
     """
     _require(df, column)
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    mapped = L.map_label(F.col(column), mapping) if numeric else F.lit(None).cast("int")
+    mapped = L.map_label(F.col(column), mapping) if numeric else F.lit(None).cast("long")
     return df.withColumn(column, mapped).na.drop(subset=[column])
 
 
@@ -70,7 +70,7 @@ def standardize_labels(df: DataFrame, column: str = "label") -> DataFrame:
     """
     _require(df, column)
     label = L.standardize_label(F.col(column), df.schema[column].dataType)
-    return df.withColumn(column, label.cast("int")).na.drop(subset=[column])
+    return df.withColumn(column, label.cast("long")).na.drop(subset=[column])
 
 
 def split_lines(df: DataFrame, text_column: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ distinct terms leave a document.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,7 +48,7 @@ def counted_docs(
 ) -> DataFrame:
     """``key, keep..., terms``, one row per text, written once.
 
-    Cleaning and taking apart the texts is the costly part of an experiment; vocabulary,
+    Runs a job. Cleaning and taking apart the texts is the costly part of an experiment; vocabulary,
     training rows and scoring all start from this table.
     """
     return materialize(
@@ -73,7 +72,7 @@ def top_terms(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
 
     A first look at how many terms share each frequency gives the lowest frequency that can
     make it, so that the final sort only sees the winners and the ties at the border. Both
-    windows hold at most ``max_features`` rows. ``stats`` is read twice: write it first.
+    windows, in one task each, hold at most ``max_features`` rows: the parameter is their bound. ``stats`` is read twice: write it first.
     """
     levels = stats.groupBy("tf").agg(F.count("*").alias("_n")).orderBy(F.desc("tf")).limit(max_features)
     running = F.sum("_n").over(Window.orderBy(F.desc("tf")))
@@ -94,7 +93,7 @@ def idf(df: Column, n_docs: Column) -> Column:
 def vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id") -> DataFrame:
     """``term, idx, tf, df, idf`` of the most frequent n-grams; every text counts as a document.
 
-    Written once, so that joining it later is a broadcast whenever it is small enough.
+    Runs jobs. Written once, so that joining it later is a broadcast whenever it is small enough.
     """
     stats = materialize(term_stats(listed_terms(counted, key)), "term-stats")
     n_docs = counted.select(F.count("*")).scalar()
@@ -116,10 +115,14 @@ def _known_terms(counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key:
 
 
 def tfidf(counted: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, term, idx, weight`` with unit length per document; unknown terms are ignored."""
-    known = _known_terms(counted, vocab, (), key, "inner")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return known.select(key, "term", "idx", (F.col("w") / norm).alias("weight"))
+    """``key, term, idx, weight`` with unit length per document; unknown terms are ignored.
+
+    The norm comes from the sparse rows, which move numbers only; terms are joined back on ``idx``.
+    """
+    entries = F.explode(F.arrays_zip("indices", "values")).alias("_e")
+    rows = sparse_rows(counted, vocab, (), key).select(key, entries)
+    rows = rows.select(key, F.col("_e.indices").alias("idx"), F.col("_e.values").alias("weight"))
+    return rows.join(vocab.select("idx", "term"), "idx").select(key, "term", "idx", "weight")
 
 
 def sparse_rows(counted: DataFrame, vocab: DataFrame, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
@@ -176,15 +179,23 @@ def term_origin(
     """``train_set, term_<by>, n_terms``: vocabulary terms by the group where each is most frequent.
 
     Every named training set is a list of groups and gets a vocabulary of its own. The texts are
-    taken apart once: term frequencies per group are written and added up for each set.
+    taken apart once, term frequencies per group are handed to the sets that use the group, and all
+    sets find their border frequency and their terms side by side. Runs a job.
     """
+    uses = F.array(*[F.when(F.col(by).isin(*groups), F.lit(name)) for name, groups in train_sets.items()])
     terms = doc_terms(docs, key, text, ngram_range, [by])
-    per_group = materialize(terms.groupBy("term", by).agg(F.sum("n").alias("tf")), "group-terms")
-    counted = []
-    for name, groups in train_sets.items():
-        used = per_group.filter(F.col(by).isin(*groups))
-        vocab = top_terms(used.groupBy("term").agg(F.sum("tf").alias("tf")), max_features)
-        kept = used.join(vocab.select("term"), "term", "left_semi")
-        home = kept.groupBy("term").agg(F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}"))
-        counted.append(home.groupBy(f"term_{by}").agg(F.count("*").alias("n_terms")).select(F.lit(name).alias("train_set"), "*"))
-    return reduce(DataFrame.unionByName, counted)
+    per_group = terms.groupBy("term", by).agg(F.sum("n").alias("tf"))
+    per_set = per_group.select("term", by, "tf", F.explode(F.filter(uses, lambda s: s.isNotNull())).alias("train_set"))
+    home = F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}")
+    stats = per_set.groupBy("train_set", "term").agg(F.sum("tf").alias("tf"), home)
+    stats = materialize(stats, "set-terms")
+    # The lowest frequency that can make a set's vocabulary; windows see one row per set and frequency.
+    levels = stats.groupBy("train_set", "tf").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("train_set").orderBy(F.desc("tf")))
+    border = levels.withColumn("_upto", upto).groupBy("train_set").agg(
+        F.coalesce(F.max(F.when(F.col("_upto") >= max_features, F.col("tf"))), F.lit(0)).alias("_border")
+    )
+    kept = stats.join(F.broadcast(border), "train_set").filter(F.col("tf") >= F.col("_border"))
+    place = F.row_number().over(Window.partitionBy("train_set").orderBy(F.desc("tf"), "term"))
+    kept = kept.withColumn("_place", place).filter(F.col("_place") <= max_features)
+    return kept.groupBy("train_set", f"term_{by}").agg(F.count("*").alias("n_terms"))

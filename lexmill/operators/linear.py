@@ -15,15 +15,13 @@ from lexmill.operators.cleaning import clean_rows
 from lexmill.operators.stats import class_weights
 from lexmill.sources.workdir import materialize, new_path
 
-ROWS_PER_TASK = 10_000
-TASKS_PER_CORE = 4
-
 
 @dataclass
 class TfidfModel:
     """Settings and, once fitted, the model table.
 
     ``terms`` holds ``term, idx, tf, df, idf, coef``; its size is bounded by ``max_features``.
+    ``depth`` is the number of levels over which the tasks' gradients are added up.
     """
 
     max_features: int = V.MAX_FEATURES
@@ -32,6 +30,7 @@ class TfidfModel:
     tolerance: float = 1e-6
     c: float = 1.0
     balanced: bool = True
+    depth: int = 2
     intercept: float = 0.0
     train_rows: int = 0
     terms: DataFrame | None = field(default=None, repr=False)
@@ -49,16 +48,17 @@ class TfidfModel:
 def as_vectors(rows: DataFrame, size: int, indices: str = "indices", values: str = "values") -> DataFrame:
     """Rows with index and value arrays as rows with a sparse ``features`` vector.
 
-    They are written in the stored layout of a vector and read back as one: no row passes
-    through Python, and the iterative fit gets a table that outlives lost executors.
+    They are written in the stored layout of a vector, which the vector type itself declares,
+    and read back as one: no row passes through Python, and the iterative fit gets a table that
+    outlives lost executors. Runs a job.
     """
     spark = rows.sparkSession
-    stored = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(size).cast("int").alias("size"),
-        F.col(indices).alias("indices"),
-        F.col(values).alias("values"),
-    )
+    layout = VectorUDT.sqlType()
+    parts = {"type": F.lit(0).cast("byte"), "size": F.lit(size).cast("int"), "indices": F.col(indices), "values": F.col(values)}
+    stored = F.struct(*[part.alias(name) for name, part in parts.items()])
+    made = rows.select(stored.alias("s")).schema["s"].dataType.simpleString()
+    if made != layout.simpleString():
+        raise RuntimeError(f"vectors are stored as {layout.simpleString()}, not as {made}")
     rest = [c for c in rows.columns if c not in (indices, values)]
     path = new_path(spark, "features")
     rows.select(*rest, stored.alias("features")).write.parquet(path)
@@ -81,6 +81,7 @@ def fit_counted(
 ) -> TfidfModel:
     """Fit on a table of counted texts.
 
+    Runs jobs; the driver gets one coefficient per vocabulary term, at most ``max_features``.
     Balanced class weights sum to the number of rows, so the penalty ``1 / (C n)`` of the mean
     loss is the penalty ``1 / C`` of the summed loss. The intercept carries none.
     """
@@ -100,10 +101,7 @@ def fit_counted(
     if settings.balanced:
         weight = F.when(F.col(label) == 1, weights[1]["weight"]).otherwise(weights[0]["weight"])
     train = rows.select(F.col(label).cast("double").alias("label"), weight.alias("weight"), "features")
-    # Every iteration is a job over these partitions, and each hands back a gradient as long as
-    # the vocabulary: neither tiny tasks nor far more tasks than cores are worth that.
-    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    train = train.coalesce(min(max(1, n_rows // ROWS_PER_TASK), most))
+    # Every iteration is a job over the scan's partitions, which spark.sql.files.maxPartitionBytes sizes.
     solver = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (settings.c * n_rows),
@@ -111,7 +109,7 @@ def fit_counted(
         standardization=False,
         maxIter=settings.max_iter,
         tol=settings.tolerance,
-        aggregationDepth=2,
+        aggregationDepth=settings.depth,
         family="binomial",
     )
     fitted = solver.fit(train)
@@ -170,12 +168,12 @@ def save_model(model: TfidfModel, path: str) -> None:
     table.write.mode("overwrite").parquet(f"{path}/terms")
     settings = [(
         model.max_features, list(model.ngram_range), model.max_iter, model.tolerance, model.c, model.balanced,
-        model.intercept, model.train_rows,
+        model.depth, model.intercept, model.train_rows,
     )]
     table.sparkSession.createDataFrame(
         settings,
         "max_features INT, ngram_range ARRAY<INT>, max_iter INT, tolerance DOUBLE, c DOUBLE, balanced BOOLEAN, "
-        "intercept DOUBLE, train_rows BIGINT",
+        "depth INT, intercept DOUBLE, train_rows BIGINT",
     ).write.mode("overwrite").parquet(f"{path}/settings")
 
 
@@ -183,5 +181,5 @@ def load_model(spark, path: str) -> TfidfModel:
     row = spark.read.parquet(f"{path}/settings").head()
     return TfidfModel(
         row["max_features"], tuple(row["ngram_range"]), row["max_iter"], row["tolerance"], row["c"], row["balanced"],
-        row["intercept"], row["train_rows"], spark.read.parquet(f"{path}/terms"),
+        row["depth"], row["intercept"], row["train_rows"], spark.read.parquet(f"{path}/terms"),
     )

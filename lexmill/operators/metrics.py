@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmill.functions.labels import label_name
 from lexmill.functions.text import shorten
 from lexmill.operators.sampling import first_per_bucket
+from lexmill.sources.workdir import materialize
 
 CELLS = ("tn", "fp", "fn", "tp")
 # Error buckets and the confidence limits of the last two.
@@ -23,8 +24,6 @@ UNSURE_AND_RIGHT = "low_confidence_correct"
 BUCKETS = (FALSE_POSITIVE, FALSE_NEGATIVE, UNSURE_AND_RIGHT, SURE_AND_WRONG)
 HIGH_CONFIDENCE = 0.9
 LOW_CONFIDENCE = 0.6
-# Samples per bucket up to which the list of samples is surely small enough to broadcast.
-BROADCAST_SAMPLES = 100_000
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
@@ -169,12 +168,12 @@ def error_samples(
 ) -> DataFrame:
     """The first ``n`` rows of every error bucket with the uncleaned text, cut to ``text_limit``.
 
-    The rows are chosen by key alone. At most ``n`` per bucket remain, so they are broadcast to
-    the scan of the texts, which is not shuffled.
+    The rows are chosen by key alone and written once, so that the optimizer knows how few they are
+    and joins them to the scan of the texts by its own threshold. Runs a job.
     """
     listed = first_per_bucket(_bucketed(scored, [key, "label", "pred", "confidence"]), "bucket", n, key)
     shown = texts.select(key, shorten(F.col(text), text_limit).alias("text"))
-    found = shown.join(F.broadcast(listed) if n <= BROADCAST_SAMPLES else listed, key)
+    found = shown.join(materialize(listed, "samples"), key)
     return found.select(
         "bucket", "rn", key, "text",
         label_name(F.col("label")).alias("true_label"),

@@ -101,7 +101,7 @@ def curve_band(summary: DataFrame, zero_shot: Column | None = None) -> DataFrame
 
 
 def results_table(summary: DataFrame, rows: Sequence[str], column: str, values: Sequence[str], metric: str = "") -> DataFrame:
-    """One text cell ``mean ± std`` per value of ``column``, one row per value of ``rows``.
+    """One text cell ``mean ± std`` per value of ``column``, one row per value of ``rows``, in their order.
 
     Columns are filled by conditional aggregates over declared values; a missing cell is ``-``.
     """
@@ -118,7 +118,7 @@ def results_table(summary: DataFrame, rows: Sequence[str], column: str, values:
         P.percent_cell(F.col(f"_mean_{i}"), F.col(f"_std_{i}"), F.col(f"_runs_{i}")).alias(str(v))
         for i, v in enumerate(values)
     ]
-    return wide.select(*rows, *cells)
+    return wide.select(*rows, *cells).orderBy(*rows)
 
 
 def condition_diff(summary: DataFrame, first: str, second: str, by: str = "size") -> DataFrame:
@@ -159,7 +159,7 @@ def curve_table(summary: DataFrame, first: str, second: str, target: str, source
         text["b"].alias(second),
         P.signed_percent(F.col("mean_b") - F.col("mean_a")).alias("difference"),
         text["c"].alias(f"{second}_on_{source}"),
-    )
+    ).orderBy("size")
 
 
 def model_rows(runs: DataFrame) -> DataFrame:
@@ -195,6 +195,8 @@ def early_stop(
     """
     if mode not in ("max", "min"):
         raise ValueError("mode must be 'max' or 'min'")
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
     signed = log.select(
         *run, F.col(epoch).alias("_epoch"), (F.col(value) if mode == "max" else -F.col(value)).alias("_score")
     )

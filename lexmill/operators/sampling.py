@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexmill.sources.workdir import materialize
 
 COARSE_DIGITS, FINE_DIGITS = 2, 5
+SALTS = 64
 SPLITS = ("train", "val", "test")
 
 
@@ -44,7 +45,8 @@ def last_taken(
 
     ``rows`` holds the strata, the key and ``_hash``; it is read twice, keys and strata only.
     ``quotas`` gets the stratum sizes (``strata, n``) and returns ``strata, target, k`` with
-    ``k <= n``; a target with ``k = 0`` yields no row.
+    ``k <= n``; a target with ``k = 0`` yields no row. Runs jobs, which write the counts, the rows
+    of the buckets that were hit, and the cuts, so that a join with these is a broadcast.
     """
     strata = list(strata)
     rows = rows.select(
@@ -53,7 +55,7 @@ def last_taken(
     )
     coarse = materialize(rows.groupBy(*strata, "_p").agg(F.count("*").alias("_n")), "coarse-counts")
     targets = quotas(coarse.groupBy(*strata).agg(F.sum("_n").alias("n"))).withColumnRenamed("k", "_rank")
-    hits = materialize(_bucket_of_rank(coarse, targets, strata, "_p"), "hits")
+    hits = _bucket_of_rank(coarse, targets, strata, "_p")
 
     # From here on only the rows of the buckets that were hit are looked at.
     wanted = hits.select(*strata, "_p").distinct()
@@ -238,11 +240,26 @@ def shuffled(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
 
 
 def capped(df: DataFrame, max_rows: int | None, seed: int | None = 42, key: str = "doc_id") -> DataFrame:
-    """The first ``max_rows`` rows: of the seeded order, or of key order when ``seed`` is None."""
+    """The first ``max_rows`` rows: of the seeded order, or of key order when ``seed`` is None.
+
+    They come in no particular order. The seeded order is cut as splits are, by a comparison with
+    the last row taken, so any number of rows may be asked for; this runs jobs.
+    """
     if max_rows is None:
         return df
-    ordered = df.orderBy(key) if seed is None else shuffled(df, seed, key)
-    return ordered.limit(max_rows)
+    if seed is None:
+        return first_per_bucket(df.withColumn("_all", F.lit(0)), "_all", max_rows, key).select(*df.columns)
+    if max_rows < 1:
+        return df.limit(0)
+    rows = df.withColumn("_all", F.lit(0)).withColumn("_hash", order_hash(F.col(key), seed))
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        return sizes.select("_all", F.lit("taken").alias("target"), F.least("n", F.lit(max_rows).cast("long")).alias("k"))
+
+    cut = last_taken(rows, ["_all"], key, quotas).head()
+    if cut is None:
+        return df.limit(0)
+    return rows.filter(_taken(F.col("_hash"), F.col(key), F.lit(cut["cut_hash"]), F.lit(cut["cut_key"]))).select(*df.columns)
 
 
 def nested_levels(
@@ -285,7 +302,11 @@ def nested_subsets(
 def first_per_bucket(df: DataFrame, bucket: str, n: int, key: str = "doc_id") -> DataFrame:
     """The first ``n`` rows of every bucket in key order, numbered in ``rn``.
 
-    Spark cuts each partition down to ``n`` rows per bucket before the shuffle.
+    A bucket may hold most rows, so it is first cut in ``SALTS`` parts by a hash of the key, each
+    ranked by itself; only their first ``n`` rows meet for the final ranking.
     """
+    salt = F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS))
+    part = F.row_number().over(Window.partitionBy(bucket, "_salt").orderBy(key))
+    few = df.withColumn("_salt", salt).withColumn("rn", part).filter(F.col("rn") <= n).drop("_salt", "rn")
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy(key))
-    return df.withColumn("rn", rank).filter(F.col("rn") <= n)
+    return few.withColumn("rn", rank).filter(F.col("rn") <= n)

@@ -152,7 +152,7 @@ NAME = "case when {} = 1 then 'positive' else 'negative' end"
 
 TERMS = f"t as (select doc_id, lang, unnest({grams()}) as term from (select doc_id, lang, {words('text')} as w from docs)), tc as (select doc_id, lang, term, count(*) as c from t group by all)"
 STATS = "st as (select term, sum(c)::bigint as tf, count(*) as df from tc group by term)"
-VOCAB = f"{CLEAN_DOCS}, {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 2000), nd as (select count(*) as n_docs from docs), " \
+VOCAB = f"{CLEAN_DOCS}, {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 50000), nd as (select count(*) as n_docs from docs), " \
     "vocab as (select top.*, row_number() over (order by term) - 1 as idx, ln((1 + n_docs) / (1 + df)::double) + 1 as idf from top, nd)"
 WEIGHTS = "w as (select tc.doc_id, tc.lang, tc.term, v.idx, (1 + ln(tc.c)) * v.idf as w from tc join vocab v using (term))"
 
@@ -215,7 +215,7 @@ ORACLES: dict[str, str] = {
     "q_lower": "select doc_id, md5(lower(text)) as text_md5 from documents",
     "q_clean_corpus": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
     "q_removed_count": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
-      select {clean(f"regexp_extract(text, '[^{SPACE}]*[@#][^{SPACE}]*', 0)")} as t from documents)""",
+      select {clean("text")} as t from documents)""",
     "q_tokens": f"with {CLEAN_DOCS} select doc_id, len(w)::bigint as n_tokens, len(list_distinct(w))::bigint as n_distinct from (select doc_id, {words('text')} as w from docs)",
     "q_ngrams": f"""with {CLEAN_CORPUS}, g as (select doc_id, {grams()} as g from (select doc_id, {words('text')} as w from docs))
       select doc_id, unnest(range(len(g)))::bigint as pos, unnest(g) as gram from g""",
@@ -223,13 +223,13 @@ ORACLES: dict[str, str] = {
       select doc_id, len(g)::bigint as n_grams, md5(array_to_string(list_sort(g), '|')) as grams_md5 from g""",
     "q_explode_lines": f"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {line('x')}), lambda x: x <> '') as l from documents)
       select doc_id, unnest(range(len(l)))::bigint as line_no, md5(unnest(l)) as line_md5 from l""",
-    "q_std_labels_int": """select * from (select doc_id, case when x = 2 then null when x = 1 or x > 2 then 1 else 0 end::int as label
+    "q_std_labels_int": """select * from (select doc_id, case when x = 2 then null when x = 1 or x > 2 then 1 else 0 end::bigint as label
       from (select doc_id, doc_id % 8 - 1 as x from documents)) where label is not null""",
-    "q_std_labels_str": f"select * from (select doc_id, ({STRING_LABEL})::int as label from (select doc_id, lower(trim({RAW_STRING})) as k from documents)) where label is not null",
-    "q_std_labels_float": """select event_id, case when isnan(x) then 0 when x > 0.5 then 1 else 0 end::int as label from (
+    "q_std_labels_str": f"select * from (select doc_id, ({STRING_LABEL})::bigint as label from (select doc_id, lower(trim({RAW_STRING})) as k from documents)) where label is not null",
+    "q_std_labels_float": """select event_id, case when isnan(x) then 0 when x > 0.5 then 1 else 0 end::bigint as label from (
       select event_id, case when event_id % 10 = 0 then 'nan'::double when event_id % 10 = 1 then null else value / 20.0::double end as x from events) where x is not null""",
-    "q_label_map": "select doc_id, case doc_id % 3 when 1 then 1 else 0 end::int as label from documents where doc_id % 3 in (1, 2)",
-    "q_label_map_toxic": "select doc_id, (1 - toxic)::int as label from labels where toxic in (0, 1)",
+    "q_label_map": "select doc_id, case doc_id % 3 when 1 then 1 else 0 end::bigint as label from documents where doc_id % 3 in (1, 2)",
+    "q_label_map_toxic": "select doc_id, (1 - toxic)::bigint as label from labels where toxic in (0, 1)",
     "q_label_names": """select conv_id, turn, (role <> 'assistant')::int as label_id,
       case role when 'user' then 'positive' when 'assistant' then 'negative' else 'pos' end as label_name,
       case role when 'assistant' then 'negative' else 'positive' end as class_name from conversations""",
@@ -278,22 +278,24 @@ ORACLES: dict[str, str] = {
       {NAME.format('pred')} as sentiment, {tenth('100 * confidence')} as confidence, {phrase('confidence')} as band, {EMOJI} as emoji
       from scored where {line('text')} <> ''""",
     "q_batch_summary": f"with {scored('documents', 'doc_id, text')} select {NAME.format('pred')} as sentiment, count(*) as n from scored where {line('text')} <> '' group by all",
-    "q_softmax": f"""select vec_id, (b > a)::int as pred, {r6('exp(a - m) / (exp(a - m) + exp(b - m))')} as p0, {r6('exp(b - m) / (exp(a - m) + exp(b - m))')} as p1
-      from (select vec_id, embedding[1]::double as a, embedding[2]::double as b, greatest(embedding[1], embedding[2])::double as m from embeddings)""",
+    "q_softmax": f"""with e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as place from embeddings),
+      s as (select *, exp(x - max(x) over (partition by vec_id)) as y, first_value(place) over (partition by vec_id order by x desc, place) as pred from e)
+      select vec_id, pred, place, {r6('y / sum(y) over (partition by vec_id)')} as p from s""",
     "q_term_counts": f"with {CLEAN_CORPUS}, {TERMS} select doc_id, term, c as n from tc",
     "q_term_df": f"with {CLEAN_DOCS}, {TERMS}, {STATS} select term, tf, df from st",
     "q_vocab_topk": f"with {VOCAB} select term, idx, tf, df from vocab",
     "q_idf": f"with {VOCAB} select term, {r6('idf')} as idf from vocab",
     "q_tfidf": f"with {VOCAB}, {WEIGHTS} select doc_id, term, {r6('w / sqrt(sum(w * w) over (partition by doc_id))')} as weight from w",
     "q_sparse_rows": f"""with {VOCAB}, {WEIGHTS} select docs.doc_id, docs.lang, count(w.idx) as n_terms, md5(coalesce(string_agg(w.idx::varchar, ',' order by w.idx), '')) as indices_md5,
-      case when count(w.idx) > 0 then 1.0::double else 0.0::double end as length from docs left join w using (doc_id) group by docs.doc_id, docs.lang""",
+      md5(coalesce(string_agg(round(w / length * 100000)::bigint::varchar, ',' order by w.idx), '')) as values_md5
+      from docs left join (select *, sqrt(sum(w * w) over (partition by doc_id)) as length from w) w using (doc_id) group by docs.doc_id, docs.lang""",
     "q_vocab_by_lang": f"""with {CLEAN_DOCS}, {TERMS}, mt as (select mode, lang, term, sum(c) as c from tc, {MODES} where list_contains(langs, lang) group by all),
       tot as (select mode, term, sum(c) as tf from mt group by all),
-      top as (select *, row_number() over (partition by mode order by tf desc, term) as r from tot qualify r <= 2000),
+      top as (select *, row_number() over (partition by mode order by tf desc, term) as r from tot qualify r <= 50000),
       home as (select mode, term, lang as term_lang from mt semi join top using (mode, term) qualify row_number() over (partition by mode, term order by c desc, lang) = 1)
       select mode as train_set, term_lang, count(*) as n_terms from home group by all""",
     "q_encode": f"""with {CLEAN_DOCS}, ws as (select doc_id, {words('text')} as w from docs), t as (select doc_id, unnest(w) as term from ws),
-      top as (select term, count(*) as tf from t group by term order by tf desc, term limit 2000), vocab as (select term, row_number() over (order by term) - 1 as idx from top),
+      top as (select term, count(*) as tf from t group by term order by tf desc, term limit 50000), vocab as (select term, row_number() over (order by term) - 1 as idx from top),
       p as (select doc_id, unnest(range(1, least(len(w), 128) + 1)) as pos, unnest(w[1:128]) as term from ws),
       e as (select p.doc_id, p.pos, v.idx is null as unknown, coalesce(v.idx + 2, 1) as id from p left join vocab v using (term)),
       a as (select ws.doc_id, count(e.id) as n_ids, coalesce(count_if(e.unknown), 0)::bigint as n_unknown, coalesce(list(e.id order by e.pos) filter (where e.id is not null), []) as ids
@@ -302,11 +304,15 @@ ORACLES: dict[str, str] = {
     "q_linear_score": f"""with {VOCAB}, {WEIGHTS}, c as (select doc_id, w, w * (('0x' || substr(md5(term), 1, 6))::bigint / 16777216.0::double - 0.5) as wc from w),
       z as (select docs.doc_id, coalesce(sum(wc) / sqrt(sum(w * w)), 0.0) + 0.01::double as z from docs left join c using (doc_id) group by docs.doc_id)
       select doc_id, {r6('z')} as z, {r6('1 / (1 + exp(-z))')} as p, (z > 0)::int as pred from z""",
+    "q_lr_fit": f"""with {SPLIT}, docs as (select s.doc_id, s.lang, {clean('d.text')} as text from split s join documents d using (doc_id) where s.split = 'train'),
+      {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 50000), nd as (select count(*) as n_docs from docs)
+      select term, (row_number() over (order by term) - 1)::int as idx, df, {r6('ln((1 + n_docs) / (1 + df)::double) + 1')} as idf, true as settled from top, nd""",
     "q_run_plan": f"with {PLAN} select condition, size, seed, examples, epochs, steps from full_plan",
     "q_pending_runs": f"""with {PLAN}, {RUNS}, done as (select case condition when 'click' then 'target_only' else 'source_first' end as condition, size, seed from runs
         where lang = 'en' and n % 2 = 1 and condition in ('click', 'view'))
       select condition, size, seed, examples, epochs, steps from full_plan anti join done using (condition, size, seed)""",
-    "q_collect_runs": f"with {MODE_RUNS} select mode, seed::int as seed, lang, n, {r6('accuracy')} as accuracy, {r6('f1')} as f1 from runs",
+    "q_collect_runs": f"""with {MODE_RUNS}, r as (select * from runs union all by name select * exclude (seed), null as seed from runs where seed = 42)
+      select mode, coalesce(seed, -1)::int as seed, lang, n, {r6('accuracy')} as accuracy, {r6('f1')} as f1 from r""",
     "q_collect_curve_runs": f"with {RUNS} select condition, size, seed::int as seed, lang, n, {r6('f1')} as f1 from runs",
     "q_seed_summary": f"""with {MODE_RUNS} select mode, lang, arg_min(n, seed) as n, arg_min(train_samples, seed) as train_samples, {r6('avg(accuracy)')} as accuracy_mean,
       {r6(STD.format('accuracy'))} as accuracy_std, {r6('avg(f1)')} as f1_mean, {r6(STD.format('f1'))} as f1_std, count(*) as runs,
@@ -328,6 +334,10 @@ ORACLES: dict[str, str] = {
       s as (select mode, model, lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from runs where not (mode = 'error' and model = 'linear' and lang = 'de') group by all)
       select m.mode, m.model, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode, model from s) m
       left join (select * from s where lang = 'en') e using (mode, model) left join (select * from s where lang = 'de') d using (mode, model)""",
+    "q_accuracy_table": f"""with runs as (select mode, model, seed, lang, {FIGURES} from (select event_type as mode, if(user_id % 2 = 0, 'linear', 'other') as model, {EVENT} from events) group by all),
+      s as (select mode, model, lang, avg(accuracy) as mean, {STD.format('accuracy')} as std, count(*) as runs from runs group by all)
+      select m.mode, m.model, {cell('e.mean', 'e.std', 'e.runs')} as en, {cell('d.mean', 'd.std', 'd.runs')} as de from (select distinct mode, model from s) m
+      left join (select * from s where lang = 'en') e using (mode, model) left join (select * from s where lang = 'de') d using (mode, model)""",
     "q_model_rows": f"with {MODE_RUNS} select mode, seed, lang, n, {tenth('100 * accuracy')} as accuracy_pct, {tenth('100 * f1')} as f1_pct from runs",
     "q_history": f"""with {LOG}, c as (select run, 2 * count(*) as n, count(score) as evaluations from log group by run),
       b as (select run, epoch as best_epoch, {r6('score')} as best_score from log qualify row_number() over (partition by run order by score desc, epoch) = 1)

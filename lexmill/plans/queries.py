@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions import labels as L, scores as P, text as X
 from lexmill.operators import cleaning as C, features as V, linear as M, metrics as E, runs as R, sampling as S, stats as A
+from lexmill.operators.cleaning import clean_rows
 from lexmill.plans import experiments as W
 from lexmill.sources import corpus as I, records as J
 from lexmill.sources.workdir import materialize, new_path
@@ -15,8 +16,8 @@ from lexmill.sources.workdir import materialize, new_path
 LANGS = ("en", "de", "fr", "es")
 SOURCE, TARGET = "en", "de"
 KEYED = "doc_id BIGINT, text STRING, label INT"
-FEATURES = 2000
-SETTINGS = M.TfidfModel(max_features=FEATURES, max_iter=200)
+FEATURES = V.MAX_FEATURES
+SETTINGS = M.TfidfModel(tolerance=1e-9)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -232,8 +233,7 @@ QUERIES["q_clean_corpus"] = QUERIES.pop("q_clean_corpus_rows")
 
 @query
 def removed_count(spark, sf_dir):
-    found = documents(spark, sf_dir).select(F.regexp_extract("text", rf"[^{X.SPACE}]*[@#][^{X.SPACE}]*", 0).alias("text"))
-    return C.removed_count(found)
+    return C.removed_count(documents(spark, sf_dir))
 
 
 @query
@@ -461,9 +461,9 @@ def batch_summary(spark, sf_dir):
 
 @query
 def softmax(spark, sf_dir):
-    logits = F.slice("embedding", 1, 2)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", P.argmax(logits).alias("pred"), P.softmax(logits).alias("p"))
-    return rows.select("vec_id", "pred", r6(F.col("p")[0]).alias("p0"), r6(F.col("p")[1]).alias("p1"))
+    logits = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", P.argmax(logits).alias("pred"), F.posexplode(P.softmax(logits)).alias("place", "p"))
+    return rows.select("vec_id", "pred", "place", r6("p").alias("p"))
 
 
 # Features -----------------------------------------------------------------------------------
@@ -503,10 +503,10 @@ def tfidf(spark, sf_dir):
 def sparse_rows(spark, sf_dir):
     docs = counted(spark, sf_dir, ["lang"])
     rows = V.sparse_rows(docs, V.vocabulary(docs, FEATURES), ["lang"])
-    square = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v)
+    whole = F.transform("values", lambda v: F.round(v * 100000).cast("long"))
     return rows.select(
         "doc_id", "lang", big(F.size("indices")).alias("n_terms"),
-        F.md5(F.array_join("indices", ",")).alias("indices_md5"), r6(square).alias("length"),
+        F.md5(F.array_join("indices", ",")).alias("indices_md5"), F.md5(F.array_join(whole, ",")).alias("values_md5"),
     )
 
 
@@ -546,8 +546,19 @@ def fitted(spark, sf_dir) -> tuple[DataFrame, M.TfidfModel]:
 
 @query
 def lr_fit(spark, sf_dir):
-    _, model = fitted(spark, sf_dir)
-    return model.terms.select("term", "idx", "df", r6("idf").alias("idf"), F.round("coef", 4).alias("coef"))
+    """The vocabulary, and per term whether the gradient of the training objective vanishes there.
+
+    The objective is strictly convex, so this tells the optimum apart from all other models. It is
+    computed by joins from the scores of the training rows, without the solver.
+    """
+    rows, model = fitted(spark, sf_dir)
+    train = V.counted_docs(clean_rows(rows.filter(F.col("split") == "train"), drop_empty=False), ["label"])
+    weights = A.class_weights(train.select("label"), label="label").select("label", "weight")
+    misses = M.score_counted(train, model, ["label"]).join(weights, "label")
+    misses = misses.select("doc_id", (F.col("weight") * (F.col("score") - F.col("label"))).alias("miss"))
+    pulls = V.tfidf(train, model.terms).join(misses, "doc_id").groupBy("idx").agg(F.sum(F.col("weight") * F.col("miss")).alias("pull"))
+    slope = F.abs(F.coalesce("pull", F.lit(0.0)) + F.col("coef") / model.c)
+    return model.terms.join(pulls, "idx", "left").select("term", "idx", "df", r6("idf").alias("idf"), (slope < 0.01).alias("settled"))
 
 
 @query
@@ -566,7 +577,7 @@ def lr_report(spark, sf_dir):
 
 @query
 def transfer_matrix(spark, sf_dir):
-    return W.transfer_matrix(texts_with_split(spark, sf_dir), W.standard_modes(SOURCE, TARGET), M.TfidfModel())
+    return W.transfer_matrix(texts_with_split(spark, sf_dir), W.standard_modes(SOURCE, TARGET), SETTINGS)
 
 
 @query
@@ -596,9 +607,13 @@ def pending_runs(spark, sf_dir):
 @query
 def collect_runs(spark, sf_dir):
     root = new_path(spark, "runs")
-    J.write_runs(mode_runs(spark, sf_dir), root, ["mode", "seed"], [])
+    runs = mode_runs(spark, sf_dir)
+    J.write_runs(runs, root, ["mode", "seed"], [])
+    # Baselines have no seed: one record per mode, in a folder of their own.
+    J.write_runs(runs.filter(F.col("seed") == 42).drop("seed"), f"{root}/baseline", ["mode"], [])
     back = J.read_runs(spark, root)
-    return rounded(back.select("mode", "seed", "lang", "n", "accuracy", "f1"), "accuracy", "f1")
+    seed = F.coalesce("seed", F.lit(-1)).alias("seed")
+    return rounded(back.select("mode", seed, "lang", "n", "accuracy", "f1"), "accuracy", "f1")
 
 
 @query
@@ -656,6 +671,12 @@ def results_table(spark, sf_dir):
     return R.results_table(rows, ["mode", "model"], "lang", [SOURCE, TARGET], "f1")
 
 
+@query
+def accuracy_table(spark, sf_dir):
+    rows = R.collect_results(mode_runs(spark, sf_dir, "model"), ["mode", "model", "lang"])
+    return R.results_table(rows, ["mode", "model"], "lang", [SOURCE, TARGET], "accuracy")
+
+
 @query
 def model_rows(spark, sf_dir):
     return R.model_rows(mode_runs(spark, sf_dir)).withColumn("seed", big("seed"))

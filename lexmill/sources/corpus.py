@@ -31,14 +31,17 @@ CSV_OPTIONS = {
 }
 
 
+SCAN_TASKS = "spark.lexmill.scanTasks"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a plain scan dealt out over all cores when it has fewer splits than that.
+    """Rows of a scan dealt out over as many tasks as the setting ``spark.lexmill.scanTasks`` says.
 
-    Large inputs already have one split per block and stay as they are. Meant for scans only:
-    asking a plan with joins for its partitions would run them.
+    Unset, as it should be on large inputs, rows stay where the scan has them. The setting is for
+    a single small file, which cannot be split and would keep one core busy.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks), key) if tasks else df
 
 
 def rename_columns(df: DataFrame, text: str, label: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,11 @@ HISTORY_SCHEMA = (
 )
 
 
+# A run's folder is named by its mode; under it there may be one folder for each seed.
+MODE = r"/(?:mode=)?([^/=]+)(?:/seed=?[0-9]+)?/[^/]+$"
+SEED = r"/seed=?([0-9]+)/[^/]+$"
+
+
 def _path_part(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
@@ -32,13 +37,14 @@ def _read(spark: SparkSession, root: str, schema: str, file_glob: str) -> DataFr
 
 
 def read_runs(spark: SparkSession, root: str, file_glob: str = "*.json") -> DataFrame:
-    """``mode, seed, model, train_samples, lang, n, accuracy, ...`` from ``<mode>/seed<seed>/``.
+    """``mode, seed, model, train_samples, lang, n, accuracy, ...`` of all records under ``root``.
 
-    Folders may also be partition folders (``mode=.../seed=...``). Missing runs give no rows.
+    A record lies in ``<mode>/seed<seed>/``, or in ``<mode>/`` if its run has no seed, which is then
+    NULL; both may lie in any folder below ``root``. Folders may also be partition folders (``mode=.../seed=...``). Missing runs give no rows.
     """
     runs = _read(spark, root, RUN_SCHEMA, file_glob).select(
-        _path_part(r"/(?:mode=)?([^/=]+)/seed=?[0-9]+/[^/]+$").alias("mode"),
-        _path_part(r"/seed=?([0-9]+)/[^/]+$").cast("int").alias("seed"),
+        _path_part(MODE).alias("mode"),
+        _path_part(SEED).try_cast("int").alias("seed"),
         "model", "train_samples", "best_val_f1",
         F.explode("test").alias("lang", "_m"),
     )
@@ -52,8 +58,8 @@ def read_curve_runs(spark: SparkSession, root: str, file_glob: str = "*.json") -
     """
     runs = _read(spark, root, CURVE_SCHEMA, file_glob).select(
         _path_part(r"/(?:condition=)?([^/=]+)/(?:n|size=)[0-9]+/seed").alias("condition"),
-        _path_part(r"/(?:n|size=)([0-9]+)/seed").cast("int").alias("size"),
-        _path_part(r"/seed=?([0-9]+)[./]").cast("int").alias("seed"),
+        _path_part(r"/(?:n|size=)([0-9]+)/seed").try_cast("int").alias("size"),
+        _path_part(r"/seed=?([0-9]+)[./]").try_cast("int").alias("seed"),
         "positive_share", "epochs", "steps",
         F.explode("test").alias("lang", "_m"),
     )
@@ -67,8 +73,8 @@ def read_history(spark: SparkSession, root: str, file_glob: str = "*.json") -> D
     """
     log = _read(spark, root, HISTORY_SCHEMA, file_glob)
     return log.select(
-        _path_part(r"/(?:mode=)?([^/=]+)/seed=?[0-9]+/[^/]+$").alias("mode"),
-        _path_part(r"/seed=?([0-9]+)/[^/]+$").cast("int").alias("seed"),
+        _path_part(MODE).alias("mode"),
+        _path_part(SEED).try_cast("int").alias("seed"),
         "*",
     )
 

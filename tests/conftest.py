@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(work / "shared"))
         .config("spark.sql.warehouse.dir", str(work / "warehouse"))
         .config("spark.driver.memory", "8g")
+        .config("spark.lexmill.scanTasks", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -8,7 +8,7 @@ from lexmill.operators import cleaning as C
 def standardized(spark, values, kind):
     df = spark.createDataFrame(list(enumerate(values)), f"i INT, label {kind}")
     out = C.standardize_labels(df)
-    assert out.schema["label"].dataType.simpleString() == "int"
+    assert out.schema["label"].dataType.simpleString() == "bigint"
     return {r["i"]: r["label"] for r in out.collect()}
 
 
@@ -52,3 +52,10 @@ def test_names(spark):
         ("LABEL_1", 1, "positive"), ("POSITIVE", 1, "positive"), ("pos", 1, "pos"),
         ("LABEL_0", 0, "negative"), ("NEGATIVE", 0, "negative"), ("other", 0, "other"),
     ]
+
+
+def test_labels_beyond_32_bits_are_kept(spark):
+    rows = spark.createDataFrame([("3000000000",), ("-3000000000",)], "x STRING").select(L.standardize_string_label(F.col("x")).alias("y"))
+    assert sorted(r["y"] for r in rows.collect()) == [-3000000000, 3000000000]
+    mapped = spark.createDataFrame([(3000000000,)], "x LONG").select(L.map_label(F.col("x"), {"3000000000": 1}).alias("y"))
+    assert mapped.head()["y"] == 1

@@ -90,10 +90,10 @@ def test_errors(spark):
     assert (len(first["text"]), first["true_label"], first["predicted"]) == (200, "negative", "positive")
 
 
-def test_error_samples_cut_each_partition_down_first(spark):
+def test_error_samples_meet_the_texts_by_broadcast(spark):
     df = scored(spark, ROWS)
     plan = E.error_samples(df.drop("text"), df, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_corpus_stats(spark):

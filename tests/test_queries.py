@@ -1,11 +1,14 @@
 import math
+from numbers import Number
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 
-TABLES = "documents labels pages conversations events embeddings".split()
+TABLES = "documents labels pages conversations events embeddings benchmark".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -19,9 +22,9 @@ def con(sf_dir):
 
 def rows(frame):
     def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "NULL"
-        return repr(float(v)) if isinstance(v, float) else str(v)
+        return repr(float(v)) if isinstance(v, Number) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(cell(v) for v in r) for r in frame.itertuples(index=False, name=None))

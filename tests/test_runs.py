@@ -144,3 +144,19 @@ def test_spread_of_one_run_is_zero(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.25), ("b", 2, 0.75)], "g STRING, seed INT, v DOUBLE")
     got = {r["g"]: (r["mean"], r["std"], r["runs"]) for r in R.seed_summary(df, ["g"], "v").collect()}
     assert got["a"] == (0.5, 0.0, 1) and math.isclose(got["b"][1], math.sqrt(0.125))
+
+
+def test_patience_must_be_positive(spark):
+    log = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.3)], "run STRING, epoch INT, score DOUBLE")
+    with pytest.raises(ValueError):
+        R.early_stop(log, patience=0)
+
+
+def test_records_with_and_without_a_seed_folder_are_read_together(spark, folder):
+    put(folder, "low_resource/seed42/metrics.json", {"model": "neural", "train_samples": 7, "test": {"en": metrics(0.8, 0.75)}})
+    put(folder, "baseline/low_resource/metrics.json", {"model": "linear", "train_samples": 7, "test": {"en": metrics(0.4, 0.33)}})
+    runs = J.read_runs(spark, folder, "metrics.json")
+    assert {(r["mode"], r["seed"], r["model"]) for r in runs.collect()} == {("low_resource", 42, "neural"), ("low_resource", None, "linear")}
+    summary = R.collect_results(runs, ["mode", "model", "lang"])
+    table = R.results_table(summary, ["mode"], "model", ["linear", "neural"], "f1")
+    assert [tuple(r) for r in table.collect()] == [("low_resource", "33.0", "75.0")]

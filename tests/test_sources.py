@@ -113,14 +113,18 @@ def test_cache_is_keyed_by_source_and_options(spark, folder):
     assert cache.cleaned(df, f"{folder}-v2").inputFiles() != first.inputFiles()
 
 
-def test_work_folder_is_required_on_a_cluster(spark, monkeypatch):
+def test_tables_between_stages_lie_in_the_work_folder(spark):
+    rows = workdir.materialize(spark.range(3).toDF("x"), "rows")
+    assert rows.count() == 3 and all(workdir.app_root(spark) in f for f in rows.inputFiles())
+    assert workdir.app_root(spark).startswith(workdir.work_root(spark))
+
+
+def test_work_folder_without_a_setting_is_in_the_warehouse():
     class Conf:
-        def get(self, *_):
-            return None
+        def get(self, name, default=None):
+            return "/data/warehouse/" if name == workdir.WAREHOUSE else default
 
     class Context:
-        master = "yarn"
-
         def getConf(self):
             return Conf()
 
@@ -128,16 +132,9 @@ def test_work_folder_is_required_on_a_cluster(spark, monkeypatch):
             return None
 
     class Session:
-        conf = Conf()
-        sparkContext = Context()
-
-    with pytest.raises(RuntimeError):
-        workdir.work_root(Session())
-
+        conf, sparkContext = Conf(), Context()
 
-def test_local_fallback_is_one_folder_per_application():
-    first = workdir._local_folder("app-1")
-    assert first == workdir._local_folder("app-1") != workdir._local_folder("app-2")
+    assert workdir.work_root(Session()) == "/data/warehouse/work"
 
 
 def corpus(spark):
