@@ -156,6 +156,17 @@ VOCAB = f"{CLEAN_DOCS}, {TERMS}, {STATS}, top as (select * from st order by tf d
     "vocab as (select top.*, row_number() over (order by term) - 1 as idx, ln((1 + n_docs) / (1 + df)::double) + 1 as idf from top, nd)"
 WEIGHTS = "w as (select tc.doc_id, tc.lang, tc.term, v.idx, (1 + ln(tc.c)) * v.idf as w from tc join vocab v using (term))"
 
+KNOWN = f"""{VOCAB}, {WEIGHTS}, c as (select doc_id, w, w * (('0x' || substr(md5('SEED' || term), 1, 6))::bigint / 16777216.0::double - 0.5) as wc from w),
+    z as (select docs.doc_id, coalesce(sum(wc) / sqrt(sum(w * w)), 0.0) + 0.01::double as z from docs left join c using (doc_id) group by docs.doc_id),
+    p as (select doc_id, z, 1 / (1 + exp(-z)) as p from z)"""
+KNOWN_SCORED = f"""{KNOWN}, {LABELLED}, scored as (select l.doc_id, l.lang, l.label, (z > 0)::int as pred, p as score, greatest(p, 1 - p) as confidence
+    from labelled l join p using (doc_id))"""
+
+
+def known(query: str, seed: str = "") -> str:
+    return f"with {KNOWN_SCORED.replace('SEED', seed)}, {query}"
+
+
 SIZE = "([100, 250, 500, 1000, 2500, 9681])[user_id % 6 + 1]"
 EVENT = "day(ts) % 3 + 42 as seed, case when event_id % 2 = 0 then 'en' else 'de' end as lang, round(value * 100)::bigint as cents, value"
 FIGURES = "count(*) as n, sum(cents) / (count(cents) * 10000.0::double) as f1, count_if(value > 10) / count(*) as accuracy"
@@ -198,6 +209,15 @@ def line(t: str) -> str:
     return swap(t, edge, "")
 
 
+def error_samples(n: int) -> str:
+    return f"""with {CORPUS}, {scored('corpus', 'doc_id, lang, label, text')}, {BUCKETED},
+      r as (select *, row_number() over (partition by bucket order by doc_id) as rn from bucketed)
+      select bucket, rn, doc_id, substring(text, 1, 200) as text, {NAME.format('label')} as true_label, {NAME.format('pred')} as predicted, {r6('confidence')} as confidence
+      from r where rn <= {n}"""
+
+
+LINEAR_SCORE = f"with {KNOWN.replace('SEED', '')} select doc_id, {r6('z')} as z, {r6('p')} as p, (z > 0)::int as pred from p"
+
 ORACLES: dict[str, str] = {
     "q_read_split": f"with {SPLIT} select s.doc_id, s.lang, s.split, s.label, md5(d.text) as text_md5 from split s join documents d using (doc_id) where s.lang = 'en' and s.split = 'train'",
     "q_read_corpus": f"with {SPLIT} select s.doc_id, s.lang, s.split, s.label, md5(d.text) as text_md5 from split s join documents d using (doc_id)",
@@ -214,6 +234,7 @@ ORACLES: dict[str, str] = {
     "q_norm_ws": f"select doc_id, md5({one_space('text')}) as text_md5 from documents",
     "q_lower": "select doc_id, md5(lower(text)) as text_md5 from documents",
     "q_clean_corpus": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
+    "q_cleaned_cache": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
     "q_removed_count": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
       select {clean("text")} as t from documents)""",
     "q_tokens": f"with {CLEAN_DOCS} select doc_id, len(w)::bigint as n_tokens, len(list_distinct(w))::bigint as n_distinct from (select doc_id, {words('text')} as w from docs)",
@@ -269,10 +290,8 @@ ORACLES: dict[str, str] = {
     "q_metrics_rollup": f"""with {SCORED}, {CELLS_LANG.replace('cells as', 'per as')},
       cells as (select * from per union all by name select 'ALL' as lang, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn, sum(tp) as tp from per), {CLASSES} {SUMMARY}""",
     "q_error_counts": f"with {SCORED}, {BUCKETED} select bucket, count(*) as true_n, least(count(*), 50) as capped_n from bucketed group by bucket",
-    "q_error_samples": f"""with {CORPUS}, {scored('corpus', 'doc_id, lang, label, text')}, {BUCKETED},
-      r as (select *, row_number() over (partition by bucket order by doc_id) as rn from bucketed)
-      select bucket, rn, doc_id, substring(text, 1, 200) as text, {NAME.format('label')} as true_label, {NAME.format('pred')} as predicted, {r6('confidence')} as confidence
-      from r where rn <= 5""",
+    "q_error_samples_5000": error_samples(5000),
+    "q_error_samples": error_samples(5),
     "q_confidence_bands": f"with {scored('documents', 'doc_id')} select {phrase('score')} as band, {EMOJI} as emoji, count(*) as n from scored group by all",
     "q_batch_view": f"""with {scored('documents', 'doc_id, text')} select doc_id, case when length(text) > 50 then substring(text, 1, 50) || '...' else text end as text,
       {NAME.format('pred')} as sentiment, {tenth('100 * confidence')} as confidence, {phrase('confidence')} as band, {EMOJI} as emoji
@@ -301,9 +320,20 @@ ORACLES: dict[str, str] = {
       a as (select ws.doc_id, count(e.id) as n_ids, coalesce(count_if(e.unknown), 0)::bigint as n_unknown, coalesce(list(e.id order by e.pos) filter (where e.id is not null), []) as ids
             from ws left join e using (doc_id) group by ws.doc_id)
       select doc_id, n_ids, n_unknown, 128::bigint as n_padded, md5(array_to_string(list_concat(ids, list_transform(range(128 - n_ids), lambda i: 0)), ',')) as ids_md5 from a""",
-    "q_linear_score": f"""with {VOCAB}, {WEIGHTS}, c as (select doc_id, w, w * (('0x' || substr(md5(term), 1, 6))::bigint / 16777216.0::double - 0.5) as wc from w),
-      z as (select docs.doc_id, coalesce(sum(wc) / sqrt(sum(w * w)), 0.0) + 0.01::double as z from docs left join c using (doc_id) group by docs.doc_id)
-      select doc_id, {r6('z')} as z, {r6('1 / (1 + exp(-z))')} as p, (z > 0)::int as pred from z""",
+    "q_linear_score": LINEAR_SCORE,
+    "q_saved_model": LINEAR_SCORE,
+    "q_model_metrics": known(f"""{CELLS_LANG.replace('cells as', 'per as')},
+      cells as (select * from per union all by name select 'ALL' as lang, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn, sum(tp) as tp from per), {CLASSES} {SUMMARY}"""),
+    "q_model_per_class": known(f"""{CELLS_LANG}, {CLASSES} select lang, cls as label, class, {r6('precision')} as precision, {r6('recall')} as recall,
+      {r6('f1')} as f1, support::bigint as support from classes"""),
+    "q_model_error_counts": known(f"{BUCKETED} select bucket, count(*) as true_n, least(count(*), 50) as capped_n from bucketed group by bucket"),
+    "q_model_error_samples": known(f"""{BUCKETED}, r as (select *, row_number() over (partition by bucket order by doc_id) as rn from bucketed)
+      select bucket, rn, r.doc_id, substring(d.text, 1, 200) as text, {NAME.format('label')} as true_label, {NAME.format('pred')} as predicted, {r6('confidence')} as confidence
+      from r join documents d on d.doc_id = r.doc_id where rn <= 50"""),
+    "q_run_chain": f"""with a as ({known(f"{CELLS_LANG}, {CLASSES} select lang, 42 as seed, avg(f1) filter (where present) as f1 from classes group by lang", "42")}),
+      b as ({known(f"{CELLS_LANG}, {CLASSES} select lang, 43 as seed, avg(f1) filter (where present) as f1 from classes group by lang", "43")}),
+      s as (select lang, avg(f1) as mean, {STD.format('f1')} as std, count(*) as runs from (select * from a union all select * from b) group by lang)
+      select 'known' as mode, {', '.join(f"max({cell('mean', 'std', 'runs')}) filter (lang = '{x}') as {x}" for x in ('en', 'de', 'fr', 'es'))} from s""",
     "q_lr_fit": f"""with {SPLIT}, docs as (select s.doc_id, s.lang, {clean('d.text')} as text from split s join documents d using (doc_id) where s.split = 'train'),
       {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 50000), nd as (select count(*) as n_docs from docs)
       select term, (row_number() over (order by term) - 1)::int as idx, df, {r6('ln((1 + n_docs) / (1 + df)::double) + 1')} as idf, true as settled from top, nd""",

@@ -11,6 +11,7 @@ from lexmill.operators import cleaning as C, features as V, linear as M, metrics
 from lexmill.operators.cleaning import clean_rows
 from lexmill.plans import experiments as W
 from lexmill.sources import corpus as I, records as J
+from lexmill.sources.cache import cleaned
 from lexmill.sources.workdir import materialize, new_path
 
 LANGS = ("en", "de", "fr", "es")
@@ -19,6 +20,8 @@ KEYED = "doc_id BIGINT, text STRING, label INT"
 FEATURES = V.MAX_FEATURES
 SETTINGS = M.TfidfModel(tolerance=1e-9)
 
+FIGURES = ("accuracy", "precision", "recall", "f1")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -401,9 +404,6 @@ def scored(spark, sf_dir) -> DataFrame:
     return with_score(labelled(spark, sf_dir))
 
 
-FIGURES = ("accuracy", "precision", "recall", "f1")
-
-
 @query
 def confusion(spark, sf_dir):
     return E.confusion(scored(spark, sf_dir), ["lang"])
@@ -435,6 +435,12 @@ def error_counts(spark, sf_dir):
     return E.error_counts(scored(spark, sf_dir), 50)
 
 
+@query
+def error_samples_5000(spark, sf_dir):
+    rows = E.error_samples(scored(spark, sf_dir), documents(spark, sf_dir), 5000)
+    return rounded(rows.withColumn("rn", big("rn")), "confidence")
+
+
 @query
 def error_samples(spark, sf_dir):
     rows = E.error_samples(scored(spark, sf_dir), documents(spark, sf_dir), 5)
@@ -527,15 +533,78 @@ def encode(spark, sf_dir):
     )
 
 
+def known_model(docs: DataFrame, seed: str = "") -> M.TfidfModel:
+    """A model over the texts' vocabulary whose coefficients are a hash of the term."""
+    term = F.concat(F.lit(seed), F.col("term"))
+    coefficient = F.conv(F.substring(F.md5(term), 1, 6), 16, 10).cast("double") / 16777216.0 - 0.5
+    return M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=V.vocabulary(docs, FEATURES).withColumn("coef", coefficient))
+
+
 @query
 def linear_score(spark, sf_dir):
-    coefficient = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("double") / 16777216.0 - 0.5
     docs = counted(spark, sf_dir)
-    terms = V.vocabulary(docs, FEATURES).withColumn("coef", coefficient)
-    rows = M.score_counted(docs, M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=terms))
+    rows = M.score_counted(docs, known_model(docs))
     return rows.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
 
 
+@query
+def saved_model(spark, sf_dir):
+    """Scores of a model that was saved and loaded."""
+    docs = counted(spark, sf_dir)
+    path = new_path(spark, "model")
+    M.save_model(known_model(docs), path)
+    rows = M.score_counted(docs, M.load_model(spark, path))
+    return rows.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
+
+
+def known_evaluation(spark, sf_dir, part: str) -> DataFrame:
+    """One table of everything reported about a model on all labelled texts."""
+    return W.evaluation(corpus(spark, sf_dir), known_model(counted(spark, sf_dir)))[part]
+
+
+@query
+def model_metrics(spark, sf_dir):
+    return rounded(known_evaluation(spark, sf_dir, "metrics"), *FIGURES)
+
+
+@query
+def model_per_class(spark, sf_dir):
+    return rounded(known_evaluation(spark, sf_dir, "per_class"), "precision", "recall", "f1")
+
+
+@query
+def model_error_counts(spark, sf_dir):
+    return known_evaluation(spark, sf_dir, "error_counts")
+
+
+@query
+def model_error_samples(spark, sf_dir):
+    rows = known_evaluation(spark, sf_dir, "error_samples")
+    return rounded(rows.withColumn("rn", big("rn")), "confidence")
+
+
+@query
+def run_chain(spark, sf_dir):
+    """Evaluations of two seeds become run records, which are read back, collected and shown as a table."""
+    docs, root = counted(spark, sf_dir), new_path(spark, "chain")
+    marks = labelled(spark, sf_dir).select("doc_id", "lang", "label")
+    for seed in (42, 43):
+        rows = M.score_counted(docs, known_model(docs, str(seed))).join(marks, "doc_id")
+        measured = E.evaluate(rows, ["lang"]).withColumns({"mode": F.lit("known"), "seed": F.lit(seed)})
+        J.write_runs(measured, f"{root}/{seed}", ["mode", "seed"], [])
+    summary = R.collect_results(J.read_runs(spark, root))
+    return R.results_table(summary, ["mode"], "lang", list(LANGS), "f1")
+
+
+@query
+def cleaned_cache(spark, sf_dir):
+    """Texts cleaned once and read back the second time."""
+    source = f"{sf_dir} {spark.sparkContext.applicationId}"
+    for _ in range(2):
+        rows = cleaned(documents(spark, sf_dir), source, lowercase=True)
+    return rows.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # Fitted models ------------------------------------------------------------------------------
 
 
