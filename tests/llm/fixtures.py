@@ -6,7 +6,7 @@ import re
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id BIGINT, text STRING, lang STRING, signature STRING, key INT"
+DOCS = "doc_id BIGINT, text STRING, lang STRING, signature STRING, key INT, _gone INT, rest STRING"
 
 
 def words(text, pattern=WORD):
@@ -15,7 +15,7 @@ def words(text, pattern=WORD):
 
 def documents(spark, texts, first=0):
     """Documents with columns whose names the operators use themselves."""
-    rows = [(first + i, t, "en", "x", i) for i, t in enumerate(texts)]
+    rows = [(first + i, t, "en", "x", i, i, None) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from fixtures import ODD, changed, documents, prose, words
 from lexmill.llm import line_dedup as L
 
@@ -63,7 +65,8 @@ def test_lines_equal_brute_force(spark):
 def test_documents_that_lose_all_words_go(spark):
     docs = documents(spark, ["a b\nc", "c\na b", "c\nnew", "", None, " \n"])
     left = L.drop_lines(docs)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and left.filter("key = doc_id").count() == 5
+    assert L.drop_lines(docs.withColumn("doc_id", F.expr("if(key = 0, null, doc_id)"))).filter("doc_id IS NULL").head()["text"] == "a b\nc"
     assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(0, "a b\nc"), (2, "new"), (3, ""), (4, None), (5, " \n")]
 
 

@@ -53,7 +53,7 @@ def test_components_equal_brute_force(spark):
 
 def test_one_of_each_group_stays_with_all_columns(spark):
     docs = documents(spark, ["a b c d e f"] * 4 + ["other words", None, ""])
-    kept = N.keep_one(docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "x", 1)], DOCS)))
+    kept = N.keep_one(docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "x", 1, 1, None)], DOCS)))
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 0), (False, 4), (False, 5), (False, 6), (True, None)]
 
