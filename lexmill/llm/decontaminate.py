@@ -163,4 +163,4 @@ def report(docs: DataFrame, benchmark: DataFrame, tiling: Tiling = Tiling()) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows without doc_id stay. Runs jobs."""
     gone = contamination(docs, benchmark, tiling).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -206,4 +206,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that score below the threshold; rows without doc_id stay. Runs jobs."""
     gone = score(docs, fit(docs, labels, settings)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = gone.distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
