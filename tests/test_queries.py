@@ -30,13 +30,33 @@ def rows(frame):
     return sorted(tuple(cell(v) for v in r) for r in frame.itertuples(index=False, name=None))
 
 
+class Plans:
+    """The plans of all SQL executions that run inside the block, those between stages included."""
+
+    def __init__(self, spark):
+        self.context, self.store = spark.sparkContext, spark._jsparkSession.sharedState().statusStore()
+
+    def __enter__(self):
+        self.first = self.store.executionsCount()
+        return self
+
+    def __exit__(self, *_):
+        self.context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        new = self.store.executionsList(self.first, 1_000)
+        self.texts = [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+
+
+def check_plans(texts):
+    assert texts
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEvalPython"):
+        assert not [t for t in texts if word in t]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    result = QUERIES[name](spark, sf_dir)
-    plan = result._jdf.queryExecution().executedPlan().toString()
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEvalPython"):
-        assert word not in plan
-    got = result.toPandas()
+    with Plans(spark) as plans:
+        got = QUERIES[name](spark, sf_dir).toPandas()
+    check_plans(plans.texts)
     expected = con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert len(got) > 0 and rows(got) == rows(expected)
@@ -44,7 +64,9 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+    with Plans(spark) as plans:
+        assert QUERIES[name](spark, sf_dir).count() > 0
+    check_plans(plans.texts)
 
 
 def test_every_sql_has_its_query():
