@@ -79,7 +79,7 @@ def crc_rest(key: str | Column, by: int) -> Column:
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node with an edge.
+    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that reaches a smaller one.
 
     Alternates hooking every neighbourhood to its smallest node and to smaller nodes only, until
     nothing changes; the number of rounds grows with the logarithm of the longest path. Each round

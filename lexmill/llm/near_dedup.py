@@ -9,11 +9,13 @@ region a class is compared with its ``DENSE`` next neighbours, which share the l
 with the smallest class below its prefixes of several depths. Sorting splits a dense region over
 tasks like any other rows, and the candidates of a class are bounded, so no group emits its pairs.
 
-Components need not every link: first each class is confirmed against its best candidate only. Then
-the classes of dense regions are sorted once more, with their components: now every class outside a
-region's main component meets all classes of other components in the region (the ``WIDE`` next ones
-on either side, in every order), so a class whose only link leads to one certain member of a crowd
-finds it. These and all earlier candidates between different components are confirmed in full.
+Components need not every link: first each class is confirmed against its best candidate only, then
+the other candidates between different components. For a class whose only link leads to one certain
+member of a crowd, the classes of dense regions are then sorted once more, each with its difference to
+a common member, the hub of all classes its candidates lead to. As X and M differ where exactly one of
+X - H and M - H (symmetric differences) has a shingle, these short lists give the exact similarity. A
+task compares every class outside a region's main component with all others of its rows in the region,
+by an inverted index over the lists, and hands on one link for each class and component it found.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ MIN_DEPTH = 3
 DEPTH = 12
 NEAR = 8
 DENSE = 2
-WIDE = 4096
 HUB_DEPTHS = (3, 6)
 
 
@@ -202,43 +203,64 @@ def floor(forest: Forest) -> int:
     return int(VALUES * share - 5 * (VALUES * share * (1 - share)) ** 0.5)
 
 
-def crowd_pairs(region: np.ndarray, roots: np.ndarray, grid: np.ndarray, sizes: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs in one region of sorted rows, in different components and alike enough."""
+def differences(dense: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, hub, apart): the classes of dense regions with candidates, and where they differ from the hub. Runs jobs."""
+    hubs = components(pairs.select("a", "b"), "hubs").select(F.col("node").alias("doc_id"), F.col("root").alias("hub"))
+    own = hubs.join(dense, "doc_id", "left_semi").join(sets, "doc_id")
+    of_hub = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    apart = F.concat(F.array_except("shingles", "hub_shingles"), F.array_except("hub_shingles", "shingles"))
+    return own.join(of_hub, "hub").select("doc_id", "hub", apart.alias("apart"))
+
+
+def crowd_links(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, apart: list[np.ndarray], forest: Forest) -> tuple[list[int], list[int]]:
+    """Links between classes of one region and hub in different components, one for each class and component."""
     values, counts = np.unique(roots, return_counts=True)
     main = values[counts.argmax()]
+    lengths = np.array([len(x) for x in apart])
+    rows = np.repeat(np.arange(len(ids)), lengths)
+    flat = np.concatenate(apart)
+    order = np.argsort(flat, kind="stable")
+    flat, rows = flat[order], rows[order]
     left, right = [], []
     for i in np.flatnonzero(roots != main):
-        low, high = max(0, i - WIDE), i + WIDE + 1
-        # A pair of two classes outside the main component is met from its first row only.
-        met = np.flatnonzero((roots[low:high] != roots[i]) & ((roots[low:high] == main) | (np.arange(low, low + len(roots[low:high])) > i))) + low
-        fits = 100 * np.minimum(sizes[met], sizes[i]) >= forest.percent * np.maximum(sizes[met], sizes[i])
-        met = met[fits]
-        met = met[(grid[met] == grid[i]).sum(axis=1) >= floor(forest)]
-        left.append(np.full(len(met), region[i]))
-        right.append(region[met])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def crowds(classes: DataFrame, dense: DataFrame, roots: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct (a, b) of dense regions, in different components and alike enough."""
-    own = classes.join(dense, "doc_id", "left_semi")
-    own = own.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("doc_id", "signature", F.coalesce("root", "doc_id").alias("root"), "n_shingles")
-    keys = sorted_orders(own, forest).join(own, "doc_id")
-
-    def pairs(batches):
+        low, high = np.searchsorted(flat, apart[i], "left"), np.searchsorted(flat, apart[i], "right")
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else low
+        shared = np.bincount(rows[at], minlength=len(ids))
+        differ = lengths[i] + lengths - 2 * shared
+        both = sizes[i] + sizes  # intersection = (both - differ) / 2, union = (both + differ) / 2
+        linked = np.flatnonzero((100 * (both - differ) >= forest.percent * (both + differ)) & (roots != roots[i]))
+        for j in linked[np.unique(roots[linked], return_index=True)[1]]:
+            left.append(int(ids[i]))
+            right.append(int(ids[j]))
+    return left, right
+
+
+def crowds(classes: DataFrame, apart: DataFrame, roots: DataFrame, forest: Forest) -> DataFrame:
+    """Confirmed (a, b) of dense regions between different components."""
+    own = classes.join(apart, "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = own.select("doc_id", "signature", F.coalesce("root", "doc_id").alias("root"), "n_shingles", "hub", "apart")
+    rows = sorted_orders(own, forest).join(own.drop("signature"), "doc_id")
+
+    def links(batches):
         whole, keys = sorted_rows(batches)
         if whole is None:
             return
-        ids, root, sizes = (whole.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles"))
-        grid = byte_grid(whole.column("signature"), 2 * VALUES).view(np.uint16)
+        ids, root, sizes, hub = (whole.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles", "hub"))
+        lists = whole.column("apart").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], common_depth(keys[:-1], keys[1:]) < MIN_DEPTH, [True]]))
         for start, end in zip(edges[:-1], edges[1:]):
-            if end - start > 1 and root[start:end].min() != root[start:end].max():
-                left, right = crowd_pairs(ids[start:end], root[start:end], grid[start:end], sizes[start:end], forest)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(left, right)), "b": pa.array(np.maximum(left, right))})
+            if end - start < 2 or root[start:end].min() == root[start:end].max():
+                continue
+            for one in np.unique(hub[start:end]):
+                at = start + np.flatnonzero(hub[start:end] == one)
+                if len(at) > 1 and root[at].min() != root[at].max():
+                    left, right = crowd_links(ids[at], root[at], sizes[at], [flat[offsets[i] : offsets[i + 1]] for i in at], forest)
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return in_order(keys).mapInArrow(pairs, "a long, b long").distinct()
+    return in_order(rows).mapInArrow(links, "a long, b long").distinct()
 
 
 def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
@@ -313,9 +335,11 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
     between = pairs.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
     between = between.filter(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-    between = between.select("a", "b").unionByName(crowds(classes, dense, roots, forest)).distinct()
-    second = materialize(confirmed(between, sets, forest), "links")
+    second = materialize(confirmed(between.select("a", "b"), sets, forest), "links")
     roots = materialize(components(first.unionByName(second)), "roots")
+    apart = materialize(differences(dense, pairs, sets), "apart")
+    third = materialize(crowds(classes, apart, roots, forest), "links")
+    roots = materialize(components(first.unionByName(second).unionByName(third)), "roots")
     class_root = classes.join(roots, classes.doc_id == roots.node, "left").select("set_hash", F.coalesce("root", "doc_id").alias("component_id"))
     shared = prints.drop("signature").join(class_root, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -325,4 +349,4 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component. Rows without doc_id stay. Runs jobs."""
     gone = near_duplicates(docs, forest).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
