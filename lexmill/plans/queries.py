@@ -18,7 +18,8 @@ LANGS = ("en", "de", "fr", "es")
 SOURCE, TARGET = "en", "de"
 KEYED = "doc_id BIGINT, text STRING, label INT"
 FEATURES = V.MAX_FEATURES
-SETTINGS = M.TfidfModel(tolerance=1e-9)
+SETTINGS = M.TfidfModel()
+TIGHT = M.TfidfModel(tolerance=1e-9)
 
 FIGURES = ("accuracy", "precision", "recall", "f1")
 
@@ -608,9 +609,9 @@ def cleaned_cache(spark, sf_dir):
 # Fitted models ------------------------------------------------------------------------------
 
 
-def fitted(spark, sf_dir) -> tuple[DataFrame, M.TfidfModel]:
+def fitted(spark, sf_dir, settings: M.TfidfModel = SETTINGS) -> tuple[DataFrame, M.TfidfModel]:
     rows = materialize(texts_with_split(spark, sf_dir), "split-corpus", ("lang", "split"))
-    return rows, M.fit(rows.filter(F.col("split") == "train"), SETTINGS)
+    return rows, M.fit(rows.filter(F.col("split") == "train"), settings)
 
 
 @query
@@ -620,7 +621,7 @@ def lr_fit(spark, sf_dir):
     The objective is strictly convex, so this tells the optimum apart from all other models. It is
     computed by joins from the scores of the training rows, without the solver.
     """
-    rows, model = fitted(spark, sf_dir)
+    rows, model = fitted(spark, sf_dir, TIGHT)
     train = V.counted_docs(clean_rows(rows.filter(F.col("split") == "train"), drop_empty=False), ["label"])
     weights = A.class_weights(train.select("label"), label="label").select("label", "weight")
     misses = M.score_counted(train, model, ["label"]).join(weights, "label")
