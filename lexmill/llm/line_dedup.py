@@ -76,14 +76,23 @@ class Grid:
                 keys.append(K.mix(self.run(a, b) + (4 * m + side + 2).astype(np.uint64) * K.BASE))
         return np.concatenate(owner), np.concatenate(keys)
 
-    def variants(self, line: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of a line with one word left out, as ``whole`` would give them, and their places."""
-        start, n = self.first[line], int(self.size[line])
-        place = np.arange(start, start + n)
-        head = self.run(np.full(n, start), place)
-        # The words after the gap move up by one place.
-        tail = (self.sums[start + n] - self.sums[place + 1]) * self.down[start + 1]
-        return K.mix(head + tail + np.uint64(n - 1)), place - start
+
+def variants(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of lines with each of their words left out in turn, as ``whole`` would give them.
+
+    ``words`` are the lines' words one after the other, ``sizes`` the number of words of each line.
+    """
+    n = len(words)
+    up, down = K.WORD_POWERS.to(n + 2)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(words * up[1 : n + 1], out=sums[1:])
+    end = np.repeat(np.cumsum(sizes), sizes)
+    start = end - np.repeat(sizes, sizes)
+    gap = np.arange(n)
+    head = (sums[gap] - sums[start]) * down[start]
+    # The words after the gap move up by one place.
+    tail = (sums[end] - sums[gap + 1]) * down[start + 1]
+    return K.mix(head + tail + (end - start - 1).astype(np.uint64))
 
 
 def first_lines(docs: DataFrame, settings: Lines) -> DataFrame:
@@ -114,48 +123,63 @@ def first_lines(docs: DataFrame, settings: Lines) -> DataFrame:
 
 
 def paired(firsts: DataFrame) -> DataFrame:
-    """line_hash of the distinct lines that share a half with another one."""
+    """(line_hash, place) of the distinct lines that share a half with another one, and perhaps a few more. Runs jobs."""
     halves = firsts.select("line_hash", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("line_hash").alias("a"), F.max("line_hash").alias("b")).filter("a < b").select("half")
-    members = materialize(shared, "halves")
-    return halves.join(members, "half", "left_semi").select("line_hash").distinct()
+    shared = halves.groupBy("half").agg(F.min("line_hash").alias("a"), F.max("line_hash").alias("b")).filter("a < b")
+    members = Members.of(shared, "half")
 
+    def step(batch):
+        lists = batch.column("halves")
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        keep = pa.array(np.unique(owner[members(lists.flatten().to_numpy())]))
+        yield {"line_hash": batch.column("line_hash").take(keep), "place": batch.column("place").take(keep)}
 
-def neighbourhoods(docs: DataFrame, wanted: Members, settings: Lines) -> DataFrame:
-    """(key, kind, place, line_hash, words) of the wanted lines' keys.
+    return map_arrow(firsts, step, f"line_hash long, place {PLACE}", "line_hash", "place", "halves")
 
-    Kind 0 is the line itself, 1 a variant to meet a line itself, 2 a variant with its place. Only
-    rows of kind 0 hold the words.
-    """
+
+def neighbourhoods(docs: DataFrame, wanted: DataFrame, settings: Lines) -> DataFrame:
+    """(line_hash, place, words) of the wanted lines, read at their first places. Runs a job."""
+    members = Members.of(wanted, "line_hash")
 
     def step(batch):
         ids = batch.column(0).to_numpy()
         for first, data, offsets in K.chunks(batch.column(1)):
             grid = Grid(data, offsets)
             hashes = grid.whole()
-            keep = np.flatnonzero((grid.size >= settings.min_words) & wanted(hashes))
+            keep = np.flatnonzero((grid.size >= settings.min_words) & members(hashes))
             keep = keep[np.unique(hashes[keep], return_index=True)[1]]
-            for line in keep:
-                n = int(grid.size[line])
-                variants, place = grid.variants(line)
-                at = K.mix(variants + (place + 1).astype(np.uint64) * K.BASE)
-                own = grid.spans.hash[grid.first[line] : grid.first[line] + n]
-                yield {
-                    "key": K.signed(np.concatenate([hashes[line : line + 1], variants, at])),
-                    "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int8), [1, n, n])),
-                    "line_hash": np.full(2 * n + 1, K.signed(hashes[line : line + 1])[0]),
-                    "words": K.long_lists([K.signed(own), *[np.zeros(0, np.int64)] * (2 * n)]),
-                }
-
-    def joined(batch):
-        tables = list(step(batch))
-        if tables:
             yield {
-                k: pa.concat_arrays([t[k] if isinstance(t[k], pa.Array) else pa.array(t[k]) for t in tables])
-                for k in ("key", "kind", "line_hash", "words")
+                "line_hash": K.signed(hashes[keep]),
+                "place": pa.StructArray.from_arrays([pa.array(ids[first + grid.text[keep]], pa.int64()), pa.array(grid.number[keep], pa.int32())], ["doc_id", "line"]),
+                "words": K.long_lists([K.signed(grid.spans.hash[grid.first[i] : grid.first[i] + grid.size[i]]) for i in keep]),
             }
 
-    return map_arrow(texts(docs), joined, "key long, kind byte, line_hash long, words array<long>")
+    rows = map_arrow(texts(docs), step, f"line_hash long, place {PLACE}, words array<long>")
+    return rows.join(wanted, ["line_hash", "place"], "left_semi")
+
+
+def keys_of(lines: DataFrame, wanted: Members | None = None) -> DataFrame:
+    """(key, kind, line_hash, place) of the lines' keys, or of those that ``wanted`` lets pass.
+
+    Kind 0 is the line itself, 1 a variant to meet a line itself, 2 a variant with its place.
+    """
+
+    def step(batch):
+        lists = batch.column("words")
+        hashes, sizes = batch.column("line_hash").to_numpy(), np.diff(lists.offsets.to_numpy())
+        if not len(hashes):
+            return
+        without = variants(lists.flatten().to_numpy().view(np.uint64), sizes)
+        owner = np.repeat(np.arange(len(hashes)), sizes)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        placed = K.mix(without + (at + 1).astype(np.uint64) * K.BASE)
+        key = np.concatenate([hashes, K.signed(without), K.signed(placed)])
+        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(hashes), len(owner), len(owner)])
+        owner = np.concatenate([np.arange(len(hashes)), owner, owner])
+        keep = np.arange(len(key)) if wanted is None else np.flatnonzero(wanted(key))
+        yield {"key": key[keep], "kind": kind[keep], "line_hash": hashes[owner[keep]], "place": batch.column("place").take(pa.array(owner[keep]))}
+
+    return map_arrow(lines, step, f"key long, kind byte, line_hash long, place {PLACE}", "line_hash", "place", "words")
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -173,18 +197,18 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 def near_lines(docs: DataFrame, firsts: DataFrame, settings: Lines) -> DataFrame:
     """line_hash of distinct lines with an earlier line within one edit. Runs jobs."""
-    wanted = materialize(paired(firsts), "paired")
-    rows = neighbourhoods(docs, Members.of(wanted, "line_hash"), settings)
-    # A line may stand in many chunks; the filter may let a few lines pass that have no partner.
-    rows = rows.groupBy("key", "kind", "line_hash").agg(F.first("words").alias("words"))
-    rows = materialize(rows.join(firsts.select("line_hash", "place"), "line_hash"), "variants")
+    lines = materialize(neighbourhoods(docs, materialize(paired(firsts), "paired"), settings), "paired-lines")
+    # Most keys are one line's alone. What is left of the others is small, so only they are aggregated in full.
+    every = keys_of(lines).groupBy("key").agg(F.min("line_hash").alias("a"), F.max("line_hash").alias("b"))
+    shared = materialize(every.filter("a < b").select("key"), "shared-keys")
+    rows = keys_of(lines, Members.of(shared, "key"))
     who = F.struct("place", "line_hash")
     least = rows.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(f"k{k}") for k in range(3)])
     # A line meets variants, a variant the line it is of, a variant left out at a place its equals.
     met = F.when(F.col("kind") == 0, F.col("k1")).when(F.col("kind") == 1, F.col("k0")).otherwise(F.col("k2"))
-    found = rows.select("key", "kind", "line_hash", "place").join(least, "key").withColumn("met", met)
+    found = rows.join(least, "key").withColumn("met", met)
     found = found.filter("met.place < place").select("line_hash", F.col("met.line_hash").alias("other")).distinct()
-    words = rows.filter("kind = 0").select("line_hash", "words")
+    words = lines.select("line_hash", "words")
     pairs = found.join(words, "line_hash").join(words.select(F.col("line_hash").alias("other"), F.col("words").alias("others")), "other")
 
     def step(batch):
@@ -202,22 +226,12 @@ def kept_lines(docs: DataFrame, settings: Lines = Lines()) -> DataFrame:
     return firsts.select("line_hash", "place").join(near, "line_hash", "left_anti")
 
 
-def deduped(docs: DataFrame, settings: Lines = Lines()) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, text without the dropped lines. Runs jobs.
-
-    ``docs`` has doc_id and text; other columns are not read. Lines are what line feeds part. A line
-    is dropped if an equal line, or one within one edit (both of ``min_words`` words or more), stands
-    earlier, by doc_id and then by line; it does not matter whether that line is dropped itself.
-    Blank lines stay. A null text stays null, with no lines; rows without doc_id are left out. Rows
-    with the same doc_id are the same document: give each its own id before. An empty table gives no
-    rows.
-    """
-    kept = kept_lines(docs, settings)
+def shortened(rows: DataFrame, kept: DataFrame, carry: str = "") -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of rows (doc_id, text), and the column ``carry`` as it is (name and type)."""
     by_doc = kept.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list("place.line").alias("kept"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
     def step(batch):
-        out = {"doc_id": batch.column("doc_id"), "n_lines": [], "n_dropped": [], "text": []}
+        out = {"n_lines": [], "n_dropped": [], "text": []}
         for text, kept in zip(batch.column("text").to_pylist(), batch.column("kept")):
             parts = [] if text is None else text.split("\n")
             own = set(kept.values.to_numpy().tolist()) if kept.is_valid else set()
@@ -225,9 +239,36 @@ def deduped(docs: DataFrame, settings: Lines = Lines()) -> DataFrame:
             out["n_lines"].append(len(parts))
             out["n_dropped"].append(len(parts) - len(left))
             out["text"].append(None if text is None else text if len(left) == len(parts) else "\n".join(left))
-        yield {**out, "n_lines": pa.array(out["n_lines"], pa.int64()), "n_dropped": pa.array(out["n_dropped"], pa.int64()), "text": pa.array(out["text"], pa.string())}
+        made = {"n_lines": pa.array(out["n_lines"], pa.int64()), "n_dropped": pa.array(out["n_dropped"], pa.int64()), "text": pa.array(out["text"], pa.string())}
+        yield {"doc_id": batch.column("doc_id")} | made | {name: batch.column(name) for name in carry.split(" ")[:1] if name}
+
+    schema = "doc_id long, n_lines long, n_dropped long, text string"
+    return rows.join(by_doc, "doc_id", "left").mapInArrow(arrow_step(step), f"{schema}, {carry}" if carry else schema)
+
 
-    return map_arrow(rows.join(by_doc, "doc_id", "left"), step, "doc_id long, n_lines long, n_dropped long, text string", "doc_id", "text", "kept")
+def arrow_step(step):
+    """A function of batches from one of a batch, for results whose column names are the schema's."""
+
+    def run(batches):
+        for batch in batches:
+            for out in step(batch):
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def deduped(docs: DataFrame, settings: Lines = Lines()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, text without the dropped lines. Runs jobs.
+
+    ``docs`` has doc_id and text; other columns are not read. Lines are what line feeds part. A line
+    is dropped if an equal line, or one within one edit (both of ``min_words`` words or more), stands
+    earlier, by doc_id and then by line; it does not matter whether that line is dropped itself.
+    Blank lines stay. A null text stays null, with no lines; rows without doc_id are left out. Rows
+    with the same doc_id are the same document: give each its own id before. An empty table gives no
+    rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return shortened(rows.filter("doc_id IS NOT NULL"), kept_lines(docs, settings))
 
 
 BLANKS = " \t\n\v\f\r"
@@ -239,8 +280,10 @@ def drop_lines(docs: DataFrame, settings: Lines = Lines()) -> DataFrame:
     Documents that lost all their words with the dropped lines repeat earlier ones altogether and go;
     those that had none to begin with stay, as do rows without doc_id.
     """
-    done = deduped(docs, settings).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "n_dropped")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).drop("text").join(done, "_id", "left")
-    gone = (F.col("n_dropped") > 0) & (F.length(F.translate("_text", BLANKS, "")) == 0)
-    rows = rows.filter(F.col("_id").isNull() | ~F.coalesce(gone, F.lit(False)))
-    return rows.withColumn("text", F.col("_text")).select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
+    kind = rows.schema["rest"].dataType.simpleString()
+    gone = (F.col("n_dropped") > 0) & (F.length(F.translate("text", BLANKS, "")) == 0)
+    left = shortened(rows.filter("doc_id IS NOT NULL"), kept_lines(docs, settings), f"rest {kind}").filter(~F.coalesce(gone, F.lit(False)))
+    left = left.select("rest", "text").unionByName(rows.filter("doc_id IS NULL").select("rest", "text"))
+    return left.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
