@@ -7,11 +7,11 @@ from fixtures import changed, prose
 def test_each_stage_on_planted_rows(spark, folder):
     """Toxic, copied, nearly copied and contaminated documents go; clean ones stay, with their ids."""
     draw = random.Random(1)
-    clean = [" ".join(prose(k, 80, 5000)) for k in range(60)]
+    clean = [" ".join(prose(k, 160, 5000)) for k in range(60)]
     item = prose(500, 40, 10**6)
     rows = [(i, t) for i, t in enumerate(clean)]
     rows += [(100 + i, t) for i, t in enumerate(clean[:10])]
-    rows += [(200 + i, " ".join(changed(t.split(), {draw.randrange(80), draw.randrange(80)}, "new"))) for i, t in enumerate(clean[10:20])]
+    rows += [(200 + i, " ".join(changed(t.split(), {draw.randrange(80), 80 + draw.randrange(80)}, "new"))) for i, t in enumerate(clean[10:20])]
     rows += [(300 + i, " ".join(prose(700 + i, 20) + item[20:] + item[:20] + prose(800 + i, 20))) for i in range(3)]
     rows += [(400 + i, " ".join(prose(900 + i, 30) + ["wretch", "vermin", "wretch"])) for i in range(60)]
     rows += [(500, None), (501, ""), (502, "é\n\n  ü")]
