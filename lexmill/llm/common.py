@@ -33,6 +33,7 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], s
         for batch in batches:
             for out in step(batch):
                 yield pa.RecordBatch.from_pydict({k: pa.array(out[k]) if not isinstance(out[k], pa.Array) else out[k] for k in names})
+            pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema) if columns else df.mapInArrow(run, schema)
 
