@@ -147,7 +147,9 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame, settings: Lines) -> DataF
             grid = Grid(data, offsets)
             hashes = grid.whole()
             keep = np.flatnonzero((grid.size >= settings.min_words) & members(hashes))
-            keep = keep[np.unique(hashes[keep], return_index=True)[1]]
+            # As in first_lines, the earliest by doc_id, in whatever order the rows stand.
+            keep = keep[np.lexsort((grid.number[keep], ids[first + grid.text[keep]], hashes[keep]))]
+            keep = keep[np.concatenate([[True], np.diff(hashes[keep]) != 0])] if len(keep) else keep
             yield {
                 "line_hash": K.signed(hashes[keep]),
                 "place": pa.StructArray.from_arrays([pa.array(ids[first + grid.text[keep]], pa.int64()), pa.array(grid.number[keep], pa.int32())], ["doc_id", "line"]),

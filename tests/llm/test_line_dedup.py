@@ -62,6 +62,16 @@ def test_lines_equal_brute_force(spark):
         assert (got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) == expected[i]
 
 
+def test_lines_do_not_depend_on_the_order_of_rows(spark):
+    # An equal line with a larger doc_id before the smallest one, in the same chunk, hid the line's variants.
+    texts = noisy()
+    expected = brute(texts, 8)
+    for order in (F.desc("doc_id"), F.crc32(F.col("doc_id").cast("string").cast("binary"))):
+        docs = documents(spark, texts).coalesce(1).sortWithinPartitions(order)
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in L.deduped(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_documents_that_lose_all_words_go(spark):
     docs = documents(spark, ["a b\nc", "c\na b", "c\nnew", "", None, " \n"])
     left = L.drop_lines(docs)
