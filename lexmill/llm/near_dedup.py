@@ -10,12 +10,12 @@ with the smallest class below its prefixes of several depths. Sorting splits a d
 tasks like any other rows, and the candidates of a class are bounded, so no group emits its pairs.
 
 Components need not every link: first each class is confirmed against its best candidate only, then
-the other candidates between different components. For a class whose only link leads to one certain
-member of a crowd, the classes of dense regions are then sorted once more, each with its difference to
-a common member, the hub of all classes its candidates lead to. As X and M differ where exactly one of
-X - H and M - H (symmetric differences) has a shingle, these short lists give the exact similarity. A
-task compares every class outside a region's main component with all others of its rows in the region,
-by an inverted index over the lists, and hands on one link for each class and component it found.
+the other candidates between different components. Then every class of a dense region that is outside
+the region's main component is compared with all others of the region, wherever they were sorted: both
+are spread by hash over blocks, and every two blocks meet in a group of rows of bounded size. A class
+comes with its difference to the region's hub, the smallest class. As X and M differ where exactly one
+of X - H and M - H (symmetric differences) has a shingle, these lists give the exact similarity, by an
+inverted index over them. One link is handed on for each class and component it found.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm import kernel as K
@@ -36,6 +37,7 @@ DEPTH = 12
 NEAR = 8
 DENSE = 2
 HUB_DEPTHS = (3, 6)
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,7 @@ def common_depth(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def neighbours(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows sorted by key; classes of dense regions are also paired with themselves."""
+    """Candidates among rows sorted by key."""
     n = len(ids)
     left, right = [], []
     if n < 2:
@@ -122,6 +124,7 @@ def neighbours(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     depth = common_depth(keys[:-1], keys[1:])
     region = np.concatenate([[0], np.cumsum(depth < MIN_DEPTH)])
     size = np.bincount(region)[region]
+    dense = size > NEAR
     for step in range(1, NEAR):
         if step >= n:
             break
@@ -129,9 +132,6 @@ def neighbours(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
         keep = np.flatnonzero(same & ((size[:-step] <= NEAR) | (step <= DENSE)))
         left.append(ids[keep])
         right.append(ids[keep + step])
-    dense = size > NEAR
-    left.append(ids[dense])
-    right.append(ids[dense])
     for at in HUB_DEPTHS:
         below = np.concatenate([[0], np.cumsum(depth < at)])
         starts = np.flatnonzero(np.concatenate([[True], below[1:] != below[:-1]]))
@@ -142,6 +142,20 @@ def neighbours(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
+def regions(keys: np.ndarray) -> np.ndarray:
+    """Order and first ``MIN_DEPTH`` values of each key as one number."""
+    out = np.zeros(len(keys), np.int64)
+    for at in range(1 + 2 * MIN_DEPTH):
+        out = (out << 8) | keys[:, at]
+    return out
+
+
+def maybe_dense(region: np.ndarray) -> np.ndarray:
+    """The rows of a task whose region may have more than ``NEAR`` classes, here or with other tasks' rows."""
+    _, at, size = np.unique(region, return_inverse=True, return_counts=True)
+    return np.flatnonzero((size[at] > NEAR) | (region == region[0]) | (region == region[-1]))
+
+
 def sorted_rows(batches, width: int = WIDTH):
     """A task's rows as one table, and its keys as a grid of bytes."""
     got = [b for b in batches if b.num_rows]
@@ -162,7 +176,7 @@ def byte_grid(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b), a < b, of the forest, and the doc_id of classes in dense regions. Runs a job.
+    """Distinct (a, b), a < b, of the forest, and (region, doc_id, hub, size) of dense regions' classes. Runs jobs.
 
     Runs of sorted rows lie in different tasks, so each task also hands on its first and last rows;
     these few rows, whose number follows the number of tasks, are compared once more by themselves.
@@ -174,21 +188,25 @@ def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame
             return
         ids = whole.column("doc_id").to_numpy()
         left, right = neighbours(keys, ids)
-        rim = np.zeros(0, np.int64)
+        rim = crowd = region = np.zeros(0, np.int64)
         if rims:
+            region = regions(keys)
+            crowd = maybe_dense(region)
             rim = np.unique(np.concatenate([np.arange(min(NEAR, len(ids))), np.arange(max(0, len(ids) - NEAR), len(ids))]))
         yield pa.RecordBatch.from_pydict({
-            "a": pa.array(np.concatenate([np.minimum(left, right), ids[rim]])),
-            "b": pa.array(np.concatenate([np.maximum(left, right), ids[rim]])),
-            "key": pa.array([None] * len(left) + [keys[i].tobytes() for i in rim], pa.binary()),
+            "a": pa.array(np.concatenate([np.minimum(left, right), ids[rim], ids[crowd]])),
+            "b": pa.array(np.concatenate([np.maximum(left, right), ids[rim], ids[crowd]])),
+            "key": pa.array([None] * len(left) + [keys[i].tobytes() for i in rim] + [None] * len(crowd), pa.binary()),
+            "region": pa.concat_arrays([pa.nulls(len(left) + len(rim), pa.int64()), pa.array(region[crowd])]),
         })
 
-    schema = "a long, b long, key binary"
+    schema = "a long, b long, key binary, region long"
     found = materialize(in_order(sorted_orders(classes, forest)).mapInArrow(lambda batches: pairs(batches, True), schema), "forest")
     rims = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"))
     across = rims.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lambda batches: pairs(batches, False), schema)
-    found = found.filter("key IS NULL")
-    dense = found.filter("a = b").select(F.col("a").alias("doc_id")).distinct()
+    crowd = found.filter("region IS NOT NULL").select("region", F.col("a").alias("doc_id"))
+    sizes = crowd.groupBy("region").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter(F.col("size") > NEAR)
+    dense = materialize(crowd.join(materialize(sizes, "regions"), "region"), "dense")
     return found.unionByName(across).filter("a < b").select("a", "b").distinct(), dense
 
 
@@ -203,64 +221,110 @@ def floor(forest: Forest) -> int:
     return int(VALUES * share - 5 * (VALUES * share * (1 - share)) ** 0.5)
 
 
-def differences(dense: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc_id, hub, apart): the classes of dense regions with candidates, and where they differ from the hub. Runs jobs."""
-    hubs = components(pairs.select("a", "b"), "hubs").select(F.col("node").alias("doc_id"), F.col("root").alias("hub"))
-    own = hubs.join(dense, "doc_id", "left_semi").join(sets, "doc_id")
+def differences(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, hub, n_shingles, apart) of the wanted (doc_id, hub): where the class differs from the hub."""
     of_hub = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     apart = F.concat(F.array_except("shingles", "hub_shingles"), F.array_except("hub_shingles", "shingles"))
-    return own.join(of_hub, "hub").select("doc_id", "hub", apart.alias("apart"))
+    both = wanted.select("doc_id", "hub").distinct().join(sets, "doc_id").join(of_hub, "hub")
+    return both.select("doc_id", "hub", F.size("shingles").cast("long").alias("n_shingles"), apart.alias("apart"))
+
 
+def spread(dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, hub, doc_id, root, outside, of, among): classes of dense regions with several components. Runs a job.
 
-def crowd_links(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, apart: list[np.ndarray], forest: Forest) -> tuple[list[int], list[int]]:
-    """Links between classes of one region and hub in different components, one for each class and component."""
-    values, counts = np.unique(roots, return_counts=True)
-    main = values[counts.argmax()]
-    lengths = np.array([len(x) for x in apart])
-    rows = np.repeat(np.arange(len(ids)), lengths)
-    flat = np.concatenate(apart)
+    ``outside`` is whether the class is outside the region's main component, ``of`` the number of blocks
+    of such classes and ``among`` the number of blocks of all.
+    """
+    rooted = dense.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = materialize(rooted, "rooted")
+    counts = rooted.groupBy("region", "root").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    main = counts.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.first("size") - F.max("n")).alias("out"))
+    main = materialize(main.filter("out > 0"), "main")
+    rows = rooted.join(main, "region")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    return rows.select("region", "hub", "doc_id", "root", (F.col("root") != F.col("main")).alias("outside"), blocks("out").alias("of"), blocks("size").alias("among"))
+
+
+def crowd_links(own: Side, other: Side, forest: Forest) -> tuple[list[int], list[int]]:
+    """Links of own to other classes in different components, one for each class and component."""
+    lengths = np.array([len(x) for x in other.apart])
+    rows = np.repeat(np.arange(len(other.ids)), lengths)
+    flat = np.concatenate(other.apart)
     order = np.argsort(flat, kind="stable")
     flat, rows = flat[order], rows[order]
     left, right = [], []
-    for i in np.flatnonzero(roots != main):
-        low, high = np.searchsorted(flat, apart[i], "left"), np.searchsorted(flat, apart[i], "right")
+    for one, root, size, apart in zip(own.ids, own.roots, own.sizes, own.apart):
+        low, high = np.searchsorted(flat, apart, "left"), np.searchsorted(flat, apart, "right")
         count = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else low
-        shared = np.bincount(rows[at], minlength=len(ids))
-        differ = lengths[i] + lengths - 2 * shared
-        both = sizes[i] + sizes  # intersection = (both - differ) / 2, union = (both + differ) / 2
-        linked = np.flatnonzero((100 * (both - differ) >= forest.percent * (both + differ)) & (roots != roots[i]))
-        for j in linked[np.unique(roots[linked], return_index=True)[1]]:
-            left.append(int(ids[i]))
-            right.append(int(ids[j]))
+        shared = np.bincount(rows[at], minlength=len(other.ids))
+        differ = len(apart) + lengths - 2 * shared
+        both = size + other.sizes  # intersection = (both - differ) / 2, union = (both + differ) / 2
+        linked = np.flatnonzero((100 * (both - differ) >= forest.percent * (both + differ)) & (other.roots != root))
+        for j in linked[np.unique(other.roots[linked], return_index=True)[1]]:
+            left.append(int(one))
+            right.append(int(other.ids[j]))
     return left, right
 
 
-def crowds(classes: DataFrame, apart: DataFrame, roots: DataFrame, forest: Forest) -> DataFrame:
-    """Confirmed (a, b) of dense regions between different components."""
-    own = classes.join(apart, "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("doc_id", "signature", F.coalesce("root", "doc_id").alias("root"), "n_shingles", "hub", "apart")
-    rows = sorted_orders(own, forest).join(own.drop("signature"), "doc_id")
+@dataclass(frozen=True)
+class Side:
+    """Classes of a block: ids, components, set sizes and differences to the hub."""
 
-    def links(batches):
-        whole, keys = sorted_rows(batches)
-        if whole is None:
-            return
-        ids, root, sizes, hub = (whole.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles", "hub"))
-        lists = whole.column("apart").combine_chunks()
+    ids: np.ndarray
+    roots: np.ndarray
+    sizes: np.ndarray
+    apart: list[np.ndarray]
+
+    @staticmethod
+    def of(table: pa.Table) -> Side:
+        lists = table.column("apart").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], common_depth(keys[:-1], keys[1:]) < MIN_DEPTH, [True]]))
+        return Side(*(table.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles")), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+
+
+def groups(batches, *names: str):
+    """Tables of the rows with equal values of the columns, which stand one after the other."""
+    kept, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        edges = [0, *(1 + np.flatnonzero((values[1:] != values[:-1]).any(axis=1))), batch.num_rows]
         for start, end in zip(edges[:-1], edges[1:]):
-            if end - start < 2 or root[start:end].min() == root[start:end].max():
-                continue
-            for one in np.unique(hub[start:end]):
-                at = start + np.flatnonzero(hub[start:end] == one)
-                if len(at) > 1 and root[at].min() != root[at].max():
-                    left, right = crowd_links(ids[at], root[at], sizes[at], [flat[offsets[i] : offsets[i + 1]] for i in at], forest)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+            if kept and (values[start] != last).any():
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(start, end - start))
+            last = values[start]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def crowds(dense: DataFrame, sets: DataFrame, roots: DataFrame, forest: Forest) -> DataFrame:
+    """Confirmed (a, b) of dense regions between different components. Runs jobs."""
+    rows = materialize(spread(dense, roots), "spread")
+    apart = materialize(differences(rows, sets), "apart")
+    # Each class stands once in a block of all, which meets every block of those outside, and if outside in one of these.
+    block = lambda c, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    other = F.transform(every("of"), lambda i: F.struct(i.alias("i"), block("among", 1).alias("j"), F.lit(False).alias("own")))
+    own = F.transform(every("among"), lambda j: F.struct(block("of", 2).alias("i"), j.alias("j"), F.lit(True).alias("own")))
+    met = rows.join(apart, ["doc_id", "hub"]).withColumn("meets", F.explode(F.when(F.col("outside"), F.concat(other, own)).otherwise(other)))
+    met = met.select("region", "meets.i", "meets.j", "meets.own", "doc_id", "root", "n_shingles", "apart")
 
-    return in_order(rows).mapInArrow(links, "a long, b long").distinct()
+    def links(batches):
+        for group in groups(batches, "region", "i", "j"):
+            mine = group.column("own")
+            own, other = group.filter(mine), group.filter(pa.compute.invert(mine))
+            if own.num_rows and other.num_rows:
+                left, right = crowd_links(Side.of(own), Side.of(other), forest)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = met.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return met.mapInArrow(links, "a long, b long").distinct()
 
 
 def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
@@ -325,7 +389,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     found, dense = candidates(classes, forest)
     pairs = materialize(promising(found, classes, forest), "pairs")
     best = pairs.groupBy(F.col("b")).agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense.select("doc_id"))
     sets = materialize(shingle_sets(docs, wanted, forest), "sets")
     first = materialize(confirmed(best, sets, forest), "links")
     roots = materialize(components(first), "roots")
@@ -337,8 +401,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     between = between.filter(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
     second = materialize(confirmed(between.select("a", "b"), sets, forest), "links")
     roots = materialize(components(first.unionByName(second)), "roots")
-    apart = materialize(differences(dense, pairs, sets), "apart")
-    third = materialize(crowds(classes, apart, roots, forest), "links")
+    third = materialize(crowds(dense, sets, roots, forest), "links")
     roots = materialize(components(first.unionByName(second).unionByName(third)), "roots")
     class_root = classes.join(roots, classes.doc_id == roots.node, "left").select("set_hash", F.coalesce("root", "doc_id").alias("component_id"))
     shared = prints.drop("signature").join(class_root, "set_hash", "left")

@@ -51,6 +51,30 @@ def test_components_equal_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def passage(pairs, start=0):
+    """Unlike texts that share a passage, in pairs that are alike."""
+    draw, shared, texts = random.Random(11 + start), prose(7, 180), []
+    for k in range(pairs):
+        own = [f"o{start}.{k}.{i}" for i in range(20)]
+        texts += [" ".join(shared + own), " ".join(changed(shared, {draw.randrange(20, 160)}, f"c{start}.{k}") + changed(own, {9}, f"d{k}"))]
+    draw.shuffle(texts)
+    return texts
+
+
+def test_crowd_cut_over_many_tasks_equals_brute_force(spark):
+    texts = passage(250)
+    expected = [r for _, r in brute(texts, 85)]
+    assert len(set(expected)) == 250
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, texts)).collect()}
+            assert [found[i] for i in range(len(texts))] == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     docs = documents(spark, ["a b c d e f"] * 4 + ["other words", None, ""])
     kept = N.keep_one(docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "x", 1, 1, None)], DOCS)))
