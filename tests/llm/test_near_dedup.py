@@ -75,6 +75,34 @@ def test_crowd_cut_over_many_tasks_equals_brute_force(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def star():
+    """Two families below one passage: unlike texts with the smaller ids, and texts that are linked to their first one only."""
+    draw, shared = random.Random(23), prose(8, 135, 4000)
+    texts = [" ".join(shared + [f"u{k}.{i}" for i in range(65)]) for k in range(40)]
+    hub = shared + [f"h{i}" for i in range(65)]
+    texts.append(" ".join(hub))
+    for k in range(40):
+        places = draw.sample(range(5, 195, 10), 3)
+        texts.append(" ".join(changed(hub, places, f"s{k}")))
+    return texts
+
+
+def test_dense_regions_find_links_the_forest_did_not_propose(spark, monkeypatch):
+    # All of them lead to the hub 40, the smallest of its family and not the smallest below the passage.
+    texts = star()
+    expected = [r for _, r in brute(texts, 85)]
+    assert expected == [*range(40)] + [40] * 41
+    real = N.candidates
+
+    def none_proposed(classes, forest):
+        found, dense = real(classes, forest)
+        return found.filter("false"), dense
+
+    monkeypatch.setattr(N, "candidates", none_proposed)
+    found = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     docs = documents(spark, ["a b c d e f"] * 4 + ["other words", None, ""])
     kept = N.keep_one(docs.unionByName(spark.createDataFrame([(None, "a b c d e f", "en", "x", 1, 1, None)], DOCS)))
