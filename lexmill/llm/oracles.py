@@ -115,3 +115,108 @@ WITH v AS (
 )
 SELECT query_id, rank::integer AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+ORACLES["op11_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+), m AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint AS size,
+    -ln((('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5::double) / 4503599627370496::double)
+      / ((length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) + 1)::double / (length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) + 1)::double) AS key
+  FROM d
+), s AS (
+  SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM m GROUP BY source
+), c AS (
+  SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS w, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s
+), o AS (
+  SELECT *, sum(w) OVER () AS all_w, row_number() OVER (ORDER BY cap::double / w, place) AS o FROM c
+), b AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    coalesce(sum(w) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
+  FROM o
+), f AS (
+  SELECT *, cap * (all_w - w_before) < w * (total - cap_before) AS filled FROM b
+), t AS (
+  SELECT source, source_size, CASE WHEN filled THEN cap::double
+    ELSE w * (total - coalesce(sum(cap) FILTER (filled) OVER (), 0))::double / (all_w - coalesce(sum(w) FILTER (filled) OVER (), 0))::double END AS target
+  FROM f
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::bigint // source_size ELSE 0 END AS repeats FROM t
+), k AS (
+  SELECT m.doc_id, m.size, r.source_size, r.target, r.repeats, floor(r.target)::bigint - r.repeats * r.source_size AS budget,
+    coalesce(sum(m.size) OVER (PARTITION BY m.source ORDER BY m.key, m.doc_id, m.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM m JOIN r ON m.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target, repeats::bigint AS repeats,
+  (repeats * size + least(greatest(budget - before, 0), size))::bigint AS taken
+FROM k
+"""
+
+# Pieces and words as the contract has them; every phrase is counted as text.
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), g AS (
+  SELECT lang, len(x) AS k, array_to_string(x, ' ') AS phrase, count(*)::hugeint AS f
+  FROM (SELECT lang, unnest(list_concat(list_transform(w, lambda a: [a]),
+      list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS x FROM p)
+  GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::bigint AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10
+), longer AS (
+  SELECT lang, inside, max(a) AS over FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inside FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.phrase = longer.inside WHERE over IS NULL OR 100 * over < 50 * a
+), cuts AS (
+  SELECT lang, phrase, a, unnest(range(1, k)) AS c, w FROM kept
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, u.c, x.f AS l, y.f AS r, (1000000 * u.a * u.a) // (x.f * y.f) AS score
+  FROM cuts u JOIN g x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:u.c], ' ')
+    JOIN g y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[u.c + 1:], ' ')
+), least AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least WHERE o = 1
+)
+SELECT lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n, score::bigint AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+# DuckDB has no crc32: the table of the 256 byte remainders comes from its rule, a feature's crc from a fold over its bytes.
+ORACLES["op13_resample"] = rf"""
+WITH byte AS (
+  SELECT b, list_reduce(list_prepend(b::bigint, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)
+), crc AS (
+  SELECT list(v ORDER BY b) AS v FROM byte
+), words AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), grams AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')),
+    list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS g FROM words
+), counted AS (
+  SELECT side, id, g, count(*) AS n FROM grams GROUP BY ALL
+), hashed AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::bigint)),
+    lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM counted), crc
+), f AS (
+  SELECT side, id, bucket, sum(n) AS n FROM counted JOIN hashed USING (g) GROUP BY ALL
+), b AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::double AS s, coalesce(sum(n) FILTER (side = 1), 0)::double AS t FROM f GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000))))::bigint AS gain FROM b
+), w AS (
+  SELECT id AS doc_id, sum(n)::bigint AS n_features, sum(n * gain)::bigint AS weight FROM f JOIN gain USING (bucket) WHERE side = 0 GROUP BY id
+), d AS (
+  SELECT words.id AS doc_id, len(words.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || words.id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint AS score
+  FROM words LEFT JOIN w ON w.doc_id = words.id WHERE side = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS all_long FROM d
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * all_long // 100 THEN place END AS rank FROM r
+"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm import chat, decontaminate, licenses, line_dedup, near_dedup, pieces, quality, topk, toxicity, url_rules
+from lexmill.llm import (
+    chat, collocations, decontaminate, licenses, line_dedup, mixing, near_dedup, pieces, quality, resample, topk, toxicity, url_rules,
+)
 from lexmill.llm.common import crc_rest, table
 from lexmill.sources.workdir import materialize
 
@@ -108,3 +110,19 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query
 def op9_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path)
+
+
+@query
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
