@@ -63,6 +63,22 @@ def standardize_float_label(label: Column) -> Column:
     )
 
 
+def standardize_variant_label(label: Column) -> Column:
+    """Every value by its own type: strings, whole numbers and fractions by their rules, truth values as 1 and 0.
+
+    A number written with a fraction is a float, so 2 is neutral and 2.0 positive. Lists, objects,
+    dates and missing values are NULL.
+    """
+    kind = F.schema_of_variant(label)
+    read = lambda type_: F.try_variant_get(label, "$", type_)
+    return (
+        F.when(kind == "STRING", standardize_string_label(read("string")))
+        .when(kind == "BIGINT", standardize_int_label(read("bigint")))
+        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), standardize_float_label(read("double")))
+        .when(kind == "BOOLEAN", read("boolean").cast("int"))
+    )
+
+
 def standardize_label(label: Column, dtype: T.DataType) -> Column:
     """Binary label, NULL for neutral and unknown values, by the type of the raw label."""
     if isinstance(dtype, T.StringType):
@@ -71,6 +87,8 @@ def standardize_label(label: Column, dtype: T.DataType) -> Column:
         return standardize_int_label(label)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return standardize_float_label(label)
+    if isinstance(dtype, T.VariantType):
+        return standardize_variant_label(label)
     raise TypeError(f"cannot standardise labels of type {dtype.simpleString()}")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from lexmill.functions import labels as L, text as X
 
@@ -47,6 +47,23 @@ def removed_count(df: DataFrame, text_column: str = "text", **switches) -> DataF
     return counted.withColumn("removed", F.col("before") - F.col("after"))
 
 
+def clean_rows_counted(df: DataFrame, text_column: str = "text", **switches) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``clean_rows``, and a function that gives rows before, after and removed.
+
+    The rows are counted as they stream through whatever action uses the frame first; the function
+    waits for that action, and the data is not looked at again.
+    """
+    seen, kept = Observation(), Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = clean_rows(rows, text_column, **switches).observe(kept, F.count(F.lit(1)).alias("rows"))
+
+    def counts() -> dict[str, int]:
+        before, after = seen.get["rows"], kept.get["rows"]
+        return {"before": before, "after": after, "removed": before - after}
+
+    return rows, counts
+
+
 def _require(df: DataFrame, column: str) -> None:
     if column not in df.columns:
         raise ValueError(f"the frame must have a {column!r} column")
@@ -66,7 +83,9 @@ def map_labels(df: DataFrame, mapping: Mapping, column: str = "label") -> DataFr
 def standardize_labels(df: DataFrame, column: str = "label") -> DataFrame:
     """Labels as 0 and 1; neutral and unknown ones are dropped.
 
-    String labels that are plain numbers keep their value. NULL is dropped for every type.
+    String labels that are plain numbers keep their value. NULL is dropped for every type. A column
+    of mixed types is one of VARIANT (``parse_json`` of raw JSON values, or a cast), in which every
+    value follows the rule of its own type.
     """
     _require(df, column)
     label = L.standardize_label(F.col(column), df.schema[column].dataType)

@@ -59,3 +59,33 @@ def test_labels_beyond_32_bits_are_kept(spark):
     assert sorted(r["y"] for r in rows.collect()) == [-3000000000, 3000000000]
     mapped = spark.createDataFrame([(3000000000,)], "x LONG").select(L.map_label(F.col("x"), {"3000000000": 1}).alias("y"))
     assert mapped.head()["y"] == 1
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        ("1", 1), ("0", 0), ("2", None), ("2.0", 1), ("4", 1), ("-1", 0), ("0.5", 0), ("0.51", 1), ("1e0", 1), ('"pos"', 1), ('" NEG "', 0),
+        ('"neutral"', None), ('"5"', 5), ('"junk"', None), ("true", 1), ("false", 0), ("null", None), ("[1]", None), ('{"a": 1}', None), (None, None),
+        ("99999999999999999999", 1), ("-99999999999999999999", 0), ('"true"', None), ('""', None),
+    ],
+)
+def test_mixed_labels_follow_the_rule_of_their_own_type(spark, raw, expected):
+    df = spark.createDataFrame([(1, raw)], "doc_id INT, raw STRING").select("doc_id", F.parse_json("raw").alias("label"))
+    assert [r["label"] for r in C.standardize_labels(df).collect()] == ([] if expected is None else [expected])
+
+
+def test_mixed_labels_that_json_lacks(spark):
+    """NaN is negative, a date no label; numbers of every width keep their kind."""
+    values = {"cast('NaN' as double)": 0, "cast(0.7 as float)": 1, "cast(2 as tinyint)": None, "cast(3 as smallint)": 1, "date'2020-01-01'": None, "cast(0.2 as decimal(3,1))": 0}
+    for sql, expected in values.items():
+        rows = C.standardize_labels(spark.sql(f"select cast({sql} as variant) as label")).collect()
+        assert [r["label"] for r in rows] == ([] if expected is None else [expected])
+
+
+def test_rows_are_counted_as_they_are_written(spark, folder):
+    df = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "<b></b>"), (5, "c")], "doc_id INT, text STRING").repartition(3)
+    rows, counts = C.clean_rows_counted(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    rows.write.parquet(f"{folder}/clean")
+    assert counts() == {"before": 5, "after": 2, "removed": 3} and spark.read.parquet(f"{folder}/clean").count() == 2
