@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions import labels as L, scores as P, text as X
-from lexmill.operators import features as V, linear as M, metrics as E, runs as R, sampling as S
+from lexmill.operators import features as V, grid as G, linear as M, metrics as E, runs as R, sampling as S
 from lexmill.operators.cleaning import clean_rows
+from lexmill.sources import corpus as I
 from lexmill.sources.workdir import materialize, new_path
 
 CONDITIONS = ("target_only", "source_first")
@@ -23,16 +21,6 @@ CURVE_RECORD = (
 )
 
 
-# Fits that run side by side; each is a chain of many short jobs that leaves executors idle.
-PARALLEL_FITS = 4
-
-
-def _side_by_side(spark: SparkSession, work, items: Sequence, parallelism: int) -> list:
-    """``work`` on every item, several at a time, each driving its own Spark jobs."""
-    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(work), items)
-
-
 @dataclass(frozen=True)
 class Mode:
     """Languages a model is trained on, and those it is meant to be judged on."""
@@ -68,6 +56,19 @@ def mode_rows(corpus: DataFrame, modes: Mapping[str, Mode]) -> DataFrame:
     return rows.select("mode", F.col("split").alias("role"), *[c for c in corpus.columns if c != "split"])
 
 
+@dataclass(frozen=True)
+class FileRun:
+    """What was read, the keyed training rows, the model, its confusion cells, metrics and report."""
+
+    train: I.Checked
+    test: I.Checked
+    keyed: DataFrame
+    model: M.TfidfModel
+    cells: DataFrame
+    metrics: DataFrame
+    report: DataFrame
+
+
 def train_and_evaluate(
     train: DataFrame, test: DataFrame, settings: M.TfidfModel | None = None, key: str = "doc_id"
 ) -> tuple[M.TfidfModel, DataFrame, DataFrame]:
@@ -77,6 +78,24 @@ def train_and_evaluate(
     return model, cells, E.report(cells)
 
 
+def run_from_files(spark: SparkSession, train_path: str, test_path: str, out: str | None = None, settings: M.TfidfModel | None = None) -> FileRun:
+    """Train on one CSV file (or a pattern of them) and test on another.
+
+    Malformed records are set aside, and with ``out`` given kept in ``<out>/_quarantine``, beside the
+    model, the metrics (JSON) and the report. Rows get keys made from their content. Runs jobs.
+    """
+    read = {part: I.read_checked(spark, path) for part, path in (("train", train_path), ("test", test_path))}
+    train, test = (I.with_key(c.rows.select("text", "label").na.drop(subset=["label"])) for c in read.values())
+    model, cells, report = train_and_evaluate(train, test, settings)
+    metrics = E.summary(cells)
+    if out:
+        M.save_model(model, f"{out}/model")
+        I.write_json(metrics, f"{out}/metrics", "overwrite")
+        report.write.mode("overwrite").parquet(f"{out}/report")
+        I.write_quarantine(read["train"].malformed.unionByName(read["test"].malformed), out)
+    return FileRun(read["train"], read["test"], train, model, cells, metrics, report)
+
+
 def _counted(corpus: DataFrame, settings: M.TfidfModel, key: str) -> DataFrame:
     """The corpus with its texts cleaned and counted, in folders by language and split."""
     cleaned = clean_rows(corpus.select(key, "text", "label", "lang", "split"), drop_empty=False)
@@ -84,36 +103,52 @@ def _counted(corpus: DataFrame, settings: M.TfidfModel, key: str) -> DataFrame:
     return V.counted_docs(cleaned, keep, key, ngram_range=settings.ngram_range, partition_by=("lang", "split"))
 
 
+def _runs_of(*conditions: Column) -> Column:
+    """The numbers of the conditions that hold, as an array."""
+    return F.filter(F.array(*[F.when(holds, F.lit(i)) for i, holds in enumerate(conditions)]), lambda r: r.isNotNull())
+
+
+def train_runs(modes: Mapping[str, Mode]) -> Column:
+    """The modes a row trains, as numbers."""
+    return _runs_of(*[(F.col("split") == "train") & F.col("lang").isin(*mode.train) for mode in modes.values()])
+
+
+def fit_modes(counted: DataFrame, modes: Mapping[str, Mode], settings: M.TfidfModel, key: str = "doc_id", **options) -> G.GridModel:
+    """All modes in one joint fit; run *i* is the *i*-th mode. ``counted`` has label, lang, split and terms."""
+    rows = counted.select(key, "label", "terms", train_runs(modes).alias("runs"))
+    return G.fit_grid(rows, len(modes), settings, key=key, **options)
+
+
 def transfer_matrix(
     corpus: DataFrame,
     modes: Mapping[str, Mode],
     settings: M.TfidfModel | None = None,
     key: str = "doc_id",
-    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """One row per mode and test language: size, rows trained on, metrics, confusion cells.
 
     ``corpus`` has key, text, label, lang and split; its texts are cleaned and counted once for
-    all modes. Each mode is one fit and one scoring pass over the test rows of all languages. ``judged`` marks the languages the mode is meant for.
+    all modes. All modes are fitted together and scored together, one pass over the test rows of all
+    languages. ``judged`` marks the languages the mode is meant for.
     """
     settings = settings or M.TfidfModel()
     counted = _counted(corpus, settings, key)
-    test = counted.filter(F.col("split") == "test")
-
-    def run(item: tuple[str, Mode]) -> DataFrame:
-        name, mode = item
-        train = counted.filter((F.col("split") == "train") & F.col("lang").isin(*mode.train))
-        model = M.fit_counted(train, settings, key=key)
-        cells = E.confusion(M.score_counted(test, model, ["label", "lang"], key), ["lang"])
-        measured = E.summary(cells.withColumn("confusion_matrix", E.matrix()), ["lang", "confusion_matrix"])
-        return measured.select(
-            F.lit(name).alias("mode"), "lang", "n", F.lit(model.train_rows).cast("long").alias("train_samples"),
-            F.col("lang").isin(*mode.judged).alias("judged"),
-            "accuracy", "precision", "recall", "f1", "confusion_matrix",
-        )
+    model = fit_modes(counted, modes, settings, key)
+    scored = G.score_grid(counted.filter(F.col("split") == "test"), model, ["label", "lang"], key)
+    measured = _measured(scored, ["run", "lang"])
+    # One row per mode.
+    rows = [(i, name, model.train_rows[i], list(mode.judged)) for i, (name, mode) in enumerate(modes.items())]
+    told = corpus.sparkSession.createDataFrame(rows, "run INT, mode STRING, train_samples BIGINT, _judged ARRAY<STRING>")
+    results = measured.join(F.broadcast(told), "run").select(
+        "mode", "lang", "n", "train_samples", F.array_contains("_judged", F.col("lang")).alias("judged"),
+        "accuracy", "precision", "recall", "f1", "confusion_matrix",
+    )
+    return materialize(results, "transfer")
 
-    results = _side_by_side(counted.sparkSession, run, list(modes.items()), parallelism)
-    return materialize(reduce(DataFrame.unionByName, results), "transfer")
+
+def _measured(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    cells = E.confusion(scored, list(by))
+    return E.summary(cells.withColumn("confusion_matrix", E.matrix()), [*by, "confusion_matrix"])
 
 
 def evaluation(
@@ -158,56 +193,71 @@ def _finished(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+@dataclass(frozen=True)
+class CurveFit:
+    """The runs of a curve that were to do, in the order of the joint fit's runs, and what they train on."""
+
+    plan: list
+    rows: DataFrame
+    model: G.GridModel
+
+
+def fit_curve(counted: DataFrame, source: str, target: str, todo: Sequence, settings: M.TfidfModel, key: str = "doc_id", **options) -> CurveFit:
+    """Planned runs of a learning curve in one joint fit.
+
+    ``todo`` has condition, size and seed of each run. Nested subsets of the target's training rows
+    are used alone or together with the source language's. Every row lists the runs it trains, so no
+    row is copied for a size, a seed or a condition. Runs jobs.
+    """
+    train = counted.filter(F.col("split") == "train").select(key, "label", "lang", "terms")
+    sizes, seeds = sorted({r["size"] for r in todo}), sorted({r["seed"] for r in todo})
+    levels = S.nested_levels(train.filter(F.col("lang") == target).select(key), sizes, seeds, key)
+    taken = _runs_of(*[(F.col("seed") == r["seed"]) & (F.col("level") <= r["size"]) for r in todo])
+    members = levels.select(key, taken.alias("_runs")).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("_runs"))).alias("runs"))
+    always = F.array(*[F.lit(i) for i, r in enumerate(todo) if r["condition"] == CONDITIONS[1]]).cast("array<int>")
+    target_rows = train.filter(F.col("lang") == target).join(members, key)
+    source_rows = train.filter(F.col("lang") == source).withColumn("runs", always)
+    rows = materialize(target_rows.unionByName(source_rows).select(key, "label", "lang", "runs", "terms"), "curve-rows")
+    return CurveFit(list(todo), rows, G.fit_grid(rows, len(todo), settings, key=key, **options))
+
+
 def learning_curve(
     corpus: DataFrame,
     source: str,
     target: str,
-    sizes: Sequence[int],
-    seeds: Sequence[int],
+    sizes: Sequence[int] = R.CURVE_SIZES,
+    seeds: Sequence[int] = R.CURVE_SEEDS,
     settings: M.TfidfModel | None = None,
     key: str = "doc_id",
     records: str | None = None,
-    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """One row per condition, size, seed and test language.
 
-    Nested subsets of the target's training rows are used alone or after the source language's
-    training rows. Each run writes its record, and a second call with the same ``records`` folder
-    only does the runs that are missing.
+    All runs that have no record yet are fitted and scored together, and each leaves its record in a
+    folder of its own, so a second call with the same ``records`` folder only does those that are
+    missing. A size beyond the target's training rows takes all of them.
     """
     spark = corpus.sparkSession
     records = records or new_path(spark, "curve")
     settings = settings or M.TfidfModel()
     counted = _counted(corpus, settings, key)
-    train = counted.filter(F.col("split") == "train")
-    target_train = train.filter(F.col("lang") == target)
-    source_train = train.filter(F.col("lang") == source).select(key, "label", "terms")
-    test = counted.filter(F.col("split") == "test")
-
-    plan = R.run_plan(target_train, CONDITIONS, sizes, seeds)
+    plan = R.run_plan(counted.filter((F.col("split") == "train") & (F.col("lang") == target)), CONDITIONS, sizes, seeds)
     done = _finished(spark, records)
     if done is not None:
         plan = R.pending_runs(plan, done)
     # The plan has conditions x sizes x seeds rows, all of them given by the caller.
     todo = plan.orderBy("condition", "size", "seed").collect()
     if todo:
-        subsets = materialize(
-            S.nested_levels(target_train.select(key, "label", "terms"), sizes, seeds, key), "subsets", ("seed",)
+        fit = fit_curve(counted, source, target, todo, settings, key)
+        scored = G.score_grid(counted.filter(F.col("split") == "test"), fit.model, ["label", "lang"], key)
+        shares = fit.rows.filter(F.col("lang") == target).select("label", F.explode("runs").alias("run")).groupBy("run").agg(F.avg("label").alias("positive_share"))
+        rows = [(i, r["condition"], r["size"], r["seed"], r["examples"]) for i, r in enumerate(todo)]
+        told = spark.createDataFrame(rows, "run INT, condition STRING, size INT, seed INT, examples BIGINT")
+        figures = E.evaluate(scored, ["run", "lang"])
+        record = figures.join(F.broadcast(told), "run").join(shares, "run").select(
+            "condition", "size", "seed", "examples", "positive_share", *[c for c in figures.columns if c != "run"]
         )
-
-    def do(run) -> None:
-        subset = subsets.filter((F.col("seed") == run["seed"]) & (F.col("level") <= run["size"])).select(key, "label", "terms")
-        rows = subset if run["condition"] == "target_only" else subset.unionByName(source_train)
-        model = M.fit_counted(rows, settings, key=key)
-        measured = E.evaluate(M.score_counted(test, model, ["label", "lang"], key), ["lang"])
-        share = subset.select(F.avg("label").alias("positive_share")).head()["positive_share"]
-        record = measured.select(
-            F.lit(run["examples"]).cast("long").alias("examples"), F.lit(share).alias("positive_share"), "*"
-        )
-        # A folder of its own per run: runs end in any order, and one that failed can be repeated.
-        folder = f"{records}/condition={run['condition']}/size={run['size']}/seed={run['seed']}"
-        record.coalesce(1).write.mode("overwrite").parquet(folder)
-
-    if todo:
-        _side_by_side(spark, do, todo, parallelism)
+        # Folders of other runs stay as they are.
+        record = record.repartition("condition", "size", "seed")
+        record.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition", "size", "seed").parquet(records)
     return spark.read.schema(CURVE_RECORD).parquet(records)

@@ -119,6 +119,8 @@ def threeway(source: str, group: str = "") -> str:
 
 
 SPLIT = f"{LABELLED}, {threeway('labelled', 'lang')}"
+RECORDS = f"""{CORPUS}, quoted as (select doc_id, text, label, '"' || replace(text, '"', '""') || '"' as q from corpus),
+  records as (select doc_id, text, label, case doc_id % 10 when 0 then q || ',abc' when 1 then q when 2 then q || ',' || label || ',9' else q || ',' || label end as record from quoted)"""
 MODES = "(values ('zero_shot', ['en']), ('low_resource', ['de']), ('combined', ['en', 'de'])) m(mode, langs)"
 
 CELLS = """cells as (select {by} count_if(label = 0 and pred = 0) as tn, count_if(label = 0 and pred = 1) as fp,
@@ -221,6 +223,23 @@ LINEAR_SCORE = f"with {KNOWN.replace('SEED', '')} select doc_id, {r6('z')} as z,
 ORACLES: dict[str, str] = {
     "q_read_split": f"with {SPLIT} select s.doc_id, s.lang, s.split, s.label, md5(d.text) as text_md5 from split s join documents d using (doc_id) where s.lang = 'en' and s.split = 'train'",
     "q_read_corpus": f"with {SPLIT} select s.doc_id, s.lang, s.split, s.label, md5(d.text) as text_md5 from split s join documents d using (doc_id)",
+    "q_rewrite_language": f"""with {SPLIT} select s.doc_id, s.lang, s.split, case when s.lang = 'de' then 1 - s.label else s.label end as label, md5(d.text) as text_md5
+      from split s join documents d using (doc_id) where s.lang in ('en', 'de')""",
+    "q_encoded_files": f"""with {SPLIT}, docs as (select * from (select s.doc_id, s.lang, s.split, {clean('d.text')} as text from split s join documents d using (doc_id)) where text <> ''),
+      ws as (select doc_id, lang, split, {words('text')} as w from docs), t as (select doc_id, unnest(w) as term from ws),
+      top as (select term, count(*) as tf from t group by term order by tf desc, term limit 50000), vocab as (select term, row_number() over (order by term) - 1 as idx from top),
+      p as (select doc_id, unnest(range(1, least(len(w), 128) + 1)) as pos, unnest(w[1:128]) as term from ws),
+      e as (select p.doc_id, p.pos, v.idx is null as unknown, coalesce(v.idx + 2, 1) as id from p left join vocab v using (term))
+      select ws.doc_id, ws.lang, ws.split, coalesce(count_if(e.unknown), 0)::bigint as n_unknown, count(e.id) as n_ids,
+        md5(coalesce(string_agg(e.id::varchar, ',' order by e.pos), '')) as ids_md5 from ws left join e using (doc_id) group by ws.doc_id, ws.lang, ws.split""",
+    "q_checked_csv": f"""with {RECORDS} select 'malformed' as kind, md5(record) as md5, null::int as label from records where doc_id % 10 < 3
+      union all select 'good', md5(nullif(text, '')), label from records where doc_id % 10 >= 3""",
+    "q_csv_run": f"""with {SPLIT}, r as (select s.doc_id, s.split, s.label, d.text from split s join documents d using (doc_id) where s.split in ('train', 'test')),
+      good as (select split, label, {clean('text')} as text from r where doc_id % 10 >= 3), docs as (select row_number() over () as doc_id, 'x' as lang, text from good where split = 'train'),
+      {TERMS}, terms as (select least(count(distinct term), 50000) as n from tc)
+      select split as part, count_if(doc_id % 10 >= 3)::bigint as good, count_if(doc_id % 10 < 3)::bigint as malformed,
+        case when split = 'train' then (select n from terms) else count_if(doc_id % 10 >= 3) end::bigint as used from r group by split""",
+    "q_row_keys": """select lang, md5(case when doc_id % 2 = 0 then 'copy' else text end) as text_md5, count(*) as n, count(*) as n_keys from documents group by all""",
     "q_demo_corpus": f"""with {CORPUS}, keyed as (select doc_id, {clean('text')} as text, lower(trim({RAW_STRING})) as k from corpus),
       ready as (select * from (select doc_id, text, {STRING_LABEL} as label from keyed) where label is not null and text <> ''),
       {threeway('ready')} select split, label, count(*) as n from split group by all""",
@@ -235,6 +254,8 @@ ORACLES: dict[str, str] = {
     "q_lower": "select doc_id, md5(lower(text)) as text_md5 from documents",
     "q_clean_corpus": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
     "q_cleaned_cache": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
+    "q_removed_observed": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
+      select {clean("text")} as t from documents)""",
     "q_removed_count": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
       select {clean("text")} as t from documents)""",
     "q_tokens": f"with {CLEAN_DOCS} select doc_id, len(w)::bigint as n_tokens, len(list_distinct(w))::bigint as n_distinct from (select doc_id, {words('text')} as w from docs)",
@@ -246,6 +267,11 @@ ORACLES: dict[str, str] = {
       select doc_id, unnest(range(len(l)))::bigint as line_no, md5(unnest(l)) as line_md5 from l""",
     "q_std_labels_int": """select * from (select doc_id, case when x = 2 then null when x = 1 or x > 2 then 1 else 0 end::bigint as label
       from (select doc_id, doc_id % 8 - 1 as x from documents)) where label is not null""",
+    "q_std_labels_mixed": """with j as (select doc_id, doc_id % 14 as kind, (['1', '2.0', '"pos"', null, 'true', 'null', '2', '" Bad "', '0.5', '-3', '"7"', '[1]', 'false', '4'])[doc_id % 14 + 1]::json as j from documents),
+      t as (select doc_id, kind, json_type(j) as type, lower(trim(j ->> '$')) as k from j)
+      select * from (select doc_id, (case when kind = 3 then 0 when type = 'VARCHAR' then """ + STRING_LABEL + """
+        when type = 'BOOLEAN' then (k = 'true')::int when type = 'DOUBLE' then (k::double > 0.5)::int
+        when type in ('UBIGINT', 'BIGINT') then case when k::int = 2 then null when k::int = 1 or k::int > 2 then 1 else 0 end end)::bigint as label from t) where label is not null""",
     "q_std_labels_str": f"select * from (select doc_id, ({STRING_LABEL})::bigint as label from (select doc_id, lower(trim({RAW_STRING})) as k from documents)) where label is not null",
     "q_std_labels_float": """select event_id, case when isnan(x) then 0 when x > 0.5 then 1 else 0 end::bigint as label from (
       select event_id, case when event_id % 10 = 0 then 'nan'::double when event_id % 10 = 1 then null else value / 20.0::double end as x from events) where x is not null""",
@@ -322,6 +348,7 @@ ORACLES: dict[str, str] = {
       select doc_id, n_ids, n_unknown, 128::bigint as n_padded, md5(array_to_string(list_concat(ids, list_transform(range(128 - n_ids), lambda i: 0)), ',')) as ids_md5 from a""",
     "q_linear_score": LINEAR_SCORE,
     "q_saved_model": LINEAR_SCORE,
+    "q_stream_scores": LINEAR_SCORE,
     "q_model_metrics": known(f"""{CELLS_LANG.replace('cells as', 'per as')},
       cells as (select * from per union all by name select 'ALL' as lang, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn, sum(tp) as tp from per), {CLASSES} {SUMMARY}"""),
     "q_model_per_class": known(f"""{CELLS_LANG}, {CLASSES} select lang, cls as label, class, {r6('precision')} as precision, {r6('recall')} as recall,
@@ -337,6 +364,22 @@ ORACLES: dict[str, str] = {
     "q_lr_fit": f"""with {SPLIT}, docs as (select s.doc_id, s.lang, {clean('d.text')} as text from split s join documents d using (doc_id) where s.split = 'train'),
       {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 50000), nd as (select count(*) as n_docs from docs)
       select term, (row_number() over (order by term) - 1)::int as idx, df, {r6('ln((1 + n_docs) / (1 + df)::double) + 1')} as idf, true as settled from top, nd""",
+    "q_grid_fit": f"""with {SPLIT}, docs as (select s.doc_id, s.lang, {clean('d.text')} as text from split s join documents d using (doc_id) where s.split = 'train'),
+      {TERMS}, md as (select mode, doc_id from docs, {MODES} where list_contains(langs, lang)), nd as (select mode, count(*) as n_docs from md group by mode),
+      st as (select mode, term, sum(c)::bigint as tf, count(*) as df from tc join md using (doc_id) group by all),
+      top as (select * from st qualify row_number() over (partition by mode order by tf desc, term) <= 50000)
+      select mode, term, df, {r6('ln((1 + n_docs) / (1 + df)::double) + 1')} as idf, true as settled from top join nd using (mode)""",
+    "q_curve_fit": f"""with {SPLIT}, docs as (select s.doc_id, s.lang, {clean('d.text')} as text from split s join documents d using (doc_id) where s.split = 'train'),
+      {TERMS}, av as (select count(*) as a from docs where lang = 'de'),
+      grid as (select condition, size, seed from (select unnest(['target_only', 'source_first']) as condition), (select unnest([100, 250, 500, 1000, 2500, 9681]) as size), (select unnest([42, 43, 44]) as seed)),
+      placed as (select doc_id, seed, row_number() over (partition by seed order by md5(seed || '|' || doc_id), doc_id) as place from docs, (select distinct seed from grid) where lang = 'de'),
+      md as (select condition, size, seed, doc_id from grid join placed using (seed) where place <= size
+             union all select condition, size, seed, doc_id from grid, docs where condition = 'source_first' and lang = 'en'),
+      nd as (select condition, size, seed, count(*) as train_rows from md group by all),
+      st as (select condition, size, seed, term, sum(c)::bigint as tf, count(*) as df from tc join md using (doc_id) group by all),
+      top as (select * from st qualify row_number() over (partition by condition, size, seed order by tf desc, term) <= 50000)
+      select condition, size, seed, least(size::bigint, any_value(a)) as examples, any_value(train_rows) as train_rows, count(*) as n_terms, sum(df)::bigint as sum_df, true as settled
+      from top join nd using (condition, size, seed), av group by condition, size, seed""",
     "q_run_plan": f"with {PLAN} select condition, size, seed, examples, epochs, steps from full_plan",
     "q_pending_runs": f"""with {PLAN}, {RUNS}, done as (select case condition when 'click' then 'target_only' else 'source_first' end as condition, size, seed from runs
         where lang = 'en' and n % 2 = 1 and condition in ('click', 'view'))

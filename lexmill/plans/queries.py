@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions import labels as L, scores as P, text as X
-from lexmill.operators import cleaning as C, features as V, linear as M, metrics as E, runs as R, sampling as S, stats as A
+from lexmill.operators import cleaning as C, features as V, grid as G, linear as M, metrics as E, runs as R, sampling as S, stats as A
 from lexmill.operators.cleaning import clean_rows
 from lexmill.plans import experiments as W
 from lexmill.sources import corpus as I, records as J
 from lexmill.sources.cache import cleaned
 from lexmill.sources.workdir import materialize, new_path
+from lexmill.streaming import scoring as Z
 
 LANGS = ("en", "de", "fr", "es")
 SOURCE, TARGET = "en", "de"
@@ -164,6 +165,87 @@ def read_corpus(spark, sf_dir):
     return back.select("doc_id", "lang", "split", "label", F.md5("text").alias("text_md5"))
 
 
+@query
+def rewrite_language(spark, sf_dir):
+    """Two languages written; one is written again, twice, with other labels; both are read."""
+    root, rows = new_path(spark, "csv"), texts_with_split(spark, sf_dir)
+    I.write_corpus(rows.filter(F.col("lang") == SOURCE), root, ["doc_id", "text", "label"])
+    changed = rows.filter(F.col("lang") == TARGET).withColumn("label", 1 - F.col("label"))
+    I.write_corpus(rows.filter(F.col("lang") == TARGET), root, ["doc_id", "text", "label"], mode="overwrite")
+    for _ in range(2):
+        I.write_corpus(changed, root, ["doc_id", "text", "label"], mode="overwrite")
+    back = I.read_corpus(spark, root, KEYED)
+    return back.select("doc_id", "lang", "split", "label", F.md5("text").alias("text_md5"))
+
+
+@query
+def encoded_files(spark, sf_dir):
+    """Encoded sequences written by language and split, one language a second time, and read back."""
+    root, rows = new_path(spark, "encoded"), clean_rows(texts_with_split(spark, sf_dir))
+    words = V.vocabulary(V.counted_docs(rows, ngram_range=(1, 1)), FEATURES)
+    encoded = materialize(V.encode(rows, words, 128, keep=["lang", "split"]), "encoded-rows")
+    I.write_corpus(encoded, root, None, "parquet")
+    I.write_corpus(encoded.filter(F.col("lang") == TARGET), root, None, "parquet", mode="overwrite")
+    back = I.read_corpus(spark, root, "doc_id BIGINT, n_unknown BIGINT, input_ids ARRAY<INT>, attention_mask ARRAY<INT>", "parquet")
+    return back.select(
+        "doc_id", "lang", "split", big("n_unknown").alias("n_unknown"), big(F.size("attention_mask")).alias("n_ids"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5")
+    )
+
+
+def raw_records(df: DataFrame) -> DataFrame:
+    """CSV records of texts and labels, some of them malformed: a word for a label, one field, three fields."""
+    text = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    kind = F.col("doc_id") % 10
+    record = (
+        F.when(kind == 0, F.concat(text, F.lit(",abc"))).when(kind == 1, text)
+        .when(kind == 2, F.concat_ws(",", text, F.col("label").cast("string"), F.lit("9")))
+        .otherwise(F.concat_ws(",", text, F.col("label").cast("string")))
+    )
+    return df.select("doc_id", record.alias("record"))
+
+
+def write_records(records: DataFrame, path: str, files: int = 8) -> str:
+    """Files of raw records, each below a header line; gives the pattern that reads them."""
+    part = F.pmod(F.xxhash64("record"), F.lit(files))
+    rows = records.select(part.alias("part"), F.lit(1).alias("place"), F.col("record").alias("value"))
+    heads = records.sparkSession.range(files).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit("text,label").alias("value"))
+    whole = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "place")
+    whole.select("value", "part").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+@query
+def checked_csv(spark, sf_dir):
+    """Good rows and malformed records of the same files, which together are all records."""
+    root = new_path(spark, "raw")
+    read = I.read_checked(spark, write_records(raw_records(corpus(spark, sf_dir)), f"{root}/csv"))
+    for _ in range(2):
+        I.write_quarantine(read.malformed, root)
+    good = read.rows.select(F.lit("good").alias("kind"), F.md5("text").alias("md5"), "label")
+    return good.unionByName(I.read_quarantine(spark, root).select(F.lit("malformed").alias("kind"), F.md5("record").alias("md5"), F.lit(None).cast("int").alias("label")))
+
+
+@query
+def csv_run(spark, sf_dir):
+    """A model trained on one CSV file and judged on another; what was read, set aside, learned and judged."""
+    root, rows = new_path(spark, "run"), texts_with_split(spark, sf_dir)
+    records = raw_records(rows).join(rows.select("doc_id", "split"), "doc_id")
+    paths = [write_records(records.filter(F.col("split") == s), f"{root}/{s}") for s in ("train", "test")]
+    run = W.run_from_files(spark, *paths, f"{root}/out", SETTINGS)
+    parts = [c.counts().agg(F.sum("good").alias("good"), F.sum("malformed").alias("malformed")).withColumn("part", F.lit(p)) for p, c in (("train", run.train), ("test", run.test))]
+    n_terms, judged = M.load_model(spark, f"{root}/out/model").terms.count(), spark.read.json(f"{root}/out/metrics").head()["n"]
+    told = {"train": n_terms, "test": judged}
+    return parts[0].unionByName(parts[1]).select("part", "good", "malformed", F.when(F.col("part") == "train", told["train"]).otherwise(told["test"]).cast("long").alias("used"))
+
+
+@query
+def row_keys(spark, sf_dir):
+    """Rows without a key, half of them copies of one, get keys of their own."""
+    rows = documents(spark, sf_dir).select(F.when(F.col("doc_id") % 2 == 0, "copy").otherwise(F.col("text")).alias("text"), "lang")
+    keyed = I.with_key(rows)
+    return keyed.groupBy("lang", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_keys"))
+
+
 @query
 def demo_corpus(spark, sf_dir):
     raw = corpus(spark, sf_dir).withColumn("label", raw_string_label())
@@ -235,6 +317,14 @@ def clean_corpus_rows(spark, sf_dir):
 QUERIES["q_clean_corpus"] = QUERIES.pop("q_clean_corpus_rows")
 
 
+@query
+def removed_observed(spark, sf_dir):
+    """The same counts, taken while the cleaned rows are written."""
+    rows, counts = C.clean_rows_counted(documents(spark, sf_dir))
+    materialize(rows, "clean")
+    return spark.createDataFrame([counts()], "before BIGINT, after BIGINT, removed BIGINT")
+
+
 @query
 def removed_count(spark, sf_dir):
     return C.removed_count(documents(spark, sf_dir))
@@ -295,6 +385,16 @@ def std_labels_float(spark, sf_dir):
     return C.standardize_labels(table(spark, sf_dir, "events").select("event_id", value.alias("label")))
 
 
+@query
+def std_labels_mixed(spark, sf_dir):
+    """Raw labels of many types in one column, as JSON has them, and NaN, which JSON has not."""
+    kind = F.col("doc_id") % 14
+    written = ["1", "2.0", '"pos"', None, "true", "null", "2", '" Bad "', "0.5", "-3", '"7"', "[1]", "false", "4"]
+    label = F.parse_json(F.element_at(F.array(*[F.lit(w) for w in written]), (kind + 1).cast("int")))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 3, F.lit(float("nan")).cast("variant")).otherwise(label).alias("label"))
+    return C.standardize_labels(raw)
+
+
 @query
 def label_map(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("label"))
@@ -558,6 +658,22 @@ def saved_model(spark, sf_dir):
     return rows.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
 
 
+@query
+def stream_scores(spark, sf_dir):
+    """Files scored as a stream that takes what is there, and asked again when nothing is new.
+
+    The second start goes on from the checkpoint, so no text counts twice.
+    """
+    root, model = new_path(spark, "stream"), known_model(counted(spark, sf_dir))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts.withColumn("part", F.col("doc_id") % 3).repartition("part").drop("part").write.parquet(f"{root}/in")
+    for _ in range(2):
+        rows = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        Z.score_stream(rows, model, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    scored = spark.read.parquet(f"{root}/out")
+    return scored.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
+
+
 def known_evaluation(spark, sf_dir, part: str) -> DataFrame:
     """One table of everything reported about a model on all labelled texts."""
     return W.evaluation(corpus(spark, sf_dir), known_model(counted(spark, sf_dir)))[part]
@@ -652,8 +768,39 @@ def transfer_matrix(spark, sf_dir):
 
 @query
 def lr_curve(spark, sf_dir):
-    runs = W.learning_curve(texts_with_split(spark, sf_dir), SOURCE, TARGET, (25, 50), (42, 43), SETTINGS)
-    return R.curve_summary(runs)
+    """The whole grid of the learning curve in one joint fit."""
+    return R.curve_summary(W.learning_curve(texts_with_split(spark, sf_dir), SOURCE, TARGET, settings=SETTINGS))
+
+
+def counted_split(spark, sf_dir) -> DataFrame:
+    rows = clean_rows(texts_with_split(spark, sf_dir), drop_empty=False)
+    return V.counted_docs(rows, ["label", "lang", "split"])
+
+
+SETTLED = 0.01
+
+
+@query
+def grid_fit(spark, sf_dir):
+    """Per mode and term whether the gradient vanishes at the jointly fitted models, computed without the solver."""
+    modes, docs = W.standard_modes(SOURCE, TARGET), counted_split(spark, sf_dir)
+    model = W.fit_modes(docs, modes, SETTINGS, slope=1e-3)
+    rows = docs.select("doc_id", "label", "terms", W.train_runs(modes).alias("runs"))
+    name = F.element_at(F.array(*[F.lit(m) for m in modes]), F.col("run") + 1)
+    return G.slopes(rows, model).select(name.alias("mode"), "term", "df", r6("idf").alias("idf"), (F.abs("slope") < SETTLED).alias("settled"))
+
+
+@query
+def curve_fit(spark, sf_dir):
+    """Per run of the learning curve: its rows and vocabulary, and whether the whole gradient vanishes."""
+    docs = counted_split(spark, sf_dir)
+    target = docs.filter((F.col("split") == "train") & (F.col("lang") == TARGET))
+    todo = R.run_plan(target, W.CONDITIONS).orderBy("condition", "size", "seed").collect()
+    fit = W.fit_curve(docs, SOURCE, TARGET, todo, SETTINGS, slope=1e-3)
+    told = spark.createDataFrame([(i, r["condition"], r["size"], r["seed"], r["examples"], fit.model.train_rows[i]) for i, r in enumerate(todo)],
+                                 "run INT, condition STRING, size INT, seed INT, examples BIGINT, train_rows BIGINT")
+    found = G.slopes(fit.rows, fit.model).groupBy("run").agg(F.count("*").alias("n_terms"), F.sum("df").alias("sum_df"), (F.max(F.abs("slope")) < SETTLED).alias("settled"))
+    return found.join(F.broadcast(told), "run").select("condition", "size", "seed", "examples", "train_rows", "n_terms", "sum_df", "settled")
 
 
 # Run records --------------------------------------------------------------------------------

@@ -35,6 +35,80 @@ def test_only_text_and_label_are_written_by_default(spark, frame, folder):
     assert I.read_split(spark, f"{folder}/c", "en").columns == ["text", "label", "lang", "split"]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_languages_are_written_and_replaced_by_themselves(spark, frame, folder, fmt):
+    root = f"{folder}/c"
+    I.write_corpus(frame.filter("lang = 'en'"), root, None, fmt)
+    for _ in range(2):
+        I.write_corpus(frame.filter("lang = 'bn'"), root, None, fmt, mode="overwrite")
+        back = I.read_corpus(spark, root, KEYED, fmt).select(*frame.columns)
+        assert sorted(map(tuple, back.collect())) == ROWS
+    changed = frame.filter("lang = 'bn' and split = 'test'").withColumn("text", F.lit("new"))
+    I.write_corpus(changed, root, None, fmt, mode="overwrite")
+    back = {r["doc_id"]: r["text"] for r in I.read_corpus(spark, root, KEYED, fmt).collect()}
+    assert back == {r[0]: "new" if r[0] in (6, 7) else r[1] for r in ROWS}
+
+
+BODY = """text,label
+"good, ""one""
+two",1
+"bad",abc
+"one field"
+three,1,fields
+empty label,
+"null",0
+,1
+"ends",0"""
+
+
+def test_malformed_records_are_set_aside(spark, folder):
+    for name, body in (("a", BODY), ("b", "text,label\nx,1\ny,\"2\n")):
+        with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as out:
+            out.write(body)
+    read = I.read_checked(spark, f"{folder}/*.csv")
+    rows = {(r["text"], r["label"], r["file"]) for r in read.rows.collect()}
+    assert rows == {('good, "one"\ntwo', 1, "a.csv"), ("empty label", None, "a.csv"), ("null", 0, "a.csv"), (None, 1, "a.csv"), ("ends", 0, "a.csv"), ("x", 1, "b.csv")}
+    bad = {(r["record"], r["file"]) for r in read.malformed.collect()}
+    assert {r for r in bad if r[1] == "a.csv"} == {('"bad",abc', "a.csv"), ('"one field"', "a.csv"), ("three,1,fields", "a.csv")} and len(bad) == 4
+    counts = {r["file"]: (r["good"], r["malformed"]) for r in read.counts().collect()}
+    assert counts == {"a.csv": (5, 3), "b.csv": (1, 1)}
+    for _ in range(2):
+        I.write_quarantine(read.malformed, folder)
+    I.write_quarantine(read.malformed.filter("file = 'b.csv'"), folder)
+    assert {(r["record"], r["file"]) for r in I.read_quarantine(spark, folder).collect()} == bad
+    with pytest.raises(FileNotFoundError):
+        I.read_checked(spark, f"{folder}/none.csv")
+
+
+def test_quarantine_is_no_part_of_the_corpus(spark, frame, folder):
+    I.write_corpus(frame, f"{folder}/c", None, "parquet")
+    I.write_quarantine(spark.createDataFrame([("f.csv", "x")], "file STRING, record STRING"), f"{folder}/c")
+    assert I.read_corpus(spark, f"{folder}/c", KEYED, "parquet").count() == len(ROWS)
+
+
+def test_keys_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(I, "COPIES", 7)
+    rows = [("copy", 1, None)] * 100 + [(f"t{i % 40}", i % 3, "x") for i in range(100)] + [(None, None, None)] * 3 + [("", None, None)]
+    df = spark.createDataFrame(rows, "text STRING, label INT, doc STRING")
+    found = [sorted(map(repr, I.with_key(df.repartition(n)).collect())) for n in (3, 5, 64)]
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == len(rows)
+    keyed = I.with_key(df)
+    assert keyed.select("doc_id").distinct().count() == len(rows) and keyed.columns == ["doc_id", "text", "label", "doc"]
+    assert sorted(map(repr, keyed.drop("doc_id").collect())) == sorted(map(repr, df.collect()))
+
+
+def test_run_from_two_files(spark, folder):
+    lines = ["text,label"] + [f"{'good' if i % 2 else 'bad'} film number{i % 5},{i % 2}" for i in range(60)]
+    for name, body in (("train", [*lines, "broken,x", "too,1,many"]), ("test", [*lines[:21], "short"])):
+        with open(f"{folder}/{name}.csv", "w") as out:
+            out.write("\n".join(body) + "\n")
+    run = W.run_from_files(spark, f"{folder}/train.csv", f"{folder}/test.csv", f"{folder}/out", SETTINGS)
+    assert run.keyed.count() == 60 and run.metrics.head()["accuracy"] == 1.0 and run.metrics.head()["n"] == 20
+    assert spark.read.json(f"{folder}/out/metrics").head()["f1"] == 1.0
+    assert spark.read.parquet(f"{folder}/out/model/terms").count() == run.model.terms.count()
+    assert {r["record"] for r in I.read_quarantine(spark, f"{folder}/out").collect()} == {"broken,x", "too,1,many", "short"}
+
+
 def test_missing_data(spark, frame, folder):
     I.write_corpus(frame, f"{folder}/c")
     with pytest.raises(FileNotFoundError):
