@@ -7,6 +7,10 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Executions whose plans Spark keeps: more than any one query runs.
+RETAINED = 400
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     work = tmp_path_factory.mktemp("work")
@@ -20,6 +24,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "8g")
         .config("spark.lexmill.scanTasks", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", str(RETAINED))
         .config("spark.ui.showConsoleProgress", "false")
     )
     session = builder.getOrCreate()

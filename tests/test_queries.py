@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from conftest import RETAINED
 
 TABLES = "documents labels pages conversations events embeddings benchmark".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -31,23 +32,33 @@ def rows(frame):
 
 
 class Plans:
-    """The plans of all SQL executions that run inside the block, those between stages included."""
+    """The plans of all SQL executions that start inside the block, those between stages included.
+
+    Executions are told apart by their ids: the store forgets the oldest, so its length says nothing.
+    """
 
     def __init__(self, spark):
         self.context, self.store = spark.sparkContext, spark._jsparkSession.sharedState().statusStore()
 
+    def executions(self):
+        self.context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        kept = self.store.executionsList()
+        return [kept.apply(i) for i in range(kept.size())]
+
     def __enter__(self):
-        self.first = self.store.executionsCount()
+        self.last = max((e.executionId() for e in self.executions()), default=-1)
         return self
 
     def __exit__(self, *_):
-        self.context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        new = self.store.executionsList(self.first, 1_000)
-        self.texts = [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+        new = [e for e in self.executions() if e.executionId() > self.last]
+        self.ids = sorted(e.executionId() for e in new)
+        self.texts = [e.physicalPlanDescription() for e in new]
 
 
-def check_plans(texts):
-    assert texts
+def check_plans(plans):
+    """No plan of the block was forgotten, the query's own is among them, and none holds what it should not."""
+    assert plans.ids == list(range(plans.last + 1, plans.last + 1 + len(plans.ids))) and plans.ids
+    texts = plans.texts
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEvalPython"):
         assert not [t for t in texts if word in t]
 
@@ -56,7 +67,7 @@ def check_plans(texts):
 def test_query_equals_sql(spark, sf_dir, con, name):
     with Plans(spark) as plans:
         got = QUERIES[name](spark, sf_dir).toPandas()
-    check_plans(plans.texts)
+    check_plans(plans)
     expected = con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert len(got) > 0 and rows(got) == rows(expected)
@@ -66,7 +77,23 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_query_without_sql_runs(spark, sf_dir, name):
     with Plans(spark) as plans:
         assert QUERIES[name](spark, sf_dir).count() > 0
-    check_plans(plans.texts)
+    check_plans(plans)
+
+
+def test_guard_sees_plans_beyond_those_the_store_keeps(spark):
+    """More executions than are retained run before and inside other blocks."""
+    for _ in range(RETAINED + 20):
+        spark.range(1).write.format("noop").mode("overwrite").save()
+    with Plans(spark) as plans:
+        spark.range(3).alias("a").crossJoin(spark.range(3).alias("b")).collect()
+    assert len(plans.texts) == 1
+    with pytest.raises(AssertionError):
+        check_plans(plans)
+    with Plans(spark) as plans:
+        for _ in range(RETAINED + 20):
+            spark.range(1).write.format("noop").mode("overwrite").save()
+    with pytest.raises(AssertionError):
+        check_plans(plans)
 
 
 def test_every_sql_has_its_query():
