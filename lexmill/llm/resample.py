@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm.common import map_arrow, texts
-from lexmill.llm.kernel import LOWER, NOT_ALNUM, long_lists
+from lexmill.llm.kernel import LOWER, NOT_ALNUM
 from lexmill.llm.ordered import running
 from lexmill.sources.workdir import materialize
 
@@ -23,8 +23,8 @@ from lexmill.sources.workdir import materialize
 GRAMS = regex.compile(rb"(?<![^ ])([^ ]++)( [^ ]++)?+( [^ ]++)?+(?![^ ])")
 #: A-Z become a-z and every byte between words a space.
 PLAIN = bytes(32 if NOT_ALNUM[LOWER[b]] else int(LOWER[b]) for b in range(256))
-#: So many features of one text are counted at a time.
-PART = 1 << 20
+#: So many words of one text are scanned at a time, and so many texts make one batch of results.
+PART, ROWS = 1 << 18, 256
 
 
 @dataclass(frozen=True)
@@ -42,55 +42,63 @@ def collapsed(text: str) -> bytes:
     return b" ".join(text.encode().translate(PLAIN).split())
 
 
-def feature_crcs(words: bytes) -> Iterator[int]:
-    """crc32 of every run of one to three words; a longer run goes on from the shorter one's crc."""
-    for match in GRAMS.finditer(words, overlapped=True):
-        one, two, three = match.groups()
-        crc = crc32(one)
-        yield crc
-        if two:
-            crc = crc32(two, crc)
-            yield crc
-            if three:
-                yield crc32(three, crc)
+def feature_crcs(words: bytes, size: int = PART) -> Iterator[np.ndarray]:
+    """crc32 of every run of one to three words, for ``size`` words at a time.
 
-
-def bucket_counts(words: bytes, buckets: int, size: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's features and how many features each has."""
-    crcs, total = feature_crcs(words), None
+    A longer run goes on from the shorter one's crc.
+    """
+    matches = GRAMS.finditer(words, overlapped=True)
     while True:
-        part = np.fromiter(islice(crcs, size), np.uint32) % np.uint32(buckets)
-        if total is None and len(part) < size:
-            return np.unique(part, return_counts=True)
-        total = np.zeros(buckets, np.int64) if total is None else total
-        total += np.bincount(part, minlength=buckets)
-        if len(part) < size:
-            return np.flatnonzero(total), total[total > 0]
+        crcs = []
+        add = crcs.append
+        for match in islice(matches, size):
+            one, two, three = match.groups()
+            crc = crc32(one)
+            add(crc)
+            if two:
+                crc = crc32(two, crc)
+                add(crc)
+                if three:
+                    add(crc32(three, crc))
+        if not crcs:
+            return
+        yield np.array(crcs, np.uint32)
+
+
+def numbers(buckets: int) -> np.dtype:
+    """The smallest type that holds the number of a bucket."""
+    return np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
+
+
+def text_buckets(words: bytes, buckets: int, size: int = PART) -> np.ndarray:
+    """The bucket of every feature of a text, sorted."""
+    kind = numbers(buckets)
+    parts = [(crcs % np.uint32(buckets)).astype(kind) for crcs in feature_crcs(words, size)]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, kind)
 
 
 def featured(docs: DataFrame, setting: Resampling, key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_words, n_features, buckets, counts``, one row per document with a key."""
+    """``doc_id, n_words, buckets``, one row per document with a key; buckets as bytes of ``numbers``."""
 
     def step(batch: pa.RecordBatch):
         ids, column = batch.column("doc_id"), batch.column("text")
-        for first in range(0, batch.num_rows, 256):
-            n_words, n_features, found, times = [], [], [], []
-            for text in column.slice(first, 256):
-                words = collapsed(text.as_py())
-                own, count = bucket_counts(words, setting.buckets)
-                n_words.append(words.count(b" ") + 1 if words else 0)
-                n_features.append(int(count.sum()))
-                found.append(own)
-                times.append(count)
+        for first in range(0, batch.num_rows, ROWS):
+            all_words = [collapsed(text.as_py()) for text in column.slice(first, ROWS)]
             yield {
-                "doc_id": ids.slice(first, 256),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_features": pa.array(n_features, pa.int64()),
-                "buckets": long_lists(found).cast(pa.list_(pa.int32())),
-                "counts": long_lists(times).cast(pa.list_(pa.int32())),
+                "doc_id": ids.slice(first, ROWS),
+                "n_words": pa.array([words.count(b" ") + 1 if words else 0 for words in all_words], pa.int64()),
+                "buckets": pa.array([text_buckets(words, setting.buckets).tobytes() for words in all_words], pa.binary()),
             }
 
-    return map_arrow(texts(docs, key), step, "doc_id bigint, n_words bigint, n_features bigint, buckets array<int>, counts array<int>")
+    return map_arrow(texts(docs, key), step, "doc_id bigint, n_words bigint, buckets binary")
+
+
+def found(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows of a batch, one after the other, and where each row's begin (n + 1 places)."""
+    kind = numbers(buckets)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // kind.itemsize
+    flat = np.frombuffer(column.buffers()[2], kind, count=int(ends[-1]))[ends[0] :] if ends[-1] > ends[0] else np.zeros(0, kind)
+    return flat, ends - ends[0]
 
 
 def totals(features: DataFrame, buckets: int) -> np.ndarray:
@@ -99,11 +107,11 @@ def totals(features: DataFrame, buckets: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            own, times = batch.column("buckets").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
-            total += np.bincount(own, times, buckets).astype(np.int64)
+            if batch.num_rows:
+                total += np.bincount(found(batch.column("buckets"), buckets)[0], minlength=buckets)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(buckets), pa.int32()), "n": pa.array(total)})
 
-    sums = features.select("buckets", "counts").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = features.select("buckets").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for bucket, n in sums.collect():
         out[bucket] = n
@@ -121,11 +129,10 @@ def weighted(features: DataFrame, gain: np.ndarray) -> DataFrame:
     """``doc_id, n_words, n_features, weight``: the sum of the gains of a document's features."""
 
     def step(batch: pa.RecordBatch):
-        own = batch.column("buckets")
-        worth = gain[own.flatten().to_numpy()] * batch.column("counts").flatten().to_numpy()
-        upto = np.concatenate([[0], np.cumsum(worth)])
-        ends = np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())]).astype(np.int64)
-        yield {**{c: batch.column(c) for c in ("doc_id", "n_words", "n_features")}, "weight": np.diff(upto[ends]).astype(np.int64)}
+        if batch.num_rows:
+            flat, ends = found(batch.column("buckets"), len(gain))
+            upto = np.concatenate([[0], np.cumsum(gain[flat])])
+            yield {**{c: batch.column(c) for c in ("doc_id", "n_words")}, "n_features": np.diff(ends), "weight": np.diff(upto[ends]).astype(np.int64)}
 
     return map_arrow(features, step, "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
 
@@ -133,7 +140,7 @@ def weighted(features: DataFrame, gain: np.ndarray) -> DataFrame:
 def resample(docs: DataFrame, target: DataFrame, setting: Resampling = Resampling(), key: str = "doc_id", target_key: str = "item_id") -> DataFrame:
     """``doc_id, n_words, n_features, weight, score, rank``, one row per document; undrawn rows have no rank.
 
-    Texts are scanned once: what the scan finds is written as counts per bucket, from which the
+    Texts are scanned once: what the scan finds is written as bucket numbers, from which the
     totals of the corpus and the weights are made. The documents long enough are sorted by score
     over the cluster, and the first ``percent`` of them are numbered.
 

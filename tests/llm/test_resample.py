@@ -4,6 +4,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ALNUM, ODD, documents, prose, words
 
@@ -37,14 +38,18 @@ def brute(texts, target, setting):
 
 @pytest.mark.parametrize("text", ["", "one", "one two", "One  two\tTHREE four", " -a-b- ", "É-é x!y?z", "x" * 5000, "a " * 5000])
 def test_scan_emits_every_run(text):
-    assert sorted(R.feature_crcs(R.collapsed(text))) == sorted(brute_features(text))
-
-
-@pytest.mark.parametrize("size", [1, 2, 7, 50, 10000])
-def test_counts_by_parts(size):
-    words = R.collapsed(" ".join(prose(1, 30, 8)))
-    own, n = R.bucket_counts(words, 97, size)
-    assert dict(zip(own.tolist(), n.tolist())) == Counter(c % 97 for c in brute_features(words.decode()))
+    for size in (1, 2, 1000):
+        crcs = [c for part in R.feature_crcs(R.collapsed(text), size) for c in part.tolist()]
+        assert sorted(crcs) == sorted(brute_features(text))
+
+
+@pytest.mark.parametrize("buckets", [97, 1 << 16, 1 << 17])
+def test_buckets_are_read_back(buckets):
+    texts = ["", " ".join(prose(1, 30, 8)), "one", ""]
+    own = [R.text_buckets(R.collapsed(t), buckets, 7) for t in texts]
+    column = pa.array([b""] + [o.tobytes() for o in own], pa.binary()).slice(1)
+    flat, ends = R.found(column, buckets)
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [sorted(c % buckets for c in brute_features(t)) for t in texts]
 
 
 @pytest.mark.parametrize("setting", [R.Resampling(), R.Resampling(buckets=97, min_words=3, percent=40)])
