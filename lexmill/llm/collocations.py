@@ -41,7 +41,7 @@ class Mining:
     share: int = 50
     top: int = 2000
     hot: int = 1024
-    held: int = 1 << 21
+    held: int = 3 << 19
     row: int = 512
 
 
