@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -25,12 +26,33 @@ def sample(marks: DataFrame, per_class: int) -> DataFrame:
 
 
 def sampled_rows(docs: DataFrame, marks: DataFrame, per_class: int, tasks: int = 16) -> DataFrame:
-    """doc_id, label and the columns of ``docs`` of sampled rows; equal texts count once.
+    """doc_id, label and the columns of ``docs`` of sampled rows; of equal texts the smallest doc_id counts.
 
-    The sample has at most 2 x ``per_class`` ids, so it is safe to broadcast.
+    The sample has at most 2 x ``per_class`` ids, so it is safe to broadcast. Rows equal in text and
+    doc_id are told apart by their other columns, so the result depends on nothing but the tables.
     """
     rows = docs.join(F.broadcast(sample(marks, per_class)), "doc_id")
-    return rows.repartition(tasks, "doc_id").dropDuplicates(["text"])
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    first = rows.repartition(tasks, "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", *others)).alias("row"))
+    return first.select("row.*", "text")
+
+
+def in_order(rows: DataFrame) -> pd.DataFrame:
+    """The rows on the driver, ordered by their columns ``doc_id`` and ``mark``, however they arrive.
+
+    Sums and batches of a fit follow the order of rows, so without this a model would depend on
+    how the table was dealt out.
+    """
+    return rows.toPandas().sort_values(["doc_id", "mark"], kind="stable", ignore_index=True)
+
+
+def label_weights(marks: DataFrame, per_class: int) -> dict[int, float]:
+    """How many labelled rows a sampled row of each label stands for: 1 where the bound does not bite.
+
+    Rows weighted like this keep the labels' true shares, so scores mean the same at every size.
+    """
+    counts = marks.groupBy("label").agg(F.count("*").alias("n")).collect()
+    return {r["label"]: r["n"] / min(r["n"], per_class) for r in counts}
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

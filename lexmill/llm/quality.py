@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm import kernel as K
 from lexmill.llm.common import map_arrow
-from lexmill.llm.labelled import adam, labelled_ids, row_sums, sampled_rows, sigmoid
+from lexmill.llm.labelled import adam, in_order, label_weights, labelled_ids, row_sums, sampled_rows, sigmoid
 
 WORDS = 1 << 12
 BINS = 12
@@ -147,22 +147,24 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     The driver gets the sample's statistics and word places, bounded by ``per_class``; texts stay on
     the executors. Rows are weighted so that the labels' true shares hold whatever the sample's are.
+    The model does not depend on the order or partitioning of the tables.
     """
     marks = labelled_ids(labels, "quality")
-    shares = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = label_weights(marks, settings.per_class)
 
     def step(batch):
-        label, stated = batch.column("label").to_numpy(), batch.column("stated").to_numpy()
+        ids, mark, label, stated = (batch.column(c).to_numpy() for c in ("doc_id", "mark", "label", "stated"))
         for first, data, offsets in K.chunks(batch.column("text")):
             rows = slice(first, first + len(offsets) - 1)
             grid, places, of = described(data, offsets, stated[rows])
-            yield {"label": label[rows], "grid": list(grid), "places": K.long_lists([places[a:b] for a, b in zip(of[:-1], of[1:])])}
+            yield {"doc_id": ids[rows], "mark": mark[rows], "label": label[rows], "grid": list(grid), "places": K.long_lists([places[a:b] for a, b in zip(of[:-1], of[1:])])}
 
-    rows = sampled_rows(text_columns(docs), marks, settings.per_class)
-    got = map_arrow(rows, step, "label int, grid array<double>, places array<long>", "label", "text", "stated").toPandas()
+    rows = sampled_rows(text_columns(docs), marks, settings.per_class).withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id long, mark long, label int, grid array<double>, places array<long>"
+    got = in_order(map_arrow(rows, step, schema, "doc_id", "mark", "label", "text", "stated"))
     y = got["label"].to_numpy(float)
     if len(set(y)) < 2:
-        return Model(np.zeros((len(STATISTICS), BINS - 1)), 40.0 if shares.get(1, 0) else -40.0, np.zeros(FEATURES), np.zeros((FEATURES, settings.rank)))
+        return Model(np.zeros((len(STATISTICS), BINS - 1)), 40.0 if y.any() else -40.0, np.zeros(FEATURES), np.zeros((FEATURES, settings.rank)))
     grid = np.stack(got["grid"].to_numpy())
     # Even bins for the bulk, finer ones at either end, where the odd texts are.
     cuts = [0.01, 0.03, 0.07, 0.15, 0.3, 0.5, 0.7, 0.85, 0.93, 0.97, 0.99]
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     lists = [np.asarray(x, dtype=np.int64) for x in got["places"]]
     of = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     at, value, of = features(grid, np.concatenate(lists), of, bounds)
-    weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
+    weight = np.where(y == 1, weights[1], weights[0])
     weight /= weight.mean()
     random = np.random.default_rng(settings.seed)
     bias, linear = np.zeros(1), np.zeros(FEATURES)

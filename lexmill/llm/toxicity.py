@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm import kernel as K
 from lexmill.llm.common import map_arrow, texts
-from lexmill.llm.labelled import adam, labelled_ids, row_sums, sampled_rows, sigmoid
+from lexmill.llm.labelled import adam, in_order, label_weights, labelled_ids, row_sums, sampled_rows, sigmoid
 
 SIZES = (3, 4, 5)
 STEP = K.mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
@@ -138,15 +138,19 @@ def matched(flat: np.ndarray, bounds: np.ndarray, model_grams: np.ndarray, slots
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model from labelled texts; without labels of both kinds it scores everything 0. Runs jobs.
+    """A model from labelled texts. Runs jobs.
 
-    The driver gets the kept n-grams and the sample's rows in terms of them, both bounded by the settings.
+    With labels of one kind only every text gets that label, without any labels 0. Rows are weighted
+    so that the labels' true shares hold whatever the sample's are. The driver gets the kept n-grams
+    and the sample's rows in terms of them, both bounded by the settings. The model does not depend
+    on the order or partitioning of the tables.
     """
-    rows = sampled_rows(texts(docs), labelled_ids(labels, "toxic"), settings.per_class)
+    marks = labelled_ids(labels, "toxic")
+    rows = sampled_rows(texts(docs), marks, settings.per_class).withColumn("mark", F.xxhash64("text"))
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if n1 else -40.0)
     counts = gram_counts(rows).groupBy("gram").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"),
@@ -163,21 +167,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     blank = Model(gram, ratio, 0.0)
 
     def step(batch):
-        marks = batch.column("label").to_numpy()
+        ids, mark, label = (batch.column(c).to_numpy() for c in ("doc_id", "mark", "label"))
         for first, flat, bounds in codes(batch.column("text")):
             at, owners = matched(flat, bounds, blank.grams, blank.slots)
             cuts = np.searchsorted(owners, np.arange(len(bounds)))
-            yield {"label": marks[first : first + len(bounds) - 1], "at": K.long_lists([at[x:y] for x, y in zip(cuts[:-1], cuts[1:])])}
+            own = slice(first, first + len(bounds) - 1)
+            yield {"doc_id": ids[own], "mark": mark[own], "label": label[own], "at": K.long_lists([at[x:y] for x, y in zip(cuts[:-1], cuts[1:])])}
 
-    table = map_arrow(rows, step, "label int, at array<long>", "label", "text").toPandas()
+    table = in_order(map_arrow(rows, step, "doc_id long, mark long, label int, at array<long>", "doc_id", "mark", "label", "text"))
     labels_, lists = table["label"].to_numpy(float), [np.asarray(x, dtype=np.int64) for x in table["at"]]
     of = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     at = np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(lists)), np.diff(of))
+    share = label_weights(marks, settings.per_class)
+    counts_as = np.where(labels_ == 1, share[1], share[0])
+    counts_as /= counts_as.mean()
     weights, intercept = np.zeros(len(gram)), np.zeros(1)
 
     def gradients(_):
         miss = sigmoid(row_sums((weights * ratio)[at], of) + intercept[0]) - labels_
+        miss *= counts_as
         slope = np.bincount(at, weights=miss[owner], minlength=len(gram)) * ratio / len(lists)
         return [slope + settings.penalty * weights, np.array([miss.mean()])]
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fixtures import ODD, documents, prose
 from lexmill.llm import queries as Q, quality, toxicity
-from lexmill.llm.labelled import labelled_ids, row_sums, sample
+from lexmill.llm.labelled import labelled_ids, row_sums, sample, sampled_rows
 
 LABELS = "doc_id BIGINT, quality INT, toxic INT"
 
@@ -95,3 +95,52 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert len(picked[0]) == 60 and picked[0] == picked[1]
     assert labelled_ids(labels, "toxic").count() == 0
     assert row_sums(np.ones(3), np.array([0, 2, 2, 3])).tolist() == [2, 0, 1]
+
+
+@pytest.mark.parametrize("name", ["op1_quality", "op7_toxicity"])
+def test_scores_do_not_depend_on_partitioning(spark, name):
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for tasks in (8, 13, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+            rows = Q.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas().sort_values("doc_id")
+            got.append(list(zip(rows["doc_id"], rows["score"], rows["predicted"])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
+@pytest.mark.parametrize("name, column, rare, precision, recall", [("op7_toxicity", "toxic", 1, 0.9, 0.7), ("op1_quality", "quality", 0, 0.9, 0.9)])
+def test_the_rare_label_is_found(spark, name, column, rare, precision, recall):
+    folder = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col(column).alias("label"))
+    rows = Q.QUERIES[name](spark, folder).filter("held_out").join(marks, "doc_id").toPandas()
+    said, true = rows["predicted"] == rare, rows["label"] == rare
+    assert (said & true).sum() >= precision * said.sum() and (said & true).sum() >= recall * true.sum()
+
+
+def test_scores_keep_their_level_when_the_sample_bound_bites(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    means = []
+    for bound in (6000, 300):
+        model = toxicity.fit(docs, labels, toxicity.Settings(per_class=bound))
+        means.append(toxicity.score(docs, model).agg(F.avg("score")).first()[0])
+    assert abs(means[0] - means[1]) < 0.03
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_kind_are_given_to_all(spark, label):
+    docs = documents(spark, ["a b c", "d e f", None])
+    labels = spark.createDataFrame([(0, label, label), (1, label, label)], LABELS)
+    for module in (toxicity, quality):
+        scores = [r["score"] for r in module.score(docs, module.fit(docs, labels)).collect()]
+        assert len(scores) == 3 and all(round(s) == label for s in scores)
+
+
+def test_equal_texts_count_as_their_smallest_doc_id(spark):
+    docs = documents(spark, ["same", "same", "other", "same"])
+    for order in ("doc_id", "-doc_id"):
+        marks = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 1)], "doc_id BIGINT, label INT")
+        rows = sampled_rows(docs.select("doc_id", "text").orderBy(F.expr(order)), marks, 10).collect()
+        assert sorted((r["doc_id"], r["label"]) for r in rows) == [(0, 0), (2, 1)]
