@@ -5,7 +5,7 @@ further line. A line shows a speaker marker (the few words before a colon or aft
 start), its length, its ending, and how it begins. Probabilities of states, transitions and features
 are counted on transcripts whose roles are known, with one added to every count. Viterbi finds the
 likeliest states of a transcript's lines; turns are then rendered with one tag for each role, without
-the markers.
+the markers known for it. A tag inside a text is escaped, so a rendering reads back as the same turns.
 
 Transcripts are parsed in pieces of ``PIECE`` turns by their numbers, so that a very long
 conversation is many rows of work and not one.
@@ -38,6 +38,9 @@ STYLES = (
     ("### System:\n", "### Instruction:\n", "### Response:\n"),
 )
 
+#: The words that mark each role in some style; any other word before a colon is the text's own.
+SPEAKERS = tuple({MARKER.match(marks[r]).group(1).lower() for marks in STYLES} for r in range(len(ROLES)))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -162,11 +165,16 @@ def viterbi(values: np.ndarray, model: Model) -> np.ndarray:
 
 
 def rendered(lines: list[str], states: np.ndarray) -> list[dict]:
-    """Turns of the states, without the markers that began them; a marker's own line goes with it."""
+    """Turns of the states, without the markers that began them; a marker's own line goes with it.
+
+    Only a marker known for the turn's role is taken off: ``Note: bring two`` stays as it is.
+    """
     turns: list[dict] = []
     for line, state in zip(lines, states):
         if state % 2 == 0 or not turns:
             found = MARKER.match(line)
+            if found and (found.group(1) or found.group(2)).lower() not in SPEAKERS[state // 2]:
+                found = None
             rest = line[found.end() :] if found else line
             turns.append({"role": ROLES[state // 2], "lines": [rest] if rest or not found else []})
         else:
@@ -174,8 +182,25 @@ def rendered(lines: list[str], states: np.ndarray) -> list[dict]:
     return [{"role": t["role"], "text": "\n".join(t["lines"])} for t in turns]
 
 
+TURN = re.compile(rf"<\|({'|'.join(ROLES)})\|>\n(.*?)\n<\|end\|>(?:\n|\Z)", re.DOTALL)
+
+
+def escaped(text: str) -> str:
+    """``<|`` with one backslash more between its characters, however many there are."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def canonical(turns: list[dict]) -> str:
-    return "\n".join(f"<|{t['role']}|>\n{t['text']}\n<|end|>" for t in turns)
+    return "\n".join(f"<|{t['role']}|>\n{escaped(t['text'])}\n<|end|>" for t in turns)
+
+
+def read_back(rendering: str) -> list[dict]:
+    """The turns a rendering was made of."""
+    return [{"role": role, "text": unescaped(text)} for role, text in TURN.findall(rendering)]
 
 
 KIND = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
