@@ -61,6 +61,28 @@ def token_stats(df: DataFrame, by: Sequence[str] = (), text: str = "text") -> Da
     return figures.select(*by, "mean", "std", "min", "max", *marks)
 
 
+def length_sketches(df: DataFrame, by: Sequence[str], text: str = "text", k: int = 800) -> DataFrame:
+    """``by, n, sketch``: mergeable quantile sketches (KLL) of the tokens per text.
+
+    Sketches have a bounded size whatever the number of texts, so they can be kept per group and day
+    and merged later without the texts. With ``k`` of 800 the rank of a quantile is off by about
+    half a hundredth of the texts; ``token_stats`` is the exact form.
+    """
+    lengths = df.select(*by, F.size(X.tokens(F.col(text))).cast("long").alias("_n"))
+    return lengths.groupBy(*by).agg(F.count("_n").alias("n"), F.kll_sketch_agg_bigint("_n", k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sketches of larger groups out of those of smaller ones."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_marks(sketches: DataFrame, marks: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """One row per sketch and mark: ``mark`` and its ``value``, a length that occurs."""
+    values = [F.struct(F.lit(float(m)).alias("mark"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(m))).alias("value")) for m in marks]
+    return sketches.withColumn("sketch", F.explode(F.array(*values))).select(*[c for c in sketches.columns if c != "sketch"], "sketch.*")
+
+
 def balance(df: DataFrame, by: Sequence[str] = ("lang", "split"), label: str = "label") -> DataFrame:
     """Class counts and percentages per group."""
     counted = df.groupBy(*by).agg(*label_counts(label))

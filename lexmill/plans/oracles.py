@@ -253,6 +253,8 @@ ORACLES: dict[str, str] = {
     "q_norm_ws": f"select doc_id, md5({one_space('text')}) as text_md5 from documents",
     "q_lower": "select doc_id, md5(lower(text)) as text_md5 from documents",
     "q_clean_corpus": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
+    "q_changed_files_cache": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
+    "q_token_sketch": f"with {CLEAN_DOCS} select lang, mark::double as mark, count(*) as n, true as near from docs, (values (0.5), (0.95), (0.99)) m(mark) group by lang, mark",
     "q_cleaned_cache": f"with {CLEAN_DOCS} select doc_id, md5(lower(text)) as text_md5 from docs",
     "q_removed_observed": f"""select count(*) as before, count_if(t <> '')::bigint as after, count_if(t = '')::bigint as removed from (
       select {clean("text")} as t from documents)""",

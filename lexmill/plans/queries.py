@@ -11,7 +11,7 @@ from lexmill.operators import cleaning as C, features as V, grid as G, linear as
 from lexmill.operators.cleaning import clean_rows
 from lexmill.plans import experiments as W
 from lexmill.sources import corpus as I, records as J
-from lexmill.sources.cache import cleaned
+from lexmill.sources.cache import cleaned, cleaned_files
 from lexmill.sources.workdir import materialize, new_path
 from lexmill.streaming import scoring as Z
 
@@ -498,6 +498,23 @@ def token_stats(spark, sf_dir):
     return rounded(A.token_stats(clean_documents(spark, sf_dir), ["lang"]), "mean", "std", "median", "p95", "p99")
 
 
+@query
+def token_sketch(spark, sf_dir):
+    """Marks of merged sketches, and whether their rank among all lengths is within 2 % of the mark."""
+    docs = clean_documents(spark, sf_dir)
+    parts = materialize(A.length_sketches(docs.withColumn("part", F.pmod(F.col("doc_id"), F.lit(7))), ["lang", "part"]), "sketches")
+    marks = A.sketch_marks(A.merge_sketches(parts, ["lang"]))
+    lengths = docs.select("lang", F.size(X.tokens(F.col("text"))).cast("long").alias("length"))
+    counted = lengths.groupBy("lang", "length").agg(F.count("*").alias("times"))
+    met = marks.join(counted, "lang")
+    ranks = met.groupBy("lang", "n", "mark", "value").agg(
+        F.sum(F.when(F.col("length") < F.col("value"), F.col("times")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("length") <= F.col("value"), F.col("times")).otherwise(0)).alias("upto"),
+    )
+    near = (F.col("below") / F.col("n") <= F.col("mark") + 0.02) & (F.col("upto") / F.col("n") >= F.col("mark") - 0.02)
+    return ranks.select("lang", "mark", "n", near.alias("near"))
+
+
 # Metrics ------------------------------------------------------------------------------------
 
 
@@ -722,6 +739,25 @@ def cleaned_cache(spark, sf_dir):
     return rows.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+@query
+def changed_files_cache(spark, sf_dir):
+    """A folder cleaned twice: in between a file is added, one is written again, one vanishes, one stays."""
+    root = new_path(spark, "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("part", F.pmod(F.col("doc_id"), F.lit(4)).cast("int"))
+    schema = "doc_id LONG, text STRING, part INT"
+
+    def write(rows):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(root)
+
+    stale = docs.filter("part = 0").withColumn("text", F.concat(F.lit("old "), "text"))
+    write(stale.unionByName(docs.filter("part = 1")).unionByName(docs.filter("part = 2").withColumn("part", F.lit(9))))
+    cleaned_files(spark, root, schema, lowercase=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/part=9")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    write(docs.filter("part <> 1"))
+    return cleaned_files(spark, root, schema, lowercase=True).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # Fitted models ------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,17 @@ def test_class_weights_and_balance(spark):
     row = A.balance(df.withColumn("lang", F.lit("en")), ["lang"]).head()
     assert (row["total"], row["positive"], row["pos_pct"], row["neg_pct"]) == (4, 1, 25.0, 75.0)
     assert A.positive_share(df.withColumn("g", F.lit(1)), ["g"]).head()["positive_share"] == 0.25
+
+
+def test_merged_length_sketches_keep_ranks(spark):
+    """Sketches of many parts, merged, rank every mark within 2 % of the texts; small groups are exact."""
+    texts = spark.range(20_000).select((F.col("id") % 40).alias("part"), F.expr("repeat('word ', int(1 + id * id % 997))").alias("text"))
+    sketches = A.length_sketches(texts, ["part"])
+    rows = A.sketch_marks(A.merge_sketches(sketches), [0.01, 0.5, 0.95, 0.99]).collect()
+    lengths = np.array([1 + i * i % 997 for i in range(20_000)])
+    for r in rows:
+        assert r["n"] == 20_000
+        assert (lengths < r["value"]).mean() <= r["mark"] + 0.02 and (lengths <= r["value"]).mean() >= r["mark"] - 0.02
+    few = A.sketch_marks(A.length_sketches(texts.filter("id < 400 and part = 3"), ["part"]), [0.5]).head()
+    own = sorted(lengths[3:400:40])
+    assert own[4] <= few["value"] <= own[5]

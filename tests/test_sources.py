@@ -1,4 +1,5 @@
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,44 @@ def test_batch_view(spark):
         (1, "x" * 50 + "...", "positive", 91.0, "very high confidence", "😄"), (3, "short", "negative", 65.0, "moderate confidence", "😐"),
     ]
     assert {r["sentiment"]: r["n"] for r in W.batch_summary(view).collect()} == {"positive": 1, "negative": 1}
+
+
+def test_cache_cleans_new_and_changed_files_only(spark, folder):
+    root, schema = f"{folder}/data", "doc_id LONG, text STRING, day STRING"
+
+    def write(day, *rows):
+        spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1).write.mode("overwrite").parquet(f"{root}/day={day}")
+
+    def state():
+        rows = sorted((r["doc_id"], r["text"], r["day"]) for r in cache.cleaned_files(spark, root, schema).collect())
+        return rows, {r["file"].split("day=")[1][:3]: r["_update"] for r in cache.manifest(spark, cache.cache_root(spark, root, schema)).collect()}
+
+    write("a b", (1, "<b>A</b>"), (2, " "))
+    write("b[1", (3, "B"))
+    rows, first = state()
+    assert rows == [(1, "A", "a b"), (3, "B", "b[1")] and len(first) == 2
+    assert state() == (rows, first)
+    write("c{*", (4, "C"))
+    rows, second = state()
+    assert rows == [(1, "A", "a b"), (3, "B", "b[1"), (4, "C", "c{*")]
+    assert {k: v for k, v in second.items() if k in first} == first and len(set(second.values())) == 2
+    write("a b", (5, "new"))
+    shutil.rmtree(f"{root}/day=c{{*")
+    rows, third = state()
+    assert rows == [(3, "B", "b[1"), (5, "new", "a b")] and len(third) == 2
+    # Rows of an update that did not finish are there, but no manifest names them.
+    spark.createDataFrame([(9, "x", "d", "id")], f"{schema}, _file_id STRING").write.parquet(f"{cache.cache_root(spark, root, schema)}/rows/_update=lost")
+    assert state() == (rows, third)
+
+
+def test_cache_of_a_folder_that_runs_empty(spark, folder):
+    root, schema = f"{folder}/none", "doc_id LONG, text STRING"
+    os.makedirs(root)
+    assert cache.cleaned_files(spark, root, schema).count() == 0
+    spark.createDataFrame([(1, "a")], schema).coalesce(1).write.mode("append").parquet(root)
+    assert cache.cleaned_files(spark, root, schema).count() == 1
+    for file in os.listdir(root):
+        os.remove(f"{root}/{file}")
+    assert cache.cleaned_files(spark, root, schema).count() == 0
+    spark.createDataFrame([(2, "b")], schema).coalesce(1).write.mode("append").parquet(root)
+    assert [r["doc_id"] for r in cache.cleaned_files(spark, root, schema).collect()] == [2]
