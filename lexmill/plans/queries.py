@@ -741,7 +741,7 @@ def cleaned_cache(spark, sf_dir):
 
 @query
 def changed_files_cache(spark, sf_dir):
-    """A folder cleaned twice: in between a file is added, one is written again, one vanishes, one stays."""
+    """A folder cleaned twice: in between files are added, one is written again, one vanishes, one stays."""
     root = new_path(spark, "source")
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("part", F.pmod(F.col("doc_id"), F.lit(4)).cast("int"))
     schema = "doc_id LONG, text STRING, part INT"
