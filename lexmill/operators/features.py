@@ -11,10 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill.functions import text as X
-from lexmill.sources.workdir import materialize
+from lexmill.sources.workdir import materialize, materialize_bucketed
 
 NGRAMS = (1, 2)
 MAX_FEATURES = 50_000
+SLOTS = 1 << 20
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -51,9 +52,23 @@ def counted_docs(
     Runs a job. Cleaning and taking apart the texts is the costly part of an experiment; vocabulary,
     training rows and scoring all start from this table.
     """
-    return materialize(
-        docs.select(key, *keep, _counted(text, ngram_range).alias("terms")), "counted-terms", partition_by
-    )
+    return materialize(_counted_rows(docs, keep, key, text, ngram_range), "counted-terms", partition_by)
+
+
+def _counted_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    return docs.select(key, *keep, _counted(text, ngram_range).alias("terms"))
+
+
+def bucketed_docs(
+    docs: DataFrame, buckets: int, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", ngram_range=NGRAMS
+) -> DataFrame:
+    """The same table laid out by key in ``buckets`` buckets, one file each. Runs a job.
+
+    The counted texts are shuffled once, while they are written; training rows, weights and scores
+    made from them afterwards group by key where the rows lie. That pays from the second use on.
+    A bucket is one task: choose as many as keep a bucket of counted texts within a task's memory.
+    """
+    return materialize_bucketed(_counted_rows(docs, keep, key, text, ngram_range), "counted-terms", key, buckets)
 
 
 def listed_terms(counted: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
@@ -95,13 +110,50 @@ def vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str =
 
     Runs jobs. Written once, so that joining it later is a broadcast whenever it is small enough.
     """
-    stats = materialize(term_stats(listed_terms(counted, key)), "term-stats")
+    return _weighted(materialize(term_stats(listed_terms(counted, key)), "term-stats"), counted, max_features)
+
+
+def _weighted(stats: DataFrame, counted: DataFrame, max_features: int) -> DataFrame:
     n_docs = counted.select(F.count("*")).scalar()
     return materialize(
         top_terms(stats, max_features).withColumn("idf", idf(F.col("df"), n_docs)), "vocabulary"
     )
 
 
+def frequent_stats(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """``term, tf, df`` of a superset of the ``max_features`` most frequent terms, without counting the rest.
+
+    Every term belongs to one of ``slots`` slots by its hash, and occurrences are first summed per
+    slot: no term is more frequent than its slot. The terms of the ``max_features`` fullest slots are
+    counted exactly; the last of the ``max_features`` most frequent among them is a frequency that
+    the whole vocabulary's border cannot lie below. Terms of slots below it are never shuffled, those
+    of all other slots are counted too. All counts returned are exact, whatever the number of slots;
+    fewer slots only prune less. Ties at the border are all returned.
+
+    Runs jobs and reads the counted texts three times, but a task hands on at most ``slots`` sums and
+    the terms that can still win. What is broadcast is at most ``slots`` numbers.
+    """
+    slot = F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot")
+    terms = listed_terms(counted, key).select(slot, "term", "n")
+    sums = materialize(terms.groupBy("slot").agg(F.sum("n").alias("total")), "slots")
+    # Written: both the first count and its complement must see the same slots.
+    fullest = materialize(sums.orderBy(F.desc("total"), "slot").limit(max_features), "fullest-slots")
+
+    def count(chosen: DataFrame, name: str) -> DataFrame:
+        return materialize(term_stats(terms.join(F.broadcast(chosen.select("slot")), "slot")), name)
+
+    first = count(fullest, "first-terms")
+    border = top_terms(first, max_features).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    least = border["tf"] if border["n"] >= max_features else 0
+    others = sums.filter(F.col("total") >= least).join(F.broadcast(fullest.select("slot")), "slot", "left_anti")
+    return first.unionByName(count(others, "other-terms"))
+
+
+def frequent_vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """The same table as ``vocabulary``, for corpora with many more distinct terms than it holds. Runs jobs."""
+    return _weighted(frequent_stats(counted, max_features, key, slots), counted, max_features)
+
+
 def raw_weight(n: Column, idf_: Column) -> Column:
     """Sublinear term frequency times inverse document frequency."""
     return (1 + F.log(n)) * idf_

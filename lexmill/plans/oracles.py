@@ -157,6 +157,7 @@ STATS = "st as (select term, sum(c)::bigint as tf, count(*) as df from tc group
 VOCAB = f"{CLEAN_DOCS}, {TERMS}, {STATS}, top as (select * from st order by tf desc, term limit 50000), nd as (select count(*) as n_docs from docs), " \
     "vocab as (select top.*, row_number() over (order by term) - 1 as idx, ln((1 + n_docs) / (1 + df)::double) + 1 as idf from top, nd)"
 WEIGHTS = "w as (select tc.doc_id, tc.lang, tc.term, v.idx, (1 + ln(tc.c)) * v.idf as w from tc join vocab v using (term))"
+TFIDF = f"with {VOCAB}, {WEIGHTS} select doc_id, term, {r6('w / sqrt(sum(w * w) over (partition by doc_id))')} as weight from w"
 
 KNOWN = f"""{VOCAB}, {WEIGHTS}, c as (select doc_id, w, w * (('0x' || substr(md5('SEED' || term), 1, 6))::bigint / 16777216.0::double - 0.5) as wc from w),
     z as (select docs.doc_id, coalesce(sum(wc) / sqrt(sum(w * w)), 0.0) + 0.01::double as z from docs left join c using (doc_id) group by docs.doc_id),
@@ -331,8 +332,10 @@ ORACLES: dict[str, str] = {
     "q_term_counts": f"with {CLEAN_CORPUS}, {TERMS} select doc_id, term, c as n from tc",
     "q_term_df": f"with {CLEAN_DOCS}, {TERMS}, {STATS} select term, tf, df from st",
     "q_vocab_topk": f"with {VOCAB} select term, idx, tf, df from vocab",
+    "q_vocab_pruned": f"with {VOCAB.replace('limit 50000', 'limit 5000')} select term, idx, tf, df, {r6('idf')} as idf from vocab",
     "q_idf": f"with {VOCAB} select term, {r6('idf')} as idf from vocab",
-    "q_tfidf": f"with {VOCAB}, {WEIGHTS} select doc_id, term, {r6('w / sqrt(sum(w * w) over (partition by doc_id))')} as weight from w",
+    "q_tfidf": TFIDF,
+    "q_tfidf_bucketed": TFIDF,
     "q_sparse_rows": f"""with {VOCAB}, {WEIGHTS} select docs.doc_id, docs.lang, count(w.idx) as n_terms, md5(coalesce(string_agg(w.idx::varchar, ',' order by w.idx), '')) as indices_md5,
       md5(coalesce(string_agg(round(w / length * 100000)::bigint::varchar, ',' order by w.idx), '')) as values_md5
       from docs left join (select *, sqrt(sum(w * w) over (partition by doc_id)) as length from w) w using (doc_id) group by docs.doc_id, docs.lang""",
@@ -349,6 +352,7 @@ ORACLES: dict[str, str] = {
             from ws left join e using (doc_id) group by ws.doc_id)
       select doc_id, n_ids, n_unknown, 128::bigint as n_padded, md5(array_to_string(list_concat(ids, list_transform(range(128 - n_ids), lambda i: 0)), ',')) as ids_md5 from a""",
     "q_linear_score": LINEAR_SCORE,
+    "q_linear_score_bucketed": LINEAR_SCORE,
     "q_saved_model": LINEAR_SCORE,
     "q_stream_scores": LINEAR_SCORE,
     "q_model_metrics": known(f"""{CELLS_LANG.replace('cells as', 'per as')},

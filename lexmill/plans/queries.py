@@ -19,6 +19,7 @@ LANGS = ("en", "de", "fr", "es")
 SOURCE, TARGET = "en", "de"
 KEYED = "doc_id BIGINT, text STRING, label INT"
 FEATURES = V.MAX_FEATURES
+FEW_FEATURES = 5_000
 SETTINGS = M.TfidfModel()
 TIGHT = M.TfidfModel(tolerance=1e-9)
 
@@ -612,6 +613,13 @@ def vocab_topk(spark, sf_dir):
     return V.vocabulary(counted(spark, sf_dir), FEATURES).select("term", big("idx").alias("idx"), "tf", "df")
 
 
+@query
+def vocab_pruned(spark, sf_dir):
+    """A small vocabulary of a corpus with many terms, most of which are never counted."""
+    words = V.frequent_vocabulary(counted(spark, sf_dir), FEW_FEATURES)
+    return words.select("term", big("idx").alias("idx"), "tf", "df", r6("idf").alias("idf"))
+
+
 @query
 def idf(spark, sf_dir):
     return rounded(V.vocabulary(counted(spark, sf_dir), FEATURES).select("term", "idf"), "idf")
@@ -623,6 +631,24 @@ def tfidf(spark, sf_dir):
     return rounded(V.tfidf(docs, V.vocabulary(docs, FEATURES)), "weight").select("doc_id", "term", "weight")
 
 
+def bucketed(spark, sf_dir) -> DataFrame:
+    """Counted texts laid out by document, in as many buckets as a shuffle has partitions."""
+    return V.bucketed_docs(clean_documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query
+def tfidf_bucketed(spark, sf_dir):
+    docs = bucketed(spark, sf_dir)
+    return rounded(V.tfidf(docs, V.vocabulary(docs, FEATURES)), "weight").select("doc_id", "term", "weight")
+
+
+@query
+def linear_score_bucketed(spark, sf_dir):
+    docs = bucketed(spark, sf_dir)
+    rows = M.score_counted(docs, known_model(docs))
+    return rows.select("doc_id", r6("z").alias("z"), r6("score").alias("p"), "pred")
+
+
 @query
 def sparse_rows(spark, sf_dir):
     docs = counted(spark, sf_dir, ["lang"])

@@ -34,6 +34,8 @@ def clear(spark: SparkSession) -> bool:
 
     Results that still read from them must have been written elsewhere before.
     """
+    for name in spark.catalog.listTables(pattern=f"{_table_prefix(spark)}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {name.name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(app_root(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -52,3 +54,21 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _table_prefix(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    return "lexmill_" + "".join(c if c.isalnum() else "_" for c in application.lower()) + "_"
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialize``, with the rows laid out by ``key``, one file per bucket. Runs a job.
+
+    Grouping by ``key``, or joining another table of as many buckets, then needs no shuffle. The layout
+    is kept in the session's catalog, as a table over the files, which ``clear`` drops.
+    """
+    spark = df.sparkSession
+    table = _table_prefix(spark) + uuid.uuid4().hex
+    rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    rows.option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -87,6 +87,51 @@ def test_copies_and_hot_terms(spark):
     assert np.allclose(got, matrix, atol=1e-12)
 
 
+@pytest.mark.parametrize("cap, slots", [(1, 5), (3, 1), (7, 5), (7, 64), (20, V.SLOTS), (500, 64)])
+def test_pruned_vocabulary_equals_the_full_one(docs, cap, slots):
+    """From one slot for all terms, where nothing is pruned, to a slot for each."""
+    counted = V.counted_docs(docs)
+    expected = sorted(map(tuple, V.vocabulary(counted, cap).collect()))
+    assert sorted(map(tuple, V.frequent_vocabulary(counted, cap, slots=slots).collect())) == expected
+
+
+def test_pruned_vocabulary_leaves_rare_terms_uncounted(spark):
+    """Ten frequent words, ties at the border among them, below thousands that occur once."""
+    texts = [" ".join([f"hot{j}" for j in range(10)] * (3 if i % 3 else 1) + [f"rare{i}x{j}" for j in range(20)]) for i in range(300)]
+    counted = V.counted_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(5), ngram_range=(1, 1))
+    stats = V.frequent_stats(counted, 4)
+    full = {r["term"]: (r["tf"], r["df"]) for r in V.term_stats(V.listed_terms(counted)).collect()}
+    got = {r["term"]: (r["tf"], r["df"]) for r in stats.collect()}
+    assert len(full) == 6010 and sorted(got) == sorted(f"hot{j}" for j in range(10))
+    assert all(full[t] == got[t] for t in got)
+
+
+def test_pruned_vocabulary_of_nothing(spark):
+    counted = V.counted_docs(spark.createDataFrame([(1, ""), (2, "")], "doc_id LONG, text STRING"))
+    assert V.frequent_vocabulary(counted, 4).count() == 0
+    assert V.frequent_vocabulary(counted.limit(0), 4).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_texts_are_grouped_where_they_lie(spark, docs):
+    bucketed, counted = V.bucketed_docs(docs, 3, ["label"]), V.counted_docs(docs, ["label"])
+    vocab = V.vocabulary(counted, 20)
+    model = M.TfidfModel(terms=vocab.withColumn("coef", F.lit(0.5)), intercept=0.1)
+    pairs = [
+        (V.sparse_rows(bucketed, vocab, ["label"]), V.sparse_rows(counted, vocab, ["label"])),
+        (V.tfidf(bucketed, vocab), V.tfidf(counted, vocab)),
+        (M.score_counted(bucketed, model, ["label"]), M.score_counted(counted, model, ["label"])),
+    ]
+    for got, expected in pairs:
+        assert "Exchange hashpartitioning" not in plan_of(got)
+        assert "Exchange hashpartitioning" in plan_of(expected)
+        numbers = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r if not isinstance(v, list)]) for r in df.collect())
+        assert got.count() > 0 and numbers(got) == numbers(expected)
+
+
 def test_term_counts_need_no_shuffle(docs):
     plan = V.doc_terms(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
