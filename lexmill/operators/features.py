@@ -15,7 +15,7 @@ from lexmill.sources.workdir import materialize, materialize_bucketed
 
 NGRAMS = (1, 2)
 MAX_FEATURES = 50_000
-SLOTS = 1 << 20
+SLOTS_PER_FEATURE = 32
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -120,21 +120,29 @@ def _weighted(stats: DataFrame, counted: DataFrame, max_features: int) -> DataFr
     )
 
 
-def frequent_stats(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+def frequent_stats(
+    counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """``term, tf, df`` of a superset of the ``max_features`` most frequent terms, without counting the rest.
 
     Every term belongs to one of ``slots`` slots by its hash, and occurrences are first summed per
     slot: no term is more frequent than its slot. The terms of the ``max_features`` fullest slots are
     counted exactly; the last of the ``max_features`` most frequent among them is a frequency that
     the whole vocabulary's border cannot lie below. Terms of slots below it are never shuffled, those
-    of all other slots are counted too. All counts returned are exact, whatever the number of slots;
-    fewer slots only prune less. Ties at the border are all returned.
-
-    Runs jobs and reads the counted texts three times, but a task hands on at most ``slots`` sums and
-    the terms that can still win. What is broadcast is at most ``slots`` numbers.
+    of all other slots are counted too. All counts returned are exact, whatever the number of slots
+    (``SLOTS_PER_FEATURE`` for each term wanted if not given); fewer slots only prune less. Ties at
+    the border are all returned.
+
+    Runs jobs and reads the counted texts three times, but a task holds and hands on at most ``slots``
+    sums, then the terms that can still win. As that does not grow with what a task reads, the texts
+    are read by ``tasks`` tasks (if there are more splits; ``spark.sql.shuffle.partitions`` if not
+    given), so the shuffled rows do not grow with the splits. What is broadcast is at most ``slots``
+    numbers.
     """
+    slots = slots or SLOTS_PER_FEATURE * max_features
+    tasks = tasks or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot")
-    terms = listed_terms(counted, key).select(slot, "term", "n")
+    terms = listed_terms(counted.coalesce(tasks), key).select(slot, "term", "n")
     sums = materialize(terms.groupBy("slot").agg(F.sum("n").alias("total")), "slots")
     # Written: both the first count and its complement must see the same slots.
     fullest = materialize(sums.orderBy(F.desc("total"), "slot").limit(max_features), "fullest-slots")
@@ -149,9 +157,11 @@ def frequent_stats(counted: DataFrame, max_features: int = MAX_FEATURES, key: st
     return first.unionByName(count(others, "other-terms"))
 
 
-def frequent_vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+def frequent_vocabulary(
+    counted: DataFrame, max_features: int = MAX_FEATURES, key: str = "doc_id", slots: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """The same table as ``vocabulary``, for corpora with many more distinct terms than it holds. Runs jobs."""
-    return _weighted(frequent_stats(counted, max_features, key, slots), counted, max_features)
+    return _weighted(frequent_stats(counted, max_features, key, slots, tasks), counted, max_features)
 
 
 def raw_weight(n: Column, idf_: Column) -> Column:

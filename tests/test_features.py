@@ -87,7 +87,7 @@ def test_copies_and_hot_terms(spark):
     assert np.allclose(got, matrix, atol=1e-12)
 
 
-@pytest.mark.parametrize("cap, slots", [(1, 5), (3, 1), (7, 5), (7, 64), (20, V.SLOTS), (500, 64)])
+@pytest.mark.parametrize("cap, slots", [(1, 5), (3, 1), (7, 5), (7, 64), (20, None), (500, 64)])
 def test_pruned_vocabulary_equals_the_full_one(docs, cap, slots):
     """From one slot for all terms, where nothing is pruned, to a slot for each."""
     counted = V.counted_docs(docs)
@@ -99,7 +99,7 @@ def test_pruned_vocabulary_leaves_rare_terms_uncounted(spark):
     """Ten frequent words, ties at the border among them, below thousands that occur once."""
     texts = [" ".join([f"hot{j}" for j in range(10)] * (3 if i % 3 else 1) + [f"rare{i}x{j}" for j in range(20)]) for i in range(300)]
     counted = V.counted_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(5), ngram_range=(1, 1))
-    stats = V.frequent_stats(counted, 4)
+    stats = V.frequent_stats(counted, 4, slots=1 << 20, tasks=2)
     full = {r["term"]: (r["tf"], r["df"]) for r in V.term_stats(V.listed_terms(counted)).collect()}
     got = {r["term"]: (r["tf"], r["df"]) for r in stats.collect()}
     assert len(full) == 6010 and sorted(got) == sorted(f"hot{j}" for j in range(10))
