@@ -14,11 +14,18 @@ def work_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
 
     Both are places every executor reaches, so a table written there outlives the machine that
-    wrote it. Tables of an application lie under ``lexmill/<application id>``; see ``clear``.
+    wrote it. A warehouse in a plain folder is such a place for a local master only: a cluster that
+    has no other one must name its shared folder. Tables of an application lie under
+    ``lexmill/<application id>``; see ``clear``.
     """
     context = spark.sparkContext
     root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
-    return (root or f"{spark.conf.get(WAREHOUSE).rstrip('/')}/work").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get(WAREHOUSE).rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+        raise RuntimeError(f"set {SETTING} to a folder all executors reach; the warehouse {warehouse} may lie on one machine")
+    return f"{warehouse}/work"
 
 
 def app_root(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 import os
 import shutil
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,8 @@ def test_work_folder_without_a_setting_is_in_the_warehouse():
             return "/data/warehouse/" if name == workdir.WAREHOUSE else default
 
     class Context:
+        master = "local[8]"
+
         def getConf(self):
             return Conf()
 
@@ -311,3 +314,21 @@ def test_cache_of_a_folder_that_runs_empty(spark, folder):
     assert cache.cleaned_files(spark, root, schema).count() == 0
     spark.createDataFrame([(2, "b")], schema).coalesce(1).write.mode("append").parquet(root)
     assert [r["doc_id"] for r in cache.cleaned_files(spark, root, schema).collect()] == [2]
+
+
+@pytest.mark.parametrize("master, shared, warehouse, expected", [
+    ("local[8]", None, "file:/tmp/wh", "file:/tmp/wh/work"),
+    ("spark://host:1", "/shared/x/", "file:/tmp/wh", "/shared/x"),
+    ("yarn", None, "hdfs://host/wh/", "hdfs://host/wh/work"),
+    ("yarn", None, "file:/tmp/wh", None),
+    ("spark://host:1", None, "/tmp/wh", None),
+])
+def test_a_cluster_never_writes_to_a_folder_of_one_machine(master, shared, warehouse, expected):
+    settings = {workdir.WAREHOUSE: warehouse, **({workdir.SETTING: shared} if shared else {})}
+    context = SimpleNamespace(master=master, getConf=lambda: settings, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, *default: settings.get(name)), sparkContext=context)
+    if expected is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            workdir.work_root(session)
+    else:
+        assert workdir.work_root(session) == expected
