@@ -1,13 +1,18 @@
 """Term counts, vocabulary, TF-IDF weights and encoded sequences.
 
 Counting happens inside each row, so texts are never shuffled and only (term, count) pairs of
-distinct terms leave a document.
+distinct terms leave a document. Spark finds the words; tables of counted texts are made, added up
+and looked up in Arrow batches, a bounded number of terms at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill.functions import text as X
@@ -16,6 +21,8 @@ from lexmill.sources.workdir import materialize, materialize_bucketed
 NGRAMS = (1, 2)
 MAX_FEATURES = 50_000
 SLOTS_PER_FEATURE = 32
+#: Terms of counted texts that a task makes, and those that it adds up or looks up, at a time (or one text's).
+MADE, HELD = 1 << 18, 1 << 20
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -52,11 +59,134 @@ def counted_docs(
     Runs a job. Cleaning and taking apart the texts is the costly part of an experiment; vocabulary,
     training rows and scoring all start from this table.
     """
-    return materialize(_counted_rows(docs, keep, key, text, ngram_range), "counted-terms", partition_by)
+    return materialize(counted_rows(docs, keep, key, text, ngram_range), "counted-terms", partition_by)
+
+
+def schema_of(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+
+
+def counted_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """``key, keep..., terms``, not yet written. A text without terms has none (NULL)."""
+    low, high = ngram_range
+    if not 1 <= low <= high:
+        raise ValueError("n-gram range must satisfy 1 <= low <= high")
+    columns = [key, *keep]
+    # No word holds a space.
+    words = docs.select(*columns, F.array_join(X.tokens(F.col(text)), " ").alias("_words"))
+
+    def made(batch: pa.RecordBatch, ends: list[int], terms: list[str], n: list[int]) -> pa.RecordBatch:
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64())], ["term", "n"])
+        none = pa.array(np.diff(ends) == 0)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=none)
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], lists], [*columns, "terms"])
+
+    def run(batches):
+        for batch in batches:
+            start, ends, terms, n = 0, [0], [], []
+            for row, text_ in enumerate(batch.column("_words")):
+                own = text_.as_py()
+                own = own.split(" ") if own else []
+                counts: Counter[str] = Counter()
+                for size in range(low, high + 1):
+                    counts.update(own if size == 1 else map(" ".join, zip(*[own[i:] for i in range(size)])))
+                terms.extend(counts.keys())
+                n.extend(counts.values())
+                ends.append(len(terms))
+                if len(terms) >= MADE:
+                    yield made(batch.slice(start, row + 1 - start), ends, terms, n)
+                    start, ends, terms, n = row + 1, [0], [], []
+            if start < batch.num_rows:
+                yield made(batch.slice(start), ends, terms, n)
+
+    return words.mapInArrow(run, f"{schema_of(docs, columns)}, terms array<struct<term: string, n: bigint>>")
+
+
+def held(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]:
+    """Stretches of counted texts: their rows, the row of every term, the terms and how often each occurs."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+        part = batch.slice(start, stop - start)
+        term, n = part.column("terms").flatten().flatten()
+        yield part, np.repeat(np.arange(stop - start), lengths[start:stop]), term, n
+        start = stop
+
+
+def summed_terms(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., term, tf, df``: occurrences and texts holding the term, per group of texts.
+
+    The same as ``term_stats`` of the listed terms; a task adds up what it holds before the shuffle.
+    """
+    return partial_sums(counted, by).groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def partial_sums(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same columns, summed by each task for itself: a group's term may have several rows. No shuffle."""
+    keys = [*by, "term"]
+
+    def added(parts: list[pa.Table]) -> list[pa.RecordBatch]:
+        sums = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
+        return sums.select([*keys, "tf_sum", "df_sum"]).rename_columns([*keys, "tf", "df"]).to_batches(1 << 16)
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for part, row, term, n in held(batch):
+                groups = [part.column(c).take(pa.array(row)) for c in by]
+                parts.append(pa.Table.from_arrays([*groups, term, n, pa.array(np.ones(len(row), np.int64))], [*keys, "tf", "df"]))
+                size += len(row)
+                if size >= 4 * HELD:
+                    yield from added(parts)
+                    parts, size = [], 0
+        if size:
+            yield from added(parts)
+
+    groups = f"{schema_of(counted, by)}, " if by else ""
+    return counted.select(*by, "terms").mapInArrow(run, f"{groups}term string, tf bigint, df bigint")
+
+
+def one_per_key(counted: DataFrame, keep: Sequence[str], key: str, group: Sequence[str] | None = None) -> DataFrame:
+    """``key, keep..., terms``: rows that share the key and ``group`` (all of ``keep`` if not given) become one.
+
+    Its terms are theirs one after the other; of other columns the first value stays. Only rows whose
+    key occurs more than once are shuffled. Runs a job, which finds those keys.
+    """
+    group = list(keep if group is None else group)
+    counts = counted.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = materialize(counts.select("_key"), "repeated-keys")
+    columns = [key, *keep, "terms"]
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    terms = F.flatten(F.collect_list(F.coalesce("terms", F.array().cast(counted.schema["terms"].dataType)))).alias("terms")
+    firsts = [F.first(c).alias(c) for c in keep if c not in group]
+    several = counted.select(*columns).join(repeated, same, "left_semi").groupBy(key, *group).agg(terms, *firsts)
+    return counted.select(*columns).join(repeated, same, "left_anti").unionByName(several.select(*columns))
+
+
+def looked_up(rows: DataFrame, columns: Sequence[str], known: DataFrame, body: Callable, schema: str) -> DataFrame:
+    """Counted texts with their terms looked up in the table ``known``, whose first column is ``term``.
+
+    ``body`` gets a stretch of rows, ``known`` as an Arrow table, and for each known term of these
+    rows, in their order, its row, its place in ``known`` and its count; it gives columns by name.
+    What is broadcast is bounded by the size of a vocabulary. Runs a job.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(known.toArrow().combine_chunks())
 
+    def run(batches):
+        table = shared.value
+        names = table.column("term").combine_chunks()
+        for batch in batches:
+            for part, row, term, n in held(batch):
+                place = pc.fill_null(pc.index_in(term, value_set=names), -1).to_numpy(zero_copy_only=False)
+                hit = place >= 0
+                yield pa.RecordBatch.from_pydict(body(part, table, row[hit], place[hit], n.to_numpy(zero_copy_only=False)[hit]))
 
-def _counted_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
-    return docs.select(key, *keep, _counted(text, ngram_range).alias("terms"))
+    return rows.select(*columns, "terms").mapInArrow(run, schema)
+
+
+def numbers(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy()
 
 
 def bucketed_docs(
@@ -68,7 +198,7 @@ def bucketed_docs(
     made from them afterwards group by key where the rows lie. That pays from the second use on.
     A bucket is one task: choose as many as keep a bucket of counted texts within a task's memory.
     """
-    return materialize_bucketed(_counted_rows(docs, keep, key, text, ngram_range), "counted-terms", key, buckets)
+    return materialize_bucketed(counted_rows(docs, keep, key, text, ngram_range), "counted-terms", key, buckets)
 
 
 def listed_terms(counted: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
@@ -110,7 +240,7 @@ def vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str =
 
     Runs jobs. Written once, so that joining it later is a broadcast whenever it is small enough.
     """
-    return _weighted(materialize(term_stats(listed_terms(counted, key)), "term-stats"), counted, max_features)
+    return _weighted(materialize(summed_terms(counted), "term-stats"), counted, max_features)
 
 
 def _weighted(stats: DataFrame, counted: DataFrame, max_features: int) -> DataFrame:
@@ -169,37 +299,55 @@ def raw_weight(n: Column, idf_: Column) -> Column:
     return (1 + F.log(n)) * idf_
 
 
-def _known_terms(counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str, how: str) -> DataFrame:
-    """``key, keep..., term, idx, w``: the terms of each text that the vocabulary knows."""
-    terms = listed_terms(counted, key, keep, outer=how == "left")
-    known = terms.join(vocab.select("term", "idx", "idf"), "term", how)
-    return known.select(key, *keep, "term", "idx", raw_weight(F.col("n"), F.col("idf")).alias("w"))
+def _in_order(row: np.ndarray, idx: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The places of the entries by row, then term number, then value."""
+    return np.lexsort((w, idx, row))
+
+
+def _unit_entries(part: pa.RecordBatch, table: pa.Table, row: np.ndarray, place: np.ndarray, n: np.ndarray):
+    """Row, place in the vocabulary, term number and unit-length weight of every entry, in order."""
+    idx, w = numbers(table, "idx")[place], (1 + np.log(n)) * numbers(table, "idf")[place]
+    order = _in_order(row, idx, w)
+    row, place, idx, w = row[order], place[order], idx[order], w[order]
+    norm = np.sqrt(np.bincount(row, np.square(w), part.num_rows))
+    return row, place, idx, w / norm[row]
+
+
+def as_lists(row: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values of each row, which lie one after the other, as a list column."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
 def tfidf(counted: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, term, idx, weight`` with unit length per document; unknown terms are ignored.
+    """``key, term, idx, weight`` with unit length per document; unknown terms are ignored. Runs jobs."""
 
-    The norm comes from the sparse rows, which move numbers only; terms are joined back on ``idx``.
-    """
-    entries = F.explode(F.arrays_zip("indices", "values")).alias("_e")
-    rows = sparse_rows(counted, vocab, (), key).select(key, entries)
-    rows = rows.select(key, F.col("_e.indices").alias("idx"), F.col("_e.values").alias("weight"))
-    return rows.join(vocab.select("idx", "term"), "idx").select(key, "term", "idx", "weight")
+    def body(part, table, row, place, n):
+        row, place, idx, weight = _unit_entries(part, table, row, place, n)
+        return {
+            key: part.column(key).take(pa.array(row)), "term": table.column("term").combine_chunks().take(pa.array(place)),
+            "idx": pa.array(idx, pa.int32()), "weight": pa.array(weight),
+        }
+
+    schema = f"{schema_of(counted, [key])}, term string, idx int, weight double"
+    return looked_up(one_per_key(counted, (), key), [key], vocab.select("term", "idx", "idf"), body, schema)
 
 
 def sparse_rows(counted: DataFrame, vocab: DataFrame, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
     """``key, keep..., indices, values``: one unit-length sparse row per text.
 
-    A text without known terms gives an empty row. A row holds at most one entry per vocabulary
-    term; the entries of a text lie in one task and are gathered there before the shuffle.
+    A text without known terms gives an empty row. Every text is made where it lies; only those that
+    share a key are shuffled. Runs jobs.
     """
-    known = _known_terms(counted, vocab, keep, key, "left")
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))
-    rows = known.groupBy(key, *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    # Bound, not a named column: that would be inlined and summed again for every element.
-    values = X.bind(norm, lambda length: F.transform("_e", lambda e: e["w"] / length))
-    return rows.select(key, *keep, F.transform("_e", lambda e: e["idx"]).alias("indices"), values.alias("values"))
+    columns = [key, *keep]
+
+    def body(part, table, row, place, n):
+        row, _, idx, weight = _unit_entries(part, table, row, place, n)
+        lists = {"indices": as_lists(row, part.num_rows, idx, pa.int32()), "values": as_lists(row, part.num_rows, weight, pa.float64())}
+        return {c: part.column(c) for c in columns} | lists
+
+    schema = f"{schema_of(counted, columns)}, indices array<int>, values array<double>"
+    return looked_up(one_per_key(counted, keep, key), columns, vocab.select("term", "idx", "idf"), body, schema)
 
 
 def encode(
@@ -245,8 +393,7 @@ def term_origin(
     sets find their border frequency and their terms side by side. Runs a job.
     """
     uses = F.array(*[F.when(F.col(by).isin(*groups), F.lit(name)) for name, groups in train_sets.items()])
-    terms = doc_terms(docs, key, text, ngram_range, [by])
-    per_group = terms.groupBy("term", by).agg(F.sum("n").alias("tf"))
+    per_group = summed_terms(counted_rows(docs, [by], key, text, ngram_range), [by])
     per_set = per_group.select("term", by, "tf", F.explode(F.filter(uses, lambda s: s.isNotNull())).alias("train_set"))
     home = F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}")
     stats = per_set.groupBy("train_set", "term").agg(F.sum("tf").alias("tf"), home)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -121,19 +123,20 @@ def fit_counted(
     return replace(settings, intercept=float(fitted.intercept), train_rows=n_rows, terms=table)
 
 
-def dot_products(terms: DataFrame, model: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """``key, keep..., _dot``: cosine-normalised dot product of each document with the model.
+def dot_products(counted: DataFrame, model: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, keep..., _top, _square``: weight times coefficient and squared weight, summed per counted text.
 
-    ``model`` has ``term, idf, coef``. Weight times coefficient and squared weight are summed
-    side by side, so each task hands on one row per document instead of its terms.
+    ``model`` has ``term, idf, coef``. Runs a job.
     """
-    joined = terms.join(model.select("term", "idf", "coef"), "term", "left")
-    weight = V.raw_weight(F.col("n"), F.col("idf"))
-    summed = joined.select(key, *keep, weight.alias("_w"), "coef").groupBy(key, *keep).agg(
-        F.sum(F.col("_w") * F.col("coef")).alias("_top"), F.sum(F.col("_w") * F.col("_w")).alias("_square")
-    )
-    dot = F.coalesce(F.try_divide(F.col("_top"), F.sqrt("_square")), F.lit(0.0))
-    return summed.select(key, *keep, dot.alias("_dot"))
+    columns = [key, *keep]
+
+    def body(part, table, row, place, n):
+        w = (1 + np.log(n)) * V.numbers(table, "idf")[place]
+        top, square = (np.bincount(row, v, part.num_rows) for v in (w * V.numbers(table, "coef")[place], np.square(w)))
+        return {c: part.column(c) for c in columns} | {"_top": pa.array(top), "_square": pa.array(square)}
+
+    schema = f"{V.schema_of(counted, columns)}, _top double, _square double"
+    return V.looked_up(counted, columns, model.select("term", "idf", "coef"), body, schema)
 
 
 def decide(z: Column) -> Column:
@@ -145,17 +148,21 @@ def score(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = (), text: st
     model.require_fitted()
     if clean:
         docs = clean_rows(docs, text, drop_empty=False)
-    return score_terms(V.doc_terms(docs, key, text, model.ngram_range, keep, outer=True), model, keep, key)
+    columns = [key, *keep]
+    sums = dot_products(V.counted_rows(docs, keep, key, text, model.ngram_range), model.terms, key, keep)
+    return score_sums(sums.groupBy(*columns).agg(F.sum("_top").alias("_top"), F.sum("_square").alias("_square")), model, keep, key)
 
 
 def score_counted(counted: DataFrame, model: TfidfModel, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
-    """Scores of counted texts."""
-    return score_terms(V.listed_terms(counted, key, keep, outer=True), model, keep, key)
+    """Scores of counted texts. Runs jobs."""
+    sums = dot_products(V.one_per_key(counted, keep, key), model.require_fitted(), key, keep)
+    return score_sums(sums, model, keep, key)
 
 
-def score_terms(terms: DataFrame, model: TfidfModel, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
-    """Scores from ``key, keep..., term, n``; a document without terms has one row with NULLs."""
-    summed = dot_products(terms, model.require_fitted(), key, keep)
+def score_sums(sums: DataFrame, model: TfidfModel, keep: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+    """Scores from one row of sums per document; one without known terms has the intercept's."""
+    dot = F.coalesce(F.try_divide(F.col("_top"), F.sqrt("_square")), F.lit(0.0))
+    summed = sums.select(key, *keep, dot.alias("_dot"))
     z = F.col("_dot") + F.lit(model.intercept)
     scored = summed.select(key, *keep, z.alias("z"), sigmoid(z).alias("score"))
     confidence = F.greatest(F.col("score"), 1 - F.col("score"))

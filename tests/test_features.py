@@ -234,3 +234,28 @@ def test_unfitted_and_one_class(docs):
         M.score(docs, M.TfidfModel())
     with pytest.raises(ValueError):
         M.fit(docs.filter(F.col("label") == 1))
+
+
+def test_summed_terms_equal_the_listed_ones(docs):
+    counted = V.counted_docs(docs.repartition(3), ["label"])
+    assert sorted(map(tuple, V.summed_terms(counted).collect())) == sorted(map(tuple, V.term_stats(V.listed_terms(counted)).collect()))
+    by_label = V.listed_terms(counted, keep=["label"]).groupBy("label", "term").agg(F.sum("n"), F.count("*"))
+    assert sorted(map(tuple, V.summed_terms(counted, ["label"]).collect())) == sorted(map(tuple, by_label.collect()))
+    assert "HashAggregate" not in plan_of(V.partial_sums(counted))
+
+
+def test_rows_of_one_key_become_one_text(spark):
+    rows = [(1, "aa bb"), (1, "aa cc cc"), (None, "bb"), (None, "cc"), (2, ""), (3, "aa bb")]
+    counted = V.counted_docs(spark.createDataFrame(rows, "doc_id LONG, text STRING"), ngram_range=(1, 1))
+    vocab = V.vocabulary(counted, 3)
+    got = {r["doc_id"]: (r["indices"], [round(v * v, 6) for v in r["values"]]) for r in V.sparse_rows(counted, vocab).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: [0, 0, 1, 2], None: [1, 2], 2: [], 3: [0, 1]}
+    assert all(abs(sum(v[1]) - 1) < 1e-5 for k, v in got.items() if k != 2)
+
+
+def test_tfidf_and_scores_shuffle_no_terms(docs):
+    counted = V.counted_docs(docs)
+    vocab = V.vocabulary(counted, 20)
+    model = M.TfidfModel(terms=vocab.withColumn("coef", F.lit(0.5)))
+    for made in (V.tfidf(counted, vocab), V.sparse_rows(counted, vocab), M.score_counted(counted, model)):
+        assert "Generate" not in plan_of(made) and "MapInArrow" in plan_of(made)
