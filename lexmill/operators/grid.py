@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions.scores import sigmoid
@@ -60,25 +62,63 @@ def vocabularies(counted: DataFrame, sizes: dict[int, int], max_features: int) -
     # One row per set of runs that occurs; texts carry its number, so terms are not grouped by a list.
     sets = counted.select("runs").distinct().withColumn("_set", F.row_number().over(Window.orderBy("runs")))
     sets = materialize(sets.select(F.col("runs").alias("_runs"), "_set"), "run-sets")
-    listed = counted.join(sets, F.col("runs") == F.col("_runs")).select("_set", F.inline("terms"))
-    sums = listed.groupBy("term", "_set").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).join(sets, "_set")
-    per_term = sums.groupBy("term").agg(F.collect_list(F.struct("_runs", "tf", "df")).alias("_parts"))
-
-    def of_runs(field: str) -> Column:
-        own = lambda r: F.filter("_parts", lambda p: F.array_contains(p["_runs"], r))
-        return F.array(*[F.aggregate(own(r), F.lit(0).cast("long"), lambda n, p: n + p[field]) for r in runs])
+    numbered = sets.collect()
+    member = np.zeros((len(numbered) + 1, len(runs)), np.int64)
+    for row in numbered:
+        member[row["_set"], [runs.index(r) for r in row["_runs"] if r in sizes]] = 1
+    # A term has a part for each task and set; the parts are added up where they are read.
+    parts = V.partial_sums(counted.join(sets, F.col("runs") == F.col("_runs")), ["_set"])
+    per_term = parts.groupBy("term").agg(F.collect_list(F.struct("_set", "tf", "df")).alias("_parts"))
+    stats = materialize(per_term, "run-terms")
+
+    def totals(batch: pa.RecordBatch):
+        """Per stretch of terms: its first, and the occurrences and texts of every term, a column per run."""
+        ends = np.concatenate([[0], np.cumsum(batch.column("_parts").value_lengths().to_numpy())]).astype(np.int64)
+        own, tf, df = (a.to_numpy() for a in batch.column("_parts").flatten().flatten())
+        for start, stop in stretches(ends):
+            e = slice(ends[start], ends[stop])
+            yield start, *(sums_of(n[e, None] * member[own[e]], ends[start : stop + 1] - ends[start]) for n in (tf, df))
+
+    def counted_levels(batches):
+        found, times, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(runs)) << 48
+        for batch in batches:
+            for _, tfs, _ in totals(batch):
+                level, n = np.unique((tfs + places)[tfs > 0], return_counts=True)
+                found.append(level)
+                times.append(n)
+                if len(found) > 64:
+                    found, times = summed_levels(found, times)
+        found, times = summed_levels(found, times)
+        yield pa.RecordBatch.from_pydict({
+            "run": pa.array(np.array(runs, np.int32)[found[0] >> 48]), "tf": pa.array(found[0] & ((1 << 48) - 1)), "_n": pa.array(times[0])
+        })
+
+    def summed_levels(found, times):
+        level, at = np.unique(np.concatenate(found), return_inverse=True)
+        total = np.zeros(len(level), np.int64)
+        np.add.at(total, at, np.concatenate(times))
+        return [level], [total]
 
-    stats = materialize(per_term.select("term", of_runs("tf").alias("tfs"), of_runs("df").alias("dfs")), "run-terms")
     # The lowest frequency that can make a run's vocabulary; the window sees one row per run and frequency.
-    levels = stats.select(F.posexplode("tfs").alias("run", "tf")).filter("tf > 0").groupBy("run", "tf").agg(F.count("*").alias("_n"))
+    levels = stats.select("_parts").mapInArrow(counted_levels, "run int, tf bigint, _n bigint").groupBy("run", "tf").agg(F.sum("_n").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("run").orderBy(F.desc("tf")))
     border = levels.withColumn("_upto", upto).groupBy("run").agg(
         F.coalesce(F.max(F.when(F.col("_upto") >= max_features, F.col("tf"))), F.lit(1)).alias("_border")
     )
     # One number per run.
     lowest = dict(border.collect())
-    reached = F.array(*[F.struct(F.lit(r).alias("run"), F.col("tfs")[r].alias("tf"), F.col("dfs")[r].alias("df"), F.lit(lowest.get(r, 1)).alias("_border")) for r in runs])
-    kept = stats.select("term", F.inline(F.filter(reached, lambda x: x["tf"] >= x["_border"]))).drop("_border")
+    limits = np.array([lowest.get(r, 1) for r in runs], np.int64)
+
+    def reached(batches):
+        for batch in batches:
+            for start, tfs, dfs in totals(batch):
+                at, run = np.nonzero(tfs >= limits)
+                yield pa.RecordBatch.from_pydict({
+                    "term": batch.column("term").take(pa.array(start + at)), "run": pa.array(np.array(runs, np.int32)[run]),
+                    "tf": pa.array(tfs[at, run]), "df": pa.array(dfs[at, run]),
+                })
+
+    kept = stats.select("term", "_parts").mapInArrow(reached, "term string, run int, tf bigint, df bigint")
     place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("tf"), "term"))
     kept = materialize(kept.withColumn("_place", place).filter(F.col("_place") <= max_features).drop("_place"), "run-vocabularies")
     # At most runs x max_features terms, whatever the data.
@@ -90,16 +130,22 @@ def vocabularies(counted: DataFrame, sizes: dict[int, int], max_features: int) -
 
 def entries(counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str) -> DataFrame:
     """``key, keep..., indices, values``: sublinear counts of the terms any run knows, one row per text."""
-    union = vocab.select("term", "idx").distinct()
-    listed = V.listed_terms(counted, key, keep, outer=True).join(union, "term", "left")
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", (1 + F.log("n")).alias("w")))
-    rows = listed.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_e"), *[F.first(c).alias(c) for c in keep])
-    return rows.select(key, *keep, F.transform("_e", lambda e: e["idx"]).alias("indices"), F.transform("_e", lambda e: e["w"]).alias("values"))
+    columns = [key, *keep]
+
+    def body(part, table, row, place, n):
+        idx, w = V.numbers(table, "idx")[place], 1 + np.log(n)
+        order = np.lexsort((w, idx, row))
+        row = row[order]
+        lists = {"indices": V.as_lists(row, part.num_rows, idx[order], pa.int32()), "values": V.as_lists(row, part.num_rows, w[order], pa.float64())}
+        return {c: part.column(c) for c in columns} | lists
+
+    schema = f"{V.schema_of(counted, columns)}, indices array<int>, values array<double>"
+    return V.looked_up(V.one_per_key(counted, keep, key, ()), columns, vocab.select("term", "idx").distinct(), body, schema)
 
 
 def sums_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``values`` between every two ``ends``; an empty stretch is 0."""
-    out = np.zeros((len(ends) - 1, values.shape[1]))
+    out = np.zeros((len(ends) - 1, values.shape[1]), values.dtype)
     some = np.flatnonzero(np.diff(ends))
     if len(some):
         out[some] = np.add.reduceat(values, ends[some], axis=0)
@@ -116,10 +162,16 @@ def pieces(indices: pa.Array, values: pa.Array):
     """(first row, one past the last, term numbers, values, ends) of stretches of about ``BLOCK`` entries."""
     flat, ends = lists(indices)
     weights, _ = lists(values)
+    for start, stop in stretches(ends):
+        yield start, stop, flat[ends[start] : ends[stop]], weights[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+
+
+def stretches(ends: np.ndarray):
+    """First row and one past the last of stretches of about ``BLOCK`` entries."""
     start = 0
-    while start < len(indices):
+    while start < len(ends) - 1:
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
-        yield start, stop, flat[ends[start] : ends[stop]], weights[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+        yield start, stop
         start = stop
 
 
@@ -144,19 +196,23 @@ def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
     return materialize(rows.select("runs", label, "indices", "values").mapInArrow(run, schema), "grid-blocks")
 
 
-def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, state, active: np.ndarray, curvature: bool = False):
-    """Loss, slope of the intercept and slopes of all terms for every active run, in one pass.
+def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, state, known, active: np.ndarray, curvature: bool = False):
+    """Loss, slope of the intercept and slopes of its own terms for every active run, in one pass.
 
-    ``state`` is the broadcast pair (idf x coefficients, intercepts). Slopes are those before idf is
-    applied; with ``curvature`` the sums of squared weighted values take their place. Tasks hand on
-    the sums of their own rows in slices, which are added up on the executors.
+    ``known`` is the broadcast list of each run's terms, ``state`` the broadcast pair (idf x
+    coefficients of the active runs' own terms, one run after the other; intercepts). Slopes are in the
+    same order and those before idf is applied; with ``curvature`` the sums of squared weighted values
+    take their place. Tasks hand on the sums of their own rows in slices, which are added up on the
+    executors; what a run does not know is never handed on.
     """
     size, n_runs = shape
     width = len(active)
 
     def local(batches):
-        moved, bias = state.value
-        slopes, heads = np.zeros((size, width)), np.zeros((2, width))
+        (own, bias), terms = state.value, known.value
+        cells = np.concatenate([terms[r] * width + j for j, r in enumerate(active)])
+        moved, slopes, heads = np.zeros((size, width)), np.zeros((size, width)), np.zeros((2, width))
+        moved.reshape(-1)[cells] = own
         for batch in batches:
             for i in range(batch.num_rows):
                 read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: E731, B023
@@ -181,7 +237,7 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
                 if len(first):
                     row = np.repeat(np.arange(len(y)), np.diff(ends))[order]
                     slopes[np.ix_(sorted_idx[first], here)] += np.add.reduceat(values[order, None] * pull[row], first, axis=0)
-        flat = np.concatenate([heads.ravel(), slopes.ravel()])
+        flat = np.concatenate([heads.ravel(), slopes.reshape(-1)[cells]])
         starts = np.arange(0, len(flat), SLICE)
         kept = [s for s in starts.tolist() if flat[s : s + SLICE].any()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(kept, pa.int64()), "sums": pa.array([flat[s : s + SLICE].tobytes() for s in kept], pa.binary())})
@@ -195,14 +251,15 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int64()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
     schema = "slice bigint, sums binary"
-    tasks = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), (2 + size) * width // SLICE // 16))
+    total = 2 * width + sum(len(known.value[r]) for r in active)
+    tasks = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SLICE // 16))
     rows = table.mapInArrow(local, schema).repartition(tasks, "slice").mapInArrow(added, schema).toArrow()
-    flat = np.zeros((2 + size) * width)
+    flat = np.zeros(total)
     for s, sums in zip(rows["slice"].to_pylist(), rows["sums"]):
         own = np.frombuffer(sums.as_buffer())
         flat[s : s + len(own)] = own
-    heads, slopes = flat[: 2 * width].reshape(2, width), flat[2 * width :].reshape(size, width)
-    return heads[0], heads[1], slopes
+    heads = flat[: 2 * width].reshape(2, width)
+    return heads[0], heads[1], flat[2 * width :]
 
 
 class Descent:
@@ -249,18 +306,18 @@ def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.nd
     """Coefficients (terms x runs), intercepts and passes: all runs moved in step until no slope exceeds ``slope``."""
     size, n_runs = idf.shape
     known = [np.flatnonzero(idf[:, r]) for r in range(n_runs)]
+    scale = [idf[k, r] for r, k in enumerate(known)]
+    shared = spark.sparkContext.broadcast(known)
 
     def measured(runs: np.ndarray, points: list[np.ndarray], curvature: bool = False):
-        moved, bias = np.zeros((size, len(runs))), np.array([p[-1] for p in points])
-        for j, (r, p) in enumerate(zip(runs, points)):
-            moved[known[r], j] = p[:-1] * idf[known[r], r]
-        state = spark.sparkContext.broadcast((moved, bias))
+        own, bias = np.concatenate([p[:-1] * scale[r] for r, p in zip(runs, points)]), np.array([p[-1] for p in points])
+        state = spark.sparkContext.broadcast((own, bias))
         try:
-            loss, head, slopes = one_pass(table, (size, n_runs), weights, state, runs, curvature)
+            loss, head, slopes = one_pass(table, (size, n_runs), weights, state, shared, runs, curvature)
         finally:
             state.destroy()
-        by = np.square(idf) if curvature else idf
-        return loss, [np.append(slopes[known[r], j] * by[known[r], r], head[j]) for j, r in enumerate(runs)]
+        parts = np.split(slopes, np.cumsum([len(known[r]) for r in runs])[:-1])
+        return loss, [np.append(part * (np.square(scale[r]) if curvature else scale[r]), head[j]) for j, (r, part) in enumerate(zip(runs, parts))]
 
     everyone = np.arange(n_runs)
     ridge = [np.append(np.full(len(k), 1 / settings.c), 0.0) for k in known]
@@ -276,6 +333,7 @@ def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.nd
         for r, point, loss, own in zip(active, points, losses, slopes):
             runs[r].feed(float(loss + 0.5 * ridge[r] @ np.square(point)), own + ridge[r] * point)
         active = np.array([r for r in active if np.abs(runs[r].slopes).max() > slope], int)
+    shared.destroy()
     coefficients = np.zeros((size, n_runs))
     for r, k in enumerate(known):
         coefficients[k, r] = runs[r].x[:-1]
@@ -359,26 +417,67 @@ def score_grid(counted: DataFrame, model: GridModel, keep: Sequence[str] = (), k
     return scored.select("*", decide(F.col("z")).alias("pred"), F.greatest(F.col("score"), 1 - F.col("score")).alias("confidence"))
 
 
-def slopes(counted: DataFrame, model: GridModel, label: str = "label", key: str = "doc_id") -> DataFrame:
-    """``run, term, df, idf, slope``: each partial derivative of every run's objective, by joins.
+def slopes(counted: DataFrame, model: GridModel, label: str = "label", key: str = "doc_id", cells: int = 1 << 24) -> DataFrame:
+    """``run, term, df, idf, slope``: each partial derivative of every run's objective, from the counted texts.
 
     ``counted`` is what the grid was fitted on. The objectives are strictly convex, so slopes of
     zero tell the optimum apart from all other models. Neither the blocks nor the solver take part.
+    A task adds up its own rows for as many runs as ``cells`` holds and hands on one number per run and
+    term, whatever it has read. Runs jobs.
     """
-    spark = counted.sparkSession
+    spark, n_runs = counted.sparkSession, len(model.train_rows)
     taking = counted.filter(F.size("runs") > 0)
-    counts = taking.select(label, F.explode("runs").alias("run")).groupBy("run", label).agg(F.count("*").alias("n"))
-    balance = (F.sum("n").over(Window.partitionBy("run")) / (2 * F.col("n"))) if model.settings.balanced else F.lit(1.0)
-    # Two rows for each run.
-    balance = counts.select("run", label, balance.alias("_balance"))
-    bias = spark.createDataFrame([(i, float(b)) for i, b in enumerate(model.intercepts)], "run INT, _bias DOUBLE")
-    listed = taking.select(key, label, F.explode("runs").alias("run"), "terms").select(key, label, "run", F.inline("terms"))
-    known = listed.join(model.terms.select("run", "term", "idf", "coef"), ["run", "term"])
-    known = known.select(key, label, "run", "term", V.raw_weight(F.col("n"), F.col("idf")).alias("_w"), "coef")
-    per_row = known.groupBy(key, "run").agg(F.first(label).alias(label), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.sum(F.col("_w") * F.col("coef")).alias("_top"))
-    per_row = per_row.join(F.broadcast(bias), "run").join(F.broadcast(balance), ["run", label])
-    miss = F.col("_balance") * (sigmoid(F.col("_top") / F.col("_norm") + F.col("_bias")) - F.col(label))
-    pulls = known.select(key, "run", "term", "_w").join(per_row.select(key, "run", (miss / F.col("_norm")).alias("_miss")), [key, "run"])
-    pulls = pulls.groupBy("run", "term").agg(F.sum(F.col("_w") * F.col("_miss")).alias("_pull"))
+    # Two numbers for each run.
+    counts = np.zeros((n_runs, 2))
+    for r in taking.select(label, F.explode("runs").alias("run")).groupBy("run", label).agg(F.count("*").alias("n")).collect():
+        counts[r["run"], r[label]] = r["n"]
+    balance = counts.sum(axis=1, keepdims=True) / (2 * counts) if model.settings.balanced else np.ones_like(counts)
+    rows = V.one_per_key(taking, [label, "runs"], key, ()).select(label, "runs", "terms")
+    listed = model.terms.select("run", "term", "idx", "idf", "coef").toArrow()
+    run, idx = listed["run"].to_numpy(), listed["idx"].to_numpy()
+    _, first = np.unique(idx, return_index=True)
+    names = spark.sparkContext.broadcast(listed["term"].take(pa.array(first)).combine_chunks())
+    width, intercepts = max(1, cells // len(first)), model.intercepts
+
+    def pulls(group: range) -> DataFrame:
+        own = [np.flatnonzero(run == r) for r in group]
+        shared = spark.sparkContext.broadcast([(idx[o], listed["idf"].to_numpy()[o], listed["coef"].to_numpy()[o]) for o in own])
+
+        def local(batches):
+            tables = []
+            for at, idf, coef in shared.value:
+                both = np.zeros((2, len(first)))
+                both[0, at], both[1, at] = idf, coef
+                tables.append(both)
+            total = np.zeros((len(group), len(first)))
+            for batch in batches:
+                for part, row, term, n in V.held(batch):
+                    place = pc.fill_null(pc.index_in(term, value_set=names.value), -1).to_numpy(zero_copy_only=False)
+                    hit = place >= 0
+                    row, place, w = row[hit], place[hit], 1 + np.log(n.to_numpy(zero_copy_only=False)[hit])
+                    takes, ends = lists(part.column("runs"))
+                    taker = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                    y = part.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for j, r in enumerate(group):
+                        member = np.zeros(part.num_rows, bool)
+                        member[taker[takes == r]] = True
+                        if not member.any():
+                            continue
+                        mine = member[row]
+                        at, of = place[mine], row[mine]
+                        idf, coef = tables[j]
+                        weight = w[mine] * idf[at]
+                        norm, top = np.sqrt(np.bincount(of, np.square(weight), part.num_rows)), np.bincount(of, weight * coef[at], part.num_rows)
+                        norm[norm == 0] = np.inf
+                        miss = balance[r][y] * (1 / (1 + np.exp(-(top / norm + intercepts[r]))) - y) / norm
+                        total[j] += np.bincount(at, weight * miss[of], len(first))
+            for j, r in enumerate(group):
+                some = np.flatnonzero(total[j])
+                yield pa.RecordBatch.from_pydict({"run": pa.array(np.full(len(some), r), pa.int32()), "idx": pa.array(some, pa.int32()), "pull": pa.array(total[j, some])})
+
+        return rows.mapInArrow(local, "run int, idx int, pull double")
+
+    parts = [pulls(range(first_, min(first_ + width, n_runs))) for first_ in range(0, n_runs, width)]
+    pulled = reduce(DataFrame.unionByName, parts).groupBy("run", "idx").agg(F.sum("pull").alias("_pull"))
     slope = F.coalesce("_pull", F.lit(0.0)) + F.col("coef") / model.settings.c
-    return model.terms.join(pulls, ["run", "term"], "left").select("run", "term", "df", "idf", slope.alias("slope"))
+    return model.terms.join(pulled, ["run", "idx"], "left").select("run", "term", "df", "idf", slope.alias("slope"))

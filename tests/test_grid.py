@@ -96,3 +96,16 @@ def test_unfit_runs_are_refused(grid):
         G.fit_grid(counted, 5)
     with pytest.raises(ValueError, match="no terms"):
         G.fit_grid(counted.withColumn("terms", F.slice("terms", 1, 0)), 4)
+
+
+def test_slopes_vanish_at_the_optimum_and_only_there(grid):
+    """All terms of every run, without a join of the rows' terms, in groups of runs or all at once."""
+    counted, _ = grid
+    model = G.fit_grid(counted, 4, M.TfidfModel(max_features=25), slope=1e-7)
+    for cells in (1, 1 << 24):
+        found = G.slopes(counted, model, cells=cells)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+        assert len(rows) == model.terms.count() and max(abs(r["slope"]) for r in rows) < 1e-6
+    model.intercepts = model.intercepts + 0.5
+    assert max(abs(r["slope"]) for r in G.slopes(counted, model).collect()) > 1e-3
