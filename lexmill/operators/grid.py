@@ -176,8 +176,8 @@ def stretches(ends: np.ndarray):
 
 
 def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
-    """Training rows as blocks of bytes, written once: term numbers, values, row ends, labels, and for
-    every row and run 1 / norm and membership. Runs a job."""
+    """Training rows as blocks of bytes, written once: term numbers and their order, values, row ends,
+    labels, and for every row and run 1 / norm and membership. Runs a job."""
 
     def run(batches):
         weight = idf.value
@@ -189,10 +189,11 @@ def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
             for a, b, idx, w, ends in pieces(batch.column("indices"), batch.column("values")):
                 norm = np.sqrt(sums_of(np.square(w[:, None] * weight[idx]), ends))
                 scale = np.divide(mask[a:b], norm, out=np.zeros_like(norm), where=norm > 0)
-                parts = {"idx": idx.astype(np.int32), "w": w, "ends": ends, "y": labels[a:b], "scale": scale, "mask": mask[a:b]}
+                order = np.argsort(idx, kind="stable").astype(np.int32)
+                parts = {"idx": idx.astype(np.int32), "order": order, "w": w, "ends": ends, "y": labels[a:b], "scale": scale, "mask": mask[a:b]}
                 yield pa.RecordBatch.from_pydict({c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in parts.items()})
 
-    schema = "idx binary, w binary, ends binary, y binary, scale binary, mask binary"
+    schema = "idx binary, order binary, w binary, ends binary, y binary, scale binary, mask binary"
     return materialize(rows.select("runs", label, "indices", "values").mapInArrow(run, schema), "grid-blocks")
 
 
@@ -231,7 +232,7 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
                     heads[0, here] += (member * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
                     heads[1, here] += miss.sum(axis=0)
                     pull, values = miss * scale, w
-                order = np.argsort(idx, kind="stable")
+                order = read("order", np.int32)
                 sorted_idx = idx[order]
                 first = np.flatnonzero(np.concatenate([sorted_idx[:1] >= 0, sorted_idx[1:] != sorted_idx[:-1]]))
                 if len(first):
