@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexmill.functions import text as X
 from lexmill.sources.workdir import materialize, materialize_bucketed
@@ -23,6 +25,9 @@ MAX_FEATURES = 50_000
 SLOTS_PER_FEATURE = 32
 #: Terms of counted texts that a task makes, and those that it adds up or looks up, at a time (or one text's).
 MADE, HELD = 1 << 18, 1 << 20
+#: Terms hashed at a time, and slots in one row of a sum that is handed on.
+HASHED, SLICE = 1 << 16, 1 << 12
+ODD = np.uint64(0x9E3779B97F4A7C15)
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -102,16 +107,163 @@ def counted_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngra
     return words.mapInArrow(run, f"{schema_of(docs, columns)}, terms array<struct<term: string, n: bigint>>")
 
 
-def held(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]:
-    """Stretches of counted texts: their rows, the row of every term, the terms and how often each occurs."""
-    lengths = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def word_docs(
+    docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", ngram_range=NGRAMS, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key, keep..., terms``, one row per text, written once; ``terms`` holds the words in their order.
+
+    Stands wherever a table of counted texts does, except for ``listed_terms``, and is as large as the
+    texts. Every pass counts the n-grams of the words again, many texts at a time, which takes less than
+    writing and reading them. Runs a job.
+    """
+    return materialize(word_rows(docs, keep, key, text, ngram_range), "words", partition_by)
+
+
+def word_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """The same, not yet written. Words are parted by spaces; texts that became one (``one_per_key``) by line feeds."""
+    low, high = ngram_range
+    if not 1 <= low <= high:
+        raise ValueError("n-gram range must satisfy 1 <= low <= high")
+    words = F.array_join(X.tokens(F.col(text)), " ")
+    terms = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.coalesce(words, F.lit("")).alias("words"))
+    return docs.select(key, *keep, terms.alias("terms"))
+
+
+def word_runs(words: pa.Array, high: int):
+    """The row of every text, the text of every word, the distinct words and every word's number, and then
+    for 1, 2, ..., ``high`` words: where the runs of so many words begin, a number and a hash of each."""
+    texts = pc.split_pattern(words, "\n")
+    lists = pc.split_pattern(texts.flatten(), " ")
+    own, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    some = pc.not_equal(flat, "")
+    # A text without words splits into one empty word.
+    own, flat = own[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+    word, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+    yield pc.list_parent_indices(texts).to_numpy(), own, names, word
+    hashes, reaches = byte_sums(names)
+    number, hashed, reach = word, hashes[word], reaches[word]
+    for size in range(1, high + 1):
+        begin = np.arange(max(0, len(word) - size + 1))
+        if size > 1:
+            begin = begin[own[begin] == own[begin + size - 1]]
+            # A run is the run before its last word, which has a number and a hash by now, a space and that word.
+            last, before = word[begin + size - 1], reach[begin]
+            whole, sums, reach = number[begin] * len(names) + last, hashed[begin] + before * (np.uint64(33) + ODD * hashes[last]), np.zeros(len(word), np.uint64)
+            number, hashed = np.zeros(len(word), np.int64), np.zeros(len(word), np.uint64)
+            hashed[begin], reach[begin] = sums, before * ODD * reaches[last]
+            # Numbers stay below the number of words where more words follow.
+            number[begin] = np.unique(whole, return_inverse=True)[1] if size < high else whole
+        yield begin, number[begin], hashed[begin]
+
+
+def counted_words(words: pa.Array, low: int, high: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """Row, term and count of every n-gram of texts given as words, or of those in ``chosen`` slots."""
+    made = word_runs(words, high)
+    row, own, names, word = next(made)
+    n_texts = max(1, len(row))
+    rows, codes, counts, terms, known = [], [], [], [], 0
+    for size, (begin, number, hashed) in enumerate(made, 1):
+        if size < low:
+            continue
+        if chosen is not None:
+            kept = chosen[slot_of(hashed, len(chosen))]
+            begin, number = begin[kept], number[kept]
+        found, first, code = np.unique(number, return_index=True, return_inverse=True)
+        pair, n = np.unique(code * n_texts + own[begin], return_counts=True)
+        at = begin[first]
+        parts = [names.take(pa.array(word[at + i])) for i in range(size)]
+        terms.append(parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " "))
+        rows.append(row[pair % n_texts])
+        codes.append(pair // n_texts + known)
+        counts.append(n.astype(np.int64))
+        known += len(found)
+    term = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(codes).astype(np.int32)), pa.concat_arrays(terms))
+    return np.concatenate(rows), term, np.concatenate(counts)
+
+
+def kept_as_words(batch: pa.RecordBatch) -> bool:
+    return pa.types.is_struct(batch.column("terms").type)
+
+
+def word_stretches(batch: pa.RecordBatch):
+    """First row and one past the last of stretches of texts kept as words, these, and the n-gram range."""
+    low, high, words = batch.column("terms").flatten()
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, stop in _stretches(lengths):
+        yield start, stop, words.slice(start, stop - start), low[0].as_py(), high[0].as_py()
+
+
+def _stretches(lengths: np.ndarray):
     ends, start = np.concatenate([[0], np.cumsum(lengths)]), 0
-    while start < batch.num_rows:
+    while start < len(lengths):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def held(batch: pa.RecordBatch, chosen: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]:
+    """Stretches of counted texts: their rows, the row of every term, the terms and how often each occurs.
+
+    With ``chosen`` given, only terms of these slots. Terms of texts kept as words come as a dictionary
+    array, in which a term has one place.
+    """
+    if kept_as_words(batch):
+        for start, stop, words, low, high in word_stretches(batch):
+            row, term, n = counted_words(words, low, high, chosen)
+            yield batch.slice(start, stop - start), row, term, pa.array(n)
+        return
+    lengths = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, stop in _stretches(lengths):
         part = batch.slice(start, stop - start)
         term, n = part.column("terms").flatten().flatten()
-        yield part, np.repeat(np.arange(stop - start), lengths[start:stop]), term, n
-        start = stop
+        row = np.repeat(np.arange(stop - start), lengths[start:stop])
+        if chosen is not None:
+            kept = chosen[slots_of(term, len(chosen))]
+            row, term, n = row[kept], term.filter(pa.array(kept)), n.filter(pa.array(kept))
+        yield part, row, term, n
+
+
+def places(term: pa.Array, names: pa.Array) -> np.ndarray:
+    """Where each term stands in ``names``, -1 if nowhere."""
+    if pa.types.is_dictionary(term.type):
+        return places(term.dictionary, names)[term.indices.to_numpy()]
+    return pc.fill_null(pc.index_in(term, value_set=names), -1).to_numpy(zero_copy_only=False)
+
+
+@lru_cache(maxsize=1)
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, b, np.uint64)])) for b in (ODD, np.uint64(pow(int(ODD), -1, 1 << 64))))
+
+
+def byte_sums(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For every term the sum of its bytes times powers of an odd number, and the power its length stands for.
+
+    The sum of joined terms follows from theirs.
+    """
+    if len(terms) > HASHED:
+        parts = [byte_sums(terms.slice(at, HASHED)) for at in range(0, len(terms), HASHED)]
+        return tuple(np.concatenate(own) for own in zip(*parts))
+    if not len(terms):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    offsets = offsets - offsets[0]
+    powers, back = _powers(1 << len(data).bit_length())
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[: len(data)])])
+    return (upto[offsets[1:]] - upto[offsets[:-1]]) * back[offsets[:-1]], powers[np.diff(offsets)]
+
+
+def slot_of(sums: np.ndarray, slots: int) -> np.ndarray:
+    mixed = sums
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    # Products of the upper half and the number of slots spread over all of them.
+    return ((mixed >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+
+
+def slots_of(terms: pa.Array, slots: int) -> np.ndarray:
+    """The slot of every term, by a hash of its bytes that is the same in all tasks."""
+    return slot_of(byte_sums(terms)[0], slots)
 
 
 def summed_terms(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -122,31 +274,106 @@ def summed_terms(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return partial_sums(counted, by).groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def partial_sums(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The same columns, summed by each task for itself: a group's term may have several rows. No shuffle."""
+def partial_sums(counted: DataFrame, by: Sequence[str] = (), chosen=None) -> DataFrame:
+    """The same columns, summed by each task for itself: a group's term may have several rows. No shuffle.
+
+    ``chosen``, a broadcast array of booleans, tells the slots whose terms are summed; all are if not given.
+    """
     keys = [*by, "term"]
 
-    def added(parts: list[pa.Table]) -> list[pa.RecordBatch]:
+    def added(parts: list[pa.Table]) -> pa.Table:
         sums = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([("tf", "sum"), ("df", "sum")])
-        return sums.select([*keys, "tf_sum", "df_sum"]).rename_columns([*keys, "tf", "df"]).to_batches(1 << 16)
+        return sums.select([*keys, "tf_sum", "df_sum"]).rename_columns([*keys, "tf", "df"])
 
     def run(batches):
         parts, size = [], 0
         for batch in batches:
-            for part, row, term, n in held(batch):
+            for part, row, term, n in held(batch, None if chosen is None else chosen.value):
+                if pa.types.is_dictionary(term.type):
+                    term = term.dictionary_decode()
                 groups = [part.column(c).take(pa.array(row)) for c in by]
                 parts.append(pa.Table.from_arrays([*groups, term, n, pa.array(np.ones(len(row), np.int64))], [*keys, "tf", "df"]))
                 size += len(row)
                 if size >= 4 * HELD:
-                    yield from added(parts)
-                    parts, size = [], 0
+                    # Sums that are few enough are held on to.
+                    parts = [added(parts)]
+                    size = len(parts[0])
+                    if size >= 2 * HELD:
+                        yield from parts[0].to_batches(1 << 16)
+                        parts, size = [], 0
         if size:
-            yield from added(parts)
+            yield from added(parts).to_batches(1 << 16)
 
     groups = f"{schema_of(counted, by)}, " if by else ""
     return counted.select(*by, "terms").mapInArrow(run, f"{groups}term string, tf bigint, df bigint")
 
 
+def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
+    """Occurrences of all terms of each slot. Runs a job.
+
+    As many tasks as run at a time, each with one number per slot; these are added up on the executors
+    in slices. The driver gets ``slots`` numbers.
+    """
+
+    def local(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            if not kept_as_words(batch):
+                for _, _, term, n in held(batch):
+                    total += np.bincount(slots_of(term, slots), n.to_numpy(zero_copy_only=False), slots).astype(np.int64)
+                continue
+            for _, _, words, low, high in word_stretches(batch):
+                for _, _, hashed in islice(word_runs(words, high), low, None):
+                    total += np.bincount(slot_of(hashed, slots), minlength=slots)
+        starts = [at for at in range(0, slots, SLICE) if total[at : at + SLICE].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(starts, pa.int64()), "sums": pa.array([total[at : at + SLICE].tobytes() for at in starts], pa.binary())})
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, sums in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
+                total[at] = total.get(at, 0) + np.frombuffer(sums, np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int64()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    schema, tasks = "slice bigint, sums binary", counted.sparkSession.sparkContext.defaultParallelism
+    read = counted.select("terms").coalesce(tasks).mapInArrow(local, schema)
+    out = np.zeros(slots, np.int64)
+    rows = read.repartition("slice").mapInArrow(added, schema).toArrow()
+    for at, sums in zip(rows["slice"].to_pylist(), rows["sums"].to_pylist()):
+        own = np.frombuffer(sums, np.int64)
+        out[at : at + len(own)] = own
+    return out
+
+
+def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., term, tf, df`` of a superset of the ``max_features`` most frequent terms, all ties at their border included.
+
+    No term is more frequent than the sum of its slot. Terms of slots that reach a guess of the border
+    are counted exactly; the last of the ``max_features`` most frequent of them is a frequency that the
+    border cannot lie below. If that is less than the guess, the terms of slots between the two are
+    counted too. So the result does not depend on the guess. Groups only part the counts. Runs jobs.
+    """
+    spark, slots = counted.sparkSession, slots or SLOTS_PER_FEATURE * max_features
+    total = slot_sums(counted, slots)
+    filled = total[total > 0]
+    guess = 1
+    if len(filled) > max_features:
+        last = np.partition(filled, len(filled) - max_features)[len(filled) - max_features]
+        guess = max(1, int(0.7 * (last - np.median(total))))
+
+    def count(chosen: np.ndarray) -> DataFrame:
+        sums = partial_sums(counted, by, spark.sparkContext.broadcast(chosen))
+        return materialize(sums.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "term-stats")
+
+    first = count(total >= guess)
+    if guess == 1:
+        return first
+    whole = materialize(first.groupBy("term").agg(F.sum("tf").alias("tf")), "term-totals") if by else first
+    border = top_terms(whole, max_features).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    least = border["tf"] if border["n"] >= max_features else 1
+    return first if least >= guess else first.unionByName(count((total >= least) & (total < guess)))
+
+
 def one_per_key(counted: DataFrame, keep: Sequence[str], key: str, group: Sequence[str] | None = None) -> DataFrame:
     """``key, keep..., terms``: rows that share the key and ``group`` (all of ``keep`` if not given) become one.
 
@@ -158,7 +385,12 @@ def one_per_key(counted: DataFrame, keep: Sequence[str], key: str, group: Sequen
     repeated = materialize(counts.select("_key"), "repeated-keys")
     columns = [key, *keep, "terms"]
     same = F.col(key).eqNullSafe(F.col("_key"))
-    terms = F.flatten(F.collect_list(F.coalesce("terms", F.array().cast(counted.schema["terms"].dataType)))).alias("terms")
+    kind = counted.schema["terms"].dataType
+    if isinstance(kind, T.StructType):
+        joined = F.array_join(F.collect_list("terms.words"), "\n")
+        terms = F.struct(F.first("terms.low").alias("low"), F.first("terms.high").alias("high"), joined.alias("words")).alias("terms")
+    else:
+        terms = F.flatten(F.collect_list(F.coalesce("terms", F.array().cast(kind)))).alias("terms")
     firsts = [F.first(c).alias(c) for c in keep if c not in group]
     several = counted.select(*columns).join(repeated, same, "left_semi").groupBy(key, *group).agg(terms, *firsts)
     return counted.select(*columns).join(repeated, same, "left_anti").unionByName(several.select(*columns))
@@ -176,9 +408,11 @@ def looked_up(rows: DataFrame, columns: Sequence[str], known: DataFrame, body: C
     def run(batches):
         table = shared.value
         names = table.column("term").combine_chunks()
+        chosen = np.zeros(max(1, SLOTS_PER_FEATURE * len(names)), bool)
+        chosen[slots_of(names, len(chosen))] = True
         for batch in batches:
-            for part, row, term, n in held(batch):
-                place = pc.fill_null(pc.index_in(term, value_set=names), -1).to_numpy(zero_copy_only=False)
+            for part, row, term, n in held(batch, chosen if kept_as_words(batch) else None):
+                place = places(term, names)
                 hit = place >= 0
                 yield pa.RecordBatch.from_pydict(body(part, table, row[hit], place[hit], n.to_numpy(zero_copy_only=False)[hit]))
 
@@ -198,7 +432,7 @@ def bucketed_docs(
     made from them afterwards group by key where the rows lie. That pays from the second use on.
     A bucket is one task: choose as many as keep a bucket of counted texts within a task's memory.
     """
-    return materialize_bucketed(counted_rows(docs, keep, key, text, ngram_range), "counted-terms", key, buckets)
+    return materialize_bucketed(word_rows(docs, keep, key, text, ngram_range), "words", key, buckets)
 
 
 def listed_terms(counted: DataFrame, key: str = "doc_id", keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
@@ -240,7 +474,7 @@ def vocabulary(counted: DataFrame, max_features: int = MAX_FEATURES, key: str =
 
     Runs jobs. Written once, so that joining it later is a broadcast whenever it is small enough.
     """
-    return _weighted(materialize(summed_terms(counted), "term-stats"), counted, max_features)
+    return _weighted(winning_stats(counted, max_features), counted, max_features)
 
 
 def _weighted(stats: DataFrame, counted: DataFrame, max_features: int) -> DataFrame:
@@ -301,7 +535,11 @@ def raw_weight(n: Column, idf_: Column) -> Column:
 
 def _in_order(row: np.ndarray, idx: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The places of the entries by row, then term number, then value."""
-    return np.lexsort((w, idx, row))
+    entry = (row.astype(np.int64) << 32) + idx
+    order = np.argsort(entry)
+    entry = entry[order]
+    # A text that became one of several may list a term more than once.
+    return np.lexsort((w, idx, row)) if (entry[1:] == entry[:-1]).any() else order
 
 
 def _unit_entries(part: pa.RecordBatch, table: pa.Table, row: np.ndarray, place: np.ndarray, n: np.ndarray):
@@ -388,13 +626,17 @@ def term_origin(
 ) -> DataFrame:
     """``train_set, term_<by>, n_terms``: vocabulary terms by the group where each is most frequent.
 
-    Every named training set is a list of groups and gets a vocabulary of its own. The texts are
-    taken apart once, term frequencies per group are handed to the sets that use the group, and all
-    sets find their border frequency and their terms side by side. Runs a job.
+    Every named training set is a list of groups and gets a vocabulary of its own. The texts of these
+    groups are cleaned and written once; each set counts the terms that can make its vocabulary, and
+    all sets find their border frequency and their terms side by side. Runs jobs.
     """
-    uses = F.array(*[F.when(F.col(by).isin(*groups), F.lit(name)) for name, groups in train_sets.items()])
-    per_group = summed_terms(counted_rows(docs, [by], key, text, ngram_range), [by])
-    per_set = per_group.select("term", by, "tf", F.explode(F.filter(uses, lambda s: s.isNotNull())).alias("train_set"))
+    groups = sorted({g for own in train_sets.values() for g in own})
+    words = word_docs(docs.filter(F.col(by).isin(groups)), [by], key, text, ngram_range)
+    parts = [
+        winning_stats(words.filter(F.col(by).isin(list(own))), max_features, by=[by]).select(F.lit(name).alias("train_set"), "term", by, "tf")
+        for name, own in train_sets.items()
+    ]
+    per_set = reduce(DataFrame.unionByName, parts)
     home = F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}")
     stats = per_set.groupBy("train_set", "term").agg(F.sum("tf").alias("tf"), home)
     stats = materialize(stats, "set-terms")

@@ -75,7 +75,7 @@ def fit(
     settings = settings or TfidfModel()
     if clean:
         docs = clean_rows(docs, text, drop_empty=False)
-    return fit_counted(V.counted_docs(docs, [label], key, text, settings.ngram_range), settings, label, key)
+    return fit_counted(V.word_docs(docs, [label], key, text, settings.ngram_range), settings, label, key)
 
 
 def fit_counted(
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = (), text: st
     if clean:
         docs = clean_rows(docs, text, drop_empty=False)
     columns = [key, *keep]
-    sums = dot_products(V.counted_rows(docs, keep, key, text, model.ngram_range), model.terms, key, keep)
+    sums = dot_products(V.word_rows(docs, keep, key, text, model.ngram_range), model.terms, key, keep)
     return score_sums(sums.groupBy(*columns).agg(F.sum("_top").alias("_top"), F.sum("_square").alias("_square")), model, keep, key)
 
 

@@ -97,10 +97,10 @@ def run_from_files(spark: SparkSession, train_path: str, test_path: str, out: st
 
 
 def _counted(corpus: DataFrame, settings: M.TfidfModel, key: str) -> DataFrame:
-    """The corpus with its texts cleaned and counted, in folders by language and split."""
+    """The corpus with its texts cleaned and taken apart, in folders by language and split."""
     cleaned = clean_rows(corpus.select(key, "text", "label", "lang", "split"), drop_empty=False)
     keep = ["label", "lang", "split"]
-    return V.counted_docs(cleaned, keep, key, ngram_range=settings.ngram_range, partition_by=("lang", "split"))
+    return V.word_docs(cleaned, keep, key, ngram_range=settings.ngram_range, partition_by=("lang", "split"))
 
 
 def _runs_of(*conditions: Column) -> Column:

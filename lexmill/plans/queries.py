@@ -183,7 +183,7 @@ def rewrite_language(spark, sf_dir):
 def encoded_files(spark, sf_dir):
     """Encoded sequences written by language and split, one language a second time, and read back."""
     root, rows = new_path(spark, "encoded"), clean_rows(texts_with_split(spark, sf_dir))
-    words = V.vocabulary(V.counted_docs(rows, ngram_range=(1, 1)), FEATURES)
+    words = V.vocabulary(V.word_docs(rows, ngram_range=(1, 1)), FEATURES)
     encoded = materialize(V.encode(rows, words, 128, keep=["lang", "split"]), "encoded-rows")
     I.write_corpus(encoded, root, None, "parquet")
     I.write_corpus(encoded.filter(F.col("lang") == TARGET), root, None, "parquet", mode="overwrite")
@@ -605,7 +605,7 @@ def term_df(spark, sf_dir):
 
 
 def counted(spark, sf_dir, keep=(), ngram_range=V.NGRAMS) -> DataFrame:
-    return V.counted_docs(clean_documents(spark, sf_dir), keep, ngram_range=ngram_range)
+    return V.word_docs(clean_documents(spark, sf_dir), keep, ngram_range=ngram_range)
 
 
 @query
@@ -616,7 +616,7 @@ def vocab_topk(spark, sf_dir):
 @query
 def vocab_pruned(spark, sf_dir):
     """A small vocabulary of a corpus with many terms, most of which are never counted."""
-    words = V.frequent_vocabulary(counted(spark, sf_dir), FEW_FEATURES)
+    words = V.frequent_vocabulary(V.counted_docs(clean_documents(spark, sf_dir)), FEW_FEATURES)
     return words.select("term", big("idx").alias("idx"), "tf", "df", r6("idf").alias("idf"))
 
 
@@ -800,7 +800,7 @@ def lr_fit(spark, sf_dir):
     computed by joins from the scores of the training rows, without the solver.
     """
     rows, model = fitted(spark, sf_dir, TIGHT)
-    train = V.counted_docs(clean_rows(rows.filter(F.col("split") == "train"), drop_empty=False), ["label"])
+    train = V.word_docs(clean_rows(rows.filter(F.col("split") == "train"), drop_empty=False), ["label"])
     weights = A.class_weights(train.select("label"), label="label").select("label", "weight")
     misses = M.score_counted(train, model, ["label"]).join(weights, "label")
     misses = misses.select("doc_id", (F.col("weight") * (F.col("score") - F.col("label"))).alias("miss"))
@@ -836,7 +836,7 @@ def lr_curve(spark, sf_dir):
 
 def counted_split(spark, sf_dir) -> DataFrame:
     rows = clean_rows(texts_with_split(spark, sf_dir), drop_empty=False)
-    return V.counted_docs(rows, ["label", "lang", "split"])
+    return V.word_docs(rows, ["label", "lang", "split"])
 
 
 SETTLED = 0.01

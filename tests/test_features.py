@@ -259,3 +259,35 @@ def test_tfidf_and_scores_shuffle_no_terms(docs):
     model = M.TfidfModel(terms=vocab.withColumn("coef", F.lit(0.5)))
     for made in (V.tfidf(counted, vocab), V.sparse_rows(counted, vocab), M.score_counted(counted, model)):
         assert "Generate" not in plan_of(made) and "MapInArrow" in plan_of(made)
+
+
+def test_words_count_the_same_as_listed_terms(spark):
+    """Texts kept as words: any n-gram range, empty texts, one word, words of other scripts, rows that share a key."""
+    texts = ["a1 b1 a1 b1 a1", "", "one", None, "été über été über 漢字 漢字", "x1 x2 x3 x4", "a1 b1 a1 b1 a1"]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id LONG, text STRING").repartition(3)
+    for ngram_range in ((1, 1), (1, 2), (2, 3), (1, 4)):
+        words, listed = (f(docs, ngram_range=ngram_range) for f in (V.word_docs, V.counted_docs))
+        assert sorted(map(tuple, V.summed_terms(words).collect())) == sorted(map(tuple, V.summed_terms(listed).collect()))
+        vocab = V.vocabulary(listed, 50)
+        assert sorted(map(tuple, V.vocabulary(words, 50).collect())) == sorted(map(tuple, vocab.collect()))
+        for made in (V.sparse_rows, V.tfidf):
+            assert sorted(map(str, made(words, vocab).collect())) == sorted(map(str, made(listed, vocab).collect()))
+
+
+@pytest.mark.parametrize("cap, slots", [(1, 5), (3, 1), (7, 5), (7, 64), (20, None), (500, 64)])
+def test_winning_stats_hold_the_border_and_all_above(docs, cap, slots):
+    for counted in (V.counted_docs(docs, ["lang"]), V.word_docs(docs, ["lang"])):
+        full = sorted(map(tuple, V.summed_terms(counted).collect()))
+        border = sorted((r[1] for r in full), reverse=True)[:cap][-1]
+        got = sorted(map(tuple, V.winning_stats(counted, cap, slots).collect()))
+        assert set(got) <= set(full) and {r for r in full if r[1] >= border} <= set(got)
+        by_lang = {tuple(r) for r in V.summed_terms(counted, ["lang"]).collect()}
+        parts = {tuple(r) for r in V.winning_stats(counted, cap, slots, ["lang"]).collect()}
+        assert parts <= by_lang and {r for r in by_lang if dict((f[0], f[1]) for f in full)[r[1]] >= border} <= parts
+
+
+def test_vocabulary_leaves_rare_terms_uncounted(spark):
+    """Only terms of slots that can win are shuffled, whatever else the texts hold."""
+    texts = [" ".join([f"hot{j}" for j in range(10)] * 3 + [f"rare{i}x{j}" for j in range(20)]) for i in range(300)]
+    words = V.word_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(5), ngram_range=(1, 1))
+    assert sorted(r["term"] for r in V.winning_stats(words, 4, 1 << 16).collect()) == sorted(f"hot{j}" for j in range(10))
