@@ -109,3 +109,19 @@ def test_slopes_vanish_at_the_optimum_and_only_there(grid):
         assert len(rows) == model.terms.count() and max(abs(r["slope"]) for r in rows) < 1e-6
     model.intercepts = model.intercepts + 0.5
     assert max(abs(r["slope"]) for r in G.slopes(counted, model).collect()) > 1e-3
+
+
+def test_a_pass_has_as_many_tasks_as_run_at_a_time(spark, grid, monkeypatch):
+    """However many splits the blocks have, what the tasks of a pass hand on does not grow."""
+    counted, _ = grid
+    kind, made, most, seen = type(counted), G.blocks, spark.sparkContext.defaultParallelism, []
+    plain = kind.repartition
+
+    def watched(self, *args):
+        seen.append(self.rdd.getNumPartitions())
+        return plain(self, *args)
+
+    monkeypatch.setattr(G, "blocks", lambda *args: plain(made(*args), 3 * most))
+    monkeypatch.setattr(kind, "repartition", watched)
+    assert G.fit_grid(counted, 4, M.TfidfModel(max_features=25), slope=1.0).passes == len(seen)
+    assert max(seen) <= most
