@@ -25,8 +25,15 @@ MAX_FEATURES = 50_000
 SLOTS_PER_FEATURE = 32
 #: Terms of counted texts that a task makes, and those that it adds up or looks up, at a time (or one text's).
 MADE, HELD = 1 << 18, 1 << 20
-#: Terms hashed at a time, and slots in one row of a sum that is handed on.
+#: Words hashed at a time, and slots in one row of a sum that is handed on.
 HASHED, SLICE = 1 << 16, 1 << 12
+#: Bytes of texts kept as words that a task counts, and those that it only hashes, at a time (or one text's).
+HELD_BYTES, HASHED_BYTES = 1 << 22, 1 << 18
+#: Bytes of a word that are hashed eight at a time; longer words are hashed whole.
+LONG = 64
+SUMS = (np.int32, np.int64)
+#: Masks of a number's first bytes.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
@@ -129,54 +136,118 @@ def word_rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, ngram_r
     return docs.select(key, *keep, terms.alias("terms"))
 
 
-def word_runs(words: pa.Array, high: int):
-    """The row of every text, the text of every word, the distinct words and every word's number, and then
-    for 1, 2, ..., ``high`` words: where the runs of so many words begin, a number and a hash of each."""
-    texts = pc.split_pattern(words, "\n")
-    lists = pc.split_pattern(texts.flatten(), " ")
-    own, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
-    some = pc.not_equal(flat, "")
-    # A text without words splits into one empty word.
-    own, flat = own[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
-    word, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
-    yield pc.list_parent_indices(texts).to_numpy(), own, names, word
-    hashes, reaches = byte_sums(names)
-    number, hashed, reach = word, hashes[word], reaches[word]
-    for size in range(1, high + 1):
-        begin = np.arange(max(0, len(word) - size + 1))
-        if size > 1:
-            begin = begin[own[begin] == own[begin + size - 1]]
-            # A run is the run before its last word, which has a number and a hash by now, a space and that word.
-            last, before = word[begin + size - 1], reach[begin]
-            whole, sums, reach = number[begin] * len(names) + last, hashed[begin] + before * (np.uint64(33) + ODD * hashes[last]), np.zeros(len(word), np.uint64)
-            number, hashed = np.zeros(len(word), np.int64), np.zeros(len(word), np.uint64)
-            hashed[begin], reach[begin] = sums, before * ODD * reaches[last]
-            # Numbers stay below the number of words where more words follow.
-            number[begin] = np.unique(whole, return_inverse=True)[1] if size < high else whole
-        yield begin, number[begin], hashed[begin]
-
-
-def counted_words(words: pa.Array, low: int, high: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+class Words:
+    """The words of texts kept as words: where they begin and end in the texts' bytes, their row and text, and a hash.
+
+    ``row_of`` has the row of every text that has words. A word of up to eight bytes is told by its ``key``,
+    its bytes as one number, as no word holds a zero byte.
+    """
+
+    def __init__(self, words: pa.Array):
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        # Spaces and line feeds lie between words; a text's first and last byte need none around them.
+        gap, cut = data <= 32, np.zeros(len(data) + 1, bool)
+        cut[offsets] = True
+        opens, closes = cut[:-1].copy(), cut[1:].copy()
+        opens[1:] |= gap[:-1]
+        closes[:-1] |= gap[1:]
+        self.start, self.stop = np.flatnonzero(opens & ~gap), np.flatnonzero(closes & ~gap) + 1
+        self.row = self.text = np.repeat(np.arange(len(words)), np.diff(np.searchsorted(self.start, offsets)))
+        self.n_texts, breaks = len(words), np.flatnonzero(data == 10)
+        if len(breaks):
+            self.text, self.n_texts = self.row + np.searchsorted(breaks, self.start), len(words) + len(breaks)
+        self.row_of = np.zeros(max(1, self.n_texts), np.int64)
+        self.row_of[self.text] = self.row
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        # The eight bytes from every place on; a shorter word's are cut off.
+        eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+        length = self.stop - self.start
+        self.short = length <= 8
+        self.key = eight[self.start] & FIRST_BYTES[np.minimum(length, 8)]
+        self._spans = np.empty(2 * len(self.start), np.int32)
+        self._spans[0::2], self._spans[1::2] = self.start, self.stop
+        self._data = padded
+        self.hash = mixed(self.key)
+        for at in range(8, LONG, 8):
+            longer = np.flatnonzero(length > at)
+            more = eight[self.start[longer] + at] & FIRST_BYTES[np.minimum(length[longer] - at, 8)]
+            self.hash[longer] = mixed(joined_hash(self.hash[longer], more))
+            if not len(longer):
+                break
+        else:
+            longer = np.flatnonzero(length > LONG)
+            self.hash[longer] = byte_sums(self.strings(longer))
+
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words at these places."""
+        if not len(at):
+            return pa.array([], pa.string())
+        # Words and the gaps between them, one after the other.
+        spans = pa.StringArray.from_buffers(len(self._spans) - 1, pa.py_buffer(self._spans), pa.py_buffer(self._data))
+        return spans.take(pa.array(2 * at))
+
+    def runs(self, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ..., ``high`` words: where the runs of so many words begin, and a hash of each."""
+        hashed = self.hash
+        for size in range(1, high + 1):
+            begin = np.arange(max(0, len(self.text) - size + 1))
+            if size > 1:
+                begin = begin[self.text[begin] == self.text[begin + size - 1]]
+                longer = np.zeros(len(self.text), np.uint64)
+                longer[begin] = joined_hash(hashed[begin], self.hash[begin + size - 1])
+                hashed = longer
+            yield begin, hashed[begin]
+
+    def numbered(self, used: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """A number for each of the words used, the same for equal words, and the word of each number."""
+        number, places_ = np.zeros(len(self.text), np.int64), np.flatnonzero(used)
+        short, long = places_[self.short[places_]], places_[~self.short[places_]]
+        own = pa.array(self.key[short].view(np.int64)).dictionary_encode()
+        number[short], total = own.indices.to_numpy(), len(own.dictionary)
+        own = self.strings(long).dictionary_encode()
+        number[long], total = own.indices.to_numpy() + total, total + len(own.dictionary)
+        one = np.zeros(total, np.int64)
+        one[number[places_]] = places_
+        return number, self.strings(one)
+
+
+def dense(numbers_: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal numbers get equal numbers from 0 on, and how many there are."""
+    found = pa.array(numbers_).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+
+
+def counted_words(words: pa.Array, low: int, high: int, chosen: tuple[np.ndarray, np.ndarray | None] | None = None) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
     """Row, term and count of every n-gram of texts given as words, or of those in ``chosen`` slots."""
-    made = word_runs(words, high)
-    row, own, names, word = next(made)
-    n_texts = max(1, len(row))
-    rows, codes, counts, terms, known = [], [], [], [], 0
-    for size, (begin, number, hashed) in enumerate(made, 1):
+    own = Words(words)
+    runs, used = {}, np.zeros(len(own.text), bool)
+    for size, (begin, hashed) in enumerate(own.runs(high), 1):
         if size < low:
             continue
         if chosen is not None:
-            kept = chosen[slot_of(hashed, len(chosen))]
-            begin, number = begin[kept], number[kept]
-        found, first, code = np.unique(number, return_index=True, return_inverse=True)
-        pair, n = np.unique(code * n_texts + own[begin], return_counts=True)
-        at = begin[first]
+            begin = begin[in_slots(hashed, chosen)]
+        runs[size] = begin
+        for i in range(size):
+            used[begin + i] = True
+    word, names = own.numbered(used)
+    rows, codes, counts, terms, known = [], [], [], [], 0
+    for size, begin in runs.items():
+        number = word[begin]
+        for i in range(1, size):
+            # Numbers of runs stay below the number of words.
+            number = (number if i == 1 else dense(number)[0]) * len(names) + word[begin + i]
+        code, found = dense(number)
+        at = np.zeros(found, np.int64)
+        at[code] = begin
+        pair, n = np.unique(code * own.n_texts + own.text[begin], return_counts=True)
         parts = [names.take(pa.array(word[at + i])) for i in range(size)]
         terms.append(parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " "))
-        rows.append(row[pair % n_texts])
-        codes.append(pair // n_texts + known)
+        rows.append(own.row_of[pair % max(1, own.n_texts)])
+        codes.append(pair // max(1, own.n_texts) + known)
         counts.append(n.astype(np.int64))
-        known += len(found)
+        known += found
     term = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(codes).astype(np.int32)), pa.concat_arrays(terms))
     return np.concatenate(rows), term, np.concatenate(counts)
 
@@ -185,23 +256,23 @@ def kept_as_words(batch: pa.RecordBatch) -> bool:
     return pa.types.is_struct(batch.column("terms").type)
 
 
-def word_stretches(batch: pa.RecordBatch):
+def word_stretches(batch: pa.RecordBatch, size: int = HELD_BYTES):
     """First row and one past the last of stretches of texts kept as words, these, and the n-gram range."""
     low, high, words = batch.column("terms").flatten()
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    for start, stop in _stretches(lengths):
+    for start, stop in _stretches(lengths, size):
         yield start, stop, words.slice(start, stop - start), low[0].as_py(), high[0].as_py()
 
 
-def _stretches(lengths: np.ndarray):
+def _stretches(lengths: np.ndarray, held_: int = HELD):
     ends, start = np.concatenate([[0], np.cumsum(lengths)]), 0
     while start < len(lengths):
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + held_, "right")) - 1)
         yield start, stop
         start = stop
 
 
-def held(batch: pa.RecordBatch, chosen: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]:
+def held(batch: pa.RecordBatch, chosen: tuple[np.ndarray, np.ndarray | None] | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]:
     """Stretches of counted texts: their rows, the row of every term, the terms and how often each occurs.
 
     With ``chosen`` given, only terms of these slots. Terms of texts kept as words come as a dictionary
@@ -218,7 +289,7 @@ def held(batch: pa.RecordBatch, chosen: np.ndarray | None = None) -> Iterator[tu
         term, n = part.column("terms").flatten().flatten()
         row = np.repeat(np.arange(stop - start), lengths[start:stop])
         if chosen is not None:
-            kept = chosen[slots_of(term, len(chosen))]
+            kept = in_slots(hashes_of(term), chosen)
             row, term, n = row[kept], term.filter(pa.array(kept)), n.filter(pa.array(kept))
         yield part, row, term, n
 
@@ -235,35 +306,57 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, b, np.uint64)])) for b in (ODD, np.uint64(pow(int(ODD), -1, 1 << 64))))
 
 
-def byte_sums(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For every term the sum of its bytes times powers of an odd number, and the power its length stands for.
-
-    The sum of joined terms follows from theirs.
-    """
-    if len(terms) > HASHED:
-        parts = [byte_sums(terms.slice(at, HASHED)) for at in range(0, len(terms), HASHED)]
-        return tuple(np.concatenate(own) for own in zip(*parts))
-    if not len(terms):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
-    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+def byte_sums(words: pa.Array) -> np.ndarray:
+    """For every word the sum of its bytes times powers of an odd number."""
+    if len(words) > HASHED:
+        return np.concatenate([byte_sums(words.slice(at, HASHED)) for at in range(0, len(words), HASHED)])
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     offsets = offsets - offsets[0]
     powers, back = _powers(1 << len(data).bit_length())
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[: len(data)])])
-    return (upto[offsets[1:]] - upto[offsets[:-1]]) * back[offsets[:-1]], powers[np.diff(offsets)]
+    return (upto[offsets[1:]] - upto[offsets[:-1]]) * back[offsets[:-1]]
 
 
-def slot_of(sums: np.ndarray, slots: int) -> np.ndarray:
-    mixed = sums
+def mixed(sums: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    # Products of the upper half and the number of slots spread over all of them.
-    return ((mixed >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        sums = (sums ^ (sums >> np.uint64(shift))) * np.uint64(factor)
+    return sums ^ (sums >> np.uint64(31))
+
 
+def joined_hash(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of runs with one more word."""
+    return run * ODD + word
 
-def slots_of(terms: pa.Array, slots: int) -> np.ndarray:
-    """The slot of every term, by a hash of its bytes that is the same in all tasks."""
-    return slot_of(byte_sums(terms)[0], slots)
+
+def hashes_of(terms: pa.Array) -> np.ndarray:
+    """The hash of every term, from those of its words; the same in all tasks."""
+    own = Words(terms)
+    count = np.bincount(own.row, minlength=len(terms))
+    first = np.cumsum(count) - count
+    out = np.zeros(len(terms), np.uint64)
+    for i in range(int(count.max(initial=0))):
+        some = np.flatnonzero(count > i)
+        word = own.hash[first[some] + i]
+        out[some] = joined_hash(out[some], word) if i else word
+    return out
+
+
+def slots_of(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """A slot in each of two rows of slots, by the two halves of a hash."""
+    whole = mixed(hashes)
+    # Products of a half and the number of slots spread over all of them.
+    return tuple((half * np.uint64(slots) >> np.uint64(32)).astype(np.int64) for half in (whole >> np.uint64(32), whole & np.uint64(0xFFFFFFFF)))
+
+
+def in_slots(hashes: np.ndarray, chosen: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
+    """Whether both slots of a term are among the first of two sets of slots, and not both among the second (if there is one)."""
+    wanted, but = chosen
+    first, second = slots_of(hashes, wanted.shape[1])
+    kept = wanted[0][first] & wanted[1][second]
+    return kept if but is None else kept & ~(but[0][first] & but[1][second])
 
 
 def summed_terms(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -277,7 +370,8 @@ def summed_terms(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def partial_sums(counted: DataFrame, by: Sequence[str] = (), chosen=None) -> DataFrame:
     """The same columns, summed by each task for itself: a group's term may have several rows. No shuffle.
 
-    ``chosen``, a broadcast array of booleans, tells the slots whose terms are summed; all are if not given.
+    ``chosen``, a broadcast pair of arrays of booleans, tells the slots whose terms are summed, and those
+    whose terms are left out of them; all are summed if not given.
     """
     keys = [*by, "term"]
 
@@ -289,10 +383,9 @@ def partial_sums(counted: DataFrame, by: Sequence[str] = (), chosen=None) -> Dat
         parts, size = [], 0
         for batch in batches:
             for part, row, term, n in held(batch, None if chosen is None else chosen.value):
-                if pa.types.is_dictionary(term.type):
-                    term = term.dictionary_decode()
+                row, term, tf, df = summed_places(part, by, row, term, n)
                 groups = [part.column(c).take(pa.array(row)) for c in by]
-                parts.append(pa.Table.from_arrays([*groups, term, n, pa.array(np.ones(len(row), np.int64))], [*keys, "tf", "df"]))
+                parts.append(pa.Table.from_arrays([*groups, term, tf, df], [*keys, "tf", "df"]))
                 size += len(row)
                 if size >= 4 * HELD:
                     # Sums that are few enough are held on to.
@@ -308,61 +401,81 @@ def partial_sums(counted: DataFrame, by: Sequence[str] = (), chosen=None) -> Dat
     return counted.select(*by, "terms").mapInArrow(run, f"{groups}term string, tf bigint, df bigint")
 
 
+def summed_places(part: pa.RecordBatch, by: Sequence[str], row: np.ndarray, term: pa.Array, n: pa.Array):
+    """Of every term of each group one of its rows, the term, its occurrences and its texts, if it has one place only."""
+    if not pa.types.is_dictionary(term.type):
+        return row, term, n, pa.array(np.ones(len(row), np.int64))
+    group, groups = np.zeros(part.num_rows, np.int64), 1
+    for c in by:
+        own = part.column(c).dictionary_encode(null_encoding="encode")
+        group, groups = dense(group * len(own.dictionary) + own.indices.to_numpy())
+    place = term.indices.to_numpy().astype(np.int64)
+    code, found = dense(place * groups + group[row])
+    one = np.zeros(found, np.int64)
+    one[code] = np.arange(len(row))
+    tf = np.bincount(code, n.to_numpy(zero_copy_only=False), found).astype(np.int64)
+    return row[one], term.dictionary.take(pa.array(place[one])), pa.array(tf), pa.array(np.bincount(code, minlength=found))
+
+
 def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
-    """Occurrences of all terms of each slot. Runs a job.
+    """Occurrences of all terms of each slot, in two rows of ``slots``; a term has a slot in each. Runs a job.
 
     As many tasks as run at a time, each with one number per slot; these are added up on the executors
-    in slices. The driver gets ``slots`` numbers.
+    in slices. The driver gets twice ``slots`` numbers.
     """
 
     def local(batches):
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(2 * slots, np.int64)
         for batch in batches:
             if not kept_as_words(batch):
                 for _, _, term, n in held(batch):
-                    total += np.bincount(slots_of(term, slots), n.to_numpy(zero_copy_only=False), slots).astype(np.int64)
+                    for at, own in enumerate(slots_of(hashes_of(term), slots)):
+                        np.add.at(total, own + at * slots, n.to_numpy(zero_copy_only=False))
                 continue
-            for _, _, words, low, high in word_stretches(batch):
-                for _, _, hashed in islice(word_runs(words, high), low, None):
-                    total += np.bincount(slot_of(hashed, slots), minlength=slots)
-        starts = [at for at in range(0, slots, SLICE) if total[at : at + SLICE].any()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(starts, pa.int64()), "sums": pa.array([total[at : at + SLICE].tobytes() for at in starts], pa.binary())})
+            for _, _, words, low, high in word_stretches(batch, HASHED_BYTES):
+                for _, hashed in islice(Words(words).runs(high), low - 1, None):
+                    for at, own in enumerate(slots_of(hashed, slots)):
+                        np.add.at(total, own + at * slots, 1)
+        # One task's sums mostly fit 32 bits; added up, they may not.
+        total = total.astype(SUMS[int(total.max(initial=0) >= 1 << 31)])
+        starts = [at for at in range(0, 2 * slots, SLICE) if total[at : at + SLICE].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(starts, pa.int64()), "sums": pa.array([total[at : at + SLICE].tobytes() for at in starts], pa.binary()), "wide": pa.array([total.dtype == np.int64] * len(starts))})
 
     def added(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, sums in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
-                total[at] = total.get(at, 0) + np.frombuffer(sums, np.int64)
+            for at, sums, wide in zip(*(batch.column(c).to_pylist() for c in ("slice", "sums", "wide"))):
+                total[at] = total.get(at, 0) + np.frombuffer(sums, SUMS[wide]).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int64()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
     schema, tasks = "slice bigint, sums binary", counted.sparkSession.sparkContext.defaultParallelism
-    read = counted.select("terms").coalesce(tasks).mapInArrow(local, schema)
-    out = np.zeros(slots, np.int64)
+    read = counted.select("terms").coalesce(tasks).mapInArrow(local, f"{schema}, wide boolean")
+    out = np.zeros(2 * slots, np.int64)
     rows = read.repartition("slice").mapInArrow(added, schema).toArrow()
     for at, sums in zip(rows["slice"].to_pylist(), rows["sums"].to_pylist()):
         own = np.frombuffer(sums, np.int64)
         out[at : at + len(own)] = own
-    return out
+    return out.reshape(2, slots)
 
 
 def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``by..., term, tf, df`` of a superset of the ``max_features`` most frequent terms, all ties at their border included.
 
-    No term is more frequent than the sum of its slot. Terms of slots that reach a guess of the border
-    are counted exactly; the last of the ``max_features`` most frequent of them is a frequency that the
-    border cannot lie below. If that is less than the guess, the terms of slots between the two are
-    counted too. So the result does not depend on the guess. Groups only part the counts. Runs jobs.
+    No term is more frequent than the sum of either of its slots. Terms whose slots both reach a guess of
+    the border are counted exactly; the last of the ``max_features`` most frequent of them is a frequency
+    that the border cannot lie below. If that is less than the guess, the other terms whose slots reach
+    it are counted too. So the result does not depend on the guess. Groups only part the counts. Runs jobs.
     """
     spark, slots = counted.sparkSession, slots or SLOTS_PER_FEATURE * max_features
     total = slot_sums(counted, slots)
-    filled = total[total > 0]
+    filled = total[0][total[0] > 0]
     guess = 1
     if len(filled) > max_features:
         last = np.partition(filled, len(filled) - max_features)[len(filled) - max_features]
-        guess = max(1, int(0.7 * (last - np.median(total))))
+        guess = max(1, int(0.7 * (last - np.median(total[0]))))
 
-    def count(chosen: np.ndarray) -> DataFrame:
-        sums = partial_sums(counted, by, spark.sparkContext.broadcast(chosen))
+    def count(chosen: np.ndarray, but: np.ndarray | None = None) -> DataFrame:
+        sums = partial_sums(counted, by, spark.sparkContext.broadcast((chosen, but)))
         return materialize(sums.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "term-stats")
 
     first = count(total >= guess)
@@ -371,7 +484,7 @@ def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: i
     whole = materialize(first.groupBy("term").agg(F.sum("tf").alias("tf")), "term-totals") if by else first
     border = top_terms(whole, max_features).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
     least = border["tf"] if border["n"] >= max_features else 1
-    return first if least >= guess else first.unionByName(count((total >= least) & (total < guess)))
+    return first if least >= guess else first.unionByName(count(total >= least, total >= guess))
 
 
 def one_per_key(counted: DataFrame, keep: Sequence[str], key: str, group: Sequence[str] | None = None) -> DataFrame:
@@ -408,10 +521,11 @@ def looked_up(rows: DataFrame, columns: Sequence[str], known: DataFrame, body: C
     def run(batches):
         table = shared.value
         names = table.column("term").combine_chunks()
-        chosen = np.zeros(max(1, SLOTS_PER_FEATURE * len(names)), bool)
-        chosen[slots_of(names, len(chosen))] = True
+        chosen = np.zeros((2, max(1, SLOTS_PER_FEATURE * len(names))), bool)
+        for own, slots in zip(chosen, slots_of(hashes_of(names), chosen.shape[1])):
+            own[slots] = True
         for batch in batches:
-            for part, row, term, n in held(batch, chosen if kept_as_words(batch) else None):
+            for part, row, term, n in held(batch, (chosen, None) if kept_as_words(batch) else None):
                 place = places(term, names)
                 hit = place >= 0
                 yield pa.RecordBatch.from_pydict(body(part, table, row[hit], place[hit], n.to_numpy(zero_copy_only=False)[hit]))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,44 @@ def test_vocabulary_leaves_rare_terms_uncounted(spark):
     texts = [" ".join([f"hot{j}" for j in range(10)] * 3 + [f"rare{i}x{j}" for j in range(20)]) for i in range(300)]
     words = V.word_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(5), ngram_range=(1, 1))
     assert sorted(r["term"] for r in V.winning_stats(words, 4, 1 << 16).collect()) == sorted(f"hot{j}" for j in range(10))
+
+
+def test_rare_terms_of_a_frequent_ones_slot_are_left_uncounted(spark):
+    """A term has a slot in each of two rows; sharing one of them with a frequent term is not enough to be counted."""
+    rows = [(i, " ".join(["often", "usual"] * 40 + [f"rare{i}x{j}" for j in range(40)])) for i in range(60)]
+    words = V.word_docs(spark.createDataFrame(rows, "doc_id LONG, text STRING"), ngram_range=(1, 1))
+    stats = {r["term"]: (r["tf"], r["df"]) for r in V.winning_stats(words, 2, 64).collect()}
+    assert stats["often"] == stats["usual"] == (2400, 60)
+    # 2,400 rare terms: 1 of 32 shares a slot in one row, 1 of 1,024 in both.
+    assert len(stats) < 25
+
+
+def test_runs_and_listed_terms_have_the_same_hash():
+    texts = ["ab cd ab cd", "", "zz", "longerthan8chars ab ñandú\nab " + "w" * 200 + " eightlet\n\nx", "日本語文字列 " + "é" * 40]
+    own = V.Words(pa.array(["before", *texts]).slice(1))
+    found = {}
+    for size, (begin, hashed) in enumerate(own.runs(3), 1):
+        for at, value in zip(begin, hashed):
+            found.setdefault(" ".join(own.strings(np.arange(at, at + size)).to_pylist()), set()).add(int(value))
+    expected = {" ".join(words[i : i + n]) for t in texts for words in (u.split() for u in t.split("\n")) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    assert set(found) == expected and len(set().union(*found.values())) == len(expected)
+    assert all(found[t] == {int(h)} for t, h in zip(found, V.hashes_of(pa.array(list(found)))))
+
+
+def test_a_stretch_of_texts_hands_on_each_term_once(spark):
+    """Terms of texts kept as words are added up before they are handed on, per group."""
+    batch = pa.RecordBatch.from_pydict({
+        "lang": ["en", "de", None, "en"],
+        "terms": pa.array([{"low": 1, "high": 1, "words": w} for w in ("ab ab cd", "ab", "cd", "ab\ncd")], pa.struct([("low", pa.int32()), ("high", pa.int32()), ("words", pa.string())])),
+    })
+    (part, row, term, n), = V.held(batch)
+    row, term, tf, df = V.summed_places(part, ["lang"], row, term, n)
+    got = {(part.column("lang")[int(r)].as_py(), t): (a, b) for r, t, a, b in zip(row, term.to_pylist(), tf.to_pylist(), df.to_pylist())}
+    assert got == {("en", "ab"): (3, 2), ("en", "cd"): (2, 2), ("de", "ab"): (1, 1), (None, "cd"): (1, 1)} and len(row) == 4
+
+
+def test_slot_sums_beyond_32_bits(spark):
+    """Sums of one task that pass 32 bits, and sums that pass them only when added up."""
+    for n in (1 << 40, 3 << 29):
+        rows = spark.createDataFrame([([("ab", n)],)] * 4, "terms array<struct<term: string, n: bigint>>").repartition(4)
+        assert sorted(V.slot_sums(rows, 8).flatten())[-3:] == [0, 4 * n, 4 * n]
