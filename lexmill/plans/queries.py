@@ -677,11 +677,12 @@ def encode(spark, sf_dir):
     )
 
 
-def known_model(docs: DataFrame, seed: str = "") -> M.TfidfModel:
-    """A model over the texts' vocabulary whose coefficients are a hash of the term."""
+def known_model(docs: DataFrame, seed: str = "", vocab: DataFrame | None = None) -> M.TfidfModel:
+    """A model over the texts' vocabulary (``vocab`` if it is there already) whose coefficients are a hash of the term."""
+    vocab = V.vocabulary(docs, FEATURES) if vocab is None else vocab
     term = F.concat(F.lit(seed), F.col("term"))
     coefficient = F.conv(F.substring(F.md5(term), 1, 6), 16, 10).cast("double") / 16777216.0 - 0.5
-    return M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=V.vocabulary(docs, FEATURES).withColumn("coef", coefficient))
+    return M.TfidfModel(max_features=FEATURES, intercept=0.01, terms=vocab.withColumn("coef", coefficient))
 
 
 @query
@@ -748,8 +749,9 @@ def run_chain(spark, sf_dir):
     """Evaluations of two seeds become run records, which are read back, collected and shown as a table."""
     docs, root = counted(spark, sf_dir), new_path(spark, "chain")
     marks = labelled(spark, sf_dir).select("doc_id", "lang", "label")
+    vocab = V.vocabulary(docs, FEATURES)
     for seed in (42, 43):
-        rows = M.score_counted(docs, known_model(docs, str(seed))).join(marks, "doc_id")
+        rows = M.score_counted(docs, known_model(docs, str(seed), vocab)).join(marks, "doc_id")
         measured = E.evaluate(rows, ["lang"]).withColumns({"mode": F.lit("known"), "seed": F.lit(seed)})
         J.write_runs(measured, f"{root}/{seed}", ["mode", "seed"], [])
     summary = R.collect_results(J.read_runs(spark, root))

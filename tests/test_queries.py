@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import RETAINED
 
+from lexmill.operators import features as V
+
 TABLES = "documents labels pages conversations events embeddings benchmark".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -102,3 +104,9 @@ def test_every_sql_has_its_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
+
+
+def test_run_chain_makes_its_vocabulary_once(spark, sf_dir, monkeypatch):
+    made, vocabulary = [], V.vocabulary
+    monkeypatch.setattr(V, "vocabulary", lambda *a, **b: made.append(a) or vocabulary(*a, **b))
+    assert QUERIES["q_run_chain"](spark, sf_dir).count() and len(made) == 1
