@@ -458,6 +458,21 @@ def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
     return out.reshape(2, slots)
 
 
+def _guess(total: np.ndarray, max_features: int) -> int:
+    """A frequency that the border of a vocabulary may not lie below, from the sums of its slots."""
+    filled = total[0][total[0] > 0]
+    if len(filled) <= max_features:
+        return 1
+    last = np.partition(filled, len(filled) - max_features)[len(filled) - max_features]
+    return max(1, int(0.7 * (last - np.median(total[0]))))
+
+
+def _least(stats: DataFrame, max_features: int) -> int:
+    """A frequency that the border cannot lie below, from some terms' ``term, tf``."""
+    border = top_terms(stats, max_features).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    return border["tf"] if border["n"] >= max_features else 1
+
+
 def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``by..., term, tf, df`` of a superset of the ``max_features`` most frequent terms, all ties at their border included.
 
@@ -468,11 +483,7 @@ def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: i
     """
     spark, slots = counted.sparkSession, slots or SLOTS_PER_FEATURE * max_features
     total = slot_sums(counted, slots)
-    filled = total[0][total[0] > 0]
-    guess = 1
-    if len(filled) > max_features:
-        last = np.partition(filled, len(filled) - max_features)[len(filled) - max_features]
-        guess = max(1, int(0.7 * (last - np.median(total[0]))))
+    guess = _guess(total, max_features)
 
     def count(chosen: np.ndarray, but: np.ndarray | None = None) -> DataFrame:
         sums = partial_sums(counted, by, spark.sparkContext.broadcast((chosen, but)))
@@ -482,11 +493,36 @@ def winning_stats(counted: DataFrame, max_features: int = MAX_FEATURES, slots: i
     if guess == 1:
         return first
     whole = materialize(first.groupBy("term").agg(F.sum("tf").alias("tf")), "term-totals") if by else first
-    border = top_terms(whole, max_features).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
-    least = border["tf"] if border["n"] >= max_features else 1
+    least = _least(whole, max_features)
     return first if least >= guess else first.unionByName(count(total >= least, total >= guess))
 
 
+def winning_set_stats(
+    counted: DataFrame, sets: Mapping[str, Sequence[str]], max_features: int, by: str, slots: int | None = None
+) -> DataFrame:
+    """``train_set, term, by, tf`` as ``winning_stats`` has them, for several sets of groups at a time.
+
+    Each group is hashed once, and the sets' slot sums are added up from those of their groups; terms that
+    can win in any of the sets are counted in one pass. A set whose guess fails is counted by itself. Runs jobs.
+    """
+    slots = slots or SLOTS_PER_FEATURE * max_features
+    sums = {g: slot_sums(counted.filter(F.col(by) == g), slots) for g in sorted({g for own in sets.values() for g in own})}
+    totals = {name: sum((sums[g] for g in set(own)), np.zeros((2, slots), np.int64)) for name, own in sets.items()}
+    guesses = {name: _guess(total, max_features) for name, total in totals.items()}
+    chosen = np.logical_or.reduce([totals[name] >= guesses[name] for name in sets])
+    parts = partial_sums(counted, [by], counted.sparkSession.sparkContext.broadcast((chosen, None)))
+    stats = materialize(parts.groupBy(by, "term").agg(F.sum("tf").alias("tf")), "term-stats")
+    out = []
+    for name, own in sets.items():
+        first = stats.filter(F.col(by).isin(list(own)))
+        if guesses[name] > 1:
+            whole = materialize(first.groupBy("term").agg(F.sum("tf").alias("tf")), "term-totals")
+            if _least(whole, max_features) < guesses[name]:
+                first = winning_stats(counted.filter(F.col(by).isin(list(own))), max_features, slots, [by])
+        out.append(first.select(F.lit(name).alias("train_set"), "term", by, "tf"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def one_per_key(counted: DataFrame, keep: Sequence[str], key: str, group: Sequence[str] | None = None) -> DataFrame:
     """``key, keep..., terms``: rows that share the key and ``group`` (all of ``keep`` if not given) become one.
 
@@ -741,16 +777,12 @@ def term_origin(
     """``train_set, term_<by>, n_terms``: vocabulary terms by the group where each is most frequent.
 
     Every named training set is a list of groups and gets a vocabulary of its own. The texts of these
-    groups are cleaned and written once; each set counts the terms that can make its vocabulary, and
-    all sets find their border frequency and their terms side by side. Runs jobs.
+    groups are cleaned and written once; the terms that can make any set's vocabulary are counted once,
+    and all sets find their border frequency and their terms side by side. Runs jobs.
     """
     groups = sorted({g for own in train_sets.values() for g in own})
     words = word_docs(docs.filter(F.col(by).isin(groups)), [by], key, text, ngram_range)
-    parts = [
-        winning_stats(words.filter(F.col(by).isin(list(own))), max_features, by=[by]).select(F.lit(name).alias("train_set"), "term", by, "tf")
-        for name, own in train_sets.items()
-    ]
-    per_set = reduce(DataFrame.unionByName, parts)
+    per_set = winning_set_stats(words, train_sets, max_features, by)
     home = F.min_by(by, F.struct(-F.col("tf"), F.col(by))).alias(f"term_{by}")
     stats = per_set.groupBy("train_set", "term").agg(F.sum("tf").alias("tf"), home)
     stats = materialize(stats, "set-terms")

@@ -333,3 +333,26 @@ def test_slot_sums_beyond_32_bits(spark):
     for n in (1 << 40, 3 << 29):
         rows = spark.createDataFrame([([("ab", n)],)] * 4, "terms array<struct<term: string, n: bigint>>").repartition(4)
         assert sorted(V.slot_sums(rows, 8).flatten())[-3:] == [0, 4 * n, 4 * n]
+
+
+@pytest.mark.parametrize("cap, slots", [(1, 5), (3, 1), (7, 64), (20, None), (500, 64)])
+def test_winning_stats_of_sets_hold_each_sets_border(docs, cap, slots):
+    sets = {"one": ["en"], "two": ["de"], "both": ["en", "de"], "none": ["xx"]}
+    words = V.word_docs(docs, ["lang"])
+    got = {tuple(r) for r in V.winning_set_stats(words, sets, cap, "lang", slots).collect()}
+    for name, own in sets.items():
+        part = words.filter(F.col("lang").isin(own))
+        full = {tuple(r)[:3] for r in V.summed_terms(part, ["lang"]).select("term", "lang", "tf").collect()}
+        whole = Counter()
+        for term, _, tf in full:
+            whole[term] += tf
+        border = sorted(whole.values(), reverse=True)[:cap][-1] if whole else 0
+        found = {g[1:] for g in got if g[0] == name}
+        assert found <= full and {f for f in full if whole[f[0]] >= border} <= found
+
+
+def test_term_origin_hashes_each_group_once(spark, docs, monkeypatch):
+    read, slot_sums = [], V.slot_sums
+    monkeypatch.setattr(V, "slot_sums", lambda counted, slots: read.append(1) or slot_sums(counted, slots))
+    V.term_origin(docs, {"one": ["en"], "two": ["de"], "both": ["en", "de"]}, 20).collect()
+    assert len(read) == 2
