@@ -1,0 +1,156 @@
+"""Fits of logistic models by L-BFGS: one Spark job a pass over sparse rows in blocks.
+
+The optimiser keeps a state of its own for each run and starts from the curvature along every
+coordinate; whoever has the losses and slopes of all training rows moves it on.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+from lexmill.sources.workdir import materialize
+
+#: Entries of one block.
+BLOCK = 1 << 16
+#: Steps a single run looks back on: terms that occur together make many directions, and a pass costs more than a step.
+MEMORY = 40
+#: A step of the line search that is not worth a pass.
+LEAST_STEP = 1e-10
+
+
+def sums_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` between every two ``ends``; an empty stretch is 0."""
+    out = np.zeros((len(ends) - 1, values.shape[1]), values.dtype)
+    some = np.flatnonzero(np.diff(ends))
+    if len(some):
+        out[some] = np.add.reduceat(values, ends[some], axis=0)
+    return out
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a list column one after the other, and where each row's begin (n + 1 places)."""
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
+    return column.flatten().to_numpy(), ends
+
+
+def pieces(indices: pa.Array, values: pa.Array):
+    """(first row, one past the last, term numbers, values, ends) of stretches of about ``BLOCK`` entries."""
+    flat, ends = lists(indices)
+    weights, _ = lists(values)
+    for start, stop in stretches(ends):
+        yield start, stop, flat[ends[start] : ends[stop]], weights[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+
+
+def stretches(ends: np.ndarray):
+    """First row and one past the last of stretches of about ``BLOCK`` entries."""
+    start = 0
+    while start < len(ends) - 1:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
+class Descent:
+    """L-BFGS for one run, moved on by whoever has its loss and slopes; the last coordinate is the intercept."""
+
+    def __init__(self, diagonal: np.ndarray, memory: int = 10):
+        self.x, self.loss, self.slopes = np.zeros(len(diagonal)), np.inf, None
+        self.diagonal, self.memory, self.pairs = diagonal, memory, []
+        self.way, self.step = np.zeros(len(diagonal)), 1.0
+
+    def trial(self) -> np.ndarray:
+        return self.x + self.step * self.way
+
+    def feed(self, loss: float, slopes: np.ndarray) -> None:
+        """What the trial point gave: it is taken if the loss fell enough, else the step is halved."""
+        if self.slopes is not None:
+            if loss > self.loss + 1e-4 * self.step * float(self.slopes @ self.way) + 1e-12 * abs(self.loss):
+                self.step /= 2
+                return
+            moved, turned = self.step * self.way, slopes - self.slopes
+            if moved @ turned > 1e-14 * (moved @ moved):
+                self.pairs = [*self.pairs, (moved, turned)][-self.memory :]
+            self.x = self.x + moved
+        self.loss, self.slopes, self.step = loss, slopes, 1.0
+        self.way = -self.bent(slopes)
+
+    def bent(self, slopes: np.ndarray) -> np.ndarray:
+        """The inverse of the approximate curvature times the slopes."""
+        out, shares = slopes.copy(), []
+        for moved, turned in reversed(self.pairs):
+            share = moved @ out / (moved @ turned)
+            out -= share * turned
+            shares.append(share)
+        out /= self.diagonal
+        if self.pairs:
+            moved, turned = self.pairs[-1]
+            out *= (moved @ turned) / (turned @ (turned / self.diagonal))
+        for (moved, turned), share in zip(self.pairs, reversed(shares)):
+            out += (share - turned @ out / (moved @ turned)) * moved
+        return out
+
+
+def unit_blocks(rows: DataFrame, label: str) -> DataFrame:
+    """Training rows as blocks of bytes, written once: term numbers, weights, row ends and labels. Runs a job."""
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column(label).to_numpy(zero_copy_only=False).astype(np.int8)
+            for a, b, idx, w, ends in pieces(batch.column("indices"), batch.column("values")):
+                parts = {"idx": idx.astype(np.int32), "w": w, "ends": ends, "y": labels[a:b]}
+                yield pa.RecordBatch.from_pydict({c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in parts.items()})
+
+    schema = "idx binary, w binary, ends binary, y binary"
+    return materialize(rows.select(label, "indices", "values").mapInArrow(run, schema), "blocks")
+
+
+def one_run(table: DataFrame, size: int, weights: np.ndarray, c: float, max_iter: int, slope: float, depth: int = 2) -> tuple[np.ndarray, float, int]:
+    """Coefficients, intercept and passes of a single run on the blocks ``table``.
+
+    ``weights`` has the weight of a row of class 0 and of class 1. The run has settled when no partial
+    derivative of the summed loss exceeds ``slope`` or no step lowers the loss any more, and ends after
+    ``max_iter`` steps in any case. The blocks are held on the executors, memory first, in as many parts as
+    tasks run at a time, so that a pass hands on so many sums of ``size`` numbers, whatever it has read;
+    they are added up over ``depth`` levels.
+    """
+    context = table.sparkSession.sparkContext
+    held = table.coalesce(context.defaultParallelism).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def measured(point: np.ndarray, curvature: bool = False) -> np.ndarray:
+        """The loss, the slope of every coordinate and of the intercept; or the curvature in place of the slopes."""
+        state = context.broadcast(point)
+
+        def local(part):
+            coef, bias, total = state.value[:-1], state.value[-1], np.zeros(size + 2)
+            for block in part:
+                idx, w, ends, y = (np.frombuffer(v, kind) for v, kind in zip(block, (np.int32, np.float64, np.int64, np.int8)))
+                length = np.diff(ends)
+                some, z, weight = np.flatnonzero(length), np.full(len(y), bias), weights[y]
+                if len(some):
+                    z[some] += np.add.reduceat(coef.take(idx) * w, ends[some])
+                pull = 0.25 * weight if curvature else weight * (1 / (1 + np.exp(-z)) - y)
+                total[0] += (weight * (np.logaddexp(0, z) - y * z)).sum()
+                total[1:-1] += np.bincount(idx, np.repeat(pull, length) * (np.square(w) if curvature else w), size)
+                total[-1] += pull.sum()
+            yield total
+
+        try:
+            return held.mapPartitions(local).treeReduce(np.add, depth)
+        finally:
+            state.destroy()
+
+    ridge = np.append(np.full(size, 1 / c), 0.0)
+    try:
+        run = Descent(measured(np.zeros(size + 1), curvature=True)[1:] + ridge, MEMORY)
+        passes = 1
+        while passes <= max_iter + 1 and run.step >= LEAST_STEP and (run.slopes is None or np.abs(run.slopes).max() > slope):
+            point = run.trial()
+            found = measured(point)
+            passes += 1
+            run.feed(float(found[0] + 0.5 * ridge @ np.square(point)), found[1:] + ridge * point)
+    finally:
+        held.unpersist()
+    return run.x[:-1], float(run.x[-1]), passes

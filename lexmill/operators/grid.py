@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions.scores import sigmoid
 from lexmill.operators import features as V
+from lexmill.operators.descent import Descent, lists, pieces, stretches, sums_of
 from lexmill.operators.linear import TfidfModel, decide
 from lexmill.sources.workdir import materialize
 
-#: Entries of one block, and numbers in one row of a sum that is handed on.
-BLOCK, SLICE = 1 << 16, 1 << 10
+#: Numbers in one row of a sum that is handed on.
+SLICE = 1 << 10
 
 
 @dataclass
@@ -142,38 +143,6 @@ def entries(counted: DataFrame, vocab: DataFrame, keep: Sequence[str], key: str)
     return V.looked_up(V.one_per_key(counted, keep, key, ()), columns, vocab.select("term", "idx").distinct(), body, schema)
 
 
-def sums_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``values`` between every two ``ends``; an empty stretch is 0."""
-    out = np.zeros((len(ends) - 1, values.shape[1]), values.dtype)
-    some = np.flatnonzero(np.diff(ends))
-    if len(some):
-        out[some] = np.add.reduceat(values, ends[some], axis=0)
-    return out
-
-
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The elements of a list column one after the other, and where each row's begin (n + 1 places)."""
-    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
-    return column.flatten().to_numpy(), ends
-
-
-def pieces(indices: pa.Array, values: pa.Array):
-    """(first row, one past the last, term numbers, values, ends) of stretches of about ``BLOCK`` entries."""
-    flat, ends = lists(indices)
-    weights, _ = lists(values)
-    for start, stop in stretches(ends):
-        yield start, stop, flat[ends[start] : ends[stop]], weights[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
-
-
-def stretches(ends: np.ndarray):
-    """First row and one past the last of stretches of about ``BLOCK`` entries."""
-    start = 0
-    while start < len(ends) - 1:
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
-        yield start, stop
-        start = stop
-
-
 def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
     """Training rows as blocks of bytes, written once: term numbers and their order, values, row ends,
     labels, and for every row and run 1 / norm and membership. Runs a job."""
@@ -272,46 +241,6 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
     return heads[0], heads[1], flat[2 * width :]
 
 
-class Descent:
-    """L-BFGS for one run, moved on by whoever has its loss and slopes; the last coordinate is the intercept."""
-
-    def __init__(self, diagonal: np.ndarray, memory: int = 10):
-        self.x, self.loss, self.slopes = np.zeros(len(diagonal)), np.inf, None
-        self.diagonal, self.memory, self.pairs = diagonal, memory, []
-        self.way, self.step = np.zeros(len(diagonal)), 1.0
-
-    def trial(self) -> np.ndarray:
-        return self.x + self.step * self.way
-
-    def feed(self, loss: float, slopes: np.ndarray) -> None:
-        """What the trial point gave: it is taken if the loss fell enough, else the step is halved."""
-        if self.slopes is not None:
-            if loss > self.loss + 1e-4 * self.step * float(self.slopes @ self.way) + 1e-12 * abs(self.loss):
-                self.step /= 2
-                return
-            moved, turned = self.step * self.way, slopes - self.slopes
-            if moved @ turned > 1e-14 * (moved @ moved):
-                self.pairs = [*self.pairs, (moved, turned)][-self.memory :]
-            self.x = self.x + moved
-        self.loss, self.slopes, self.step = loss, slopes, 1.0
-        self.way = -self.bent(slopes)
-
-    def bent(self, slopes: np.ndarray) -> np.ndarray:
-        """The inverse of the approximate curvature times the slopes."""
-        out, shares = slopes.copy(), []
-        for moved, turned in reversed(self.pairs):
-            share = moved @ out / (moved @ turned)
-            out -= share * turned
-            shares.append(share)
-        out /= self.diagonal
-        if self.pairs:
-            moved, turned = self.pairs[-1]
-            out *= (moved @ turned) / (turned @ (turned / self.diagonal))
-        for (moved, turned), share in zip(self.pairs, reversed(shares)):
-            out += (share - turned @ out / (moved @ turned)) * moved
-        return out
-
-
 def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.ndarray, settings: TfidfModel, slope: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Coefficients (terms x runs), intercepts and passes: all runs moved in step until no slope exceeds ``slope``."""
     size, n_runs = idf.shape

@@ -7,15 +7,17 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions.scores import sigmoid
 from lexmill.operators import features as V
 from lexmill.operators.cleaning import clean_rows
+from lexmill.operators.descent import one_run, unit_blocks
 from lexmill.operators.stats import class_weights
-from lexmill.sources.workdir import materialize, new_path
+from lexmill.sources.workdir import materialize
+
+#: What a partial derivative of the summed loss may still be, for each unit of tolerance.
+SLOPE_PER_TOLERANCE = 5e3
 
 
 @dataclass
@@ -23,7 +25,9 @@ class TfidfModel:
     """Settings and, once fitted, the model table.
 
     ``terms`` holds ``term, idx, tf, df, idf, coef``; its size is bounded by ``max_features``.
-    ``depth`` is the number of levels over which the tasks' gradients are added up.
+    A fit has settled when no partial derivative of the summed loss exceeds ``SLOPE_PER_TOLERANCE`` times
+    ``tolerance``; it ends after ``max_iter`` steps in any case. ``depth`` is the number of levels over
+    which the tasks' slopes are added up.
     """
 
     max_features: int = V.MAX_FEATURES
@@ -47,27 +51,6 @@ class TfidfModel:
         return self.terms
 
 
-def as_vectors(rows: DataFrame, size: int, indices: str = "indices", values: str = "values") -> DataFrame:
-    """Rows with index and value arrays as rows with a sparse ``features`` vector.
-
-    They are written in the stored layout of a vector, which the vector type itself declares,
-    and read back as one: no row passes through Python, and the iterative fit gets a table that
-    outlives lost executors. Runs a job.
-    """
-    spark = rows.sparkSession
-    layout = VectorUDT.sqlType()
-    parts = {"type": F.lit(0).cast("byte"), "size": F.lit(size).cast("int"), "indices": F.col(indices), "values": F.col(values)}
-    stored = F.struct(*[part.alias(name) for name, part in parts.items()])
-    made = rows.select(stored.alias("s")).schema["s"].dataType.simpleString()
-    if made != layout.simpleString():
-        raise RuntimeError(f"vectors are stored as {layout.simpleString()}, not as {made}")
-    rest = [c for c in rows.columns if c not in (indices, values)]
-    path = new_path(spark, "features")
-    rows.select(*rest, stored.alias("features")).write.parquet(path)
-    fields = [rows.schema[c] for c in rest] + [T.StructField("features", VectorUDT())]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
-
-
 def fit(
     docs: DataFrame, settings: TfidfModel | None = None, text: str = "text", label: str = "label", key: str = "doc_id", clean: bool = True
 ) -> TfidfModel:
@@ -83,9 +66,10 @@ def fit_counted(
 ) -> TfidfModel:
     """Fit on a table of counted texts.
 
-    Runs jobs; the driver gets one coefficient per vocabulary term, at most ``max_features``.
-    Balanced class weights sum to the number of rows, so the penalty ``1 / (C n)`` of the mean
-    loss is the penalty ``1 / C`` of the summed loss. The intercept carries none.
+    Runs jobs; the driver gets one number per vocabulary term, at most ``max_features``, for each pass.
+    The penalty of the summed loss is ``1 / C``; the intercept carries none. Terms differ in frequency
+    by orders of magnitude, and so does the curvature of the loss along them: starting from the curvature,
+    the fit takes a few dozen passes, each one job of as many tasks as run at a time.
     """
     settings = settings or TfidfModel()
     spark = counted.sparkSession
@@ -98,29 +82,14 @@ def fit_counted(
     size = vocab.count()
     if size == 0:
         raise ValueError("the training texts hold no terms")
-    rows = as_vectors(V.sparse_rows(counted, vocab, [label], key), size)
-    weight = F.lit(1.0)
-    if settings.balanced:
-        weight = F.when(F.col(label) == 1, weights[1]["weight"]).otherwise(weights[0]["weight"])
-    train = rows.select(F.col(label).cast("double").alias("label"), weight.alias("weight"), "features")
-    # Every iteration is a job over the scan's partitions, which spark.sql.files.maxPartitionBytes sizes.
-    solver = LogisticRegression(
-        weightCol="weight",
-        regParam=1.0 / (settings.c * n_rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=settings.max_iter,
-        tol=settings.tolerance,
-        aggregationDepth=settings.depth,
-        family="binomial",
-    )
-    fitted = solver.fit(train)
+    balance = np.array([weights[y]["weight"] if settings.balanced else 1.0 for y in (0, 1)])
+    rows = V.sparse_rows(counted, vocab, [label], key).withColumn(label, F.col(label).cast("int"))
+    slope = SLOPE_PER_TOLERANCE * settings.tolerance
+    coefs, intercept, _ = one_run(unit_blocks(rows, label), size, balance, settings.c, settings.max_iter, slope, settings.depth)
     # One number per vocabulary term, at most max_features of them.
-    coefficients = spark.createDataFrame(
-        list(enumerate(fitted.coefficients.toArray().tolist())), "idx INT, coef DOUBLE"
-    )
+    coefficients = spark.createDataFrame(pa.table({"idx": np.arange(size, dtype=np.int32), "coef": coefs}))
     table = materialize(vocab.join(coefficients, "idx").select("term", "idx", "tf", "df", "idf", "coef"), "model")
-    return replace(settings, intercept=float(fitted.intercept), train_rows=n_rows, terms=table)
+    return replace(settings, intercept=intercept, train_rows=n_rows, terms=table)
 
 
 def dot_products(counted: DataFrame, model: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
