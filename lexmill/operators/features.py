@@ -333,6 +333,8 @@ def joined_hash(run: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def hashes_of(terms: pa.Array) -> np.ndarray:
     """The hash of every term, from those of its words; the same in all tasks."""
+    if not len(terms):
+        return np.zeros(0, np.uint64)
     own = Words(terms)
     count = np.bincount(own.row, minlength=len(terms))
     first = np.cumsum(count) - count
@@ -417,6 +419,26 @@ def summed_places(part: pa.RecordBatch, by: Sequence[str], row: np.ndarray, term
     return row[one], term.dictionary.take(pa.array(place[one])), pa.array(tf), pa.array(np.bincount(code, minlength=found))
 
 
+def _add_to_slots(total: np.ndarray, batch: pa.RecordBatch, slots: int) -> None:
+    """Adds the occurrences of all terms of these texts to the slots in each of two rows, which lie one after the other."""
+    if not kept_as_words(batch):
+        for _, _, term, n in held(batch):
+            for at, own in enumerate(slots_of(hashes_of(term), slots)):
+                np.add.at(total, own + at * slots, n.to_numpy(zero_copy_only=False))
+        return
+    for _, _, words, low, high in word_stretches(batch, HASHED_BYTES):
+        for _, hashed in islice(Words(words).runs(high), low - 1, None):
+            for at, own in enumerate(slots_of(hashed, slots)):
+                np.add.at(total, own + at * slots, 1)
+
+
+def _sliced(total: np.ndarray) -> dict:
+    """Sums in slices, those of zeros left out; one task's sums mostly fit 32 bits, added up they may not."""
+    total = total.astype(SUMS[int(total.max(initial=0) >= 1 << 31)])
+    starts = [at for at in range(0, len(total), SLICE) if total[at : at + SLICE].any()]
+    return {"slice": pa.array(starts, pa.int64()), "sums": pa.array([total[at : at + SLICE].tobytes() for at in starts], pa.binary()), "wide": pa.array([total.dtype == np.int64] * len(starts), pa.bool_())}
+
+
 def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
     """Occurrences of all terms of each slot, in two rows of ``slots``; a term has a slot in each. Runs a job.
 
@@ -427,19 +449,8 @@ def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
     def local(batches):
         total = np.zeros(2 * slots, np.int64)
         for batch in batches:
-            if not kept_as_words(batch):
-                for _, _, term, n in held(batch):
-                    for at, own in enumerate(slots_of(hashes_of(term), slots)):
-                        np.add.at(total, own + at * slots, n.to_numpy(zero_copy_only=False))
-                continue
-            for _, _, words, low, high in word_stretches(batch, HASHED_BYTES):
-                for _, hashed in islice(Words(words).runs(high), low - 1, None):
-                    for at, own in enumerate(slots_of(hashed, slots)):
-                        np.add.at(total, own + at * slots, 1)
-        # One task's sums mostly fit 32 bits; added up, they may not.
-        total = total.astype(SUMS[int(total.max(initial=0) >= 1 << 31)])
-        starts = [at for at in range(0, 2 * slots, SLICE) if total[at : at + SLICE].any()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(starts, pa.int64()), "sums": pa.array([total[at : at + SLICE].tobytes() for at in starts], pa.binary()), "wide": pa.array([total.dtype == np.int64] * len(starts))})
+            _add_to_slots(total, batch, slots)
+        yield pa.RecordBatch.from_pydict(_sliced(total))
 
     def added(batches):
         total: dict[int, np.ndarray] = {}
@@ -458,6 +469,37 @@ def slot_sums(counted: DataFrame, slots: int) -> np.ndarray:
     return out.reshape(2, slots)
 
 
+def grouped_slot_sums(counted: DataFrame, by: str, slots: int) -> dict[int, np.ndarray]:
+    """``slot_sums`` of every group of texts, in one pass; ``by`` has whole numbers, of which there must be few.
+
+    A task holds, and the driver gets, twice ``slots`` numbers for each group. Runs a job.
+    """
+
+    def local(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group = batch.column(by).to_numpy()
+            for g in np.unique(group).tolist():
+                total = totals.setdefault(g, np.zeros(2 * slots, np.int64))
+                _add_to_slots(total, batch.filter(pa.array(group == g)).select(["terms"]), slots)
+        for g, total in totals.items():
+            parts = _sliced(total)
+            yield pa.RecordBatch.from_pydict({"group": pa.array([g] * len(parts["slice"]), pa.int64()), **parts})
+
+    def added(key, table):
+        total = sum(np.frombuffer(sums, SUMS[wide]).astype(np.int64) for sums, wide in zip(table["sums"].to_pylist(), table["wide"].to_pylist()))
+        return pa.table({"group": pa.array([key[0].as_py()], pa.int64()), "slice": pa.array([key[1].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema, tasks = "group bigint, slice bigint, sums binary", counted.sparkSession.sparkContext.defaultParallelism
+    read = counted.select(by, "terms").coalesce(tasks).mapInArrow(local, f"{schema}, wide boolean")
+    rows = read.groupBy("group", "slice").applyInArrow(added, schema).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for g, at, sums in zip(*(rows[c].to_pylist() for c in ("group", "slice", "sums"))):
+        own = np.frombuffer(sums, np.int64)
+        out.setdefault(g, np.zeros(2 * slots, np.int64))[at : at + len(own)] = own
+    return {g: total.reshape(2, slots) for g, total in out.items()}
+
+
 def _guess(total: np.ndarray, max_features: int) -> int:
     """A frequency that the border of a vocabulary may not lie below, from the sums of its slots."""
     filled = total[0][total[0] > 0]

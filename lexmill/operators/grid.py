@@ -25,6 +25,10 @@ from lexmill.sources.workdir import materialize
 
 #: Entries of one block, and numbers in one row of a sum that is handed on.
 BLOCK, SLICE = 1 << 16, 1 << 10
+#: A set of runs with at least one of so many parts of the texts is a large one.
+LARGE = 8
+#: Steps a run's optimiser remembers, and numbers that all of them remember together.
+MEMORY, REMEMBERED = 30, 1 << 27
 
 
 @dataclass
@@ -49,6 +53,53 @@ class GridModel:
         return idf, weight * idf
 
 
+def set_sums(texts: DataFrame, rows: np.ndarray, member: np.ndarray, max_features: int):
+    """``_set, term, tf, df`` as ``partial_sums`` has them, and what may be missing from them.
+
+    ``rows`` has the texts of every set of runs, ``member`` the runs of each. A set with many of the texts
+    hands on only terms that can make the vocabulary of one of its runs: no term is more frequent in a run
+    than the sum of either of its slots. All terms of the other sets are counted. The second result has for
+    every run the frequency from which on no term is missing; the third counts the terms that are missing
+    where a run's border turns out to be lower, or is None. Runs jobs.
+    """
+    spark, slots, sure = texts.sparkSession, V.SLOTS_PER_FEATURE * max_features, np.ones(member.shape[1], np.int64)
+    large = [int(i) for i in np.flatnonzero(rows * LARGE >= rows.sum()) if rows[i]]
+    if not large:
+        return V.partial_sums(texts, ["_set"]), sure, None
+    inside = F.col("_set").isin(large)
+    rest = [i for i in np.flatnonzero(rows) if i not in large]
+    # The large sets by their numbers, which begin at 1, and all others together.
+    sums = V.grouped_slot_sums(texts.withColumn("_set", F.when(inside, F.col("_set")).otherwise(0)), "_set", slots)
+    none = np.zeros((2, slots), np.int64)
+    # Runs of the same large sets, with or without any of the others, share their bounds.
+    alike: dict[tuple, list[int]] = {}
+    for r in range(member.shape[1]):
+        own = tuple(i for i in large if member[i, r])
+        if own:
+            alike.setdefault((own, bool(member[rest, r].any())), []).append(r)
+    bounds = {}
+    for (own, more), alike_runs in alike.items():
+        total = sum(sums.get(i, none) for i in own)
+        sure[alike_runs] = V._guess(total, max_features)
+        bounds[own, more] = total + sums.get(0, none) if more else total
+    if (sure == 1).all():
+        return V.partial_sums(texts, ["_set"]), sure, None
+
+    def reaching(least: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduce([bounds[kind] >= least[alike_runs].min() for kind, alike_runs in alike.items()])
+
+    first = reaching(sure)
+    counted = V.partial_sums(texts.filter(inside), ["_set"], spark.sparkContext.broadcast((first, None)))
+    if rest:
+        counted = counted.unionByName(V.partial_sums(texts.filter(~inside), ["_set"]))
+
+    def missing(least: np.ndarray) -> DataFrame:
+        chosen = spark.sparkContext.broadcast((reaching(np.minimum(least, sure)), first))
+        return V.partial_sums(texts.filter(inside), ["_set"], chosen)
+
+    return counted, sure, missing
+
+
 def vocabularies(counted: DataFrame, sizes: dict[int, int], max_features: int) -> DataFrame:
     """``run, term, idx, tf, df, idf``: the most frequent terms of every run, ties by term.
 
@@ -59,16 +110,17 @@ def vocabularies(counted: DataFrame, sizes: dict[int, int], max_features: int) -
     spark = counted.sparkSession
     runs = sorted(sizes)
     # One row per set of runs that occurs; texts carry its number, so terms are not grouped by a list.
-    sets = counted.select("runs").distinct().withColumn("_set", F.row_number().over(Window.orderBy("runs")))
-    sets = materialize(sets.select(F.col("runs").alias("_runs"), "_set"), "run-sets")
+    sets = counted.groupBy("runs").agg(F.count("*").alias("_rows")).withColumn("_set", F.row_number().over(Window.orderBy("runs")))
+    sets = materialize(sets.select(F.col("runs").alias("_runs"), "_set", "_rows"), "run-sets")
     numbered = sets.collect()
-    member = np.zeros((len(numbered) + 1, len(runs)), np.int64)
+    member, rows = np.zeros((len(numbered) + 1, len(runs)), np.int64), np.zeros(len(numbered) + 1, np.int64)
     for row in numbered:
         member[row["_set"], [runs.index(r) for r in row["_runs"] if r in sizes]] = 1
+        rows[row["_set"]] = row["_rows"]
+    texts = counted.join(sets.select("_runs", "_set"), F.col("runs") == F.col("_runs"))
     # A term has a part for each task and set; the parts are added up where they are read.
-    parts = V.partial_sums(counted.join(sets, F.col("runs") == F.col("_runs")), ["_set"])
-    per_term = parts.groupBy("term").agg(F.collect_list(F.struct("_set", "tf", "df")).alias("_parts"))
-    stats = materialize(per_term, "run-terms")
+    parts, sure, missing = set_sums(texts, rows, member, max_features)
+    stats = materialize(parts.groupBy("term").agg(F.collect_list(F.struct("_set", "tf", "df")).alias("_parts")), "run-terms")
 
     def totals(batch: pa.RecordBatch):
         """Per stretch of terms: its first, and the occurrences and texts of every term, a column per run."""
@@ -98,15 +150,23 @@ def vocabularies(counted: DataFrame, sizes: dict[int, int], max_features: int) -
         np.add.at(total, at, np.concatenate(times))
         return [level], [total]
 
-    # The lowest frequency that can make a run's vocabulary; the window sees one row per run and frequency.
-    levels = stats.select("_parts").mapInArrow(counted_levels, "run int, tf bigint, _n bigint").groupBy("run", "tf").agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("run").orderBy(F.desc("tf")))
-    border = levels.withColumn("_upto", upto).groupBy("run").agg(
-        F.coalesce(F.max(F.when(F.col("_upto") >= max_features, F.col("tf"))), F.lit(1)).alias("_border")
-    )
-    # One number per run.
-    lowest = dict(border.collect())
-    limits = np.array([lowest.get(r, 1) for r in runs], np.int64)
+    def borders() -> np.ndarray:
+        """The lowest frequency that can make each run's vocabulary; the window sees one row per run and frequency."""
+        levels = stats.select("_parts").mapInArrow(counted_levels, "run int, tf bigint, _n bigint").groupBy("run", "tf").agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("run").orderBy(F.desc("tf")))
+        border = levels.withColumn("_upto", upto).groupBy("run").agg(
+            F.coalesce(F.max(F.when(F.col("_upto") >= max_features, F.col("tf"))), F.lit(1)).alias("_border")
+        )
+        # One number per run.
+        lowest = dict(border.collect())
+        return np.array([lowest.get(r, 1) for r in runs], np.int64)
+
+    limits = borders()
+    if missing is not None and (limits < sure).any():
+        more = missing(limits).groupBy("term").agg(F.collect_list(F.struct("_set", "tf", "df")).alias("_parts"))
+        stats = stats.unionByName(more).groupBy("term").agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
+        stats = materialize(stats, "run-terms")
+        limits = borders()
 
     def reached(batches):
         for batch in batches:
@@ -184,6 +244,9 @@ def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
             member, at = lists(batch.column("runs"))
             mask = np.zeros((batch.num_rows, n_runs), np.uint8)
             mask[np.repeat(np.arange(batch.num_rows), np.diff(at)), member] = 1
+            # Rows of the same runs lie side by side: a block is only read for the runs of its rows.
+            order = np.lexsort(mask.T)
+            batch, mask = batch.take(pa.array(order)), mask[order]
             labels = batch.column(label).to_numpy(zero_copy_only=False).astype(np.int8)
             for a, b, idx, w, ends in pieces(batch.column("indices"), batch.column("values")):
                 norm = np.sqrt(sums_of(np.square(w[:, None] * weight[idx]), ends))
@@ -221,7 +284,8 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
                 here = np.flatnonzero(mask.any(axis=0))
                 if not len(here):
                     continue
-                # The block's own terms, each once, and the place of every entry among them.
+                # The block's own terms, each once, and the place of every entry among them: a run's numbers for
+                # these are few enough to stay in the cache.
                 order = read("order", np.int32)
                 sorted_idx = idx[order]
                 first = np.flatnonzero(np.concatenate([sorted_idx[:1] >= 0, sorted_idx[1:] != sorted_idx[:-1]]))
@@ -238,7 +302,7 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
                     else:
                         z = np.zeros(len(y))
                         if len(some):
-                            z[some] = np.add.reduceat(moved[j].take(idx) * w, ends[some])
+                            z[some] = np.add.reduceat(moved[j].take(own).take(at) * w, ends[some])
                         z = z * unit + bias[j]
                         miss = member * (1 / (1 + np.exp(-z)) - y)
                         heads[0, j] += (member * (np.logaddexp(0, z) - y * z)).sum()
@@ -273,12 +337,23 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
 
 
 class Descent:
-    """L-BFGS for one run, moved on by whoever has its loss and slopes; the last coordinate is the intercept."""
+    """L-BFGS for one run, moved on by whoever has its loss and slopes; the last coordinate is the intercept.
 
-    def __init__(self, diagonal: np.ndarray, memory: int = 10):
+    The steps it remembers and the turns of the slopes along them lie in two matrices, so a new direction
+    takes a few products with these (the compact form of Byrd, Nocedal and Schnabel) and no loop over them.
+    """
+
+    def __init__(self, diagonal: np.ndarray, memory: int = MEMORY):
         self.x, self.loss, self.slopes = np.zeros(len(diagonal)), np.inf, None
-        self.diagonal, self.memory, self.pairs = diagonal, memory, []
+        self.diagonal, self.memory = diagonal, memory
         self.way, self.step = np.zeros(len(diagonal)), 1.0
+        self.forget()
+
+    def forget(self) -> None:
+        """Without what it remembers, the next direction follows the diagonal alone."""
+        self.moves, self.turns = np.empty((0, len(self.x)), np.float32), np.empty((0, len(self.x)), np.float32)
+        #: Rows in the order of their steps; products of moves and turns, and of turns over the diagonal.
+        self.order, self.across, self.within = [], np.zeros((self.memory, self.memory)), np.zeros((self.memory, self.memory))
 
     def trial(self) -> np.ndarray:
         return self.x + self.step * self.way
@@ -289,31 +364,91 @@ class Descent:
             if loss > self.loss + 1e-4 * self.step * float(self.slopes @ self.way) + 1e-12 * abs(self.loss):
                 self.step /= 2
                 return
-            moved, turned = self.step * self.way, slopes - self.slopes
-            if moved @ turned > 1e-14 * (moved @ moved):
-                self.pairs = [*self.pairs, (moved, turned)][-self.memory :]
+            moved = self.step * self.way
+            self.remember(moved, slopes - self.slopes)
             self.x = self.x + moved
         self.loss, self.slopes, self.step = loss, slopes, 1.0
         self.way = -self.bent(slopes)
+        if not self.way @ slopes < 0 and self.order:
+            self.forget()
+            self.way = -self.bent(slopes)
+
+    def remember(self, moved: np.ndarray, turned: np.ndarray) -> None:
+        """Takes up a step if the loss curves upwards along it; the oldest gives way."""
+        if not moved @ turned > 1e-14 * (moved @ moved):
+            return
+        # Only ratios of the two count; short steps keep their digits.
+        length = np.sqrt(moved @ moved)
+        moved, turned = (moved / length).astype(np.float32), (turned / length).astype(np.float32)
+        if len(self.order) < self.memory:
+            i = len(self.order)
+            if i == len(self.moves):
+                more = np.empty((min(self.memory, max(8, 2 * i)) - i, len(self.x)), np.float32)
+                self.moves, self.turns = np.concatenate([self.moves, more]), np.concatenate([self.turns, more])
+        else:
+            i = self.order.pop(0)
+        self.order.append(i)
+        self.moves[i], self.turns[i] = moved, turned
+        n = len(self.order)
+        moves, turns = self.moves[:n], self.turns[:n]
+        self.across[i, :n], self.across[:n, i] = turns @ moved, moves @ turned
+        self.within[i, :n] = self.within[:n, i] = turns @ (turned / self.diagonal).astype(np.float32)
 
     def bent(self, slopes: np.ndarray) -> np.ndarray:
         """The inverse of the approximate curvature times the slopes."""
-        out, shares = slopes.copy(), []
-        for moved, turned in reversed(self.pairs):
-            share = moved @ out / (moved @ turned)
-            out -= share * turned
-            shares.append(share)
-        out /= self.diagonal
-        if self.pairs:
-            moved, turned = self.pairs[-1]
-            out *= (moved @ turned) / (turned @ (turned / self.diagonal))
-        for (moved, turned), share in zip(self.pairs, reversed(shares)):
-            out += (share - turned @ out / (moved @ turned)) * moved
-        return out
-
-
-def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.ndarray, settings: TfidfModel, slope: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients (terms x runs), intercepts and passes: all runs moved in step until no slope exceeds ``slope``."""
+        straight = slopes / self.diagonal
+        if not self.order:
+            return straight
+        at, n = self.order, len(self.order)
+        moves, turns = self.moves[:n], self.turns[:n]
+        across, within = self.across[np.ix_(at, at)], self.within[np.ix_(at, at)]
+        # The slopes may be much smaller than the numbers of type float32 they are multiplied with.
+        size = np.abs(slopes).max()
+        along = (moves @ (slopes / size).astype(np.float32)).astype(float)[at] * size
+        pulled = (turns @ (straight / size).astype(np.float32)).astype(float)[at] * size
+        upper, scale = np.triu(across), across[-1, -1] / within[-1, -1]
+        back = np.linalg.solve(upper, along)
+        ahead = np.linalg.solve(upper.T, np.diag(across) * back + scale * (within @ back - pulled))
+        by_row = np.zeros((2, n))
+        by_row[:, at] = ahead, back
+        return scale * (straight - (by_row[1].astype(np.float32) @ turns) / self.diagonal) + by_row[0].astype(np.float32) @ moves
+
+    def follow(self, leader: Descent, own: np.ndarray, there: np.ndarray) -> None:
+        """Starts where another run has ended and with what it remembers, as far as both know a term.
+
+        ``own`` and ``there`` are the places of the common coordinates here and in the other run.
+        """
+        self.x[own] = leader.x[there]
+        for i in leader.order:
+            moved, turned = np.zeros((2, len(self.x)))
+            moved[own], turned[own] = leader.moves[i, there], leader.turns[i, there]
+            self.remember(moved, turned)
+
+
+def followed(shared: np.ndarray) -> dict[int, list[int]]:
+    """Runs that go first, and those that start from where they end; ``shared`` has the rows every two runs share.
+
+    A run follows the largest run that has at least half of its rows in common with it, of both. Going one
+    after the other pays if one run spares passes over most rows to several, so a run leads two or more.
+    """
+    sizes, out, free = np.diag(shared), {}, set(range(len(shared)))
+    for leader in np.argsort(-sizes, kind="stable").tolist():
+        if leader not in free:
+            continue
+        alike = [r for r in sorted(free) if r != leader and 2 * shared[r, leader] >= max(sizes[r], sizes[leader])]
+        if len(alike) > 1:
+            out[leader] = alike
+            free -= {leader, *alike}
+    return out
+
+
+def solve(
+    spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.ndarray, settings: TfidfModel, slope: float, leads: dict[int, list[int]]
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Coefficients (terms x runs), intercepts and passes: runs moved in step until no slope exceeds ``slope``.
+
+    A run that follows another (``leads``) joins in where that one has settled.
+    """
     size, n_runs = idf.shape
     known = [np.flatnonzero(idf[:, r]) for r in range(n_runs)]
     scale = [idf[k, r] for r, k in enumerate(known)]
@@ -332,8 +467,10 @@ def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.nd
     everyone = np.arange(n_runs)
     ridge = [np.append(np.full(len(k), 1 / settings.c), 0.0) for k in known]
     _, curved = measured(everyone, [np.zeros(len(k) + 1) for k in known], curvature=True)
-    runs = [Descent(curve + own) for curve, own in zip(curved, ridge)]
-    active, passes = everyone, 1
+    memory = max(1, min(MEMORY, REMEMBERED // (2 * sum(map(len, ridge)))))
+    runs = [Descent(curve + own, memory) for curve, own in zip(curved, ridge)]
+    waiting = {r for own in leads.values() for r in own}
+    active, passes = np.array([r for r in everyone if r not in waiting], int), 1
     while len(active):
         if passes > settings.max_iter:
             raise RuntimeError(f"runs {active.tolist()} have not settled after {passes} passes")
@@ -342,7 +479,13 @@ def solve(spark: SparkSession, table: DataFrame, idf: np.ndarray, weights: np.nd
         passes += 1
         for r, point, loss, own in zip(active, points, losses, slopes):
             runs[r].feed(float(loss + 0.5 * ridge[r] @ np.square(point)), own + ridge[r] * point)
-        active = np.array([r for r in active if np.abs(runs[r].slopes).max() > slope], int)
+        active, still = np.array([r for r in active if np.abs(runs[r].slopes).max() > slope], int), active
+        for r in set(still.tolist()) - set(active.tolist()):
+            for own in leads.get(r, []):
+                _, here, there = np.intersect1d(known[own], known[r], assume_unique=True, return_indices=True)
+                runs[own].follow(runs[r], np.append(here, len(known[own])), np.append(there, len(known[r])))
+            active = np.sort(np.append(active, leads.get(r, []))).astype(int)
+            runs[r].forget()
     shared.destroy()
     coefficients = np.zeros((size, n_runs))
     for r, k in enumerate(known):
@@ -376,6 +519,10 @@ def fit_grid(
         found = {y for own, y in counts if own == r}
         if found != {0, 1}:
             raise ValueError(f"training needs rows of both classes 0 and 1, run {r} has {sorted(found, key=str)}")
+    # Two numbers for every set of runs that occurs.
+    together = np.zeros((n_runs, n_runs), np.int64)
+    for row in taking.groupBy("runs").agg(F.count("*").alias("n")).collect():
+        together[np.ix_(row["runs"], row["runs"])] += row["n"]
     vocab = vocabularies(taking, sizes, settings.max_features)
     listed = vocab.select("run", "idx", "idf").toArrow()
     run, idx = listed["run"].to_numpy(), listed["idx"].to_numpy()
@@ -394,7 +541,7 @@ def fit_grid(
         shared = spark.sparkContext.broadcast(idf)
         table = blocks(rows.withColumn("runs", members).filter(F.size("runs") > 0), shared, len(group), label)
         shared.destroy()
-        solved, intercepts[group], taken = solve(spark, table, idf, balance[group], settings, slope)
+        solved, intercepts[group], taken = solve(spark, table, idf, balance[group], settings, slope, followed(together[np.ix_(group, group)]))
         coefficients[own] = solved[idx[own], run[own] - first]
         passes += taken
     made = spark.createDataFrame(pa.table({"run": run, "idx": idx, "coef": coefficients}))
