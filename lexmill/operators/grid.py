@@ -234,9 +234,20 @@ def stretches(ends: np.ndarray):
         start = stop
 
 
+def packed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the least bytes that hold them all."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def unpacked(part: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` packed numbers of a block."""
+    return np.frombuffer(part.as_buffer(), f"u{len(part.as_buffer()) // n}" if n else "u1").astype(np.int64)
+
+
 def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
-    """Training rows as blocks of bytes, written once: term numbers and their order, values, row ends,
-    labels, and for every row and run 1 / norm and membership. Runs a job."""
+    """Training rows as blocks of bytes, written once: the block's terms, each once, and the place of every
+    entry among them, its values likewise, row ends, labels, and for every row and run 1 / norm and
+    membership. Runs a job."""
 
     def run(batches):
         weight = idf.value
@@ -251,11 +262,12 @@ def blocks(rows: DataFrame, idf, n_runs: int, label: str) -> DataFrame:
             for a, b, idx, w, ends in pieces(batch.column("indices"), batch.column("values")):
                 norm = np.sqrt(sums_of(np.square(w[:, None] * weight[idx]), ends))
                 scale = np.divide(mask[a:b], norm, out=np.zeros_like(norm), where=norm > 0)
-                order = np.argsort(idx, kind="stable").astype(np.int32)
-                parts = {"idx": idx.astype(np.int32), "order": order, "w": w, "ends": ends, "y": labels[a:b], "scale": scale, "mask": mask[a:b]}
+                own, at = np.unique(idx, return_inverse=True)
+                kinds, kind = np.unique(w, return_inverse=True)
+                parts = {"own": own.astype(np.int32), "at": packed(at), "kinds": kinds, "kind": packed(kind), "ends": ends, "y": labels[a:b], "scale": scale, "mask": mask[a:b]}
                 yield pa.RecordBatch.from_pydict({c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in parts.items()})
 
-    schema = "idx binary, order binary, w binary, ends binary, y binary, scale binary, mask binary"
+    schema = ", ".join(f"{c} binary" for c in ("own", "at", "kinds", "kind", "ends", "y", "scale", "mask"))
     return materialize(rows.select("runs", label, "indices", "values").mapInArrow(run, schema), "grid-blocks")
 
 
@@ -279,18 +291,14 @@ def one_pass(table: DataFrame, shape: tuple[int, int], weights: np.ndarray, stat
         for batch in batches:
             for i in range(batch.num_rows):
                 read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: E731, B023
-                idx, w, ends, y = read("idx", np.int32), read("w", np.float64), read("ends", np.int64), read("y", np.int8)
+                own, ends, y = read("own", np.int32), read("ends", np.int64), read("y", np.int8)
                 scale, mask = (read(c, kind).reshape(len(y), n_runs)[:, active] for c, kind in (("scale", np.float64), ("mask", np.uint8)))
                 here = np.flatnonzero(mask.any(axis=0))
                 if not len(here):
                     continue
-                # The block's own terms, each once, and the place of every entry among them: a run's numbers for
-                # these are few enough to stay in the cache.
-                order = read("order", np.int32)
-                sorted_idx = idx[order]
-                first = np.flatnonzero(np.concatenate([sorted_idx[:1] >= 0, sorted_idx[1:] != sorted_idx[:-1]]))
-                own, at = sorted_idx[first], np.empty(len(idx), np.int64)
-                at[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(idx)))
+                # A run's numbers for the block's own terms are few enough to stay in the cache.
+                at, kind = (unpacked(batch.column(c)[i], int(ends[-1])) for c in ("at", "kind"))
+                w = read("kinds", np.float64).take(kind)
                 row, some = np.repeat(np.arange(len(y)), np.diff(ends)), np.flatnonzero(np.diff(ends))
                 values = np.square(w) if curvature else w
                 # One run after the other: sums of plain columns are several times as fast as sums of rows of a matrix.
